@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, tokens
+from . import minhash, packing, sharding, tokens
 
 
 def queries():
     return {
         "op2_packing": packing.op2_packing,
         "op6_token_files": tokens.op6_token_files,
+        "op9_minhash": minhash.op9_minhash,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_minhash": minhash.OP9_SQL}
