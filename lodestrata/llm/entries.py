@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, sharding, tokens
+from . import embeddings, minhash, packing, sharding, tokens, warc
 
 
 def queries():
     return {
         "op2_packing": packing.op2_packing,
+        "op5_warc": warc.op5_warc,
         "op6_token_files": tokens.op6_token_files,
+        "op8_embedding_dedup": embeddings.op8_embedding_dedup,
         "op9_minhash": minhash.op9_minhash,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql():
-    return {"op9_minhash": minhash.OP9_SQL}
+    return {"op5_warc": warc.OP5_SQL, "op8_embedding_dedup": embeddings.OP8_SQL, "op9_minhash": minhash.OP9_SQL}
