@@ -100,12 +100,12 @@ def _pieces(tokenizer: str, end_id: int, window: int, groups: int, with_ids: boo
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, at = vocab.encoder(tokenizer).encode, TaskContext.get().partitionId() << 32
+        encode, at = vocab.encoder(tokenizer).encode_many, TaskContext.get().partitionId() << 32
         end = np.asarray([end_id], "<u4").tobytes()
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = encode(text) + end
+            for doc, ids in zip(frame["doc_id"], encode(frame["text"]), strict=True):
+                ids += end
                 n = len(ids) // 4
                 at += 1
                 lot = (at * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) * groups >> 64

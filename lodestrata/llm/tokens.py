@@ -34,7 +34,7 @@ def _writer(base: str, path: str, end_id: int, width: int):
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, shard = vocab.encoder(path).encode, TaskContext.get().partitionId()
+        encode, shard = vocab.encoder(path).encode_many, TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         lengths: list[np.ndarray] = []
         names: list[np.ndarray] = []
@@ -54,8 +54,8 @@ def _writer(base: str, path: str, end_id: int, width: int):
 
             for frame in frames:
                 ns = np.empty(len(frame), "<i8")
-                for i, text in enumerate(frame["text"]):
-                    got = encode(text) + end
+                for i, got in enumerate(encode(frame["text"])):
+                    got += end
                     ns[i] = len(got) // 4
                     held.append(got)
                     size += len(got)
