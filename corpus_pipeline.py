@@ -1,19 +1,56 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again between."""
+"""The corpus pipeline: stages over ``documents``, each written and read again between.
+
+Documents of low quality go, then those in no known language, then near duplicates but one, then those
+that contain an item of the benchmark; the rest is packed into windows of ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import store
+from lodestrata.llm import decontam, langid, minhash, packing, quality, store, vocab
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer trained on these documents' weak labels keeps."""
+    return quality.keep_good(docs, quality.train(docs))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that ``lang`` names."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.keep_one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    return decontam.without_contamination(docs, store.spark_table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of 4096 ids."""
+    return packing.pack_documents(docs, vocab.vocabulary("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 #: Stages here rest on trained models and tokenizers, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = store.spark_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = store.materialize(docs, f"stage-{k + 1}")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import embeddings, minhash, packing, sharding, tokens, warc
+from . import decontam, embeddings, html_text, langid, minhash, packing, quality, sharding, tokens, warc
 
 
 def queries():
     return {
+        "op1_quality": quality.op1_quality,
         "op2_packing": packing.op2_packing,
+        "op3_html_text": html_text.op3_html_text,
+        "op4_decontamination": decontam.op4_decontamination,
         "op5_warc": warc.op5_warc,
         "op6_token_files": tokens.op6_token_files,
+        "op7_langid": langid.op7_langid,
         "op8_embedding_dedup": embeddings.op8_embedding_dedup,
         "op9_minhash": minhash.op9_minhash,
         "op10_sharding": sharding.op10_sharding,

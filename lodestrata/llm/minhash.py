@@ -173,6 +173,18 @@ def _missed(shared_buckets: DataFrame, sets: DataFrame, components: DataFrame) -
     return store.materialize(roles.join(sets, "set_key").groupBy("bucket", "block", "probe_block").applyInPandas(_cross, "u long, v long").distinct(), "cross-links")
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the document of least id stays, once."""
+    found = store.materialize(near_duplicates(docs).where("doc_id is not null"), "found")
+    gone = found.where("not kept").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # A null doc_id is no id: such rows all stay.
+        return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
+    return kept
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
     return near_duplicates(store.spark_table(spark, sf_dir, "documents"))

@@ -88,7 +88,7 @@ def pack_pieces(pieces: DataFrame, groups: int, window: int = WINDOW, group: str
     kept = [f for f in pieces.schema.fields if f.name != group]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
 
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start", "length"], kind="stable", na_position="first").reset_index(drop=True)
         bins, offsets, _ = best_fit_decreasing(frame["length"].to_numpy().astype("i8"), window)
         return frame.drop(columns=group).assign(sequence_id=bins * groups + int(key[0]), offset=offsets)

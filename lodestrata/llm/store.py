@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -90,3 +91,17 @@ def free_name(taken: list[str], stem: str) -> str:
         k += 1
         name = f"{stem}_{k}"
     return name
+
+
+def filter_texts(docs: DataFrame, make_judge) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text a judge keeps.
+
+    ``make_judge()`` runs once a task and gives a function from a list of texts (or None) to booleans.
+    """
+
+    def run(batches):
+        judge = make_judge()
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
