@@ -9,6 +9,7 @@ text goes to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -16,10 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
 #: Chunks kept in a worker before the cache starts again.
 CACHE_CHUNKS = 400_000
 #: Characters of text whose unknown chunks are encoded together.
 BLOCK_CHARS = 1 << 20
+#: New chunks that go to the library as one text.
+LOT_CHUNKS = 96
 
 #: What a text of the quick way has none of (U+0130 grows when put in lower case).
 _ODD = re.compile("[^\t\n\r -~¡-¬®-įı-ɏ]")
@@ -64,16 +69,16 @@ class Encoder:
         if self.mark is None:
             return
         rest = [c for c in chunks if not c.isspace()]
-        for k in range(0, len(rest), 4096):
-            some = rest[k : k + 4096]
-            ids = np.asarray(self.library.encode(self.between.join(some), add_special_tokens=False).ids, dtype="<u4")
+        lots = [rest[k : k + LOT_CHUNKS] for k in range(0, len(rest), LOT_CHUNKS)]
+        for lot, got in zip(lots, self.library.encode_batch_fast([self.between.join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.asarray(got.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(some) - 1:
-                self.cache.update((c, self.whole(c)) for c in some)
+            if len(cuts) != len(lot) - 1:
+                self.cache.update((c, self.whole(c)) for c in lot)
                 continue
             raw = ids.tobytes()
             starts, ends = (4 * np.concatenate([[0], cuts + 1])).tolist(), (4 * np.concatenate([cuts, [len(ids)]])).tolist()
-            self.cache.update(zip(some, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+            self.cache.update(zip(lot, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
 
     def _split(self, text: str) -> list[str]:
         return _WITHOUT_SPACE.findall(text.lower()) if self.drops_space else _WITH_SPACE.findall(text)
