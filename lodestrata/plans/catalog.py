@@ -30,3 +30,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def _load() -> None:
+    from . import hierarchies, neighbours, scalars  # noqa: F401
+
+
+_load()
