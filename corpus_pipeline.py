@@ -13,7 +13,7 @@ from lodestrata.llm import decontam, langid, minhash, packing, quality, store, v
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer trained on these documents' weak labels keeps."""
-    return quality.keep_good(docs, quality.train(docs))
+    return quality.keep_good(docs, quality.train(quality.features(docs)))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from . import store
 #: Documents that train the scorer: those of least id hash.
 SAMPLE_DOCS = 4000
 FEATURES, KEEP_SCORE = 1 << 14, 0.5
-CACHE_WORDS, BLOCK_CHARS = 300_000, 1 << 20
+CACHE_WORDS, BLOCK_CHARS = 400_000, 1 << 20
 SPAN = 50
 #: What stands between the entries of a menu on one line.
 SEPARATORS = (" | ", " · ", " » ", " > ", " • ")
@@ -40,21 +40,23 @@ _RUNS = re.compile(r"(\w)\1+")
 _MARKS = str.maketrans("", "", "()[]{}\"'«»“”‘’.,;:!?-–—…")
 
 
-class Word:
-    """What labellers and features take from a word."""
+_KINDS = {i: "A" if chr(i).isupper() else "a" if chr(i).isalpha() else "0" if chr(i).isdigit() else chr(i) for i in range(0x250)}
 
-    __slots__ = ("code", "noisy", "upper", "lone", "letters", "size", "ends", "short", "shape")
 
-    def __init__(self, word: str):
-        letters = sum(map(str.isalpha, word))
-        self.letters, self.size = letters, len(word)
-        self.noisy = bool(letters) and len(word) - len(word.rstrip("!?#$%&*@^~+=<>|\\/")) >= 2
-        self.upper = letters >= 2 and word.upper() == word and word.lower() != word
-        self.lone = not letters and not any(map(str.isdigit, word)) and bool(word.translate(_MARKS))
-        self.ends = word[-1:] in ".!?…"
-        self.short = 1 <= letters <= 3
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-        self.shape = bucket("s" + _RUNS.sub(r"\1", shape)[:16])
+def shape_of(word: str) -> str:
+    """The word with A, a and 0 for its capitals, other letters and digits."""
+    if max(word) < chr(0x250):
+        return word.translate(_KINDS)
+    return "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+
+
+def measure(shape: str) -> tuple[int, ...]:
+    """What labellers and features take from a word of this shape, as ``Reader.COLUMNS``."""
+    upper = shape.count("A")
+    letters = upper + shape.count("a")
+    noisy = bool(letters) and len(shape) - len(shape.rstrip("!?#$%&*@^~+=<>|\\/")) >= 2
+    lone = not letters and "0" not in shape and bool(shape.translate(_MARKS))
+    return noisy, letters >= 2 and upper == letters, lone, letters, len(shape), shape[-1:] in ".!?…", 1 <= letters <= 3, bucket("s" + _RUNS.sub(r"\1", shape)[:16])
 
 
 def bucket(feature: str) -> int:
@@ -68,6 +70,8 @@ class Reader:
 
     def __init__(self):
         self.cache: dict[str, int] = {}
+        self.shapes: dict[str, tuple[int, ...]] = {}
+        self.found: list[tuple[int, ...]] = []
         self.table = np.zeros((CACHE_WORDS, len(self.COLUMNS)), np.int32)
         self.repeat = bucket("r")
 
@@ -79,11 +83,20 @@ class Reader:
             new = set().union(*bags)
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), len(self.COLUMNS)), np.int32)
+        base = len(self.cache)
         for w in new:
-            k = len(self.cache)
-            x = Word(w)
-            self.table[k] = x.noisy, x.upper, x.lone, x.letters, x.size, x.ends, x.short, x.shape
-            self.cache[w] = k
+            shape = shape_of(w)
+            got = self.shapes.get(shape)
+            if got is None:
+                if len(self.shapes) >= CACHE_WORDS:
+                    self.shapes.clear()
+                got = self.shapes[shape] = measure(shape)
+            self.cache[w] = base
+            self.found.append(got)
+            base += 1
+        if new:
+            self.table[base - len(new) : base] = self.found
+            self.found.clear()
 
     def read(self, texts) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """``(votes, buckets, weights)`` of each text; the weights of a text's buckets sum to 1 or a little more."""
@@ -206,15 +219,16 @@ def reader() -> Reader:
     return _readers[0]
 
 
-def _patterns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield pd.DataFrame({"pattern": [pattern(v) for v, _, _ in reader().read(frame["text"])]})
+        rows = [(pattern(v), not t or t.isspace(), b.tolist(), w.tolist()) for t, (v, b, w) in zip(frame["text"], reader().read(frame["text"]), strict=True)]
+        yield pd.concat([frame[["doc_id"]].astype("Int64"), pd.DataFrame(rows, columns=["pattern", "blank", "buckets", "weights"])], axis=1)
 
 
-def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [(pattern(v), b.tolist(), w.tolist()) for v, b, w in reader().read(frame["text"])]
-        yield pd.DataFrame(rows, columns=["pattern", "buckets", "weights"])
+def features(docs: DataFrame) -> DataFrame:
+    """``doc_id, pattern, blank, buckets, weights``: what labellers and scorer need of each text, a few dozen numbers."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return store.materialize(rows.mapInPandas(_features, "doc_id long, pattern long, blank boolean, buckets array<int>, weights array<float>"), "features")
 
 
 class Model:
@@ -222,48 +236,49 @@ class Model:
         self.labels, self.weights, self.bias = labels, weights, bias
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Estimate the labellers from all ``docs`` (doc_id, text), then fit the scorer on ``sample_docs`` of them."""
-    counts = docs.select("text").mapInPandas(_patterns, "pattern long").groupBy("pattern").count().collect()  # distinct patterns: at most 4 ** labellers, a few hundred in practice
+def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Estimate the labellers from all ``rows`` of :func:`features`, then fit the scorer on ``sample_docs`` of them."""
+    counts = rows.groupBy("pattern").count().collect()  # distinct patterns: at most 4 ** labellers, a few hundred in practice
     labels = WeakLabels(np.asarray([r["pattern"] for r in counts], np.int64), np.asarray([r["count"] for r in counts], np.int64))
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInPandas(_features, "pattern long, buckets array<long>, weights array<double>").limit(2 * sample_docs).collect()
-    features = [(np.asarray(r.buckets, np.int64), np.asarray(r["weights"])) for r in sample]
+    sample = rows.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(sample_docs).collect()
+    found = [(np.asarray(r.buckets, np.int64), np.asarray(r["weights"])) for r in sample]
     target = labels.posterior(votes_of(np.asarray([r.pattern for r in sample], np.int64))) if sample else np.empty(0)
-    return Model(labels, *fit_scorer(features, target))
+    return Model(labels, *fit_scorer(found, target))
 
 
-def scores_of(model: Model, texts) -> Iterator[tuple[list[int], float]]:
-    """``(votes, score)`` of each text; a null, empty or blank one scores 0."""
-    for text, (votes, b, w) in zip(texts, reader().read(texts), strict=True):
-        blank = not text or text.isspace()
-        yield votes, 0.0 if blank else float(1 / (1 + np.exp(-np.clip((model.weights[b] * w).sum() + model.bias, -50, 50))))
+def _score(model: Model, buckets: np.ndarray, weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip((model.weights[buckets] * weights).sum() + model.bias, -50, 50))))
 
 
-def score(docs: DataFrame, model: Model, keep_score: float = KEEP_SCORE) -> DataFrame:
-    """``doc_id, posterior, score, kept`` of every row.
+def score(rows: DataFrame, model: Model, keep_score: float = KEEP_SCORE) -> DataFrame:
+    """``doc_id, posterior, score, kept`` of every row of :func:`features`.
 
     ``posterior`` is the labellers' chance that the document is good, ``score`` the linear scorer's; ``kept``
-    is score >= keep_score.  A null, empty or blank text is rejected with score 0.
+    is score >= keep_score.  A null, empty or blank text is rejected with score 0; null doc_ids stay null and
+    repeated rows are scored as often as they come; other columns are ignored; no rows give no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = list(scores_of(sent.value, frame["text"]))
-            posterior = sent.value.labels.posterior(np.asarray([v for v, _ in got], np.int64).reshape(-1, len(LABELLERS)))
-            yield frame[["doc_id"]].astype("Int64").assign(posterior=posterior, score=[s for _, s in got], kept=[s >= keep_score for _, s in got])
+            got = [0.0 if blank else _score(sent.value, b, w) for blank, b, w in zip(frame["blank"], frame["buckets"], frame["weights"], strict=True)]
+            posterior = sent.value.labels.posterior(votes_of(frame["pattern"].to_numpy(np.int64)))
+            yield frame[["doc_id"]].astype("Int64").assign(posterior=posterior, score=got, kept=[s >= keep_score for s in got])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, posterior double, score double, kept boolean")
+    return rows.mapInPandas(run, "doc_id long, posterior double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, keep_score: float = KEEP_SCORE) -> DataFrame:
-    """The rows of ``docs`` that the scorer keeps."""
+    """The rows of ``docs`` that the scorer keeps; null, empty and blank texts go."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return store.filter_texts(docs, lambda: lambda texts: [s >= keep_score for _, s in scores_of(sent.value, texts)])
+
+    def judge(texts: list[str | None]) -> list[bool]:
+        return [bool(t) and not t.isspace() and _score(sent.value, b, w.astype(np.float32)) >= keep_score for t, (_, b, w) in zip(texts, reader().read(texts), strict=True)]
+
+    return store.filter_texts(docs, lambda: judge)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
-    docs = store.spark_table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    rows = features(store.spark_table(spark, sf_dir, "documents"))
+    return score(rows, train(rows))
