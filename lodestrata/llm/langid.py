@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import store
+from . import caches, store
 
 ORDER = 3
 #: Documents whose language stays more open than this are rejected by a filter.
@@ -159,15 +159,9 @@ class Scorer:
             yield self.trees.languages[best], float(1 / share.sum())
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(trees: Trees) -> Scorer:
     """One automaton per worker and model."""
-    if trees.name not in _scorers:
-        _scorers.clear()
-        _scorers[trees.name] = Scorer(trees)
-    return _scorers[trees.name]
+    return caches.claim(f"trees {trees.name}", lambda: Scorer(trees))
 
 
 def held_out(doc_id) -> F.Column:

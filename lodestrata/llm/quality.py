@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import caches, store
 
 #: Documents that train the scorer: those of least id hash.
 SAMPLE_DOCS = 4000
@@ -210,13 +210,8 @@ def fit_scorer(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray
     return weights, float(bias)
 
 
-_readers: list[Reader] = []
-
-
 def reader() -> Reader:
-    if not _readers:
-        _readers.append(Reader())
-    return _readers[0]
+    return caches.claim("quality reader", Reader)
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import caches
+
 WORDS = 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -25,9 +27,6 @@ class WordHashes(dict):
         return got
 
 
-_hashes = WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of anything but blank and the controls 9 to 13, with A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -43,7 +42,7 @@ def sequence(ws: list[bytes], k: int = WORDS) -> np.ndarray:
     """The hash of each k-word shingle in text order; of the whole sequence if there are fewer words."""
     if not ws:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(caches.claim("word hashes", WordHashes).__getitem__, ws), np.uint64, len(ws))
     if len(ws) < k:
         at = np.full(1, len(ws), np.uint64)
         for x in h:

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from . import caches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Chunks kept in a worker before the cache starts again.
@@ -110,14 +112,9 @@ class Encoder:
         return self._block([text])[0]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return caches.claim(f"encoder {path}", lambda: Encoder(path))
 
 
 def vocabulary(name: str) -> str:
