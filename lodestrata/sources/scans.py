@@ -39,7 +39,7 @@ def read_scan_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
     """A row-major 3x4 matrix a line: ``frame, m`` (12 doubles).  Frames are numbered within the file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("frame", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("frame", "line"))
     return lines.select("frame", F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("m")).where(F.size("m") == 12)
 
 
@@ -52,7 +52,7 @@ def to_world(points: DataFrame, poses: DataFrame) -> DataFrame:
 
 def read_off_boxes(spark: SparkSession, path: str) -> DataFrame:
     """Bounding box of the vertices of every OFF mesh: ``path, lox, hix, ...``."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.split(F.regexp_replace(F.trim("value"), r"#[^\n]*", ""), r"\s+").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.regexp_replace(F.trim("value"), r"#[^\n]*", ""), r"\s+").alias("t"))
     n = F.col("t")[1].cast("int")
     v = text.withColumn("v", F.slice("t", F.lit(5), 3 * n)).select("path", F.posexplode("v").alias("k", "w")).select("path", (F.col("k") % 3).alias("axis"), F.col("w").cast("double").alias("w"))
     return v.groupBy("path").agg(*(F.min(F.when(F.col("axis") == i, F.col("w"))).alias(f"lo{c}") for i, c in enumerate("xyz")), *(F.max(F.when(F.col("axis") == i, F.col("w"))).alias(f"hi{c}") for i, c in enumerate("xyz")))
