@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from . import caches, store
 
 ORDER = 3
-#: Documents whose language stays more open than this are rejected by a filter.
-KEEP_SCORE = 0.5
+#: Documents whose language stays more open than this are rejected by a filter; mixtures of learned languages score more.
+KEEP_SCORE = 0.3
 #: The trees are learned from at most this many documents a language, those of least hash.
 DOCS_PER_LANGUAGE = 200
 CACHE_WORDS, BLOCK_CHARS = 400_000, 1 << 20

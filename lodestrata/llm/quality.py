@@ -56,7 +56,7 @@ def measure(shape: str) -> tuple[int, ...]:
     letters = upper + shape.count("a")
     noisy = bool(letters) and len(shape) - len(shape.rstrip("!?#$%&*@^~+=<>|\\/")) >= 2
     lone = not letters and "0" not in shape and bool(shape.translate(_MARKS))
-    return noisy, letters >= 2 and upper == letters, lone, letters, len(shape), shape[-1:] in ".!?…", 1 <= letters <= 3, bucket("s" + _RUNS.sub(r"\1", shape)[:16])
+    return noisy, letters >= 2 and upper == letters, lone, letters + shape.count("0"), len(shape), shape[-1:] in ".!?…", 1 <= letters <= 3, bucket("s" + _RUNS.sub(r"\1", shape)[:16])
 
 
 def bucket(feature: str) -> int:
