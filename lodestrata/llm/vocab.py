@@ -21,12 +21,12 @@ from . import caches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: Chunks kept in a worker before the cache starts again.
-CACHE_CHUNKS = 400_000
+#: Chunks a worker keeps: half of them in the cache in use, half in the one before it.
+CACHE_CHUNKS = 500_000
 #: Characters of text whose unknown chunks are encoded together.
 BLOCK_CHARS = 1 << 20
 #: New chunks that go to the library as one text.
-LOT_CHUNKS = 96
+LOT_CHUNKS = 48
 
 #: What a text of the quick way has none of (U+0130 grows when put in lower case).
 _ODD = re.compile("[^\t\n\r -~¡-¬®-įı-ɏ]")
@@ -52,7 +52,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.cache_chunks = cache_chunks
         self.cache: dict[str, bytes] = {}
-        self.lately: set[str] = set()
+        self.before: dict[str, bytes] = {}
         spec = self.library.pre_tokenizer.__getstate__()
         self.drops_space = '"Removed"' in (spec.decode() if isinstance(spec, bytes) else str(spec))
         # Between chunks: text that is one id, which no chunk has, and that touches no chunk's merges.
@@ -89,10 +89,12 @@ class Encoder:
         chunks = [None if t and _ODD.search(t) else self._split(t) if t else [] for t in texts]
         used = set().union(*(c for c in chunks if c))
         new = used.difference(self.cache)
-        if len(self.cache) + len(new) > self.cache_chunks:  # what came lately stays
-            stay = used.union(self.lately).intersection(self.cache)
-            self.cache = {c: self.cache[c] for c in stay}
-        self.lately = used
+        if len(self.cache) + len(new) > self.cache_chunks // 2:  # what isn't met again until the next turn goes
+            self.before, self.cache = self.cache, {}
+            new = used
+        old = new.intersection(self.before)
+        self.cache.update(zip(old, map(self.before.__getitem__, old), strict=True))
+        new = new.difference(old)
         if new:
             self._learn(list(new))
         get = self.cache.__getitem__
