@@ -218,6 +218,7 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     Null, empty and clean texts give no row; repeated rows give theirs as often as they come.  A null
     question or answer overlap means that the item has no such part.
     """
+    store.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for index in build_indexes(items):

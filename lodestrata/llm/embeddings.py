@@ -203,12 +203,8 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, block
         return blocks.select("label", "dim", F.col("block").alias(f"block_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("reps", "counts", "vectors")))
 
     tiles = near.join(side("a"), ["label", "dim", "block_a"]).join(side("b"), ["label", "dim", "block_b"])
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is two whole blocks
-    try:
+    with store.batches_of(spark, 16):  # a row is two whole blocks
         found = store.materialize(tiles.mapInPandas(_tiles(bases, threshold), "u long, v long, links long"), "tiles")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
 
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     components = store.materialize(connected_components(found.where("v is not null").select("u", "v")), "components")

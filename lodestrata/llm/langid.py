@@ -188,6 +188,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     ``und`` with score 0: a null text or one without a letter.  The score is 1 for a certain and 1/languages
     for an open choice (it weighs the mean bits a word).  Ties go to the first language in order.
     """
+    store.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

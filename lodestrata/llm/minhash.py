@@ -32,7 +32,8 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 #: Pairs whose signatures agree on less than this share go no further: 5.7 standard deviations below 0.75.
 SURE_SHARE = 0.53
-BLOCK = 1024
+#: Classes of a bucket compared in one task, and pairs with both their sets that a worker receives at once.
+BLOCK, PAIR_ROWS = 512, 128
 #: Ids of candidate classes are broadcast up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -116,6 +117,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links join them.  Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    store.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = store.materialize(rows.mapInPandas(_signatures, "doc_id long, n_shingles long, set_key binary, signature binary"), "signatures")
     classes = store.materialize(
@@ -136,7 +138,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return sets.select(F.col("set_key").alias(key), F.col("shingles").alias(f"set_{suffix}"), F.col("signature").alias(f"sig_{suffix}"))
 
     pairs = star.join(of("set_key", "a"), "set_key").join(of("hub_key", "b"), "hub_key").select(F.col("rep").alias("u"), F.col("hub_rep").alias("v"), "sig_a", "sig_b", "set_a", "set_b")
-    links = store.materialize(pairs.mapInPandas(_confirm, "u long, v long"), "links")
+    with store.batches_of(spark, PAIR_ROWS):
+        links = store.materialize(pairs.mapInPandas(_confirm, "u long, v long"), "links")
     first = store.materialize(connected_components(links), "components")
 
     extra = _missed(shared_buckets, sets, first)

@@ -123,6 +123,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int
     ``with_ids`` adds the piece's ids as unsigned 32-bit bytes.  A null or empty text is the end id alone;
     null doc_ids stay null; repeated rows are packed as often as they come; an empty table gives no rows.
     """
+    store.small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long" + ", ids binary" * with_ids

@@ -222,6 +222,7 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id, pattern, blank, buckets, weights``: what labellers and scorer need of each text, a few dozen numbers."""
+    store.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return store.materialize(rows.mapInPandas(_features, "doc_id long, pattern long, blank boolean, buckets array<int>, weights array<float>"), "features")
 

@@ -9,12 +9,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Rows of texts that a Python worker receives at once.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +82,26 @@ def publish(uri: str, write) -> None:
     fs.move(mine, path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within the block, Python receives at most ``rows`` rows at once; for tables that are written inside it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """From now on Python receives at most ``rows`` rows at once: texts may be long, and a batch is held whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,6 +122,8 @@ def filter_texts(docs: DataFrame, make_judge) -> DataFrame:
     ``make_judge()`` runs once a task and gives a function from a list of texts (or None) to booleans.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         judge = make_judge()
         for batch in batches:

@@ -88,6 +88,7 @@ def write_token_files(docs: DataFrame, base: str, tokenizer: str, end_id: int =
     their text.  No rows: no shard, a manifest all the same.  Other columns are ignored.
     Returns the path of the manifest.
     """
+    store.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     from tokenizers import Tokenizer
 

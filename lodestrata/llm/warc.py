@@ -195,6 +195,7 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_warc(pages: DataFrame, base: str, least_bytes: int = 0, level: int = 3) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) below ``base``; ``path, records, bytes`` per archive."""
+    store.small_batches(pages.sparkSession)
     planned = plan_revisits(pages, least_bytes)
     return store.materialize(planned.mapInPandas(_writer(base, level), "path string, records long, bytes long"), "warc-list")
 
