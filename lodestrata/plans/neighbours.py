@@ -149,11 +149,16 @@ def join_uot_gate(spark, sf_dir):
     return spatial.pairs_within(p.where("id % 2 = 0"), LEVEL, other=p.where("id % 2 = 1")).withColumnRenamed("d2", "cost")
 
 
-_MST_SQL = (  # an edge stays if its ends are not joined by edges before it in the order (d2, u, v)
-    f"WITH RECURSIVE {SUP_SQL}, {_pairs('sup')}, o AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY d2, u, v) AS k FROM d), "
-    "r(cloud, k, stop) AS (SELECT cloud, k, u FROM o UNION SELECT r.cloud, r.k, CASE WHEN e.u = r.stop THEN e.v ELSE e.u END FROM r JOIN o e ON e.cloud = r.cloud AND e.k < r.k AND (e.u = r.stop OR e.v = r.stop)), "
-    "mst AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.cloud = o.cloud AND r.k = o.k AND r.stop = o.v)) "
-)
+def mst_sql(pairs: str, edges: str = "d") -> str:
+    """An edge stays if its ends are not joined by edges before it in the order (d2, u, v)."""
+    return (
+        f"WITH RECURSIVE {SUP_SQL}, {pairs}, o AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY d2, u, v) AS k FROM {edges}), "
+        "r(cloud, k, stop) AS (SELECT cloud, k, u FROM o UNION SELECT r.cloud, r.k, CASE WHEN e.u = r.stop THEN e.v ELSE e.u END FROM r JOIN o e ON e.cloud = r.cloud AND e.k < r.k AND (e.u = r.stop OR e.v = r.stop)), "
+        "mst AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.cloud = o.cloud AND r.k = o.k AND r.stop = o.v)) "
+    )
+
+
+_MST_SQL = mst_sql(_pairs("sup"))
 
 
 def _complete(p):
