@@ -6,7 +6,7 @@ the same rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -24,10 +24,10 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> Dat
         near = both.join(labels.withColumnRenamed("node", "v"), ["cloud", "v"]).groupBy("cloud", F.col("u").alias("node")).agg(F.min("component").alias("near"))
         seen = labels.join(near, ["cloud", "node"], "left").select("cloud", "node", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("was"))
         jump = labels.select("cloud", F.col("node").alias("to"), F.col("component").alias("far"))
-        after = cut(seen.join(jump, ["cloud", "to"], "left").select("cloud", "node", F.least("to", F.coalesce("far", "to")).alias("component"), "was"), "labels")
-        moved = after.where("component <> was").limit(1).count()
-        labels = after.select("cloud", "node", "component")
-        if not moved:
+        moved = Observation()
+        after = seen.join(jump, ["cloud", "to"], "left").select("cloud", "node", F.least("to", F.coalesce("far", "to")).alias("component"), "was")
+        labels = cut(after.observe(moved, F.count_if(F.col("component") != F.col("was")).alias("n")), "labels").select("cloud", "node", "component")
+        if not moved.get["n"]:
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
@@ -45,12 +45,17 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, weight: str = "weight",
         a = labels.select("cloud", F.col("node").alias("u"), F.col("component").alias("cu"))
         b = labels.select("cloud", F.col("node").alias("v"), F.col("component").alias("cv"))
         out = held.join(a, ["cloud", "u"]).join(b, ["cloud", "v"]).where("cu <> cv")
-        best = out.select("cloud", F.explode(F.array("cu", "cv")).alias("c"), F.struct("weight", "u", "v").alias("e")).groupBy("cloud", "c").agg(F.min("e").alias("e"))
-        picked = cut(best.select("cloud", "e.*").distinct(), "picked")
-        if not picked.limit(1).count():
+        best = out.select("cloud", F.explode(F.array("cu", "cv")).alias("c"), F.struct("weight", "u", "v", "cu", "cv").alias("e")).groupBy("cloud", "c").agg(F.min("e").alias("e"))
+        found = Observation()
+        picked = cut(best.select("cloud", "e.*").distinct().observe(found, F.count(F.lit(1)).alias("n")), "picked")
+        if not found.get["n"]:
             break
-        chosen = picked if chosen is None else cut(chosen.unionByName(picked).distinct(), "chosen")
-        labels = components(nodes, chosen)
+        own = picked.select("cloud", "u", "v", "weight")
+        chosen = own if chosen is None else chosen.unionByName(own)
+        # The picked edges join components, not points: the graph halves from round to round.
+        tops = labels.select("cloud", F.col("component").alias("node")).distinct()
+        joined = components(tops, picked.select("cloud", F.col("cu").alias("u"), F.col("cv").alias("v")))
+        labels = cut(labels.join(joined.select("cloud", F.col("node").alias("component"), F.col("component").alias("top")), ["cloud", "component"]).select("cloud", "node", F.col("top").alias("component")), "labels")
     if chosen is None:
         return held.where("false").select("cloud", "u", "v", "weight")
-    return chosen.select("cloud", "u", "v", "weight")
+    return chosen.distinct()
