@@ -55,7 +55,7 @@ def supports(points: DataFrame, largest: int = 4) -> DataFrame:
         t = t.withColumn("d", F.expr(ball["D"])).where("d > 0").withColumns({f"m{i + 1}": F.expr(m) for i, m in enumerate(ball["M"])})
         ms = [f"m{i + 1}" for i in range(size - 1)]
         t = t.where(" AND ".join(f"{m} > 0" for m in ms) + f" AND 2 * d - ({' + '.join(ms)}) > 0")
-        t = t.withColumn("raw", F.expr(ball["level"])).withColumn("g", gcd(F.col("raw"), 4 * F.col("d")))
+        t = t.withColumn("raw", F.expr(ball["level"])).withColumn("g", F.greatest(gcd(F.col("raw"), 4 * F.col("d")), F.lit(1).cast("long")))
         t = t.select(
             "cloud", F.array(*(F.col(f"{n}_id") for n in names)).alias("label"), F.expr("raw div g").alias("num"), F.expr("(4 * d) div g").alias("den"), "d",
             *((F.col(f"m{i}") if i < size else F.lit(0).cast("long")).alias(f"m{i}") for i in (1, 2, 3)), *(F.col(f"{n if n in names else 'a'}_{c}").alias(f"{n}_{c}") for n in NAMES for c in "xyz"),

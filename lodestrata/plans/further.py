@@ -162,3 +162,28 @@ def label_all(spark, sf_dir):
     near = spatial.nearest(found.where("label IS NOT NULL"), 1, queries=found.where("label IS NULL")).where("choice = 1")
     fill = near.join(found.selectExpr("cloud", "id AS p", "label AS near"), ["cloud", "p"]).selectExpr("cloud", "q AS id", "near")
     return found.select("cloud", "id", "label").join(fill, ["cloud", "id"], "left").select("cloud", "id", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("label"))
+
+
+@query("join_attach")
+def join_attach(spark, sf_dir):
+    """Arms of order-1 saddles with the forest node that holds them strictly below the saddle's level: an as-of join."""
+    p = sup(spark, sf_dir)
+    forest = cut(hierarchy.merge_forest(*_gamma(spark, sf_dir, 1), reduced=False), "forest")
+    held = forest.select("cloud", "node", F.col("num").alias("fn"), F.col("den").alias("fd"), F.explode(F.split("covered", ",")).alias("m")).withColumn("facet", F.col("m"))
+    c = hierarchy.critical_catalog(p, K_MAX).where("saddle_order = 1")
+    arms = hierarchy.saddle_arms(c).join(c.select("cloud", "label", "num", "den"), ["cloud", "label"]).withColumns({"facet": F.array_join("facet", ","), "label": F.array_join("label", ",")})
+    met = arms.join(held, ["cloud", "facet"]).where("fn * den < num * fd")
+    return met.groupBy("cloud", "label", "facet").agg(F.max_by("node", F.struct(F.col("fn") / F.col("fd"), "node")).alias("node"))
+
+
+@query("sparse_rips", f"WITH {emb_sql()}, {_pairs('emb')}, e AS (SELECT * FROM d WHERE d2 <= 20000) SELECT a.cloud, a.u || ',' || a.v || ',' || b.v AS simplex, CAST(greatest(a.d2, b.d2, c.d2) AS BIGINT) AS w2 FROM e a JOIN e b ON a.cloud = b.cloud AND a.u = b.u AND a.v < b.v JOIN e c ON c.cloud = a.cloud AND c.u = a.v AND c.v = b.v")
+def sparse_rips(spark, sf_dir):
+    """Triangles of a given sparse distance table."""
+    return facegraph.rips(spatial.pairs_within(emb(spark, sf_dir), 20_000)).select("cloud", F.array_join("simplex", ",").alias("simplex"), "w2")
+
+
+@query("whole_tree")
+def whole_tree(spark, sf_dir):
+    """Every point with the smallest cluster that holds it: the nodes' exclusive members."""
+    t = _tree(spark, sf_dir).select("cloud", "node", "mass", F.explode(F.split("members", ",")).alias("m"))
+    return t.groupBy("cloud", F.col("m").cast("long").alias("id")).agg(F.min_by("node", F.struct("mass", "node")).alias("node"))
