@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exact
+from .lineage import cut
 
 
 def canonical(points: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -21,7 +22,20 @@ def canonical(points: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     finite = [f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in "xyz"]
     clean = points.where(" AND ".join(finite)).select("cloud", "source", *((F.col(c) + F.lit(0)).alias(c) for c in "xyz"))
     merged = clean.groupBy("cloud", "x", "y", "z").agg(F.count("*").alias("multiplicity"), F.array_sort(F.collect_list("source")).alias("sources"))
-    return merged.select("cloud", (F.row_number().over(Window.partitionBy("cloud").orderBy("x", "y", "z")) - 1).cast("long").alias("id"), "x", "y", "z", "multiplicity", "sources")
+    return numbered(merged, "cloud", "x", "y", "z").select("cloud", "id", "x", "y", "z", "multiplicity", "sources")
+
+
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Add ``id``: the place of each row in its group by ``order``, from 0.
+
+    Rows are dealt by ranges of (group, order), so a group of any size is sorted by many tasks; a range's first
+    place is the number of the group's rows in the ranges before it, a sum over one row per range and group.
+    """
+    dealt = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_row", F.monotonically_increasing_id())
+    held = cut(dealt, "numbered").withColumn("_part", F.shiftright("_row", 33))
+    parts = held.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = parts.select(group, "_part", "_first", (F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))
+    return held.join(before, [group, "_part"]).withColumn("id", (F.col("_before") + F.col("_row") - F.col("_first")).cast("long")).select(*rows.columns, "id")
 
 
 def strict(points: DataFrame) -> DataFrame:
