@@ -8,10 +8,17 @@ changes, and it is computed once per distinct word.  Contexts begin at the blank
 word's code ends with the blank after it; texts are put in lower case first.
 
 The language with the shortest code of the whole text is predicted.
+
+A share among the learned languages can't tell a text in none of them, so a filter also asks how long the code
+is.  Each word is coded in the language that codes it best, so texts that mix learned languages pass; words
+with a digit, with signs in a row or without a letter (numbers, keys, links, ornaments) say nothing of a language and don't count unless they
+are more than three quarters of a text.  The bound on the bits is learned: the training documents are coded by
+trees of the other half of them, and their spread, of documents and of words, is what a text may show.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +34,12 @@ from . import caches, store
 ORDER = 3
 #: Documents whose language stays more open than this are rejected by a filter; mixtures of learned languages score more.
 KEEP_SCORE = 0.3
+#: A text's code may be longer than the median training document's by this many times their spread.
+KEEP_SPREAD = 3.0
+#: Words that say something of a language: a letter, no digit, no two signs of ASCII side by side.
+_TELLING = re.compile(rb"(?!.*[!-/:-@\[-`{-~]{2})[^0-9]*[a-z\x80-\xff][^0-9]*", re.S)
+#: Least share of a text's bytes in such words; other texts are judged by all their words.
+TELLING_SHARE = 0.25
 #: The trees are learned from at most this many documents a language, those of least hash.
 DOCS_PER_LANGUAGE = 200
 CACHE_WORDS, BLOCK_CHARS = 400_000, 1 << 20
@@ -37,6 +50,39 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split() if text else []
 
 
+class Bound:
+    """The most bits that n bytes of a text in learned languages may take; any number until it has learned."""
+
+    def __init__(self, median: float = np.inf, spread: float = 0.0, word_variance: float = 0.0):
+        self.median, self.spread, self.word_variance = median, spread, word_variance
+
+    @classmethod
+    def learn(cls, texts: dict[str, list[str]], order: int) -> Bound:
+        """From documents coded by trees of the other half of them.  Fewer than two documents bound nothing."""
+        halves = [{lang: sorted(own)[k::2] for lang, own in texts.items()} for k in (0, 1)]
+        bits, sizes, off, size = [], [], 0.0, 0
+        for own, other in (halves, halves[::-1]):
+            judge = Scorer(Trees({lang: t for lang, t in other.items() if t}, order))
+            if not judge.trees.languages:
+                continue
+            for text in (t for lang in sorted(own) for t in own[lang]):
+                words = [w for w in words_of(text) if _TELLING.fullmatch(w)]
+                if words:
+                    least, n = judge.lengths(words).min(axis=1), np.fromiter(map(len, words), np.int64, len(words)) + 1
+                    bits.append(least.sum())
+                    sizes.append(n.sum())
+                    off += float(((least - n * (bits[-1] / sizes[-1])) ** 2).sum())
+                    size += int(n.sum())
+        if not bits:
+            return cls()
+        rates = np.asarray(bits) / np.asarray(sizes)
+        median = float(np.median(rates))
+        return cls(median, float(np.quantile(rates, 0.99)) - median, off / size)
+
+    def holds(self, bits: float, n: float) -> bool:
+        return bool(bits <= n * (self.median + KEEP_SPREAD * float(np.sqrt(self.spread**2 + self.word_variance / n))))
+
+
 class Trees:
     """Counts of (context, next byte) per language and order, over a dense alphabet of the bytes met."""
 
@@ -47,6 +93,7 @@ class Trees:
         self.symbol = np.full(256, len(seen), np.int64)  # the last symbol stands for every byte never met
         self.symbol[seen] = np.arange(len(seen))
         self.size = len(seen) + 1
+        self.bound = Bound()
         self.counts = [[self._count(bag, k) for k in range(order + 1)] for bag in bags]
 
     def _count(self, bag: Counter, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +147,8 @@ class Scorer:
             self.next[rows] = after
         self.start = int(self.next[0, trees.symbol[32]])
         self.cache: dict[bytes, int] = {}
-        self.held = np.zeros((CACHE_WORDS + 1, langs), np.float64)
+        # Per word: its bits in each language, and its least bits and its bytes, of all words and of the telling ones.
+        self.held = np.zeros((CACHE_WORDS + 1, langs + 4), np.float64)
 
     def lengths(self, words: list[bytes]) -> np.ndarray:
         """Bits of each word, with the blank after it, in each language."""
@@ -131,14 +179,19 @@ class Scorer:
         base = len(self.cache)
         for k in range(0, len(new), 1 << 15):
             some = new[k : k + (1 << 15)]
-            self.held[base + k : base + k + len(some)] = self.lengths(some)
+            rows = self.held[base + k : base + k + len(some)]
+            rows[:, :-4] = self.lengths(some)
+            rows[:, -4] = rows[:, :-4].min(axis=1, initial=np.inf)
+            rows[:, -3] = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            telling = np.fromiter((_TELLING.fullmatch(w) is not None for w in some), bool, len(some))
+            rows[:, -2:] = np.where(telling[:, None], rows[:, -4:-2], 0.0)
         self.cache.update(zip(new, range(base, base + len(new)), strict=True))
         get = self.cache.__getitem__
         for bag in bags:
             yield self.held[np.fromiter(map(get, bag), np.int64, len(bag))].sum(axis=0)
 
-    def texts(self, texts) -> Iterator[tuple[str, float]]:
-        """``(language, score)`` of each text."""
+    def texts(self, texts) -> Iterator[tuple[str, float, bool]]:
+        """``(language, score, whether its code is as short as the learned languages')`` of each text."""
         held, size = [], 0
         for text in texts:
             held.append(text)
@@ -148,15 +201,18 @@ class Scorer:
                 held, size = [], 0
         yield from self._judge(held)
 
-    def _judge(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    def _judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
         bags = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-        for bag, bits in zip(bags, self._block(bags), strict=True):
+        for bag, sums in zip(bags, self._block(bags), strict=True):
+            bits, (least, n, told_least, told_n) = sums[:-4], sums[-4:]
             if not bag or not len(bits):
-                yield UNDETERMINED, 0.0
+                yield UNDETERMINED, 0.0, False
                 continue
+            if told_n >= TELLING_SHARE * n:
+                least, n = told_least, told_n
             best = int(bits.argmin())
             share = np.exp2(-(bits - bits[best]) / len(bag))
-            yield self.trees.languages[best], float(1 / share.sum())
+            yield self.trees.languages[best], float(1 / share.sum()), self.trees.bound.holds(least, n)
 
 
 def scorer(trees: Trees) -> Scorer:
@@ -179,7 +235,9 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, order: in
     # At most docs_per_language ids of each language: broadcast.
     for r in usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").collect():
         texts.setdefault(r.lang, []).append(r.text)
-    return Trees(texts, order)
+    trees = Trees(texts, order)
+    trees.bound = Bound.learn(texts, order)
+    return trees
 
 
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:
@@ -202,9 +260,9 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, trees: Trees, least_score: float = KEEP_SCORE) -> DataFrame:
-    """The rows of ``docs`` in one of the learned languages, by a score of at least ``least_score``."""
+    """The rows of ``docs`` in learned languages: a score of at least ``least_score``, and a code within the bound."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    return store.filter_texts(docs, lambda: lambda texts: [lang != UNDETERMINED and s >= least_score for lang, s in scorer(model.value).texts(texts)])
+    return store.filter_texts(docs, lambda: lambda texts: [lang != UNDETERMINED and s >= least_score and known for lang, s, known in scorer(model.value).texts(texts)])
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -489,6 +489,30 @@ def test_held_out_languages_are_predicted(spark):
     assert n > 20 and good >= 0.95 * n
 
 
+FOREIGN = {
+    "ru": "Москва является столицей России и крупнейшим городом страны по численности населения",
+    "ja": "東京は日本の首都であり世界最大の都市の一つです。人口は約千四百万人です。",
+    "pl": "Warszawa jest stolicą Polski i największym miastem w kraju położonym nad Wisłą w środkowej części",
+    "tr": "İstanbul Türkiye'nin en kalabalık şehridir ve ülkenin ekonomik ve kültürel merkezi olarak bilinir",
+    "el": "Η Αθήνα είναι η πρωτεύουσα της Ελλάδας και η μεγαλύτερη πόλη της χώρας",
+    "none": "xkq zrtv bdfg qwrtp mnbvc lkjhg zxcvb qwrty plkmn bhgvf trdcx zsqwx vbnmk plkjh",
+}
+
+
+@pytest.mark.parametrize("languages", [2, 4])
+def test_texts_in_no_learned_language_are_rejected(spark, languages):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    docs = docs.select("doc_id", "text", "lang").where("lang in ('en', 'de')" if languages == 2 else "lang is not null")
+    trees = langid.train(docs)
+    own = {r.lang: r.text for r in docs.where("length(text) between 300 and 3000").collect()}
+    assert len(own) == languages
+    mixed = [f"{a} {b}" for a in own.values() for b in own.values()]
+    clean = [r.text for r in docs.where(langid.held_out(docs.doc_id)).collect()]
+    rows = [(k, t) for k, t in enumerate([*mixed, *clean, *FOREIGN.values(), *(" ".join(t.split()[:4]) for t in FOREIGN.values())])]
+    kept = {r.doc_id for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), trees).collect()}
+    assert kept == set(range(len(mixed) + len(clean))) and len(clean) > 20
+
+
 def test_quality_follows_the_labels_it_never_saw(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = quality.features(docs)
