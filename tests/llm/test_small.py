@@ -347,6 +347,28 @@ def test_article_without_its_surroundings():
     assert html_text.main_text(html_text.lines_of("plain &amp text"), set()) == "plain & text"
 
 
+@pytest.mark.parametrize(
+    "kept",
+    [
+        '<p style="overflow:hidden">kept</p>',
+        '<p><a href="/hidden-gems" title=\'the hidden cost\'>kept</a></p>',
+        '<p data-id="search" data-class=ad data-role="navigation">kept</p>',
+        '<div class="wrapper header-fixed no-sidebar with_nav"><p>kept</p></div>',
+        '<article class="post has-comments share">kept</article>',
+        '<main id=content-search>kept</main>',
+        '<p><svg width="1"/><math />kept</p>',
+    ],
+)
+def test_names_and_values_that_leave_nothing_out(kept):
+    page = f'<html class="search"><body class="no-sidebar menu">{kept}</body></html>'
+    assert html_text.main_text(html_text.lines_of(page), set()) == "kept"
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", "aria-hidden='true'", "role=navigation", "id=comments", 'class="x cookie-notice"', "class='sidebar-left'", "class=ad_slot_2", 'title="a" class="side-bar"', "class=main-nav"])
+def test_names_that_leave_out(attribute):
+    assert html_text.main_text(html_text.lines_of(f"<p>kept</p><div {attribute}><p>gone</p></div>"), set()) == "kept"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
 def test_shared_lines_are_a_longest_common_subsequence(a, b):
