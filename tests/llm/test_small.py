@@ -391,6 +391,19 @@ def test_pages_without_an_article_lose_what_their_neighbour_shares(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
 
 
+def test_copies_do_not_delete_each_other(spark):
+    page = lambda *own: "<div>Site name</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>All rights</div>"
+    story = [f"paragraph {k} of a story that is told at some length" for k in range(8)]
+    near = lambda k: page(*story[:k], f"another paragraph in place of number {k}", *story[k + 1 :])
+    rows = [(k, f"http://only/{k}", page(*story)) for k in range(3)] + [(10 + k, f"http://near/{k}", near(k)) for k in range(8)]
+    rows += [(20 + k, f"http://beside/a/{k}", page(*story)) for k in range(5)] + [(30, "http://beside/b", page("quite another story", *map(str, range(100, 130))))]
+    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda lines: "\n".join(["Site name", *lines, "All rights"])
+    assert all(got[k] == whole(story) for k in range(3))
+    assert all(got[10 + k].split("\n")[1 + j] == story[j] for k in range(8) for j in range(8) if j != k)
+    assert all(got[20 + k] == "\n".join(story) for k in range(5)) and got[30].startswith("quite another story\n100")
+
+
 # Decontamination
 
 
