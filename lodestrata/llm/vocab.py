@@ -4,7 +4,8 @@ Both vocabularies used here split a text by a pattern before any merge, so the i
 of its chunks in order.  Corpora repeat their chunks: each is encoded once and kept in a bounded cache,
 the new ones of a block of texts together in one call of the library.  The pattern is applied here only to
 texts of Latin letters up to U+024F, whose classes are the same in every version of Unicode; any other
-text goes to the library whole.
+text goes to the library whole, and so does a text that holds the content of an added token, such as
+``<|endoftext|>``, which the library takes for that token before it splits.
 """
 
 from __future__ import annotations
@@ -49,7 +50,9 @@ class Encoder:
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        # In any case of letters, as the library may look for a token after it has put the text in lower case.
+        self.added = re.compile("|".join(map(re.escape, sorted(added))) or r"(?!)", re.I)
         self.cache_chunks = cache_chunks
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -90,7 +93,7 @@ class Encoder:
         new: dict[str, None] = {}
         holes: list[tuple[list[bytes], int, str]] = []
         for t in texts:
-            if t and _ODD.search(t):
+            if t and (_ODD.search(t) or self.added.search(t)):
                 found.append(None)
                 continue
             chunks = self._split(t) if t else []

@@ -14,6 +14,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lodestrata.llm import components, decontam, embeddings, html_text, langid, minhash, packing, quality, sharding, shingles, store, tokens, vocab, warc
 
@@ -50,6 +51,17 @@ def test_chunks_give_the_ids_of_the_whole_text(texts):
         assert list(e.encode_many(texts)) == [e.whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_in_a_text_are_the_librarys(path):
+    library = Tokenizer.from_file(path)
+    contents = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in contents
+    texts = [f"foo{a}{c}{b} bar" for c in contents for a in ("", " ", "x") for b in ("", "\n", "y")] + [c.upper() for c in contents] + ["foo < | endoftext | > bar", "<|endoftext", *contents]
+    got = vocab.Encoder(path, cache_chunks=20).encode_many([*texts, *texts[::-1]])
+    want = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in [*texts, *texts[::-1]]]
+    assert list(got) == want
+
+
 @pytest.mark.parametrize("table", ["hard", "empty"])
 def test_token_files_round_trip(spark, request, table):
     docs = request.getfixturevalue(table)
