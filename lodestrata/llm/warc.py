@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 from . import store
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a reader's range, and bytes a file is read by.
-RANGE_BYTES, READ_BYTES = 32 << 20, 1 << 20
-#: Longest header block of a record that the reader accepts.
-HEADER_BYTES = 1 << 20
+#: Bytes of a reader's range, bytes a file is read by, and compressed bytes that are inflated at a time.
+RANGE_BYTES, READ_BYTES, STEP_BYTES = 32 << 20, 1 << 20, 1 << 14
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -87,39 +85,50 @@ def parse_header(block: bytes) -> dict[str, str] | None:
 
 
 def header_of(data: bytes) -> dict[str, str] | None:
-    """The header of the record that the gzip member at the start of ``data`` holds, as far as it is valid."""
-    inflate = zlib.decompressobj(31)
+    """The header of the record that the gzip member at the start of ``data`` holds: None if it holds none, and
+    no fields if ``data`` ends before that is known."""
+    inflate, got = zlib.decompressobj(31), bytearray()
+    rest, end = data, -1
     try:
-        got = inflate.decompress(data, 64)
-        if not got.startswith(b"WARC/"):
-            return None
-        while b"\r\n\r\n" not in got and len(got) < HEADER_BYTES:
+        while end < 0:
+            more = inflate.decompress(rest, STEP_BYTES if got else 64)
             rest = inflate.unconsumed_tail
-            more = inflate.decompress(rest, 1 << 14)
-            if not more and not inflate.unconsumed_tail:
-                return None
             got += more
+            if not b"WARC/".startswith(got[:5]):
+                return None
+            end = got.find(b"\r\n\r\n", max(0, len(got) - len(more) - 3))
+            if end < 0 and not more and not rest:
+                return None if inflate.eof else {}
     except zlib.error:
         return None
-    block, end, _ = got.partition(b"\r\n\r\n")
-    return parse_header(block) if end else None
+    return parse_header(bytes(got[:end]))
 
 
 class _Window:
     """Bytes of an open file from ``at`` on, read as they are needed."""
 
     def __init__(self, stream, at: int, size: int):
-        self.stream, self.at, self.size, self.held = stream, at, size, b""
+        self.stream, self.at, self.size, self.held, self.gone = stream, at, size, b"", 0
+
+    def __len__(self) -> int:
+        return len(self.held) - self.gone
 
     def reach(self, more: int) -> bool:
         """Hold at least ``more`` bytes, or all that are left."""
-        while len(self.held) < more and self.at + len(self.held) < self.size:
-            self.stream.seek(self.at + len(self.held))
-            self.held += self.stream.read(max(READ_BYTES, more - len(self.held)))
-        return len(self.held) >= more
+        while len(self) < more and self.at + len(self) < self.size:
+            self.stream.seek(self.at + len(self))
+            self.held, self.gone = self.held[self.gone :] + self.stream.read(max(READ_BYTES, more - len(self))), 0
+        return len(self) >= more
+
+    def first(self, n: int) -> bytes:
+        return self.held[self.gone : self.gone + n]
+
+    def find(self, what: bytes) -> int:
+        at = self.held.find(what, self.gone)
+        return at if at < 0 else at - self.gone
 
     def skip(self, n: int) -> None:
-        self.held = self.held[n:]
+        self.gone += n
         self.at += n
 
 
@@ -128,10 +137,10 @@ def records_in(stream, start: int, end: int, size: int) -> Iterator[tuple[dict[s
     w = _Window(stream, start, size)
     while w.at < end:
         w.reach(len(MAGIC))
-        at = w.held.find(MAGIC)
+        at = w.find(MAGIC)
         if at < 0:
-            keep = min(len(w.held), len(MAGIC) - 1)
-            w.skip(len(w.held) - keep)
+            keep = min(len(w), len(MAGIC) - 1)
+            w.skip(len(w) - keep)
             if w.at + keep >= size:
                 return
             w.reach(keep + READ_BYTES)
@@ -139,25 +148,25 @@ def records_in(stream, start: int, end: int, size: int) -> Iterator[tuple[dict[s
         w.skip(at)
         if w.at >= end:
             return
-        header = None
-        want = READ_BYTES
-        while True:  # a header may be longer than what is held
-            whole = not w.reach(want)
-            header = header_of(w.held)
-            if header or whole or want > 2 * HEADER_BYTES:
+        want = STEP_BYTES
+        while True:  # a header may be of any length
+            more = w.reach(want)
+            header = header_of(w.first(want))
+            if header or header is None or not more:
                 break
             want *= 2
-        if header is None:
+        if not header:
             w.skip(1)
             continue
         inflate, content = zlib.decompressobj(31), bytearray()
         while not inflate.eof:
-            if not w.held and not w.reach(1):
+            if not w.reach(1):
                 raise ValueError(f"a record at the end of the file is cut off after {len(content)} bytes")
-            content += inflate.decompress(w.held)
-            w.skip(len(w.held) - len(inflate.unused_data))
-        body = content.partition(b"\r\n\r\n")[2]
-        yield header, bytes(body[: int(header["content-length"])])
+            some = w.first(STEP_BYTES)
+            content += inflate.decompress(some)
+            w.skip(len(some) - len(inflate.unused_data))
+        body = content.find(b"\r\n\r\n") + 4
+        yield header, bytes(content[body : body + int(header["content-length"])])
 
 
 def _writer(base: str, level: int):
@@ -235,11 +244,20 @@ def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return spread.mapInPandas(_reader, RECORDS)
 
 
+def all_of(records: DataFrame, archives: DataFrame) -> DataFrame:
+    """``records``, what is read of ``archives``, written and counted: an error if they aren't as many as were written."""
+    found = store.materialize(records, "warc-records")
+    written, read = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if read != written:
+        raise ValueError(f"{read} records were read of archives of {written}")
+    return found
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages through WARC archives and back."""
+    """All pages through WARC archives and back; an error if not every record written is read."""
     archives = write_warc(store.spark_table(spark, sf_dir, "pages"), store.new_dir(spark, "warc"))
     checked = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return read_warc(archives).select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return all_of(read_warc(archives).select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to"), archives)
 
 
 OP5_SQL = """

@@ -342,6 +342,20 @@ def test_archives_round_trip(spark):
     assert warc.read_warc(none).count() == 0
 
 
+def test_headers_of_any_length_are_read(spark):
+    draw = random.Random(5)
+    urls = ["http://a/" + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=k)) for k in (3_500_000, 10, 1_100_000)] + ["data:," + "x" * 3_000_000]
+    raw = b"".join(warc.member(warc.record(i, u, b"body", None)) for i, u in enumerate(urls))
+    for width in (700_000, len(raw)):
+        got = [(h["warc-target-uri"], body) for lo in range(0, len(raw), width) for h, body in warc.records_in(io.BytesIO(raw), lo, min(lo + width, len(raw)), len(raw))]
+        assert got == [(u, b"body") for u in urls]
+    pages = spark.createDataFrame([(i, u, "same") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    archives = warc.write_warc(pages, store.new_dir(spark, "test-warc"))
+    assert warc.all_of(warc.read_warc(archives).select("page_id", "refers_to"), archives).count() == len(urls)
+    with pytest.raises(ValueError, match="3 records were read of archives of 4"):
+        warc.all_of(warc.read_warc(archives).where("page_id > 0").select("page_id"), archives)
+
+
 # Pages
 
 
