@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import exact
+from ..functions import binary64, exact
 from ..operators import cloud
 from .catalog import query
 from .clouds import QUADS_SQL, SUP_SQL, emb, emb_sql, quads, sup, table
@@ -98,6 +98,14 @@ def src_binary64(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr("p_partkey", "lower(lpad(hex(CAST(floor(p_retailprice * 100) AS BIGINT)), 16, '0')) AS bits", "p_retailprice < 1000 AS below")
 
 
+@query("src_binary64_bits")
+def src_binary64_bits(spark, sf_dir):
+    """The bits of every price as a double, the double read back from them, and the total order key."""
+    v = F.col("p_retailprice").cast("double")
+    bits = F.udf(binary64.to_hex, "string")(v)
+    return table(spark, sf_dir, "part").select("p_partkey", bits.alias("bits"), F.udf(binary64.from_hex, "double")(bits).alias("back"), F.udf(binary64.order_key, "string")(v).alias("order_key"))
+
+
 @query("src_neighbors_ulp", "SELECT p_partkey, nextafter(p_retailprice, CAST('infinity' AS DOUBLE)) AS above, nextafter(p_retailprice, CAST('-infinity' AS DOUBLE)) AS below FROM part")
 def src_neighbors_ulp(spark, sf_dir):
     @F.pandas_udf("above double, below double")

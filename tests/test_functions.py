@@ -8,7 +8,7 @@ import struct
 import numpy as np
 import pytest
 
-from lodestrata.functions import arrays
+from lodestrata.functions import arrays, binary64
 from lodestrata.sources import scans
 from lodestrata.streaming import frames
 
@@ -24,6 +24,26 @@ def test_enclosing_ball():
             assert ((p - (c + rng.normal(size=dim) * 1e-3)) ** 2).sum(1).max() >= r2 - 1e-9
 
 
+def test_bits_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 1.0, -1.0, 999.991, 999.992, 5e-324, -5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), *rng.normal(size=200).tolist()]
+    assert binary64.to_hex(1.0) == "3ff0000000000000" and binary64.to_hex(-0.0) == "8000000000000000"
+    assert all(struct.pack(">d", binary64.from_hex(binary64.to_hex(v))) == struct.pack(">d", v) for v in values)
+    for a, b in itertools.product(values, values):
+        x, y = binary64.order_key(a), binary64.order_key(b)
+        assert (x < y, x == y) == (a < b, a == b)
+    assert binary64.to_hex(None) is binary64.from_hex(None) is binary64.order_key(None) is None
+    with pytest.raises(ValueError, match="sixteen"):
+        binary64.from_hex("3FF0000000000000")
+    from lodestrata.plans import catalog
+
+    got = catalog.queries()["src_binary64_bits"](spark, "/root/testdata/sf0.001")
+    prices = {r.p_partkey: float(r.p_retailprice) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    rows = got.collect()
+    assert len(rows) == len(prices) > 0 and all((r.bits, r.back) == (struct.pack(">d", prices[r.p_partkey]).hex(), prices[r.p_partkey]) for r in rows)
+    assert [prices[r.p_partkey] for r in sorted(rows, key=lambda r: r.order_key)] == sorted(prices.values())
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(2)
     for n, m in ((3, 3), (3, 5), (5, 3), (1, 4)):
