@@ -262,6 +262,6 @@ def stream_chunks(spark, sf_dir):
 
 @query("frame_stream_tracking")
 def frame_stream_tracking(spark, sf_dir):
-    """Tracks of every user's hourly mean value, hour by hour: an ordered fold per user."""
+    """Tracks of every user's daily mean value, day by day: an ordered fold per user."""
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("key"), F.expr("unix_seconds(CAST(ts AS TIMESTAMP)) div 86400").alias("frame")).agg(F.round(F.avg("value"), 3).alias("x"))
     return frames.track_batch(e)
