@@ -15,6 +15,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,11 @@ from . import store
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a reader's range, bytes a file is read by, and compressed bytes that are inflated at a time.
-RANGE_BYTES, READ_BYTES, STEP_BYTES = 32 << 20, 1 << 20, 1 << 14
+RANGE_BYTES, READ_BYTES, STEP_BYTES = 8 << 20, 1 << 20, 1 << 14
+#: An archive is closed at the first record that ends beyond this.
+ARCHIVE_BYTES = 1 << 30
+#: Repeated payloads whose digests are broadcast (about 100 bytes each); beyond them, lanes of a payload's copies.
+BROADCAST_ROWS, LANES = 500_000, 64
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -166,47 +171,69 @@ def records_in(stream, start: int, end: int, size: int) -> Iterator[tuple[dict[s
             content += inflate.decompress(some)
             w.skip(len(some) - len(inflate.unused_data))
         body = content.find(b"\r\n\r\n") + 4
-        yield header, bytes(content[body : body + int(header["content-length"])])
+        length = int(header["content-length"])
+        if len(content) < body + length:
+            raise ValueError(f"a record of {length} bytes holds {len(content) - body}")
+        yield header, bytes(content[body : body + length])
 
 
-def _writer(base: str, level: int):
+def _writer(base: str, level: int, archive_bytes: int):
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        path, n, size = f"{base}/part-{TaskContext.get().partitionId():05d}.warc.gz", 0, 0
+        part = TaskContext.get().partitionId()
 
-        def fill(out) -> None:
-            nonlocal n, size
+        def members() -> Iterator[bytes]:
             for frame in frames:
                 gone, first = frame["page_id"].isna(), frame["refers_to"].isna()
                 for page, url, html, to, no_id, response in zip(frame["page_id"], frame["url"], frame["html"], frame["refers_to"], gone, first, strict=True):
-                    data = member(record(None if no_id else int(page), url, (html or "").encode("utf-8", "surrogatepass"), None if response else int(to)), level)
-                    out.write(data)
-                    n, size = n + 1, size + len(data)
+                    yield member(record(None if no_id else int(page), url, (html or "").encode("utf-8", "surrogatepass"), None if response else int(to)), level)
 
-        store.publish(path, fill)
-        yield pd.DataFrame({"path": [path], "records": [n], "bytes": [size]})
+        ready = members()
+        held = next(ready, None)
+        for k in count():  # a new archive wherever one is full
+            if held is None and k:
+                return
+            path, n, size = f"{base}/part-{part:05d}-{k:05d}.warc.gz", 0, 0
+
+            def fill(out) -> None:
+                nonlocal held, n, size
+                while held is not None and size < archive_bytes:
+                    out.write(held)
+                    n, size, held = n + 1, size + len(held), next(ready, None)
+
+            store.publish(path, fill)
+            yield pd.DataFrame({"path": [path], "records": [n], "bytes": [size]})
 
     return write
 
 
-def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def plan_revisits(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``page_id, url, html, refers_to``: of records with equal payloads of at least ``least_bytes`` bytes the one with the
     largest page_id is a response, the others revisit it (rows that share that page_id are all responses).
     Rows without a page_id are responses and none revisits them.  A null html is an empty payload.
+
+    Only digests are grouped.  Those that repeat are broadcast if they are at most ``broadcast_rows``, so that no
+    page is moved; more are joined, each dealt over ``LANES`` lanes, so that no payload's copies meet in one task.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("same"), F.octet_length(html).alias("size"))
     repeated = rows.where(f"page_id is not null and size >= {int(least_bytes)}").groupBy("same").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("same", "last")
-    found = rows.join(repeated, "same", "left")
+    repeated = store.materialize(repeated, "warc-repeats")
+    if repeated.count() <= broadcast_rows:
+        found = rows.join(F.broadcast(repeated), "same", "left")
+    else:
+        lanes = repeated.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))))
+        found = rows.withColumn("lane", F.pmod(F.xxhash64("page_id", "url"), F.lit(LANES).cast("long"))).join(lanes, ["same", "lane"], "left")
     return found.select("page_id", "url", "html", F.when((F.col("size") >= least_bytes) & (F.col("page_id") != F.col("last")), F.col("last")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, base: str, least_bytes: int = 0, level: int = 3) -> DataFrame:
-    """Write a record per row of ``pages`` (page_id, url, html) below ``base``; ``path, records, bytes`` per archive."""
-    store.small_batches(pages.sparkSession)
+def write_warc(pages: DataFrame, base: str, least_bytes: int = 0, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record per row of ``pages`` (page_id, url, html; other columns are ignored) below ``base``, a new archive
+    after every ``archive_bytes``; ``path, records, bytes`` per archive."""
     planned = plan_revisits(pages, least_bytes)
-    return store.materialize(planned.mapInPandas(_writer(base, level), "path string, records long, bytes long"), "warc-list")
+    with store.batches_of(pages.sparkSession, store.TEXT_ROWS):
+        return store.materialize(planned.mapInPandas(_writer(base, level, archive_bytes), "path string, records long, bytes long"), "warc-list")
 
 
 def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,10 +247,14 @@ def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with fs.open_input_file(path) as stream:
                 rows, held = [], 0
                 for head, body in records_in(stream, int(r.start), int(r.end), int(r.size)):
-                    n = head.get("x-payload-length", head["content-length"])
-                    rows.append((page(head.get("warc-record-id")), head.get("warc-target-uri"), head["warc-type"], page(head.get("warc-refers-to")), head.get("warc-payload-digest", "").removeprefix("sha1:"), int(n), body))
+                    kind = head["warc-type"]
+                    if kind == "revisit":
+                        digest, n = head.get("warc-payload-digest", "").removeprefix("sha1:"), int(head.get("x-payload-length", head["content-length"]))
+                    else:
+                        digest, n = payload_digest(body), len(body)
+                    rows.append((page(head.get("warc-record-id")), head.get("warc-target-uri"), kind, page(head.get("warc-refers-to")), digest, n, body))
                     held += len(body)
-                    if held > READ_BYTES:
+                    if held > READ_BYTES or len(rows) >= store.TEXT_ROWS:
                         yield _frame(rows)
                         rows, held = [], 0
                 yield _frame(rows)
@@ -235,13 +266,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Every record of ``archives`` (path, bytes), read by ranges of ``range_bytes``: page_id, url, record_type,
-    refers_to, payload_digest, payload_bytes and payload (empty for a revisit).  An empty archive has no records."""
-    size = F.col("bytes")
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), size - 1, F.lit(range_bytes).cast("long")))
+    """Every record of ``archives`` (path, bytes), a task per range of ``range_bytes``: page_id, url, record_type,
+    refers_to, payload_digest, payload_bytes and payload (empty for a revisit).  Digest and length of a response are
+    those of the bytes read, of a revisit what its header says.  An empty archive has no records; a cut one is an error."""
+    size, wide = F.col("bytes"), F.lit(range_bytes).cast("long")
+    n = archives.agg(F.sum(F.ceil(size / wide))).first()[0] or 1
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), size - 1, wide))
     ranges = archives.where("bytes > 0").select("path", size.alias("size"), starts.alias("start")).withColumn("end", F.least(F.col("start") + range_bytes, "size"))
-    spread = ranges.repartition(F.xxhash64("path", "start"))
-    return spread.mapInPandas(_reader, RECORDS)
+    return ranges.repartitionByRange(int(n), "path", "start").mapInPandas(_reader, RECORDS)
 
 
 def all_of(records: DataFrame, archives: DataFrame) -> DataFrame:
@@ -256,8 +288,7 @@ def all_of(records: DataFrame, archives: DataFrame) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC archives and back; an error if not every record written is read."""
     archives = write_warc(store.spark_table(spark, sf_dir, "pages"), store.new_dir(spark, "warc"))
-    checked = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return all_of(read_warc(archives).select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to"), archives)
+    return all_of(read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), archives)
 
 
 OP5_SQL = """

@@ -338,6 +338,15 @@ def test_archives_round_trip(spark):
     digest = lambda t: warc.payload_digest((t or "").encode())
     want = [(-1, "response", None, 4, digest("same")), (1, "revisit", 2, 4, digest("same")), (2, "response", None, 4, digest("same")), (5, "response", None, 3, digest("own")), (5, "response", None, 3, digest("own")), (7, "revisit", 8, 0, digest("")), (8, "response", None, 0, digest("")), (9, "response", None, 200_000, digest("é" * 100_000))]
     assert got == want
+    wide = pages.selectExpr("*", "'x' AS refers_to", "1 AS same", "2 AS last", "3 AS size", "4 AS lane", "5 AS n")
+    planned = [sorted(map(str, warc.plan_revisits(t, broadcast_rows=b).collect())) for t in (pages, wide) for b in (0, 100)]
+    assert planned[1:] == planned[:1] * 3 and len(planned[0]) == len(rows)
+    small = warc.write_warc(wide, store.new_dir(spark, "test-warc"), archive_bytes=1)
+    assert small.where("records > 0").count() == len(rows)
+    for width in (1, 64):  # a task per range, however small
+        some = store.materialize(small.where("records > 0").orderBy("bytes").limit(1), "test-small") if width == 1 else small
+        back = warc.read_warc(some, range_bytes=width).coalesce(8).select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
+        assert {((-1 if r.page_id is None else r.page_id), *tuple(r)[1:]) for r in back.collect()} <= set(want) and back.count() == some.agg({"records": "sum"}).first()[0]
     none = warc.write_warc(pages.where("false"), store.new_dir(spark, "test-warc"))
     assert warc.read_warc(none).count() == 0
 
