@@ -3,24 +3,25 @@
 Per language a tree of byte contexts of up to ``ORDER`` bytes holds how often each byte followed.  In a
 context met n times with d different successors a byte seen c times costs log2((n + d) / c) bits; any other
 byte costs the escape, log2((n + d) / d), and what it costs in the context one byte shorter; after the empty
-context every byte costs 8 bits.  The counts are frozen after training, so a word's code length never
-changes, and it is computed once per distinct word.  Contexts begin at the blank before a word, and a
-word's code ends with the blank after it; texts are put in lower case first.
+context every byte costs 8 bits; a context never met costs nothing to leave.  Texts are put in lower case and
+coded byte by byte as they are, blanks and line ends included, contexts running on from word to word; ``ORDER``
+blanks stand before a text's first byte, in training as in scoring.  The counts are frozen after training, so
+what a byte costs follows from the ``ORDER`` bytes before it: a worker keeps the costs of the windows of
+``ORDER + 1`` bytes that it met lately, and a text's code length is the sum over its windows.
 
 The language with the shortest code of the whole text is predicted.
 
 A share among the learned languages can't tell a text in none of them, so a filter also asks how long the code
-is.  Each word is coded in the language that codes it best, so texts that mix learned languages pass; words
-with a digit, with signs in a row or without a letter (numbers, keys, links, ornaments) say nothing of a language and don't count unless they
-are more than three quarters of a text.  The bound on the bits is learned: the training documents are coded by
-trees of the other half of them, and their spread, of documents and of words, is what a text may show.
+is.  Each word (with the white space after it) is taken at its cost in the language that codes it best, so
+texts that mix learned languages pass; words with a digit, with signs in a row or without a letter (numbers, keys,
+links, ornaments) say nothing of a language and don't count unless they are more than three quarters of a text.
+The bound on the bits is learned: the training documents are coded by trees of the other half of them, and their
+spread, of documents and of words, is what a text may show.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,23 +32,43 @@ from pyspark.sql.window import Window
 
 from . import caches, store
 
-ORDER = 3
+#: Bytes of the longest contexts, at most 7.
+ORDER = 5
 #: Documents whose language stays more open than this are rejected by a filter; mixtures of learned languages score more.
 KEEP_SCORE = 0.3
 #: A text's code may be longer than the median training document's by this many times their spread.
 KEEP_SPREAD = 3.0
-#: Words that say something of a language: a letter, no digit, no two signs of ASCII side by side.
-_TELLING = re.compile(rb"(?!.*[!-/:-@\[-`{-~]{2})[^0-9]*[a-z\x80-\xff][^0-9]*", re.S)
-#: Least share of a text's bytes in such words; other texts are judged by all their words.
+#: Least share of a text's bytes in words that say something of a language; other texts are judged by all their words.
 TELLING_SHARE = 0.25
 #: The trees are learned from at most this many documents a language, those of least hash.
 DOCS_PER_LANGUAGE = 200
-CACHE_WORDS, BLOCK_CHARS = 400_000, 1 << 20
+#: Bytes of a worker's table of windows, and characters of text that are coded at once.
+CACHE_BYTES, BLOCK_CHARS = 48 << 20, 1 << 19
 UNDETERMINED = "und"
 
+_PAD = 8
+_NO_WINDOW = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What a byte adds to a word's digits, letters and signs of ASCII, in 20 bits each.
+_KIND = np.zeros(256, np.int64)
+_KIND[48:58], _KIND[97:123], _KIND[128:] = 1, 1 << 20, 1 << 20
+_SIGN = np.asarray([33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 for c in range(256)])
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+
+def encoded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
+def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of the texts in a row, for each the ``order`` bytes before it and itself as a number (itself
+    lowest), and where each text ends."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    raw = np.frombuffer(b" " * _PAD + (b" " * _PAD).join(texts), np.uint8)
+    wide = np.ndarray((len(raw) - _PAD + 1,), ">u8", raw, strides=(1,))
+    starts = np.cumsum(sizes + _PAD) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return raw[at], wide[at - _PAD + 1].astype(np.uint64) & np.uint64((1 << 8 * (order + 1)) - 1), np.cumsum(sizes)
 
 
 class Bound:
@@ -66,9 +87,9 @@ class Bound:
             if not judge.trees.languages:
                 continue
             for text in (t for lang in sorted(own) for t in own[lang]):
-                words = [w for w in words_of(text) if _TELLING.fullmatch(w)]
-                if words:
-                    least, n = judge.lengths(words).min(axis=1), np.fromiter(map(len, words), np.int64, len(words)) + 1
+                _, least, n, telling = judge.words([encoded(text)])
+                least, n = least[telling], n[telling]
+                if len(n):
                     bits.append(least.sum())
                     sizes.append(n.sum())
                     off += float(((least - n * (bits[-1] / sizes[-1])) ** 2).sum())
@@ -84,135 +105,129 @@ class Bound:
 
 
 class Trees:
-    """Counts of (context, next byte) per language and order, over a dense alphabet of the bytes met."""
+    """How often each string of 1 to ``order + 1`` bytes was met in each language."""
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.name, self.order, self.languages = uuid.uuid4().hex, order, sorted(texts)
-        bags = [Counter(w for t in texts[lang] for w in words_of(t)) for lang in self.languages]
-        seen = sorted({b for bag in bags for w in bag for b in w} | {32})
-        self.symbol = np.full(256, len(seen), np.int64)  # the last symbol stands for every byte never met
-        self.symbol[seen] = np.arange(len(seen))
-        self.size = len(seen) + 1
         self.bound = Bound()
-        self.counts = [[self._count(bag, k) for k in range(order + 1)] for bag in bags]
-
-    def _count(self, bag: Counter, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct ``context * size + next`` after contexts of k bytes, and their counts."""
-        raw = b"".join(b" " + w + b" " for w in bag)
-        codes = self.symbol[np.frombuffer(raw, np.uint8)]
-        lengths = np.fromiter((len(w) + 2 for w in bag), np.int64, len(bag))
-        weight = np.repeat(np.fromiter(bag.values(), np.int64, len(bag)), lengths)
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.flatnonzero(place >= max(k, 1))  # the leading blank is only ever a context
-        code = np.zeros(len(at), np.int64)
-        for i in range(k, -1, -1):
-            code = code * self.size + codes[at - i]
-        if not len(code):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        got, back = np.unique(code, return_inverse=True)
-        return got, np.bincount(back, weight[at]).astype(np.int64)
+        self.counts = []
+        for lang in self.languages:
+            _, whole, _ = windows([encoded(t) for t in texts[lang]], order)
+            self.counts.append([np.unique(whole & np.uint64((1 << 8 * k) - 1), return_counts=True) for k in range(1, order + 2)])
 
 
 class Scorer:
-    """The trees as one automaton: a state per context of any language, a cost per state, byte and language."""
+    """What each string met in any language costs in every language, and what leaving its context costs."""
 
     def __init__(self, trees: Trees):
-        size, langs = trees.size, len(trees.languages)
-        self.trees, self.symbol = trees, trees.symbol
-        contexts = [np.unique(np.concatenate([c[k][0] // size for c in trees.counts] or [np.empty(0, np.int64)])) for k in range(trees.order + 1)]
-        contexts[0] = np.zeros(1, np.int64)
-        first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        self.cost = np.empty((first[-1], size, langs), np.float32)
-        self.next = np.zeros((first[-1], size), np.int32)
-        for k, codes in enumerate(contexts):
-            rows = slice(first[k], first[k + 1])
-            if k == 0:
-                base = np.full((1, size, langs), 8.0)
-                after = np.zeros((1, size), np.int64)
-            else:
-                shorter = first[k - 1] + (np.searchsorted(contexts[k - 1], codes % size ** (k - 1)) if k > 1 else np.zeros(len(codes), np.int64))
-                base, after = self.cost[shorter].astype(np.float64), self.next[shorter].astype(np.int64)
+        self.trees, langs = trees, len(trees.languages)
+        self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
+        for k in range(1, trees.order + 2):
+            grams = np.unique(np.concatenate([c[k - 1][0] for c in trees.counts] or [np.empty(0, np.uint64)]))
+            first = np.flatnonzero(np.diff(grams >> np.uint64(8), prepend=_NO_WINDOW)) if len(grams) else np.empty(0, np.int64)
+            contexts = grams[first] >> np.uint64(8)
+            own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(grams))))
+            costs, escapes = np.empty((len(grams), langs)), np.zeros((len(contexts), langs))
+            shorter = self.costs[-1][np.searchsorted(self.grams[-1], grams & np.uint64((1 << 8 * (k - 1)) - 1))] if k > 1 else np.full((len(grams), langs), 8.0)
             for lang in range(langs):
-                got, n = trees.counts[lang][k]
-                at = np.searchsorted(codes, got // size)
-                total = np.bincount(at, n, len(codes))
-                kinds = np.bincount(at, minlength=len(codes))
+                got, n = trees.counts[lang][k - 1]
+                at = np.searchsorted(grams, got)
+                total, kinds = np.bincount(own[at], n, len(contexts)), np.bincount(own[at], minlength=len(contexts))
                 met = kinds > 0
-                base[met, :, lang] += np.log2((total[met] + kinds[met]) / kinds[met])[:, None]
-                base[at, got % size, lang] = np.log2((total[at] + kinds[at]) / n)
-            self.cost[rows] = base
-            if k < trees.order:
-                longer = contexts[k + 1]
-                after[np.searchsorted(codes, longer // size) if k else 0, longer % size] = first[k + 1] + np.arange(len(longer))
-            self.next[rows] = after
-        self.start = int(self.next[0, trees.symbol[32]])
-        self.cache: dict[bytes, int] = {}
-        # Per word: its bits in each language, and its least bits and its bytes, of all words and of the telling ones.
-        self.held = np.zeros((CACHE_WORDS + 1, langs + 4), np.float64)
-
-    def lengths(self, words: list[bytes]) -> np.ndarray:
-        """Bits of each word, with the blank after it, in each language."""
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        sizes = np.fromiter((len(words[i]) + 1 for i in order), np.int64, len(words))
-        codes = self.symbol[np.frombuffer(b"".join(words[i] + b" " for i in order), np.uint8)]
-        starts = np.cumsum(sizes) - sizes
-        bits = np.zeros((len(words), self.cost.shape[2]))
-        state = np.full(len(words), self.start)
-        live = len(words)
-        for k in range(int(sizes[0]) if len(words) else 0):
-            while live and sizes[live - 1] <= k:
-                live -= 1
-            symbol = codes[starts[:live] + k]
-            bits[:live] += self.cost[state[:live], symbol]
-            state[:live] = self.next[state[:live], symbol]
-        out = np.empty_like(bits)
-        out[order] = bits
+                escapes[met, lang] = np.log2((total[met] + kinds[met]) / kinds[met])
+                costs[:, lang] = escapes[own, lang] + shorter[:, lang]
+                costs[at, lang] = np.log2((total + kinds)[own[at]] / n)
+            for held, new in ((self.grams, grams), (self.costs, costs), (self.contexts, contexts), (self.escapes, escapes)):
+                held.append(new)
+        slots = 1 << max(10, (CACHE_BYTES // (8 + 4 * langs)).bit_length() - 1)
+        self.shift, self.keys, self.rows = np.uint64(64 - slots.bit_length() + 1), np.full(slots, _NO_WINDOW), np.zeros((slots, langs), np.float32)
+
+    def _cost(self, window: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each window, after the bytes before it, in each language."""
+        out = np.full((len(window), len(self.trees.languages)), 8.0)
+        for k, (grams, costs, contexts, escapes) in enumerate(zip(self.grams, self.costs, self.contexts, self.escapes, strict=True), 1):
+            own = window & np.uint64((1 << 8 * k) - 1)
+            for known, values, new in ((contexts, escapes, own >> np.uint64(8)), (grams, costs, own)):
+                if not len(known):
+                    continue
+                at = np.searchsorted(known, new)
+                at[at == len(known)] = 0
+                hit = known[at] == new
+                if known is grams:
+                    out[hit] = values[at[hit]]
+                else:
+                    out[hit] += values[at[hit]]
+        return out
+
+    def bits(self, window: np.ndarray) -> np.ndarray:
+        """:meth:`_cost` through the table of windows."""
+        slot = (window * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        out = self.rows[slot]
+        gone = np.flatnonzero(self.keys[slot] != window)
+        if len(gone):
+            new, back = np.unique(window[gone], return_inverse=True)
+            rows = self._cost(new).astype(np.float32)
+            out[gone] = rows[back]
+            slot = (new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+            self.keys[slot], self.rows[slot] = new, rows  # of windows that share a slot the last stays, with its row
+        return out
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text in each language."""
+        out = np.zeros((len(texts), len(self.trees.languages)))
+        _, window, ends = windows(texts, self.trees.order)
+        full = np.flatnonzero(np.diff(ends, prepend=0))
+        if len(full):
+            out[full] = np.add.reduceat(self.bits(window), np.concatenate([[0], ends[:-1]])[full], axis=0, dtype=np.float64)
         return out
 
-    def _block(self, bags: list[list[bytes]]) -> Iterator[np.ndarray]:
-        new = list(set().union(*bags).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(set().union(*bags))
-        if len(new) > CACHE_WORDS:  # a block of more distinct words than the cache holds
-            self.held = np.zeros((len(new) + 1, self.held.shape[1]))
-        base = len(self.cache)
-        for k in range(0, len(new), 1 << 15):
-            some = new[k : k + (1 << 15)]
-            rows = self.held[base + k : base + k + len(some)]
-            rows[:, :-4] = self.lengths(some)
-            rows[:, -4] = rows[:, :-4].min(axis=1, initial=np.inf)
-            rows[:, -3] = np.fromiter(map(len, some), np.int64, len(some)) + 1
-            telling = np.fromiter((_TELLING.fullmatch(w) is not None for w in some), bool, len(some))
-            rows[:, -2:] = np.where(telling[:, None], rows[:, -4:-2], 0.0)
-        self.cache.update(zip(new, range(base, base + len(new)), strict=True))
-        get = self.cache.__getitem__
-        for bag in bags:
-            yield self.held[np.fromiter(map(get, bag), np.int64, len(bag))].sum(axis=0)
-
-    def texts(self, texts) -> Iterator[tuple[str, float, bool]]:
-        """``(language, score, whether its code is as short as the learned languages')`` of each text."""
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, least bits of any language, bytes, whether it says something of a language)`` of each word,
+        with the white space after it, and of the white space that a text begins with."""
+        raw, window, ends = windows(texts, self.trees.order)
+        if not len(raw):
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, bool)
+        space = _SPACE[raw]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        starts = np.concatenate([[0], ends[:-1]])
+        begins[starts[np.diff(ends, prepend=0) > 0]] = True
+        at = np.flatnonzero(begins)
+        kinds = _KIND[raw]
+        sign = _SIGN[raw]
+        kinds[1:] += (sign[1:] & sign[:-1] & ~begins[1:]).astype(np.int64) << 40
+        kinds = np.add.reduceat(kinds, at)
+        least = np.add.reduceat(self.bits(window), at, axis=0, dtype=np.float64).min(axis=1, initial=np.inf)
+        telling = (kinds & 0xFFFFF == 0) & (kinds >> 40 == 0) & (kinds >> 20 > 0)
+        return np.searchsorted(ends, at, side="right"), least, np.diff(np.append(at, len(raw))), telling
+
+    def texts(self, texts, bounded: bool = False) -> Iterator[tuple[str, float, bool]]:
+        """``(language, score, whether its code is as short as the learned languages')`` of each text; the last
+        is only asked if ``bounded``."""
         held, size = [], 0
         for text in texts:
             held.append(text)
             size += len(text) if text else 0
             if size >= BLOCK_CHARS:
-                yield from self._judge(held)
+                yield from self._judge(held, bounded)
                 held, size = [], 0
-        yield from self._judge(held)
-
-    def _judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
-        bags = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-        for bag, sums in zip(bags, self._block(bags), strict=True):
-            bits, (least, n, told_least, told_n) = sums[:-4], sums[-4:]
-            if not bag or not len(bits):
+        yield from self._judge(held, bounded)
+
+    def _judge(self, texts: list[str | None], bounded: bool) -> Iterator[tuple[str, float, bool]]:
+        raw = [encoded(t) if t and any(map(str.isalpha, t)) else b"" for t in texts]
+        lengths, known = self.lengths(raw), np.ones(len(raw), bool)
+        if bounded and any(raw):
+            of, least, n, telling = self.words(raw)
+            total, told = (np.stack([np.bincount(of, w * x, len(raw)) for x in (least, n)]) for w in (1, telling))
+            total = np.where(told[1] >= TELLING_SHARE * total[1], told, total)
+            known = [bool(t) and self.trees.bound.holds(b, k) for t, b, k in zip(raw, *total, strict=True)]
+        for t, bits, sure in zip(raw, lengths, known, strict=True):
+            if not t or not len(bits):
                 yield UNDETERMINED, 0.0, False
                 continue
-            if told_n >= TELLING_SHARE * n:
-                least, n = told_least, told_n
             best = int(bits.argmin())
-            share = np.exp2(-(bits - bits[best]) / len(bag))
-            yield self.trees.languages[best], float(1 / share.sum()), self.trees.bound.holds(least, n)
+            share = np.exp2(-(bits - bits[best]) / len(t.split()))
+            yield self.trees.languages[best], float(1 / share.sum()), bool(sure)
 
 
 def scorer(trees: Trees) -> Scorer:
@@ -227,7 +242,8 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER) -> Trees:
     """Learn from ``docs`` (doc_id, text, lang) that aren't held out: of each language whole texts of the
-    ``docs_per_language`` documents whose ids hash least."""
+    ``docs_per_language`` documents whose ids hash least (rows that share such an id and language all count).
+    Null texts and nulls in lang teach nothing; without a usable row there is no language, and every text is ``und``."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= docs_per_language).select("doc_id", "lang").distinct()
@@ -260,9 +276,10 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, trees: Trees, least_score: float = KEEP_SCORE) -> DataFrame:
-    """The rows of ``docs`` in learned languages: a score of at least ``least_score``, and a code within the bound."""
+    """The rows of ``docs``, with all their columns, in learned languages: a score of at least ``least_score``, and a
+    code within the bound.  Null texts and those without a letter go; repeated rows stay or go together."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    return store.filter_texts(docs, lambda: lambda texts: [lang != UNDETERMINED and s >= least_score and known for lang, s, known in scorer(model.value).texts(texts)])
+    return store.filter_texts(docs, lambda: lambda texts: [lang != UNDETERMINED and s >= least_score and known for lang, s, known in scorer(model.value).texts(texts, bounded=True)])
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
