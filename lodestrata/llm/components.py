@@ -48,7 +48,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = known.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    return stars.unionAll(known.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    out = stars.unionAll(known.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    out._lodestrata_path = known._lodestrata_path  # for store.release
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -1,13 +1,16 @@
 """Near-duplicate texts: universal hash minima, banding, signature verification, components.
 
-1. Every document becomes its set of distinct 5-word shingles; documents of equal sets are one class.
+1. Every document becomes its set of distinct 5-word shingles; documents of equal sets are one class, which has a
+   number of its own, whatever ids its documents have.
 2. A class has ``BANDS * ROWS`` hash minima.  At similarity 0.75 a pair shares no band with a chance of
    (1 - 0.75**4)**32 = 5e-6.
-3. In each bucket of a band every class is compared with the bucket's least class (a star, so a bucket of
+3. In each bucket of a band every class is compared with the bucket's first class (a star, so a bucket of
    n classes costs n - 1 comparisons): first the signatures, then the full sets.  Only confirmed links stay.
 4. Components of these links.  A bucket all of whose classes fell into one component is done.  In any
-   other bucket every class outside its largest component is compared with all classes of the other
-   components, in blocks of bounded size, so that no link is lost that a star missed.
+   other bucket the signatures of every class outside its largest component are compared with those of all
+   classes of the other components, in blocks of bounded size, each pair in the first band that it shares; the
+   classes of a block that agree with some other get their sets, and the sets decide, so that no link is lost
+   that a star missed.
 5. Components of all links.
 
 Hot groups: copies collapse before anything is paired; buckets are reduced by a partial minimum; blocks
@@ -47,7 +50,7 @@ def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ns.append(len(s))
             keys.append(set_key(s) if len(s) else None)
             sigs.append(minima(s).tobytes() if len(s) else None)
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": ns, "set_key": keys, "signature": sigs})
+        yield frame[["doc_id", "h1", "h2"]].astype({"doc_id": "Int64"}).assign(n_shingles=ns, set_key=keys, signature=sigs)
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +65,7 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def alike(sig_a: bytes, sig_b: bytes) -> bool:
-    return (np.frombuffer(sig_a, "<u4") == np.frombuffer(sig_b, "<u4")).mean() >= SURE_SHARE
+    return np.count_nonzero(np.frombuffer(sig_a, "<u4") == np.frombuffer(sig_b, "<u4")) >= SURE_SHARE * BANDS * ROWS
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -84,6 +87,34 @@ def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
 
 
+def _candidates(probes: pd.DataFrame, others: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Per probe the places of those others of another component whose signatures agree, if this is the first band the
+    two share; a pair of two probes is seen from the one of lower number."""
+    if not len(others):
+        return
+    theirs = np.stack([np.frombuffer(x, "<u4") for x in others["signature"]])
+    turned = np.ascontiguousarray(theirs.T)
+    comps, nodes, free = (others[c].to_numpy() for c in ("component", "node", "main"))
+    for c, u, band, sig in zip(probes["component"], probes["node"], probes["band"], probes["signature"], strict=True):
+        mine = np.frombuffer(sig, "<u4")
+        agree = (turned == mine[:, None]).sum(axis=0, dtype=np.uint8)
+        near = np.flatnonzero((agree >= SURE_SHARE * BANDS * ROWS) & (comps != c) & (free | (nodes > u)))
+        if len(near):
+            same = (theirs[near] == mine).reshape(len(near), BANDS, ROWS).all(axis=2)
+            near = near[same.argmax(axis=1) == band]
+        yield near
+
+
+def _agreeing(frame: pd.DataFrame) -> pd.DataFrame:
+    """The classes in one block of a mixed bucket whose signatures agree with some class's of another component."""
+    probes, others = frame[frame["probe"]], frame[~frame["probe"]]
+    mine, theirs = np.zeros(len(probes), bool), np.zeros(len(others), bool)
+    for i, near in enumerate(_candidates(probes, others)):
+        mine[i] = len(near)
+        theirs[near] = True
+    return pd.concat([probes[mine], others[theirs]])
+
+
 def _cross(frame: pd.DataFrame) -> pd.DataFrame:
     """Links between components in one block of a mixed bucket; one per pair of components is enough."""
     probes, others = frame[frame["probe"]], frame[~frame["probe"]]
@@ -96,96 +127,158 @@ def _cross(frame: pd.DataFrame) -> pd.DataFrame:
         return x
 
     rows = []
-    if len(probes) and len(others):
-        theirs = np.stack([np.frombuffer(x, "<u4") for x in others["signature"]])
-        comps, ids, sets = others["component"].to_numpy(), others["rep"].to_numpy(), others["shingles"].to_list()
-        for c, u, s, sig in zip(probes["component"], probes["rep"], probes["shingles"], probes["signature"], strict=True):
-            near = np.flatnonzero((theirs == np.frombuffer(sig, "<u4")).mean(axis=1) >= SURE_SHARE)
-            mine = np.frombuffer(s, "<u8")
-            for k in near.tolist():
-                if find(int(c)) != find(int(comps[k])) and linked(mine, np.frombuffer(sets[k], "<u8")):
-                    root[find(int(c))] = find(int(comps[k]))
-                    rows.append((int(u), int(ids[k])))
+    comps, ids, sets = others["component"].to_numpy(), others["node"].to_numpy(), others["shingles"].to_list()
+    for c, u, s, near in zip(probes["component"], probes["node"], probes["shingles"], _candidates(probes, others), strict=False):
+        mine = np.frombuffer(s, "<u8")
+        for k in near.tolist():
+            if find(int(c)) != find(int(comps[k])) and linked(mine, np.frombuffer(sets[k], "<u8")):
+                root[find(int(c))] = find(int(comps[k]))
+                rows.append((int(u), int(ids[k])))
     return pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document ``doc_id, n_shingles, component_id, kept``.
+_BLOCK_KEY = ["bucket", "block", "probe_block"]
+
+
+def _per_block(run, columns: list[str]):
+    """``run`` over the rows of each block, which come one after the other."""
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            key = frame[_BLOCK_KEY].to_numpy()
+            ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            starts = [0, *ends.tolist()]
+            found = [run(frame.iloc[a:b])[columns] for a, b in zip(starts, ends.tolist())]
+            if found:
+                yield pd.concat(found)
+            held = frame.iloc[starts[-1] :]
+        if held is not None and len(held):
+            yield run(held)[columns]
+
+    return stream
 
-    A null, empty or blank text has no shingles and links with nothing.  Rows without a doc_id link with
-    nothing and are kept, with a null component_id.  Rows that share a doc_id count as one document: their
-    links join them.  Other columns are ignored; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    store.small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = store.materialize(rows.mapInPandas(_signatures, "doc_id long, n_shingles long, set_key binary, signature binary"), "signatures")
-    classes = store.materialize(
-        marked.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes"
-    )
 
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    buckets = classes.select("rep", "set_key", band.alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "set_key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared_buckets = store.materialize(buckets.join(hubs, "bucket").select("bucket", "n", "rep", "set_key", F.col("hub.rep").alias("hub_rep"), F.col("hub.set_key").alias("hub_key")), "buckets")
+def _by_block(rows: DataFrame, run, schema: str) -> DataFrame:
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return rows.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY).mapInPandas(_per_block(run, columns), schema)
 
-    star = shared_buckets.where("set_key <> hub_key").select("rep", "set_key", "hub_rep", "hub_key").distinct()
-    wanted = shared_buckets.select(F.col("rep").alias("doc_id")).distinct()
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` its doc_id, two hashes of its text, n_shingles and, unless doc_id is null or the set empty,
+    the number ``part`` of its component, and ``least``, the smallest doc_id in it."""
+    spark = docs.sparkSession
+    mine: list[DataFrame] = []
+
+    def keep(table: DataFrame, what: str) -> DataFrame:
+        mine.append(store.materialize(table, what))
+        return mine[-1]
+
+    def grouped(links: DataFrame) -> DataFrame:
+        found = connected_components(links)
+        mine.append(found)
+        return keep(found, "components")
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    with store.batches_of(spark, store.TEXT_ROWS):
+        marked = keep(rows.mapInPandas(_signatures, "doc_id long, h1 long, h2 long, n_shingles long, set_key binary, signature binary"), "signatures")
+    usable = marked.where("doc_id is not null and set_key is not null")
+    # The numbers of classes are fixed by the table that is written.
+    classes = keep(usable.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    buckets = classes.select("node", "least", "set_key", F.posexplode(bands).alias("band", "bucket"))
+    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("node", "set_key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared_buckets = keep(buckets.join(hubs, "bucket").select("bucket", "band", "n", "node", "least", "set_key", F.col("hub.node").alias("hub_node"), F.col("hub.set_key").alias("hub_key")), "buckets")
+
+    star = shared_buckets.where("node <> hub_node").select("node", "set_key", "hub_node", "hub_key").distinct()
+    wanted = shared_buckets.select(F.col("least").alias("doc_id")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = store.materialize(rows.join(wanted, "doc_id", "left_semi").select("text").mapInPandas(_sets, "set_key binary, shingles binary, signature binary").dropDuplicates(["set_key"]), "sets")
+    with store.batches_of(spark, store.TEXT_ROWS):
+        sets = keep(rows.join(wanted, "doc_id", "left_semi").select("text").mapInPandas(_sets, "set_key binary, shingles binary, signature binary"), "sets")
+    if sets.count() > sets.agg(F.count_distinct("set_key")).first()[0]:  # rows that share an id
+        sets = keep(sets.dropDuplicates(["set_key"]), "sets")
 
     def of(key: str, suffix: str) -> DataFrame:
         return sets.select(F.col("set_key").alias(key), F.col("shingles").alias(f"set_{suffix}"), F.col("signature").alias(f"sig_{suffix}"))
 
-    pairs = star.join(of("set_key", "a"), "set_key").join(of("hub_key", "b"), "hub_key").select(F.col("rep").alias("u"), F.col("hub_rep").alias("v"), "sig_a", "sig_b", "set_a", "set_b")
+    pairs = star.join(of("set_key", "a"), "set_key").join(of("hub_key", "b"), "hub_key").select(F.col("node").alias("u"), F.col("hub_node").alias("v"), "sig_a", "sig_b", "set_a", "set_b")
     with store.batches_of(spark, PAIR_ROWS):
-        links = store.materialize(pairs.mapInPandas(_confirm, "u long, v long"), "links")
-    first = store.materialize(connected_components(links), "components")
+        links = keep(pairs.mapInPandas(_confirm, "u long, v long"), "links")
+    first = grouped(links)
 
-    extra = _missed(shared_buckets, sets, first)
+    extra = _missed(shared_buckets, classes, sets, first, keep)
     if extra.limit(1).count():
-        first = store.materialize(connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(extra)), "components")
-
-    named = classes.join(first, classes["rep"] == first["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return (
-        marked.select("doc_id", "n_shingles", "set_key")
-        .join(named, "set_key", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+        first = grouped(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(extra))
+
+    parts = classes.select("set_key", "least", "node").join(first, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("part"))
+    parts = keep(parts, "parts")
+    several = parts.groupBy("part").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "first")
+    parts = parts.join(several, "part", "left").select("set_key", "part", F.coalesce("first", "least").alias("least"))
+    known = F.col("doc_id").isNotNull()
+    found = marked.select("doc_id", "h1", "h2", "n_shingles", "set_key").join(parts, "set_key", "left")
+    found = store.materialize(found.select("doc_id", "h1", "h2", "n_shingles", F.when(known, F.col("part")).alias("part"), F.when(known, F.col("least")).alias("least")), "grouped")
+    for table in mine:
+        store.release(table)
+    return found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` ``doc_id, n_shingles, component_id, kept``.
+
+    A null, empty or blank text has no shingles and links with nothing.  Rows without a doc_id link with
+    nothing and are kept, with a null component_id.  Rows that share a doc_id are documents of their own: each gets
+    the smallest doc_id that its own text reaches.  Other columns are ignored; an empty table gives no rows.
+    """
+    component = F.coalesce("least", "doc_id")
+    return _grouped(docs).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _missed(shared_buckets: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
+def _missed(shared_buckets: DataFrame, classes: DataFrame, sets: DataFrame, components: DataFrame, keep) -> DataFrame:
     """Links between components that still share a bucket."""
-    members = shared_buckets.join(components, shared_buckets["rep"] == components["node"], "left").select("bucket", "rep", "set_key", F.coalesce("component", "rep").alias("component"))
+    members = shared_buckets.select("bucket", "band", "node", "set_key").join(components, "node", "left").select("bucket", "band", "node", "set_key", F.coalesce("component", "node").alias("component"))
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
-    held = members.join(mixed.select("bucket", "n", F.col("most.component").alias("main"), F.col("most.n").alias("main_n")), "bucket")
-    held = store.materialize(
-        held.withColumns({
-            "probe": F.col("component") != F.col("main"),
-            "blocks": F.ceil(F.col("n") / BLOCK),
-            "probe_blocks": F.ceil((F.col("n") - F.col("main_n")) / BLOCK),
-        }),
-        "mixed",
-    )
-    lot = F.xxhash64("set_key")
-    roles = held.select("bucket", "rep", "set_key", "component", F.lit(False).alias("probe"), F.pmod(lot, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("probe_blocks") - 1)).alias("probe_block")).unionAll(
-        held.where("probe").select("bucket", "rep", "set_key", "component", "probe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(lot, "probe_blocks").alias("probe_block"))
+    held = members.join(mixed.select("bucket", "n", F.col("most.component").alias("largest"), F.col("most.n").alias("main_n")), "bucket")
+    held = held.withColumns({
+        "main": F.col("component") == F.col("largest"),
+        "blocks": F.ceil(F.col("n") / BLOCK),
+        "probe_blocks": F.ceil((F.col("n") - F.col("main_n")) / BLOCK),
+    })
+    held = keep(held.join(classes.select("node", "signature"), "node"), "mixed")
+    lot, same = F.xxhash64("set_key"), ("bucket", "band", "node", "set_key", "component", "main", "signature")
+    roles = held.select(*same, F.lit(False).alias("probe"), F.pmod(lot, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("probe_blocks") - 1)).alias("probe_block")).unionAll(
+        held.where("not main").select(*same, F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(lot, "probe_blocks").alias("probe_block"))
     )
-    return store.materialize(roles.join(sets, "set_key").groupBy("bucket", "block", "probe_block").applyInPandas(_cross, "u long, v long").distinct(), "cross-links")
+    near = keep(_by_block(roles, _agreeing, "bucket long, block long, probe_block long, band int, node long, set_key binary, component long, main boolean, probe boolean"), "agreeing")
+    with store.batches_of(sets.sparkSession, PAIR_ROWS):
+        return keep(_by_block(near.join(sets, "set_key"), _cross, "u long, v long").distinct(), "cross-links")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the document of least id stays, once."""
-    found = store.materialize(near_duplicates(docs).where("doc_id is not null"), "found")
-    gone = found.where("not kept").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # A null doc_id is no id: such rows all stay.
-        return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
-    return kept
+    """The rows of ``docs``, with all their columns, without near duplicates: of each group the row of least doc_id stays.
+
+    Rows that share a doc_id are told apart by their texts (two 64-bit hashes of them); of rows that share both, one
+    stays if it is the group's, else none.  Rows with a null doc_id and rows without a word link with nothing: all stay.
+    """
+    found = _grouped(docs).where("part is not null").select("part", F.struct("doc_id", "h1", "h2").alias("key"))
+    groups = found.groupBy("part").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rest = found.join(groups.select("part", "first"), "part").select("key", "first")
+    gone = store.materialize(rest.where("key <> first").distinct().select("key"), "gone")
+    again = store.materialize(rest.where("key = first").groupBy("key").count().where("count > 1").select("key"), "again")
+    few = gone.count() <= BROADCAST_IDS // 4 and again.count() <= BROADCAST_IDS // 4
+    gone, again = (F.broadcast(gone), F.broadcast(again)) if few else (gone, again)
+    key, order = store.free_name(docs.columns, "key"), store.free_name(docs.columns, "order")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
+    kept = keyed.join(gone.select(F.col("key").alias(key)), key, "left_anti")
+    again = again.select(F.col("key").alias(key))
+    if not again.limit(1).count():
+        return kept.select(*docs.columns)
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = kept.join(again, key, "left_semi").groupBy(key).agg(F.min_by(own, hashed).alias(order)).select(f"{order}.*")
+    return kept.join(again, key, "left_anti").select(*docs.columns).unionAll(one)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
