@@ -27,8 +27,9 @@ CACHE_WORDS, BLOCK_CHARS = 400_000, 1 << 20
 SPAN = 50
 #: What stands between the entries of a menu on one line.
 SEPARATORS = (" | ", " · ", " » ", " > ", " • ")
-#: A labeller finds a fault in at most this share of good documents; without that, a kind of bad document that
-#: one or two labellers know would pass for good ones that these labellers misjudge.
+#: Prior of the M step: flat over vote distributions in which a labeller finds a fault in at most this share of good
+#: documents, and none beyond.  Without it, a kind of bad document that one or two labellers know would pass for
+#: good ones that these labellers misjudge.
 MOST_FALSE_FAULTS = 0.005
 
 #: NONE: looked at, nothing found.  UNSEEN: the text is too short to be looked at, which says nothing.
@@ -169,7 +170,10 @@ class WeakLabels:
             # Rows: bad, good; one pseudo-count a vote keeps every chance above 0.
             self.chance = np.stack([np.stack([1 + (n[:, None] * p[:, None] * (votes == v)).sum(0) for v in (BAD, NONE, GOOD)]) for p in (1 - good, good)])
             self.chance /= self.chance.sum(axis=1, keepdims=True)
-            self.chance[1, BAD] = np.minimum(self.chance[1, BAD], MOST_FALSE_FAULTS)
+            # The most probable distribution under the prior: beyond its edge, the edge, and the other votes in their proportion.
+            most = np.minimum(self.chance[1, BAD], MOST_FALSE_FAULTS)
+            self.chance[1, NONE:] *= (1 - most) / (1 - self.chance[1, BAD])
+            self.chance[1, BAD] = most
             self.chance = np.concatenate([self.chance, np.ones_like(self.chance[:, :1])], axis=1)  # UNSEEN
             good = self.posterior(votes)
             if np.abs(good - before).max(initial=0) < 1e-6:
@@ -232,11 +236,25 @@ class Model:
         self.labels, self.weights, self.bias = labels, weights, bias
 
 
+def _sample(rows: DataFrame, n: int) -> list:
+    """The ``n`` documents of least id hash; rows that share id and pattern count once.  A bound on the hash, with room
+    to spare, comes first, so that tasks send the driver little more than it keeps."""
+    total, at = rows.count(), F.xxhash64("doc_id")
+    part = 4 * n / max(total, 1)
+    while True:
+        some = rows if part >= 1 else rows.where(at < F.lit(int((part - 0.5) * 2**64)))
+        some = some.groupBy("doc_id", "pattern").agg(F.first("buckets").alias("buckets"), F.first("weights").alias("weights"))
+        found = some.orderBy(at, "doc_id", "pattern").limit(n).collect()
+        if len(found) == n or part >= 1:
+            return found
+        part *= 4
+
+
 def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Estimate the labellers from all ``rows`` of :func:`features`, then fit the scorer on ``sample_docs`` of them."""
     counts = rows.groupBy("pattern").count().collect()  # distinct patterns: at most 4 ** labellers, a few hundred in practice
     labels = WeakLabels(np.asarray([r["pattern"] for r in counts], np.int64), np.asarray([r["count"] for r in counts], np.int64))
-    sample = rows.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(sample_docs).collect()
+    sample = _sample(rows.where("doc_id is not null"), sample_docs)
     found = [(np.asarray(r.buckets, np.int64), np.asarray(r["weights"])) for r in sample]
     target = labels.posterior(votes_of(np.asarray([r.pattern for r in sample], np.int64))) if sample else np.empty(0)
     return Model(labels, *fit_scorer(found, target))
