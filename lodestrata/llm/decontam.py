@@ -13,8 +13,8 @@ text.  Two exact prunings by upper bounds come before a score is computed:
 What is retrieved is verified on five-word shingles: the share of the item's, of its question's and of its
 answer's shingles that the passage has.
 
-The index is built from blocks of items of bounded size, each broadcast in its turn, with document
-frequencies over all items.
+The index is built from blocks of items of bounded size, with document frequencies over all items; a pass over the
+passages searches several blocks, which are broadcast together.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ K1, B, SCORE_SHARE = 1.2, 0.75, 0.5
 #: Share of an item's own score that may lie in its non-essential terms.
 REST_SHARE = 0.2
 POSTINGS_BLOCK, LEAST_PASSAGE = 64, 64
-#: Characters of items indexed and broadcast at once.
-INDEX_CHARS = 32 << 20
+#: Characters of items in a block of the index, and blocks that are broadcast at once.
+INDEX_CHARS, PASS_BLOCKS = 4 << 20, 4
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -190,43 +191,66 @@ class Index:
         return [best[d] for d in sorted(best)]
 
 
+def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per item its distinct terms, and a row without a term for its length."""
+    for frame in frames:
+        bags = [words(t) for t in frame["text"]]
+        rows = [(b, t, 0) for b, ws in zip(frame["block"], bags, strict=True) for t in set(ws)]
+        rows += [(b, None, len(ws)) for b, ws in zip(frame["block"], bags, strict=True) if ws]
+        yield pd.DataFrame(rows, columns=["block", "term", "n"])
+
+
 def build_indexes(items: DataFrame, index_chars: int = INDEX_CHARS) -> Iterator[Index]:
     """Indexes over blocks of ``items`` (item_id, text) of about ``index_chars`` characters each.
 
     Items without an id, without a word, or null are left out; repeated item_ids are items of their own.
+    The driver holds one block at a time, with the frequencies of its own terms.
     """
-    usable = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
+    usable = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // index_chars))
-    frequencies: Counter = Counter()
-    total = length = 0
-    parts = [usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
-    for part in parts:
-        for r in part.toLocalIterator():
-            ws = words(r.text)
-            if ws:
-                frequencies.update(set(ws))
-                total, length = total + 1, length + len(ws)
-    for part in parts:
-        rows = [(r.item_id, r.text) for r in part.toLocalIterator() if words(r.text)]
+    usable = usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    terms = None
+    if blocks > 1:
+        terms = store.materialize(usable.mapInPandas(_terms, "block long, term string, n long"), "terms")
+        frequency = store.materialize(terms.where("term is not null").groupBy("term").agg(F.count("*").alias("n")), "frequencies")
+        total, length = terms.where("term is null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    for k in range(blocks):
+        rows = [(r.item_id, r.text) for r in usable.where(F.col("block") == k).orderBy("item_id", "text").toLocalIterator() if words(r.text)]
+        if terms is None:
+            bags = [words(t) for _, t in rows]
+            frequencies: dict[str, int] = Counter(t for bag in bags for t in set(bag))
+            total, length = len(rows), sum(map(len, bags))
+        else:
+            own = terms.where((F.col("block") == k) & F.col("term").isNotNull()).select("term").distinct()
+            frequencies = {r.term: r.n for r in frequency.join(own, "term").toLocalIterator()}
         yield Index(rows, frequencies, total, length / max(total, 1))
+    if terms is not None:
+        store.release(terms)
+        store.release(frequency)
+
 
+def _passes(docs: DataFrame, items: DataFrame, index_chars: int) -> Iterator:
+    """Broadcast lists of indexes, together over all items."""
+    indexes = build_indexes(items, index_chars)
+    while some := list(islice(indexes, PASS_BLOCKS)):
+        yield docs.sparkSession.sparkContext.broadcast(some)
 
-def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+
+def find_contamination(docs: DataFrame, items: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """A row per document and benchmark item that it contains: doc_id and ``HITS``.
 
-    Null, empty and clean texts give no row; repeated rows give theirs as often as they come.  A null
-    question or answer overlap means that the item has no such part.
+    Null, empty and clean texts give no row; repeated rows give theirs as often as they come; other columns are
+    ignored.  A null question or answer overlap means that the item has no such part.  No items: no rows.
     """
     store.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for index in build_indexes(items):
-        model = docs.sparkSession.sparkContext.broadcast(index)
+    for model in _passes(docs, items, index_chars):
 
         def run(frames: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                out = [(doc, *hit) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for hit in model.value.hits(text)]
+                out = [(doc, *hit) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for index in model.value for hit in index.hits(text)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "start"]).astype({"doc_id": "Int64"})
 
         part = rows.mapInPandas(run, f"doc_id long, {HITS}")
@@ -234,11 +258,13 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found
 
 
-def without_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all their columns."""
-    for index in build_indexes(items):
-        model = docs.sparkSession.sparkContext.broadcast(index)
-        docs = store.filter_texts(docs, lambda model=model: lambda texts: [not model.value.hits(t) for t in texts])
+def without_contamination(docs: DataFrame, items: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, with all their columns.
+
+    Null and empty texts stay; repeated rows stay or go together; no items: all rows stay.
+    """
+    for model in _passes(docs, items, index_chars):
+        docs = store.filter_texts(docs, lambda model=model: lambda texts: [not any(index.hits(t) for index in model.value) for t in texts])
     return docs
 
 
