@@ -5,7 +5,8 @@ of its chunks in order.  Corpora repeat their chunks: each is encoded once and k
 the new ones of a block of texts together in one call of the library.  The pattern is applied here only to
 texts of Latin letters up to U+024F, whose classes are the same in every version of Unicode; any other
 text goes to the library whole, and so does a text that holds the content of an added token, such as
-``<|endoftext|>``, which the library takes for that token before it splits.
+``<|endoftext|>``, which the library takes for that token before it splits.  A vocabulary that splits a probe text in
+another way than by these two patterns gives every text to the library whole.
 """
 
 from __future__ import annotations
@@ -45,6 +46,14 @@ _WITH_SPACE = re.compile(rf"{_SUFFIXES}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[
 _WITHOUT_SPACE = re.compile(rf"{_SUFFIXES}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
+#: Chunks of every kind side by side; a vocabulary that isn't split by the patterns gives other ids for its chunks.
+_PROBE = (
+    " It's  we'll'd THEY'RE I'm o'clock   12 3456 7.5e10 a1b2 x_y-z (ok)?! ... end.\n\n\tTab \r\n line  \n  lead",
+    "àÉß ŒuvreŊ 1½²³ «q» ¿qué? naïve façade\n \n x\n\ny  z ",
+    "a  b   c    d\t\te\n\n\nf 's't ' t'' \"'s\" --'ll--",
+)
+
+
 class Encoder:
     """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -56,12 +65,15 @@ class Encoder:
         self.cache_chunks = cache_chunks
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        spec = self.library.pre_tokenizer.__getstate__()
+        spec = self.library.pre_tokenizer.__getstate__() if self.library.pre_tokenizer else ""
         self.drops_space = '"Removed"' in (spec.decode() if isinstance(spec, bytes) else str(spec))
         # Between chunks: text that is one id, which no chunk has, and that touches no chunk's merges.
         self.between, mark = (" \x01 ", "\x01") if self.drops_space else ("\n", "\n")
         ids = self.library.encode(mark, add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
+        self.by_chunks = True
+        self.by_chunks = self._block(list(_PROBE)) == [self.whole(t) for t in _PROBE]
+        self.cache, self.before = {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -93,7 +105,7 @@ class Encoder:
         new: dict[str, None] = {}
         holes: list[tuple[list[bytes], int, str]] = []
         for t in texts:
-            if t and (_ODD.search(t) or self.added.search(t)):
+            if t and (not self.by_chunks or _ODD.search(t) or self.added.search(t)):
                 found.append(None)
                 continue
             chunks = self._split(t) if t else []
