@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import store, vocab
 
-#: Rows of documents a shard is made for, and the shards a small corpus gets at least.
-SHARD_DOCS, LEAST_SHARDS = 20_000, 1
+#: Rows of documents and bytes of their texts a shard is made for, and the shards a small corpus gets at least.
+SHARD_DOCS, SHARD_BYTES, LEAST_SHARDS = 20_000, 64 << 20, 1
 #: Ids a shard's writer holds before it appends them to the file.
 BLOCK_BYTES = 8 << 20
 
@@ -94,7 +94,8 @@ def write_token_files(docs: DataFrame, base: str, tokenizer: str, end_id: int =
 
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
     width = 2 if max(size - 1, end_id) < 1 << 16 else 4
-    n = partitions or max(LEAST_SHARDS, -(-docs.count() // shard_docs))
+    docs_in, bytes_in = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    n = partitions or max(LEAST_SHARDS, -(-docs_in // shard_docs), -(-bytes_in // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     shards = sorted(ordered.mapInPandas(_writer(base, tokenizer, end_id, width), _SHARD).collect())
@@ -120,9 +121,11 @@ def map_flat(uri: str, kind) -> np.ndarray:
 def _reader(base: str, width: int):
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for stem, before in zip(frame["stem"], frame["ids_before"], strict=True):
+            for stem, before, digest in zip(frame["stem"], frame["ids_before"], frame["crc32"], strict=True):
                 ids, idx = map_flat(f"{base}/{stem}.ids", f"<u{width}"), map_flat(f"{base}/{stem}.idx", "<u8").astype("i8")
                 doc = map_flat(f"{base}/{stem}.doc", [("id", "<i8"), ("null", "u1")])
+                if zlib.crc32(ids) != digest or len(idx) != len(doc) + 1 or idx[-1] != len(ids):
+                    raise ValueError(f"{stem} is not what was written")
                 for lo in range(0, len(doc), 4096):
                     some = doc[lo : lo + 4096]
                     cuts = idx[lo : lo + len(some) + 1]
@@ -137,12 +140,13 @@ def _reader(base: str, width: int):
 
 
 def read_token_files(spark: SparkSession, manifest: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of every document; ids as unsigned 32-bit bytes."""
+    """``doc_id, start, n_tokens, ids`` of every document; ids as unsigned 32-bit bytes.  Files that are cut or changed
+    are an error."""
     base = manifest.rpartition("/")[0]
     fs, path = store.filesystem(manifest)
     with fs.open_input_stream(path) as f:
         head = json.loads(f.read())
-    shards = spark.createDataFrame([(s["stem"], s["ids_before"]) for s in head["shards"]], "stem string, ids_before long")
+    shards = spark.createDataFrame([(s["stem"], s["ids_before"], s["crc32"]) for s in head["shards"]], "stem string, ids_before long, crc32 long")
     return shards.repartition(max(1, len(head["shards"]))).mapInPandas(_reader(base, head["width"]), "doc_id long, start long, n_tokens long, ids binary")
 
 
