@@ -15,6 +15,8 @@ shard by comparing their own name with the cuts: no join, and no hot group.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,9 @@ class _Intervals:
     def _load(self, prefixes: list[str]) -> None:
         """Replace each prefix (an interval's start) by its finer intervals: sum, groups, largest group."""
         deep = len(prefixes[0]) + DIGITS
-        rows = self.groups.where(F.substring("name", 1, len(prefixes[0])).isin(prefixes)) if prefixes != [""] else self.groups
+        rows = self.groups
+        if prefixes != [""]:  # ranges of names, which lie together in the files
+            rows = rows.where(reduce(or_, ((F.col("name") >= p) & (F.col("name") < p + "g") for p in prefixes)))
         for p in prefixes:
             self.parts.pop(p, None)
         for r in rows.groupBy(F.substring("name", 1, deep).alias("p")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("size").alias("m")).collect():
@@ -129,7 +133,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ),
         "shard-rows",
     )
-    groups = store.materialize(rows.groupBy("name").agg(F.sum("size").alias("size")), "shard-groups")
+    groups = rows.groupBy("name").agg(F.sum("size").alias("size"))
+    groups = store.materialize(groups.repartitionByRange("name").sortWithinPartitions("name"), "shard-groups")
     _, firsts = smallest_capacity(groups, shards)
     shard = F.lit(0)
     for first in firsts:

@@ -1,7 +1,7 @@
 """Shared storage: intermediate tables and files that every executor can read.
 
-The folder is the one that the cluster names in ``spark.checkpoint.dir``.  Only where that
-setting is absent (tests, a laptop) a temporary folder of this process is used instead.
+The folder is the one that the cluster names in ``spark.checkpoint.dir``.  Only a session within one process
+(tests, a laptop) may leave it out: a temporary folder of this process is used instead.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
     return _own[0]
