@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -14,6 +15,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestrata.llm import components, decontam, embeddings, html_text, langid, minhash, packing, quality, sharding, shingles, store, tokens, vocab, warc
@@ -62,6 +64,33 @@ def test_added_tokens_in_a_text_are_the_librarys(path):
     assert list(got) == want
 
 
+def test_vocabularies_that_split_otherwise_get_whole_texts(tmp_path):
+    import json
+
+    with open(BYTE) as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    other = vocab.Encoder(str(path))
+    texts = ["It's  a text, with 12 chunks.\n", "", None]
+    assert vocab.Encoder(BYTE).by_chunks and vocab.Encoder(WORD).by_chunks and not other.by_chunks
+    assert list(other.encode_many(texts)) == [other.whole(t or "") for t in texts]
+
+
+def test_changed_token_files_are_an_error(spark):
+    from pathlib import Path
+
+    manifest = tokens.write_token_files(spark.createDataFrame([(1, "some text"), (2, "more")], "doc_id long, text string"), store.new_dir(spark, "test-tokens"), BYTE)
+    assert tokens.read_token_files(spark, manifest).count() == 2
+    ids = next(Path(store.local_path(manifest)).parent.glob("*.ids"))
+    raw = bytearray(ids.read_bytes())
+    raw[0] ^= 1
+    ids.write_bytes(raw)
+    with pytest.raises(Exception, match="is not what was written"):
+        tokens.read_token_files(spark, manifest).count()
+
+
 @pytest.mark.parametrize("table", ["hard", "empty"])
 def test_token_files_round_trip(spark, request, table):
     docs = request.getfixturevalue(table)
@@ -228,8 +257,15 @@ def test_links_that_a_star_misses_are_found_in_mixed_buckets():
     base = np.unique(rng.integers(0, 2**63, 400, np.uint64))
     other = np.unique(np.concatenate([base[:60], rng.integers(0, 2**63, 340, np.uint64)]))
     near = np.unique(np.concatenate([base[:380], rng.integers(0, 2**63, 20, np.uint64)]))
-    frame = pd.DataFrame([{"rep": i, "component": i, "shingles": s.astype("<u8").tobytes(), "signature": minima(s).tobytes(), "probe": p} for p in (False, True) for i, s in enumerate((other, base, near)) if not p or i])
-    got = minhash._cross(frame)
+    frame = pd.DataFrame([{"bucket": 0, "block": 0, "probe_block": 0, "set_key": b"", "band": 0, "main": i == 0, "node": i, "component": i, "shingles": s.astype("<u8").tobytes(), "signature": minima(s).tobytes(), "probe": p} for p in (False, True) for i, s in enumerate((other, base, near)) if not p or i])
+    first = int(np.argmax((minima(base) == minima(near)).reshape(minhash.BANDS, minhash.ROWS).all(axis=1)))
+    for band in range(minhash.BANDS):  # a pair is seen in the first band that it shares
+        near = minhash._agreeing(frame.assign(band=band))
+        assert sorted(zip(near["node"], near["probe"])) == ([(1, True), (2, False)] if band == first else [])
+        got = minhash._cross(frame.assign(band=band))
+        assert sorted(map(tuple, minhash._cross(near).to_numpy().tolist())) == sorted(map(tuple, got.to_numpy().tolist()))
+        assert ({tuple(sorted(x)) for x in got.to_numpy().tolist()} == {(1, 2)}) == (band == first)
+    got = minhash._cross(frame.assign(band=first))
     assert {tuple(sorted(x)) for x in got.to_numpy().tolist()} == {(1, 2)}
 
 
@@ -239,7 +275,22 @@ def test_near_duplicates_of_hard_rows(hard, empty):
     assert all(r.n_shingles == 0 and r.component_id == r.doc_id for r in got if r.doc_id in (0, 1, 2))
     assert minhash.near_duplicates(empty).count() == 0
     kept = minhash.keep_one_of_each(hard)
-    assert kept.columns == hard.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 6]
+    left = [r.doc_id for r in kept.collect()]
+    assert kept.columns == hard.columns and sorted(i for i in left if i is not None) == [0, 1, 2, 3, 4, 4, 5, 6] and left.count(None) == 2
+    assert minhash.keep_one_of_each(empty).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart_by_their_texts(spark):
+    draw = random.Random(3)
+    a, b, c = (sentence(draw, 60) for _ in range(3))
+    near = a.rsplit(" ", 1)[0]
+    rows = [(1, a, 0), (1, b, 1), (1, a, 2), (1, near, 3), (2, a, 4), (2, c, 5), (2, c, 6), (None, a, 7), (None, a, 8), (3, "", 9), (3, "", 10), (3, None, 11), (0, c, 12), (4, near, 13)] + [(5, b.upper(), 14 + k) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key int").selectExpr("*", "map('a', key) AS h1", "key AS part", "struct(key) AS `order`")
+    got = {r.key: r for r in minhash.keep_one_of_each(table).collect()}
+    assert {7, 8, 9, 10, 11, 1, 12} <= set(got) and len(got) == 8 and len(set(got) & {0, 2, 3}) == 1
+    assert all(r.doc_id == rows[k][0] and r.text == rows[k][1] and r.h1 == {"a": k} and r.part == k and r.order.key == k for k, r in got.items())
+    marks = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(table).collect() if r.doc_id is not None)
+    assert marks == sorted([(1, 1)] * 4 + [(2, 1), (2, 0), (2, 0), (3, 3), (3, 3), (3, 3), (0, 0), (4, 1)] + [(5, 1)] * 300)
 
 
 def test_components_by_stars(spark):
@@ -380,6 +431,26 @@ def test_article_without_its_surroundings():
     assert html_text.main_text(lines, set()) == "Title & more\nOne two three four\nFive <x> six\nFive <x> six"
     assert html_text.lines_of(None) == [] and html_text.main_text([], set()) == ""
     assert html_text.main_text(html_text.lines_of("plain &amp text"), set()) == "plain & text"
+    text = lambda page, shared=None: html_text.main_text(html_text.lines_of(page), shared)
+    assert text("<article><p>A <a title=it's>x</a> b</p>") == "A x b" and text('<p title="a>b</p><p>next</p> <b') == "b\nnext"
+    assert text("<article><header class=page-header><h1>Headline</h1></header><p>body</p></article><header>no</header>") == "Headline\nbody"
+    assert text('<main><div class="search-results">found</div></main>') == "found" and text("a < b </ c > d <!-- e > f") == "a < b d"
+    # What is outside the article is decided by differencing, if there is a page to compare with.
+    page = "<div>intro</div><article>story</article><div>shared</div>"
+    assert text(page) == "story" and text(page, {2}) == "intro\nstory" and text(page, {1, 2}) == "intro\nstory"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30_000 + "</i>" * 30_000, '<a "' * 30_000, '<a ="' * 30_000, "<p>x" + "<a title=it's>y</a>" * 30_000, "<div>" + "<b>" * 30_000 + "<p>x</p>" * 30_000, "<!--" * 30_000, "<script>" * 30_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    html_text.lines_of(page)
+    assert time.time() - began < 2
+
+
+@pytest.mark.parametrize("a,b,n", [(["x"] * 100_000, ["x"] * 90_000, 90_000), (["a"] + ["x"] * 100_000, ["x"] * 100_000 + ["b"], 100_000), (list(map(str, range(100_000))), list(map(str, range(7, 100_007))), 99_993)])
+def test_long_pages_are_aligned(a, b, n):
+    began = time.time()
+    assert len(html_text.shared_lines(a, b)) == n and time.time() - began < 5
 
 
 @pytest.mark.parametrize(
@@ -404,9 +475,15 @@ def test_names_that_leave_out(attribute):
     assert html_text.main_text(html_text.lines_of(f"<p>kept</p><div {attribute}><p>gone</p></div>"), set()) == "kept"
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
-def test_shared_lines_are_a_longest_common_subsequence(a, b):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14), st.sampled_from([1, 1 << 40]))
+def test_shared_lines_are_a_longest_common_subsequence(a, b, held):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(html_text, "ALIGN_BYTES", held)
+        check_alignment(a, b)
+
+
+def check_alignment(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
@@ -439,6 +516,40 @@ def test_copies_do_not_delete_each_other(spark):
     assert all(got[20 + k] == "\n".join(story) for k in range(5)) and got[30].startswith("quite another story\n100")
 
 
+def test_pairing_equals_brute_force(spark):
+    """Pages of three hosts: every unmarked line is kept unless an alignment with a near page that is no copy holds it."""
+    draw = random.Random(12)
+    pages = []
+    for k in range(120):
+        own = [f"line {draw.randrange(10**6)} of its own" for _ in range(draw.randint(1, 6))]
+        lines = ["site", *(["promoted"] if draw.random() < 0.5 else []), *own, *(["tail"] if draw.random() < 0.7 else [])]
+        if pages and draw.random() < 0.3:
+            lines = [*draw.choice(pages)[2]]
+            if draw.random() < 0.5:
+                lines[-1] = "changed"
+        pages.append((k, f"http://h{draw.randrange(3)}/{draw.randrange(9)}/{draw.randrange(30)}", lines))
+
+    def copied(a, b):
+        return sum(len(x) * min(a.count(x), b.count(x)) for x in set(a)) >= html_text.COPY_SHARE * sum(map(len, a)) > 0
+
+    want = {}
+    for host in range(3):
+        own = sorted((u, k, lines) for k, u, lines in pages if u.startswith(f"http://h{host}/"))
+        first = []
+        for i, (_, _, lines) in enumerate(own):
+            if not first or not copied(lines, own[first[-1]][2]):
+                first.append(i)
+        for i, (_, k, lines) in enumerate(own):
+            run = max(j for j, at in enumerate(first) if at <= i)
+            near = ([i - 1, i - 2, *(at - 1 for at in first[run::-1])], [i + 1, i + 2, *first[run + 1 :]])
+            others = [x for side in near for x in [own[j][2] for j in dict.fromkeys(side) if 0 <= j < len(own) and not copied(lines, own[j][2])][: html_text.SIDES]]
+            gone = {j for b in others for j in html_text.shared_lines(lines, b)}
+            want[k] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    rows = [(k, u, "".join(f"<p>{x}</p>" for x in lines), "x") for k, u, lines in pages]
+    got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("path", F.lit(1))).collect()
+    assert {r.page_id: r.text for r in got} == want and sum("site" in t for t in want.values()) < 10
+
+
 # Decontamination
 
 
@@ -497,6 +608,10 @@ def test_indexes_in_blocks_find_the_same(spark):
     items = [(i, sentence(draw, 20)) for i in range(30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     text = " ".join(t for _, t in items[::3])
+    table = spark.createDataFrame([(1, text, "x"), (2, "none of it", "y"), (3, None, "z"), (1, text, "w")], "doc_id long, text string, score string")
+    some = [sorted(map(str, decontam.find_contamination(table, bench, n).collect())) for n in (100, 1 << 20)]
+    assert some[0] == some[1] and len(some[0]) == 20
+    assert [sorted(r.score for r in decontam.without_contamination(table, bench, n).collect()) for n in (100, 1 << 20)] == [["y", "z"]] * 2
     hits = lambda n: sorted(h[0] for index in decontam.build_indexes(bench, n) for h in index.hits(text))
     assert hits(500) == hits(1 << 20) == [i for i, _ in items[::3]]
 
@@ -504,41 +619,59 @@ def test_indexes_in_blocks_find_the_same(spark):
 # Language and quality
 
 
-def test_code_lengths_are_those_of_the_trees():
-    texts = {"a": ["the cat sat on the mat", "that hat"], "b": ["le chat est sur le tapis", "été"]}
-    trees = langid.Trees(texts, order=2)
+def code_length(text, texts, order):
+    """By brute force: the whole text's bits under counts of ``texts``."""
+    counts: dict[bytes, dict[int, int]] = {}
+    for t in texts:
+        s = b" " * order + langid.encoded(t)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts.setdefault(s[i - k : i], {}).setdefault(s[i], 0)
+                counts[s[i - k : i]][s[i]] += 1
+    s, total = b" " * order + langid.encoded(text), 0.0
+    for i in range(order, len(s)):
+        for k in range(order, -1, -1):
+            c = counts.get(s[i - k : i], {})
+            n, d = sum(c.values()), len(c)
+            if s[i] in c:
+                total += math.log2((n + d) / c[s[i]])
+                break
+            total += math.log2((n + d) / d) if c else 0
+        else:
+            total += 8
+    return total
+
+
+@pytest.mark.parametrize("order", [1, 2, 5, 7])
+def test_code_lengths_are_those_of_the_trees(order):
+    texts = {"a": ["the cat sat on the mat", "that hat", ""], "b": ["le chat est sur le tapis", "été\n été"], "c": ["x"]}
+    trees = langid.Trees(texts, order)
     judge = langid.Scorer(trees)
+    judge.shift, judge.keys, judge.rows = np.uint64(62), judge.keys[:4], judge.rows[:4]  # a table that nearly every window fights for
+    asked = ["the", "le chat  sat\ton the\r\nmat", "qqq", "ÉTÉ \U0001d4b3", "", "x", " x", "the hat est sur that chat " * 20]
+    for _ in range(2):
+        for t, row in zip(asked, judge.lengths([langid.encoded(t) for t in asked]), strict=True):
+            assert row == pytest.approx([code_length(t, texts[lang], order) for lang in "abc"], rel=1e-5)
+    for t, got in zip(asked, judge.texts(asked), strict=True):
+        want = [code_length(t, texts[lang], order) for lang in "abc"]
+        assert got[0] == ("abc"[int(np.argmin(want))] if t else "und")
+    of, least, n, _ = judge.words([langid.encoded(t) for t in asked])
+    for k, t in enumerate(asked):
+        assert n[of == k].sum() == len(langid.encoded(t)) and least[of == k].sum() <= min(code_length(t, texts[lang], order) for lang in "abc") + 1e-3
 
-    def bits(word, lang):
-        counts: dict[bytes, dict[int, int]] = {}
-        for t in texts[lang]:
-            for w in langid.words_of(t):
-                s = b" " + w + b" "
-                for i in range(1, len(s)):
-                    for k in range(0, min(2, i) + 1):
-                        counts.setdefault(s[i - k : i], {}).setdefault(s[i], 0)
-                        counts[s[i - k : i]][s[i]] += 1
-        s, total = b" " + word + b" ", 0.0
-        for i in range(1, len(s)):
-            cost = 0.0
-            for k in range(min(2, i), -1, -1):
-                c = counts.get(s[i - k : i])
-                if c is None:
-                    continue
-                n, d = sum(c.values()), len(c)
-                if s[i] in c:
-                    cost += math.log2((n + d) / c[s[i]])
-                    break
-                cost += math.log2((n + d) / d)
-            else:
-                cost += 8
-            total += cost
-        return total
-
-    words = [b"the", b"chat", b"qqq", "été".encode(), b"x", b"matte\xff"]
-    got = judge.lengths(words)
-    for w, row in zip(words, got):
-        assert row == pytest.approx([bits(w, "a"), bits(w, "b")], rel=1e-4)
+
+def test_words_that_say_something_of_a_language():
+    judge = langid.Scorer(langid.Trees({"a": ["abc"]}))
+    asked = ["  lead it's a1 a--b -a é 12 --- x", "", "\n", "end-", "a-b\n\nc"]
+    of, _, n, telling = judge.words([langid.encoded(t) for t in asked])
+    assert n.tolist() == [2, 5, 5, 3, 5, 3, 3, 3, 4, 1, 1, 4, 5, 1] and of.tolist() == [0] * 10 + [2, 3, 4, 4]
+    assert telling.tolist() == [False, True, True, False, False, True, True, False, False, True, False, True, True, True]
+
+
+def test_ties_go_to_the_first_language():
+    judge = langid.Scorer(langid.Trees({"b": ["same words"], "a": ["same words"]}))
+    got = list(judge.texts(["same words", "zzz", None, "12 34", "same"]))
+    assert [g[0] for g in got] == ["a", "a", "und", "und", "a"] and [g[1] for g in got] == [0.5, 0.5, 0, 0, 0.5]
 
 
 def test_languages_on_hard_rows(spark, hard, empty):
@@ -594,6 +727,62 @@ def test_quality_follows_the_labels_it_never_saw(spark):
     assert kept == {r.doc_id for r in quality.score(rows, model).where("kept").collect()}
 
 
+def naive_em(documents, rounds):
+    """Expectation-maximisation document by document, with plain sums."""
+    k = len(quality.LABELLERS)
+    good = [1 / (1 + math.exp(-12 * (sum(v == quality.GOOD for v in d) - 2 * sum(v == quality.BAD for v in d)) / k)) for d in documents]
+    for _ in range(rounds):
+        prior = min(max(sum(good) / len(good), 1e-6), 1 - 1e-6)
+        chance = []
+        for weights in ([1 - g for g in good], good):
+            own = []
+            for j in range(k):
+                n = [1 + sum(w for w, d in zip(weights, documents) if d[j] == v) for v in (quality.BAD, quality.NONE, quality.GOOD)]
+                own.append([x / sum(n) for x in n])
+            chance.append(own)
+        for own in chance[1]:
+            if own[0] > quality.MOST_FALSE_FAULTS:
+                rest = (1 - quality.MOST_FALSE_FAULTS) / (own[1] + own[2])
+                own[:] = [quality.MOST_FALSE_FAULTS, own[1] * rest, own[2] * rest]
+        good = []
+        for d in documents:
+            yes, no = prior, 1 - prior
+            for j, v in enumerate(d):
+                if v != quality.UNSEEN:
+                    yes, no = yes * chance[1][j][v], no * chance[0][j][v]
+            good.append(yes / (yes + no))
+    return good, chance
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_expectation_maximisation_equals_brute_force(seed):
+    draw = random.Random(seed)
+    documents = []
+    for _ in range(400):
+        bad = draw.random() < 0.3
+        documents.append([draw.choices(range(4), (0.4, 0.4, 0.1, 0.1) if bad else (0.03, 0.6, 0.3, 0.07))[0] for _ in quality.LABELLERS])
+    documents += [[quality.UNSEEN] * len(quality.LABELLERS)] * 5
+    patterns, back, counts = np.unique([quality.pattern(d) for d in documents], return_inverse=True, return_counts=True)
+    for rounds in (1, 7):
+        got = quality.WeakLabels(patterns, counts, rounds)
+        want, chance = naive_em(documents, rounds)
+        assert [got.by_pattern[p] for p in patterns[back].tolist()] == pytest.approx(want, abs=1e-9)
+        assert got.chance[:, :3].sum(axis=1) == pytest.approx(1) and got.chance[1, quality.BAD].max() <= quality.MOST_FALSE_FAULTS
+        assert np.moveaxis(got.chance[:, :3], 1, 2) == pytest.approx(np.asarray(chance))
+    assert sorted(quality.votes_of(patterns).tolist()) == sorted(set(map(tuple, documents)) and [list(d) for d in set(map(tuple, documents))])
+
+
+def test_the_sample_is_that_of_least_hash(spark):
+    rows = [(i % 5000 if i < 6000 else 3, i % 2 if i < 6000 else 1, [i % 2], [1.0]) for i in range(9000)] + [(None, 0, [0], [1.0])]
+    table = spark.createDataFrame(rows, "doc_id long, pattern long, buckets array<int>, weights array<float>").where("doc_id is not null")
+    ids = [r.doc_id for r in table.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(60).collect()]
+    for n in (1, 50, 20_000):
+        got = [(r.doc_id, r.pattern) for r in quality._sample(table, n)]
+        assert len(got) == min(n, table.select("doc_id", "pattern").distinct().count()) and len(set(got)) == len(got)
+        assert n > 50 or list(dict.fromkeys(i for i, _ in got)) == ids[: len({i for i, _ in got})]
+    assert quality._sample(table.where("false"), 5) == []
+
+
 def test_quality_of_hard_rows(hard, empty):
     rows = quality.features(hard)
     got = quality.score(rows, quality.train(rows)).collect()
