@@ -99,3 +99,18 @@ def phi_maximum(x: str, u: str, v: str) -> str:
 def spread_bits(value: str) -> str:
     """Every third bit: the bits of a 21-bit integer 3 apart, as a sum of shifted bits."""
     return "(" + " + ".join(f"(({value} >> {i}) & 1) * {1 << (3 * i)}" for i in range(21)) + ")"
+
+
+def level_key(num: str, den: str) -> str:
+    """A level num / den as a value that sorts like it: the quotient and 100 binary digits of the rest, by long
+    division.  Different levels have different keys while both denominators are below 2^43 and their product below 2^100."""
+    rest, digits = f"({num} % {den})", []
+    for _ in range(5):
+        digits.append(f"(({rest} * 1048576) div {den})")
+        rest = f"(({rest} * 1048576) % {den})"
+    return f"struct({num} div {den} AS q, ({digits[0]} * 1048576 + {digits[1]}) * 1048576 + {digits[2]} AS hi, {digits[3]} * 1048576 + {digits[4]} AS lo)"
+
+
+def level_order_sql(num: str = "num", den: str = "den") -> str:
+    """The same order for engines with 128-bit integers, as two keys: quotient, and 83 binary digits (denominators below 2^41)."""
+    return f"{num} // {den}, (CAST({num} % {den} AS HUGEINT) * 9671406556917033397649408) // {den}"

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import exact
 from .cloud import facets, gcd
 from .graph import components
-from .lineage import cut
+from .lineage import cut, let, spread
+from .spatial import nearest, pairs_within
+
+#: Points near a support's first point that are tried before the whole cloud.
+PROBES = 16
 
 NAMES = ("a", "b", "c", "d")
 
@@ -23,39 +27,65 @@ def label_text(label: str | Column) -> Column:
     return F.array_join(label, ",")
 
 
-def _tuples(points: DataFrame, size: int) -> DataFrame:
-    """All sorted tuples of ``size`` points of a cloud, with their coordinates, by joins on the cloud."""
+def level(num: str = "num", den: str = "den") -> Column:
+    """The exact level as a key that sorts."""
+    return F.expr(exact.level_key(num, den))
+
+
+def _tuples(points: DataFrame, size: int, pairs: DataFrame | None = None) -> DataFrame:
+    """All sorted tuples of ``size`` points of a cloud with their coordinates; with ``pairs(cloud, u, v)``, u < v, only
+    those whose points are all paired.  Work is dealt out by pairs, so a large cloud is no large task."""
     out = None
-    for name in NAMES[:size]:
+    for k, name in enumerate(NAMES[:size]):
         p = points.select("cloud", F.col("id").alias(f"{name}_id"), *(F.col(c).alias(f"{name}_{c}") for c in "xyz"))
-        out = p if out is None else out.join(p, "cloud").where(f"{prev}_id < {name}_id")
-        prev = name
+        if out is None:
+            out = p
+        elif pairs is None:
+            out = out.join(p, "cloud").where(f"{NAMES[k - 1]}_id < {name}_id")
+        else:
+            for n, earlier in enumerate(NAMES[k - 1 :: -1] if k > 1 else NAMES[:1]):
+                e = pairs.select("cloud", F.col("u").alias(f"{earlier}_id"), F.col("v").alias(f"{name}_id"))
+                out = out.join(e, ["cloud", f"{earlier}_id"] + [f"{name}_id"] * (n > 0))
+            out = out.join(p, ["cloud", f"{name}_id"])
+        if k == 1 and size > 2:
+            out = spread(out, "cloud", "a_id", "b_id")
     return out
 
 
-def k_subsets(points: DataFrame, k: int) -> DataFrame:
-    """``cloud, label`` of every k-subset: a join on the cloud per member, each id larger than the last."""
+def k_subsets(points: DataFrame, k: int, pairs: DataFrame | None = None) -> DataFrame:
+    """``cloud, label`` of every k-subset: a join on the cloud per member, each id larger than the last; with ``pairs``
+    (cloud, u, v), u < v, of those whose points are all paired."""
     out = points.select("cloud", F.array("id").alias("label"))
     for _ in range(k - 1):
-        out = out.join(points.select("cloud", "id"), "cloud").where(F.col("id") > F.element_at("label", -1)).select("cloud", F.concat("label", F.array("id")).alias("label"))
-    return out
-
-
-def supports(points: DataFrame, largest: int = 4) -> DataFrame:
+        last = F.element_at("label", -1)
+        if pairs is None:
+            out = out.join(points.select("cloud", "id"), "cloud").where(F.col("id") > last)
+        else:
+            out = out.withColumn("u", last).join(pairs.select("cloud", "u", F.col("v").alias("id")), ["cloud", "u"])
+        out = out.select("cloud", F.concat("label", F.array("id")).alias("label"))
+    if pairs is None or k < 3:
+        return out
+    # Every pair of a label is a pair: as many as it has, after an equi-join.
+    at = out.select("cloud", "label", F.explode(F.expr("flatten(transform(label, (x, i) -> transform(slice(label, i + 2, size(label)), y -> struct(x AS u, y AS v))))")).alias("e"))
+    whole = at.select("cloud", "label", "e.u", "e.v").join(pairs.select("cloud", "u", "v"), ["cloud", "u", "v"]).groupBy("cloud", "label").agg(F.count("*").alias("n"))
+    return whole.where(F.col("n") == k * (k - 1) // 2).select("cloud", "label")
+
+
+def supports(points: DataFrame, largest: int = 4, pairs: DataFrame | None = None) -> DataFrame:
     """Every affinely independent, well-centred support of 1 to ``largest`` points: ``cloud, label, num, den``
     (squared level, in lowest terms) and what its power test needs.  Well-centred: every barycentric numerator
-    of the circumcentre is positive; the test is part of the join's output filter, so obtuse triples go early.
+    of the circumcentre is positive.  With ``pairs`` only supports whose points are all paired.
     """
     one = points.select("cloud", F.array("id").alias("label"), F.lit(0).cast("long").alias("num"), F.lit(1).cast("long").alias("den"), F.lit(1).cast("long").alias("d"), *(F.lit(0).cast("long").alias(f"m{i}") for i in (1, 2, 3)), *(F.col(c).alias(f"a_{c}") for c in "xyz"), *(F.col(c).alias(f"{n}_{c}") for n in NAMES[1:] for c in "xyz"))
     out = one
     for size in range(2, largest + 1):
         names = list(NAMES[:size])
         ball = exact.circumball(names)
-        t = _tuples(points, size).withColumns({k: F.expr(v) for k, v in exact.gram_columns(names).items()})
-        t = t.withColumn("d", F.expr(ball["D"])).where("d > 0").withColumns({f"m{i + 1}": F.expr(m) for i, m in enumerate(ball["M"])})
         ms = [f"m{i + 1}" for i in range(size - 1)]
-        t = t.where(" AND ".join(f"{m} > 0" for m in ms) + f" AND 2 * d - ({' + '.join(ms)}) > 0")
-        t = t.withColumn("raw", F.expr(ball["level"])).withColumn("g", F.greatest(gcd(F.col("raw"), 4 * F.col("d")), F.lit(1).cast("long")))
+        t = let(_tuples(points, size, pairs), **exact.gram_columns(names))
+        t = let(t, d=ball["D"], **dict(zip(ms, ball["M"], strict=True)))
+        t = t.where("d > 0 AND " + " AND ".join(f"{m} > 0" for m in ms) + f" AND 2 * d - ({' + '.join(ms)}) > 0")
+        t = let(t, raw=ball["level"]).withColumn("g", F.greatest(gcd(F.col("raw"), 4 * F.col("d")), F.lit(1).cast("long")))
         t = t.select(
             "cloud", F.array(*(F.col(f"{n}_id") for n in names)).alias("label"), F.expr("raw div g").alias("num"), F.expr("(4 * d) div g").alias("den"), "d",
             *((F.col(f"m{i}") if i < size else F.lit(0).cast("long")).alias(f"m{i}") for i in (1, 2, 3)), *(F.col(f"{n if n in names else 'a'}_{c}").alias(f"{n}_{c}") for n in NAMES for c in "xyz"),
@@ -64,25 +94,52 @@ def supports(points: DataFrame, largest: int = 4) -> DataFrame:
     return out
 
 
-def classified(points: DataFrame, largest: int = 4) -> DataFrame:
-    """Supports with the points inside (``interior``) and on (``shell``) their ball: a join on the cloud and an aggregate."""
-    s = supports(points, largest)
-    side = F.expr(exact.power_sign(list(NAMES), "p"))
+def _classify(found: DataFrame, points: DataFrame, near: DataFrame | None) -> DataFrame:
     p = points.select("cloud", F.col("id").alias("p_id"), *(F.col(c).alias(f"p_{c}") for c in "xyz"))
-    met = s.join(p, "cloud").withColumn("side", side).where("side <= 0")
+    if near is None:
+        met = found.join(p, "cloud")
+    else:
+        met = found.withColumn("id", F.col("label")[0]).join(near, ["cloud", "id"]).join(p, ["cloud", "p_id"])
+    met = let(met, side=exact.power_sign(list(NAMES), "p")).where("side <= 0")
     return met.groupBy("cloud", "label", "num", "den").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") < 0, F.col("p_id")))).alias("interior"), F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("p_id")))).alias("shell")
     )
 
 
+def classified(points: DataFrame, largest: int = 4, until: tuple[int, int] | None = None) -> DataFrame:
+    """Supports with the points inside (``interior``) and on (``shell``) their ball: ``cloud, label, num, den`` and these.
+
+    ``until`` = (num, den) asks for balls up to that level only: then points of a support, and points in its ball, are
+    at most its diameter apart, and pairs within it, found by grid cells, take the place of the whole cloud.
+    """
+    if until is None:
+        return _classify(supports(points, largest), points, None)
+    pairs = cut(near_pairs(points, until), "near")
+    return _classify(supports(points, largest, pairs).where(_until(*until, True)), points, _neighbours(points, pairs))
+
+
+def near_pairs(points: DataFrame, until: tuple[int, int]) -> DataFrame:
+    """``cloud, u, v`` of pairs u < v that fit in a ball of a squared level: squared distance at most 4 of it."""
+    return pairs_within(points, 4 * until[0] // until[1]).select("cloud", "u", "v")
+
+
+def _neighbours(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``cloud, id, p_id``: every point with itself and what it is paired with."""
+    u, v = F.col("u"), F.col("v")
+    both = pairs.select("cloud", u.alias("id"), v.alias("p_id")).unionAll(pairs.select("cloud", v.alias("id"), u.alias("p_id")))
+    return both.unionAll(points.select("cloud", "id", F.col("id").alias("p_id")))
+
+
 def critical_catalog(points: DataFrame, k_max: int, largest: int = 4) -> DataFrame:
     """Critical events and degeneracies of rank at most s_max = min(k_eff + 1, n), k_eff = min(k_max, n).
 
     ``kind`` is ``event`` (the shell is the support) or ``extra_shell``; ``birth_order`` and ``saddle_order``
-    are null where the event has no such role.
+    are null where the event has no such role.  Supports go as soon as the ``PROBES`` points nearest to their first point
+    show that too many lie inside; only the others meet the whole cloud.
     """
     n = points.groupBy("cloud").agg(F.count("*").alias("n")).withColumn("k_eff", F.least(F.lit(k_max), "n"))
-    c = classified(points, largest).join(n, "cloud").withColumn("rank", F.size("interior") + F.size("shell"))
+    found = cut(_within_rank(supports(points, largest), points, k_max + 1), "supports")
+    c = _classify(found, points, None).join(n, "cloud").withColumn("rank", F.size("interior") + F.size("shell"))
     s_max = F.least(F.col("k_eff") + 1, F.col("n"))
     extra = F.size("shell") > F.size("label")
     c = c.where(F.when(extra, F.size("interior") + F.size("label")).otherwise(F.col("rank")) <= s_max)
@@ -93,6 +150,20 @@ def critical_catalog(points: DataFrame, k_max: int, largest: int = 4) -> DataFra
     )
 
 
+def _within_rank(found: DataFrame, points: DataFrame, most: int) -> DataFrame:
+    """Supports without those that have more than ``most`` less their own points inside among the points nearest to
+    their first point: an array of at most ``PROBES`` points, and one expression."""
+    near = cut(nearest(points, PROBES).where(F.col("choice") <= PROBES), "probes").select("cloud", "q", F.col("p").alias("id"))
+    at = near.join(points.select("cloud", "id", "x", "y", "z"), ["cloud", "id"])
+    probes = at.groupBy("cloud", F.col("q").alias("first")).agg(F.collect_list(F.struct("x", "y", "z")).alias("probes"))
+    inside = exact.power_sign(list(NAMES), "p")
+    for c in "xyz":
+        inside = inside.replace(f"p_{c}", f"p.{c}")
+    met = found.withColumn("first", F.col("label")[0]).join(probes, ["cloud", "first"], "left")
+    crowded = F.expr(f"size(filter(coalesce(probes, array()), p -> {inside} < 0)) + size(label) > {int(most)}")
+    return met.where(~crowded).select(*found.columns)
+
+
 def saddle_arms(catalog: DataFrame) -> DataFrame:
     """Per saddle the facets (interior + shell) without one shell point."""
     s = catalog.where("saddle_order IS NOT NULL").withColumn("all", F.array_sort(F.concat("interior", "shell")))
@@ -114,22 +185,32 @@ def event_batches(catalog: DataFrame) -> DataFrame:
 def miniballs(labels: DataFrame, balls: DataFrame) -> DataFrame:
     """Exact smallest enclosing ball of every label: ``cloud, label, num, den, support``.
 
-    ``balls`` is :func:`classified` of the same clouds.  The ball of a well-centred support inside the label
-    that holds all of the label is the smallest; supports are found by an equi-join on their first id.
+    ``balls(cloud, label, num, den)`` has the well-centred supports among the labels' points.  Of those inside a label
+    the one of the largest ball is the label's (no ball that holds the label is smaller, and its own support is among them;
+    equal balls have equal points, and the first support is given): an equi-join on the sub-labels, and a maximum.
     """
-    at = labels.select("cloud", "label", F.explode("label").alias("first"))
-    b = balls.select("cloud", F.col("label").alias("support"), F.col("label")[0].alias("first"), "num", "den", F.concat("interior", "shell").alias("closed"))
-    met = at.join(b, ["cloud", "first"]).where((F.size(F.array_except("support", "label")) == 0) & (F.size(F.array_except("label", "closed")) == 0))
-    best = met.groupBy("cloud", "label").agg(F.min(F.struct(F.size("support").alias("n"), "support", "num", "den")).alias("b"))
+    subs = F.expr("filter(transform(sequence(1, shiftleft(1, size(label)) - 1), m -> filter(label, (x, i) -> getbit(m, i) = 1)), s -> size(s) <= 4)")
+    at = labels.select("cloud", "label", F.explode(subs).alias("support"))
+    b = balls.select("cloud", F.col("label").alias("support"), "num", "den", level().alias("at"))
+    least = F.struct((-F.col("at.q")).alias("q"), (-F.col("at.hi")).alias("hi"), (-F.col("at.lo")).alias("lo"), F.size("support").alias("n"), "support", "num", "den")
+    best = at.join(b, ["cloud", "support"]).groupBy("cloud", "label").agg(F.min(least).alias("b"))
     return best.select("cloud", "label", "b.num", "b.den", "b.support")
 
 
-def gamma_filtration(points: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+def gamma_filtration(points: DataFrame, order: int, until: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(facets, cofaces)`` of one order with exact levels; a coface is ``gabriel`` if no other point is strictly
-    inside its ball."""
-    balls = cut(classified(points), "balls")
-    found_facets = miniballs(k_subsets(points, order), balls)
-    cofaces = miniballs(k_subsets(points, order + 1), balls).join(balls.select("cloud", F.col("label").alias("support"), "interior"), ["cloud", "support"])
+    inside its ball.  ``until`` asks for those up to a level only, which are cliques of near pairs (see :func:`classified`)."""
+    pairs = None if until is None else cut(near_pairs(points, until), "near")
+    found = cut(supports(points, pairs=pairs), "supports")
+
+    def upto(t: DataFrame) -> DataFrame:
+        return t if until is None else t.where(_until(*until, True))
+
+    found_facets = upto(miniballs(k_subsets(points, order, pairs), found))
+    cofaces = cut(upto(miniballs(k_subsets(points, order + 1, pairs), found)), "cofaces")
+    used = found.join(cofaces.select("cloud", F.col("support").alias("label")).distinct(), ["cloud", "label"], "left_semi")
+    inside = _classify(used, points, None if pairs is None else _neighbours(points, pairs)).select("cloud", F.col("label").alias("support"), "interior")
+    cofaces = cofaces.join(inside, ["cloud", "support"])
     return found_facets, cofaces.select("cloud", "label", "num", "den", "support", (F.size(F.array_except("interior", "label")) == 0).alias("gabriel"))
 
 
@@ -156,8 +237,7 @@ def coverage(components_of_facets: DataFrame) -> DataFrame:
 def first_incidence(found_facets: DataFrame, cofaces: DataFrame) -> DataFrame:
     """Per facet its cofaces of least level, all of them."""
     c = cofaces.select("cloud", "num", "den", label_text("label").alias("coface"), F.explode(facets(F.col("label"))).alias("f")).select("cloud", "num", "den", "coface", label_text("f").alias("facet"))
-    key = F.col("num").cast("double") / F.col("den")
-    least = c.groupBy("cloud", "facet").agg(F.min(F.struct(key.alias("k"), "num", "den")).alias("m"))
+    least = c.groupBy("cloud", "facet").agg(F.min(F.struct(level().alias("k"), "num", "den")).alias("m"))
     return c.join(least, ["cloud", "facet"]).where("num = m.num AND den = m.den").select("cloud", "facet", "coface", "num", "den")
 
 
@@ -170,18 +250,34 @@ def vertical_map(upper: DataFrame, lower: DataFrame) -> DataFrame:
     return met.groupBy("cloud", "source").agg(F.min("target").alias("target"), F.count_distinct("target").alias("targets"))
 
 
+def generators(points: DataFrame, order: int, num: int, den: int = 1) -> DataFrame:
+    """``cloud, node, members``: the point sets, of at least ``order`` points, of the closed balls of well-centred
+    supports up to a level; ``node`` is their text."""
+    balls = classified(points, until=(num, den)).select("cloud", F.array_sort(F.concat("interior", "shell")).alias("members")).distinct()
+    return balls.where(F.size("members") >= order).select("cloud", label_text("members").alias("node"), "members")
+
+
+def sub_labels(label: str, size: int) -> Column:
+    """All sorted sub-labels of ``size`` ids of a sorted label."""
+    out = f"transform({label}, (x, i) -> array(x))"
+    for _ in range(size - 1):
+        out = f"flatten(transform({out}, s -> transform(filter({label}, y -> y > element_at(s, -1)), y -> concat(s, array(y)))))"
+    return F.expr(out)
+
+
 def saturated_cut(points: DataFrame, order: int, num: int, den: int = 1) -> DataFrame:
-    """Components of the closed cut at an order by saturated balls: ``cloud, component, covered``.
+    """Components of the closed cut at an order by saturated balls: ``cloud, covered``.
 
     Generators are the closed balls of well-centred supports, as sets of points; two are joined where they
-    share at least ``order`` points.  No k-subset is ever listed.
+    share at least ``order`` points.  Balls with the same ``order`` points form a bucket, in which each is linked with the
+    first only: as many links as buckets have members.  Subsets are listed within balls, never of a cloud.
     """
-    s = classified(points).where(_until(num, den, True)).select("cloud", F.array_sort(F.concat("interior", "shell")).alias("members")).distinct().where(F.size("members") >= order)
-    g = cut(s.select("cloud", label_text("members").alias("node"), "members"), "generators")
-    m = g.select("cloud", "node", F.explode("members").alias("p"))
-    met = m.alias("a").join(m.alias("b"), ["cloud", "p"]).where("a.node < b.node").groupBy("cloud", F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= order)
+    g = cut(generators(points, order, num, den), "generators")
+    at = g.select("cloud", "node", F.explode(sub_labels("members", order)).alias("shared"))
+    first = at.groupBy("cloud", "shared").agg(F.min("node").alias("u"))
+    met = at.join(first, ["cloud", "shared"]).select("cloud", "u", F.col("node").alias("v")).where("u <> v").distinct()
     found = components(g.select("cloud", "node"), met)
-    p = found.join(m, ["cloud", "node"])
+    p = found.join(g.select("cloud", "node", F.explode("members").alias("p")), ["cloud", "node"])
     return p.groupBy("cloud", "component").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("covered")).select("cloud", "covered")
 
 
@@ -197,7 +293,7 @@ def _reduce_levels(frame: pd.DataFrame, reduced: bool) -> pd.DataFrame:
     parent: dict[tuple, tuple] = {}
     covered: dict[tuple, set] = {}
     tree: dict[tuple, int] = {}
-    out, k = [], 0
+    out, k, made = [], 0, 0
 
     def find(x: tuple) -> tuple:
         while parent[x] != x:
@@ -239,7 +335,8 @@ def _reduce_levels(frame: pd.DataFrame, reduced: bool) -> pd.DataFrame:
                 continue
             q = len(prior)
             kind = "birth" if q == 0 else "growth" if q == 1 else "merge"
-            node = prior[0] if q == 1 else len({o[1] for o in out})
+            node = prior[0] if q == 1 else made
+            made += q != 1
             tree[root] = node
             out.append((cloud, node, level.numerator, level.denominator, kind, q, ",".join(map(str, prior)) if q > 1 else "", ",".join(map(str, sorted(covered[root])))))
     return pd.DataFrame(out, columns=["cloud", "node", "num", "den", "kind", "q", "children", "covered"])
@@ -264,6 +361,6 @@ def forest_cut(forest: DataFrame, num: int, den: int = 1, closed: bool = True) -
     from pyspark.sql.window import Window
 
     upto = forest.where(_until(num, den, closed))
-    last = upto.withColumn("k", F.row_number().over(Window.partitionBy("cloud", "node").orderBy((F.col("num") / F.col("den")).desc(), F.size(F.split("covered", ",")).desc()))).where("k = 1")
+    last = upto.withColumn("k", F.row_number().over(Window.partitionBy("cloud", "node").orderBy(level().desc(), F.size(F.split("covered", ",")).desc()))).where("k = 1")
     gone = upto.where("children <> ''").select("cloud", F.explode(F.split("children", ",")).alias("child")).select("cloud", F.col("child").cast("long").alias("node")).distinct()
     return last.join(gone, ["cloud", "node"], "left_anti").select("cloud", "node", "covered")

@@ -1,4 +1,4 @@
-"""Cutting lineage: intermediate tables in the folder that the cluster shares."""
+"""What shapes a plan: intermediate tables in the folder that the cluster shares, rows dealt anew, columns kept whole."""
 
 from __future__ import annotations
 
@@ -6,15 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, a temporary folder of this process."""
+    """``spark.checkpoint.dir``; only a session within one process may leave it out, for a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
     return _own[0]
@@ -25,3 +28,19 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lodestrata-{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all cores: for few rows from which many are made, which a plan that goes by
+    bytes would leave to one task."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def let(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` with expressions as columns that are computed once.
+
+    They come out of a generator of one row: filters on columns of a projection are pushed below it with their
+    expressions put in, and determinants of determinants grow beyond what is compiled.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(k) for k, e in columns.items())))))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import exact
+
 
 def confusion(labels: DataFrame) -> DataFrame:
     """``truth, cluster, n`` from ``labels(truth, cluster)``."""
@@ -53,7 +55,7 @@ def oriented_boxes(points: DataFrame) -> DataFrame:
 
 def percolation_curve(forest: DataFrame) -> DataFrame:
     """Largest component's covered points up to each level of an order: a running maximum over the forest's rows."""
-    sized = forest.select("cloud", "num", "den", (F.col("num") / F.col("den")).alias("level"), F.size(F.split("covered", ",")).alias("n"))
+    sized = forest.select("cloud", "num", "den", F.expr(exact.level_key("num", "den")).alias("level"), F.size(F.split("covered", ",")).alias("n"))
     at = sized.groupBy("cloud", "num", "den", "level").agg(F.max("n").alias("n"))
     return at.select("cloud", "num", "den", F.max("n").over(Window.partitionBy("cloud").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("largest"))
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import exact
 from ..operators import condense, facegraph, graph, hierarchy, spatial
 from ..operators.lineage import cut, shared_dir
 from ..sources import scans
@@ -40,11 +41,11 @@ def gen_affine_cloud(spark, sf_dir):
     return c.agg((F.count_if(F.expr("id BETWEEN 1 AND 3 AND x + y + z = 1"))).alias("rank"), F.count("*").alias("points"))
 
 
-@query("level_run_checkpoint", f"WITH {CLASSIFIED_SQL}, {_gamma_sql(ORDER)} SELECT cloud, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CAST(dense_rank() OVER (PARTITION BY cloud ORDER BY CAST(num AS DOUBLE) / den) AS INT) AS place FROM (SELECT DISTINCT cloud, num, den FROM cofaces{ORDER})")
+@query("level_run_checkpoint", f"WITH {CLASSIFIED_SQL}, {_gamma_sql(ORDER)} SELECT cloud, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CAST(dense_rank() OVER (PARTITION BY cloud ORDER BY {exact.level_order_sql()}) AS INT) AS place FROM (SELECT DISTINCT cloud, num, den FROM cofaces{ORDER})")
 def level_run_checkpoint(spark, sf_dir):
     """The exact levels of a filtration in order."""
     c = hierarchy.gamma_filtration(sup(spark, sf_dir), ORDER)[1].select("cloud", "num", "den").distinct()
-    return c.withColumn("place", F.dense_rank().over(Window.partitionBy("cloud").orderBy(F.col("num") / F.col("den"))))
+    return c.withColumn("place", F.dense_rank().over(Window.partitionBy("cloud").orderBy(hierarchy.level())))
 
 
 @query("flt_semantic_classes", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")
@@ -54,11 +55,13 @@ def flt_semantic_classes(spark, sf_dir):
 
 @query("join_intersection", f"WITH {CLASSIFIED_SQL}, g AS (SELECT DISTINCT cloud, list_sort(list_concat(interior, shell)) AS m FROM balls WHERE num <= {LEVEL} * den), t AS (SELECT cloud, m, array_to_string(m, ',') AS node FROM g WHERE len(m) >= {ORDER}) SELECT a.cloud, a.node AS u, b.node AS v, CAST(len(list_intersect(a.m, b.m)) AS BIGINT) AS n FROM t a JOIN t b ON a.cloud = b.cloud AND a.node < b.node WHERE len(list_intersect(a.m, b.m)) >= {ORDER}")
 def join_intersection(spark, sf_dir):
-    """Closed balls that share at least ORDER points: a join on the shared member."""
-    g = hierarchy.classified(sup(spark, sf_dir)).where(f"num <= {LEVEL} * den").select("cloud", F.array_sort(F.concat("interior", "shell")).alias("m")).distinct().where(F.size("m") >= ORDER)
-    m = cut(g.select("cloud", F.array_join("m", ",").alias("node"), F.explode("m").alias("p")), "members")
-    met = m.alias("a").join(m.alias("b"), ["cloud", "p"]).where("a.node < b.node")
-    return met.groupBy("cloud", F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= ORDER)
+    """Closed balls that share at least ORDER points: a join on the ORDER smallest points that a pair shares.
+
+    Balls meet in the bucket of every ORDER points they share, and a pair is counted in its least bucket only."""
+    g = cut(hierarchy.generators(sup(spark, sf_dir), ORDER, LEVEL), "generators")
+    m = g.select("cloud", "node", "members", F.explode(hierarchy.sub_labels("members", ORDER)).alias("shared"))
+    met = m.alias("a").join(m.alias("b"), ["cloud", "shared"]).where("a.node < b.node").withColumn("both", F.array_intersect("a.members", "b.members"))
+    return met.where(F.slice("both", 1, ORDER) == F.col("shared")).select("cloud", F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.size("both").cast("long").alias("n"))
 
 
 _REACH = _pairs("sup") + (
@@ -82,8 +85,8 @@ def mutual_reachability_forest(spark, sf_dir):
 def support_terminal(spark, sf_dir):
     """Pairs and larger supports merged into one list of events."""
     p = sup(spark, sf_dir)
-    small = hierarchy.critical_catalog(p, K_MAX, largest=2)
-    large = hierarchy.critical_catalog(p, K_MAX).where("size(label) > 2")
+    found = cut(hierarchy.critical_catalog(p, K_MAX).select("cloud", "label", "rank", "kind"), "catalogue")
+    small, large = found.where("size(label) <= 2"), found.where("size(label) > 2")
     return _texts(small.unionByName(large).where("kind = 'event'").select("cloud", "label", "rank"), "label")
 
 
@@ -115,7 +118,7 @@ def exhaustive_hierarchy(spark, sf_dir):
 @query("vertical_family")
 def vertical_family(spark, sf_dir):
     """Maps from order 2 to order 1 at several levels; ``targets`` is 1 throughout."""
-    up, low = _gamma(spark, sf_dir, 2), _gamma(spark, sf_dir, 1)
+    up, low = _gamma(spark, sf_dir, 2, LEVEL), _gamma(spark, sf_dir, 1, LEVEL)
     out = None
     for level in (LEVEL // 3, LEVEL):
         v = hierarchy.vertical_map(hierarchy.gamma_cut(*up, level), hierarchy.gamma_cut(*low, level)).withColumn("level", F.lit(level))
@@ -126,7 +129,7 @@ def vertical_family(spark, sf_dir):
 @query("reconcile", f"WITH {SUP_SQL} SELECT cloud, CAST(0 AS BIGINT) AS differences FROM sup GROUP BY cloud")
 def reconcile(spark, sf_dir):
     """Components by subsets against components by saturated balls: rows that only one of them has."""
-    a = cut(hierarchy.coverage(hierarchy.gamma_cut(*_gamma(spark, sf_dir), LEVEL)).select("cloud", "covered"), "a")
+    a = cut(hierarchy.coverage(hierarchy.gamma_cut(*_gamma(spark, sf_dir, until=LEVEL), LEVEL)).select("cloud", "covered"), "a")
     b = cut(hierarchy.saturated_cut(sup(spark, sf_dir), ORDER, LEVEL), "b")
     off = a.exceptAll(b).unionAll(b.exceptAll(a)).groupBy("cloud").agg(F.count("*").alias("n"))
     return sup(spark, sf_dir).select("cloud").distinct().join(off, "cloud", "left").select("cloud", F.coalesce("n", F.lit(0)).cast("long").alias("differences"))
@@ -173,7 +176,7 @@ def join_attach(spark, sf_dir):
     c = hierarchy.critical_catalog(p, K_MAX).where("saddle_order = 1")
     arms = hierarchy.saddle_arms(c).join(c.select("cloud", "label", "num", "den"), ["cloud", "label"]).withColumns({"facet": F.array_join("facet", ","), "label": F.array_join("label", ",")})
     met = arms.join(held, ["cloud", "facet"]).where("fn * den < num * fd")
-    return met.groupBy("cloud", "label", "facet").agg(F.max_by("node", F.struct(F.col("fn") / F.col("fd"), "node")).alias("node"))
+    return met.groupBy("cloud", "label", "facet").agg(F.max_by("node", F.struct(hierarchy.level("fn", "fd"), "node")).alias("node"))
 
 
 @query("sparse_rips", f"WITH {emb_sql()}, {_pairs('emb')}, e AS (SELECT * FROM d WHERE d2 <= 20000) SELECT a.cloud, a.u || ',' || a.v || ',' || b.v AS simplex, CAST(greatest(a.d2, b.d2, c.d2) AS BIGINT) AS w2 FROM e a JOIN e b ON a.cloud = b.cloud AND a.u = b.u AND a.v < b.v JOIN e c ON c.cloud = a.cloud AND c.u = a.v AND c.v = b.v")

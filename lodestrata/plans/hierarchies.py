@@ -150,15 +150,15 @@ def closed_saddle_incidence(spark, sf_dir):
     return _texts(hierarchy.closed_incidences(hierarchy.critical_catalog(sup(spark, sf_dir), K_MAX)), "label", "facet")
 
 
-def _gamma(spark, sf_dir, order=ORDER):
-    f, c = hierarchy.gamma_filtration(sup(spark, sf_dir), order)
+def _gamma(spark, sf_dir, order=ORDER, until=None):
+    f, c = hierarchy.gamma_filtration(sup(spark, sf_dir), order, until and (until, 1))
     return cut(f, "facets"), cut(c, "cofaces")
 
 
 @query("miniball_exact", f"WITH {CLASSIFIED_SQL}, {_subsets_sql(3, 'l')}, {_miniballs_sql('l', 'm')} SELECT cloud, {_text('label')}, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM m")
 def miniball_exact(spark, sf_dir):
     p = sup(spark, sf_dir)
-    return _texts(hierarchy.miniballs(hierarchy.k_subsets(p, 3), cut(hierarchy.classified(p), "balls")).select("cloud", "label", "num", "den"), "label")
+    return _texts(hierarchy.miniballs(hierarchy.k_subsets(p, 3), hierarchy.supports(p, 3)).select("cloud", "label", "num", "den"), "label")
 
 
 @query("gamma_filtration", f"WITH {CLASSIFIED_SQL}, {_gamma_sql(ORDER)} SELECT cloud, {_text('label')}, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, len(list_filter(interior, lambda v: NOT list_contains(label, v))) = 0 AS gabriel FROM cofaces{ORDER}")
@@ -181,7 +181,7 @@ def join_facet_coface(spark, sf_dir):
 def _cut_query(name: str, closed: bool, gabriel: bool) -> None:
     @query(name, _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _cut_sql(ORDER, LEVEL, closed, gabriel)) + "SELECT cloud, facet, component FROM cut")
     def run(spark, sf_dir):
-        f, c = _gamma(spark, sf_dir)
+        f, c = _gamma(spark, sf_dir, until=LEVEL)
         return hierarchy.gamma_cut(f, c, LEVEL, closed=closed, gabriel=gabriel)
 
 
@@ -192,35 +192,35 @@ _cut_query("gabriel_cut", True, True)
 
 @query("agg_coverage", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _cut_sql(ORDER, LEVEL)) + "SELECT cloud, component, CAST(count(DISTINCT facet) AS BIGINT) AS facets, (SELECT string_agg(p, ',' ORDER BY CAST(p AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(facet, ','), ',')) AS p)) AS covered FROM cut GROUP BY cloud, component")
 def agg_coverage(spark, sf_dir):
-    f, c = _gamma(spark, sf_dir)
+    f, c = _gamma(spark, sf_dir, until=LEVEL)
     return hierarchy.coverage(hierarchy.gamma_cut(f, c, LEVEL))
 
 
 @query("gamma_transition", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _cut_sql(ORDER, LEVEL, False, prefix="o"), _cut_sql(ORDER, LEVEL, True, prefix="z")) + "SELECT z.cloud, z.component AS after_, CAST(count(DISTINCT o.component) AS BIGINT) AS q FROM z LEFT JOIN o ON o.cloud = z.cloud AND o.facet = z.facet GROUP BY 1, 2")
 def gamma_transition(spark, sf_dir):
     """Of each closed component how many open ones it joins at the level."""
-    f, c = _gamma(spark, sf_dir)
+    f, c = _gamma(spark, sf_dir, until=LEVEL)
     before, after = hierarchy.gamma_cut(f, c, LEVEL, closed=False), hierarchy.gamma_cut(f, c, LEVEL)
     return after.withColumnRenamed("component", "after_").join(before, ["cloud", "facet"], "left").groupBy("cloud", "after_").agg(F.count_distinct("component").alias("q"))
 
 
 @query("join_horizontal", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _cut_sql(ORDER, LEVEL // 2, True, prefix="o"), _cut_sql(ORDER, LEVEL, True, prefix="z")) + "SELECT DISTINCT o.cloud, o.component AS source, z.component AS target FROM o JOIN z ON o.cloud = z.cloud AND o.facet = z.facet")
 def join_horizontal(spark, sf_dir):
-    f, c = _gamma(spark, sf_dir)
+    f, c = _gamma(spark, sf_dir, until=LEVEL)
     early, late = hierarchy.gamma_cut(f, c, LEVEL // 2), hierarchy.gamma_cut(f, c, LEVEL)
     return early.withColumnRenamed("component", "source").join(late.withColumnRenamed("component", "target"), ["cloud", "facet"]).select("cloud", "source", "target").distinct()
 
 
 @query("join_vertical", _with(CLASSIFIED_SQL, _gamma_sql(2), _gamma_sql(1), _cut_sql(2, LEVEL, prefix="up"), _cut_sql(1, LEVEL, prefix="low")) + "SELECT up.cloud, up.component AS source, min(low.component) AS target, CAST(count(DISTINCT low.component) AS BIGINT) AS targets FROM (SELECT cloud, component, unnest(string_split(facet, ',')) AS p FROM up) up JOIN low ON low.cloud = up.cloud AND low.facet = up.p GROUP BY 1, 2")
 def join_vertical(spark, sf_dir):
-    up, low = _gamma(spark, sf_dir, 2), _gamma(spark, sf_dir, 1)
+    up, low = _gamma(spark, sf_dir, 2, LEVEL), _gamma(spark, sf_dir, 1, LEVEL)
     return hierarchy.vertical_map(hierarchy.gamma_cut(*up, LEVEL), hierarchy.gamma_cut(*low, LEVEL))
 
 
 @query("naturality_audit", None)
 def naturality_audit(spark, sf_dir):
     """Squares of a vertical and a horizontal map at two levels: how many, and how many don't commute (0)."""
-    up, low = _gamma(spark, sf_dir, 2), _gamma(spark, sf_dir, 1)
+    up, low = _gamma(spark, sf_dir, 2, LEVEL), _gamma(spark, sf_dir, 1, LEVEL)
     at = {(o, l): cut(hierarchy.gamma_cut(*g, l), "cut") for o, g in ((2, up), (1, low)) for l in (LEVEL // 2, LEVEL)}
     v1, v2 = hierarchy.vertical_map(at[2, LEVEL // 2], at[1, LEVEL // 2]), hierarchy.vertical_map(at[2, LEVEL], at[1, LEVEL])
     h = lambda o: at[o, LEVEL // 2].withColumnRenamed("component", "s").join(at[o, LEVEL].withColumnRenamed("component", "t"), ["cloud", "facet"]).select("cloud", "s", "t").distinct()
@@ -229,7 +229,7 @@ def naturality_audit(spark, sf_dir):
     return down_right.join(right_down, ["cloud", "source"]).groupBy("cloud").agg(F.count("*").alias("squares"), F.count_if(F.col("one") != F.col("other")).alias("failures"))
 
 
-@query("first_incidence", _with(CLASSIFIED_SQL, _gamma_sql(ORDER)) + f", x AS (SELECT cloud, num, den, array_to_string(label, ',') AS coface, array_to_string(list_filter(label, lambda v: v <> label[k]), ',') AS facet FROM (SELECT *, unnest([1, 2, 3]) AS k FROM cofaces{ORDER})) SELECT cloud, facet, coface, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM (SELECT *, rank() OVER (PARTITION BY cloud, facet ORDER BY CAST(num AS DOUBLE) / den) AS r FROM x) WHERE r = 1")
+@query("first_incidence", _with(CLASSIFIED_SQL, _gamma_sql(ORDER)) + f", x AS (SELECT cloud, num, den, array_to_string(label, ',') AS coface, array_to_string(list_filter(label, lambda v: v <> label[k]), ',') AS facet FROM (SELECT *, unnest([1, 2, 3]) AS k FROM cofaces{ORDER})) SELECT cloud, facet, coface, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM (SELECT *, rank() OVER (PARTITION BY cloud, facet ORDER BY {exact.level_order_sql()}) AS r FROM x) WHERE r = 1")
 def first_incidence(spark, sf_dir):
     return hierarchy.first_incidence(*_gamma(spark, sf_dir))
 
@@ -268,13 +268,13 @@ def agg_equal_level(spark, sf_dir):
     return c.groupBy("cloud", "num", "den").agg(F.count("*").alias("relations"), F.array_join(F.array_sort(F.collect_list(F.array_join("label", ","))), " ").alias("labels"))
 
 
-@query("industrial_plan", f"WITH {CATALOG_SQL}, {_ROLES}, b AS (SELECT cloud, o, num, den, count(*) AS n FROM roles GROUP BY ALL) SELECT cloud, CAST(o AS INT) AS order_, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CAST((sum(n) OVER (PARTITION BY cloud ORDER BY o, CAST(num AS DOUBLE) / den) - n) // 4 AS BIGINT) AS chunk FROM b")
+@query("industrial_plan", f"WITH {CATALOG_SQL}, {_ROLES}, b AS (SELECT cloud, o, num, den, count(*) AS n FROM roles GROUP BY ALL) SELECT cloud, CAST(o AS INT) AS order_, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CAST((sum(n) OVER (PARTITION BY cloud ORDER BY o, {exact.level_order_sql()}) - n) // 4 AS BIGINT) AS chunk FROM b")
 def industrial_plan(spark, sf_dir):
     """Event batches dealt into chunks of about four events, in order."""
     from pyspark.sql.window import Window
 
     b = hierarchy.event_batches(hierarchy.critical_catalog(sup(spark, sf_dir), K_MAX)).withColumn("n", F.col("births") + F.col("saddles"))
-    w = Window.partitionBy("cloud").orderBy("order", F.col("num") / F.col("den"))
+    w = Window.partitionBy("cloud").orderBy("order", hierarchy.level())
     return b.select("cloud", F.col("order").alias("order_"), "num", "den", F.floor((F.sum("n").over(w) - F.col("n")) / 4).cast("long").alias("chunk"))
 
 
@@ -306,5 +306,5 @@ def sink_contract_json(spark, sf_dir):
 
 @query("sink_cuts_json", _with(CLASSIFIED_SQL, _gamma_sql(1), _cut_sql(1, LEVEL)) + "SELECT cloud, '{\"component\":\"' || component || '\",\"size\":' || count(*) || '}' AS line FROM cut GROUP BY cloud, component")
 def sink_cuts_json(spark, sf_dir):
-    c = hierarchy.gamma_cut(*_gamma(spark, sf_dir, 1), LEVEL)
+    c = hierarchy.gamma_cut(*_gamma(spark, sf_dir, 1, LEVEL), LEVEL)
     return c.groupBy("cloud", "component").agg(F.count("*").alias("size")).select("cloud", F.to_json(F.struct("component", "size")).alias("line"))
