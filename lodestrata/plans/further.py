@@ -13,7 +13,7 @@ from ..operators.lineage import cut, shared_dir
 from ..sources import scans
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup, table
-from .hierarchies import CATALOG_SQL, CLASSIFIED_SQL, K_MAX, LEVEL, ORDER, _cut_sql, _gamma, _gamma_sql, _text, _texts, _with
+from .hierarchies import _STEP, CATALOG_SQL, CLASSIFIED_SQL, K_MAX, LEVEL, ORDER, _cut_sql, _gamma, _gamma_sql, _history_sql, _steps, _text, _texts, _with
 from .labels import _tree
 from .neighbours import _complete, _pairs, mst_sql
 
@@ -99,23 +99,26 @@ def reduced_gamma_cut(spark, sf_dir):
     return hierarchy.forest_cut(cut(hierarchy.merge_forest(*_gamma(spark, sf_dir)), "forest"), LEVEL).select("cloud", "covered")
 
 
-@query("reduced_gamma_history")
+@query("reduced_gamma_history", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _history_sql(ORDER, "h")) + "SELECT cloud, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CAST(count(*) FILTER (q = 0) AS BIGINT) AS births, CAST(count(*) FILTER (q = 1) AS BIGINT) AS growths, CAST(count(*) FILTER (q > 1) AS BIGINT) AS merges FROM h GROUP BY 1, 2, 3")
 def reduced_gamma_history(spark, sf_dir):
     """Births, growths and merges of the reduced forest by level."""
     return hierarchy.merge_forest(*_gamma(spark, sf_dir)).groupBy("cloud", "num", "den").agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("birth", "growth", "merge")))
 
 
-@query("exhaustive_hierarchy")
+@query("exhaustive_hierarchy", _with(CLASSIFIED_SQL, *(x for o in range(1, K_MAX + 1) for x in (_gamma_sql(o), _history_sql(o, f"h{o}")))) + " UNION ALL ".join(f"SELECT {_STEP}, {o} AS order_ FROM h{o}" for o in range(1, K_MAX + 1)))
 def exhaustive_hierarchy(spark, sf_dir):
-    """The forests of all orders up to K_MAX."""
+    """What happens in the forests of all orders up to K_MAX."""
     out = None
     for order in range(1, K_MAX + 1):
-        f = hierarchy.merge_forest(*_gamma(spark, sf_dir, order)).withColumn("order_", F.lit(order))
+        f = _steps(hierarchy.merge_forest(*_gamma(spark, sf_dir, order))).withColumn("order_", F.lit(order))
         out = f if out is None else out.unionByName(f)
     return out
 
 
-@query("vertical_family")
+_FAMILY = {level: f"SELECT up.cloud, up.component AS source, min(low.component) AS target, CAST(count(DISTINCT low.component) AS BIGINT) AS targets, {level} AS level FROM (SELECT cloud, component, unnest(string_split(facet, ',')) AS p FROM up{level}) up JOIN low{level} low ON low.cloud = up.cloud AND low.facet = up.p GROUP BY 1, 2" for level in (LEVEL // 3, LEVEL)}
+
+
+@query("vertical_family", _with(CLASSIFIED_SQL, _gamma_sql(2), _gamma_sql(1), *(_cut_sql(o, level, prefix=f"{p}{level}") for level in _FAMILY for o, p in ((2, "up"), (1, "low")))) + " UNION ALL ".join(_FAMILY.values()))
 def vertical_family(spark, sf_dir):
     """Maps from order 2 to order 1 at several levels; ``targets`` is 1 throughout."""
     up, low = _gamma(spark, sf_dir, 2, LEVEL), _gamma(spark, sf_dir, 1, LEVEL)
@@ -167,16 +170,17 @@ def label_all(spark, sf_dir):
     return found.select("cloud", "id", "label").join(fill, ["cloud", "id"], "left").select("cloud", "id", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("label"))
 
 
-@query("join_attach")
+@query("join_attach", _with(CATALOG_SQL, _gamma_sql(1), "arms AS (SELECT *, unnest(shell) AS left_out FROM catalog WHERE saddle_order = 1), arm AS (SELECT cloud, array_to_string(label, ',') AS label, num, den, array_to_string(list_filter(list_sort(list_concat(interior, shell)), lambda v: v <> left_out), ',') AS facet FROM arms), e AS (SELECT cloud, label[1] AS u, label[2] AS v, num, den FROM cofaces1), b AS (SELECT * FROM e UNION ALL SELECT cloud, v, u, num, den FROM e), r(cloud, label, num, den, facet, p) AS (SELECT cloud, label, num, den, facet, CAST(facet AS BIGINT) FROM arm UNION SELECT r.cloud, r.label, r.num, r.den, r.facet, b.v FROM r JOIN b ON b.cloud = r.cloud AND b.u = r.p AND CAST(b.num AS HUGEINT) * r.den < CAST(r.num AS HUGEINT) * b.den)") + "SELECT cloud, label, facet, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS held_by FROM r GROUP BY cloud, label, num, den, facet")
 def join_attach(spark, sf_dir):
-    """Arms of order-1 saddles with the forest node that holds them strictly below the saddle's level: an as-of join."""
+    """Arms of order-1 saddles with what the forest node that holds them strictly below the saddle's level covers then:
+    an as-of join."""
     p = sup(spark, sf_dir)
     forest = cut(hierarchy.merge_forest(*_gamma(spark, sf_dir, 1), reduced=False), "forest")
-    held = forest.select("cloud", "node", F.col("num").alias("fn"), F.col("den").alias("fd"), F.explode(F.split("covered", ",")).alias("m")).withColumn("facet", F.col("m"))
+    held = forest.select("cloud", "covered", F.col("num").alias("fn"), F.col("den").alias("fd"), F.explode(F.split("covered", ",")).alias("facet"))
     c = hierarchy.critical_catalog(p, K_MAX).where("saddle_order = 1")
     arms = hierarchy.saddle_arms(c).join(c.select("cloud", "label", "num", "den"), ["cloud", "label"]).withColumns({"facet": F.array_join("facet", ","), "label": F.array_join("label", ",")})
-    met = arms.join(held, ["cloud", "facet"]).where("fn * den < num * fd")
-    return met.groupBy("cloud", "label", "facet").agg(F.max_by("node", F.struct(hierarchy.level("fn", "fd"), "node")).alias("node"))
+    met = arms.withColumn("at", hierarchy.level()).join(held.withColumn("since", hierarchy.level("fn", "fd")), ["cloud", "facet"]).where("since < at")
+    return met.groupBy("cloud", "label", "facet").agg(F.max_by("covered", "since").alias("held_by"))
 
 
 @query("sparse_rips", f"WITH {emb_sql()}, {_pairs('emb')}, e AS (SELECT * FROM d WHERE d2 <= 20000) SELECT a.cloud, a.u || ',' || a.v || ',' || b.v AS simplex, CAST(greatest(a.d2, b.d2, c.d2) AS BIGINT) AS w2 FROM e a JOIN e b ON a.cloud = b.cloud AND a.u = b.u AND a.v < b.v JOIN e c ON c.cloud = a.cloud AND c.u = a.v AND c.v = b.v")

@@ -71,6 +71,42 @@ def _cut_sql(order: int, level: int, closed: bool = True, gabriel: bool = False,
     )
 
 
+def _before(num: str, den: str, than: str, closed: bool) -> str:
+    """num / den up to the level of ``than``, exactly."""
+    return f"CAST({num} AS HUGEINT) * {than}.den {'<=' if closed else '<'} CAST({than}.num AS HUGEINT) * {den}"
+
+
+def _history_sql(order: int, name: str, reduced: bool = True, gabriel: bool = False) -> str:
+    """The merge forest of an order as SQL: at every level the components of the closed cut that something of that level
+    touches, and the components of the open cut inside each.  All cuts are recomputed from nothing."""
+    f, c, n = f"facets{order}", f"{name}_c", name
+    inner = " WHERE len(list_filter(interior, lambda v: NOT list_contains(label, v))) = 0" if gabriel else ""
+    less = "array_to_string(list_filter({0}.label, lambda v: v <> {0}.label[{1}]), ',')"
+    of = lambda t: f"count(*) FILTER ({t}) > 0"
+    public = "true" if not reduced or order == 1 else "facets > 1"
+    touched = of("coface") if reduced and order > 1 else f"{of('coface')} OR {of('born')}"
+    return (
+        f"{c} AS (SELECT * FROM cofaces{order}{inner}), {n}_l AS (SELECT DISTINCT cloud, num, den FROM (SELECT cloud, num, den FROM {f} UNION ALL SELECT cloud, num, den FROM {c})), "
+        f"{n}_e AS (SELECT l.cloud, l.num, l.den, {less.format('c', 1)} AS u, {less.format('c', 'k')} AS v, {_before('l.num', 'l.den', 'c', True)} AS latest FROM {n}_l l JOIN (SELECT *, unnest(range(2, {order + 2})) AS k FROM {c}) c ON c.cloud = l.cloud AND {_before('c.num', 'c.den', 'l', True)}), "
+        f"{n}_n AS (SELECT l.cloud, l.num, l.den, array_to_string(f.label, ',') AS node, {_before('l.num', 'l.den', 'f', True)} AS latest FROM {n}_l l JOIN {f} f ON f.cloud = l.cloud AND {_before('f.num', 'f.den', 'l', True)}), "
+        f"{n}_b AS (SELECT cloud, num, den, u, v, latest FROM {n}_e UNION ALL SELECT cloud, num, den, v, u, latest FROM {n}_e), "
+        f"{n}_r(cloud, num, den, closed, u, v) AS (SELECT cloud, num, den, z, node, node FROM {n}_n, (SELECT unnest([true, false]) AS z) WHERE z OR NOT latest UNION SELECT r.cloud, r.num, r.den, r.closed, r.u, b.v FROM {n}_r r JOIN {n}_b b ON b.cloud = r.cloud AND b.num = r.num AND b.den = r.den AND b.u = r.v AND (r.closed OR NOT b.latest)), "
+        f"{n}_k AS (SELECT cloud, num, den, closed, u AS facet, min(v) AS component FROM {n}_r GROUP BY ALL), "
+        f"{n}_o AS (SELECT k.*, count(*) OVER (PARTITION BY cloud, num, den, component) AS facets FROM {n}_k k WHERE NOT closed), "
+        f"{n}_t AS (SELECT k.cloud, k.num, k.den, k.component, k.facet, CASE WHEN {public} THEN o.component END AS was, coalesce(x.latest, false) AS born, EXISTS (SELECT 1 FROM {n}_e e WHERE e.latest AND e.cloud = k.cloud AND e.num = k.num AND e.den = k.den AND (e.u = k.facet OR e.v = k.facet)) AS coface "
+        f"FROM {n}_k k LEFT JOIN {n}_o o ON o.cloud = k.cloud AND o.num = k.num AND o.den = k.den AND o.facet = k.facet JOIN {n}_n x ON x.cloud = k.cloud AND x.num = k.num AND x.den = k.den AND x.node = k.facet WHERE k.closed), "
+        f"{n} AS (SELECT cloud, num, den, CAST(count(DISTINCT was) AS INT) AS q, (SELECT string_agg(p, ',' ORDER BY CAST(p AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(facet, ','), ',')) AS p)) AS covered FROM {n}_t GROUP BY cloud, num, den, component HAVING {touched})"
+    )
+
+
+_STEP = "cloud, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CASE q WHEN 0 THEN 'birth' WHEN 1 THEN 'growth' ELSE 'merge' END AS kind, q, covered"
+
+
+def _steps(forest):
+    """What happens at each level, without the numbers that the forest gives its nodes."""
+    return forest.select("cloud", "num", "den", "kind", "q", "covered")
+
+
 def _with(*ctes: str) -> str:
     return "WITH RECURSIVE " + ", ".join(ctes) + " "
 
@@ -217,7 +253,12 @@ def join_vertical(spark, sf_dir):
     return hierarchy.vertical_map(hierarchy.gamma_cut(*up, LEVEL), hierarchy.gamma_cut(*low, LEVEL))
 
 
-@query("naturality_audit", None)
+_SQUARES = ", ".join(_cut_sql(o, l, prefix=f"{p}{o}") for o in (1, 2) for p, l in (("early", LEVEL // 2), ("late", LEVEL)))
+_DOWN = "SELECT up.cloud, up.component AS source, min(low.component) AS target FROM (SELECT cloud, component, unnest(string_split(facet, ',')) AS p FROM {0}2) up JOIN {0}1 low ON low.cloud = up.cloud AND low.facet = up.p GROUP BY 1, 2"
+_RIGHT = "SELECT DISTINCT a.cloud, a.component AS source, b.component AS target FROM early{0} a JOIN late{0} b ON a.cloud = b.cloud AND a.facet = b.facet"
+
+
+@query("naturality_audit", _with(CLASSIFIED_SQL, _gamma_sql(2), _gamma_sql(1), _SQUARES) + f"SELECT d.cloud, CAST(count(*) AS BIGINT) AS squares, CAST(count(*) FILTER (r.target <> e.target) AS BIGINT) AS failures FROM ({_DOWN.format('early')}) d JOIN ({_RIGHT.format(1)}) r ON r.cloud = d.cloud AND r.source = d.target JOIN ({_RIGHT.format(2)}) u ON u.cloud = d.cloud AND u.source = d.source JOIN ({_DOWN.format('late')}) e ON e.cloud = u.cloud AND e.source = u.target GROUP BY 1")
 def naturality_audit(spark, sf_dir):
     """Squares of a vertical and a horizontal map at two levels: how many, and how many don't commute (0)."""
     up, low = _gamma(spark, sf_dir, 2, LEVEL), _gamma(spark, sf_dir, 1, LEVEL)
@@ -240,20 +281,20 @@ def saturated_tower(spark, sf_dir):
     return hierarchy.saturated_cut(sup(spark, sf_dir), ORDER, LEVEL)
 
 
-@query("merge_forest")
+@query("merge_forest", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _history_sql(ORDER, "h")) + f"SELECT {_STEP} FROM h")
 def merge_forest(spark, sf_dir):
-    return hierarchy.merge_forest(*_gamma(spark, sf_dir))
+    return _steps(hierarchy.merge_forest(*_gamma(spark, sf_dir)))
 
 
-@query("merge_forest_full")
+@query("merge_forest_full", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _history_sql(ORDER, "h", reduced=False)) + f"SELECT {_STEP} FROM h")
 def merge_forest_full(spark, sf_dir):
-    return hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False)
+    return _steps(hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False))
 
 
-@query("gabriel_partial_forest")
+@query("gabriel_partial_forest", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _history_sql(ORDER, "h", gabriel=True)) + f"SELECT {_STEP} FROM h")
 def gabriel_partial_forest(spark, sf_dir):
     f, c = _gamma(spark, sf_dir)
-    return hierarchy.merge_forest(f, c.where("gabriel"))
+    return _steps(hierarchy.merge_forest(f, c.where("gabriel")))
 
 
 @query("forest_cut", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _cut_sql(ORDER, LEVEL)) + "SELECT cloud, (SELECT string_agg(p, ',' ORDER BY CAST(p AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(facet, ','), ',')) AS p)) AS covered FROM cut GROUP BY cloud, component")
@@ -278,19 +319,22 @@ def industrial_plan(spark, sf_dir):
     return b.select("cloud", F.col("order").alias("order_"), "num", "den", F.floor((F.sum("n").over(w) - F.col("n")) / 4).cast("long").alias("chunk"))
 
 
-@query("agg_percolation_curve")
+_CURVE = _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _history_sql(ORDER, "h", reduced=False)) + f"SELECT cloud, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CAST(max(max(len(string_split(covered, ',')))) OVER (PARTITION BY cloud ORDER BY {exact.level_order_sql()}) AS BIGINT) AS largest FROM h GROUP BY cloud, num, den"
+
+
+@query("agg_percolation_curve", _CURVE)
 def agg_percolation_curve(spark, sf_dir):
     return metrics.percolation_curve(hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False))
 
 
-@query("agg_percolation_rate")
+@query("agg_percolation_rate", f"WITH c AS ({_CURVE}), {SUP_SQL}, n AS (SELECT cloud, count(*) AS n FROM sup GROUP BY 1), r AS (SELECT cloud, min(CAST(num AS DOUBLE) / den) FILTER (largest >= 0.03 * n) AS lo, min(CAST(num AS DOUBLE) / den) FILTER (largest >= 0.97 * n) AS hi FROM c JOIN n USING (cloud) GROUP BY cloud) SELECT cloud, round(CASE WHEN hi > 0 THEN pow(sqrt(lo / hi), 3) END, 9) AS rate FROM r")
 def agg_percolation_rate(spark, sf_dir):
     """``(r_min / r_max) ** 3`` between the levels at which the largest component covers 3 % and 97 % of the points."""
     p = sup(spark, sf_dir)
     n = p.groupBy("cloud").agg(F.count("*").alias("n"))
     c = metrics.percolation_curve(hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False)).join(n, "cloud").withColumn("level", F.col("num") / F.col("den"))
     r = c.groupBy("cloud").agg(F.min(F.when(F.col("largest") >= 0.03 * F.col("n"), F.col("level"))).alias("lo"), F.min(F.when(F.col("largest") >= 0.97 * F.col("n"), F.col("level"))).alias("hi"))
-    return r.select("cloud", F.pow(F.sqrt(F.col("lo") / F.col("hi")), F.lit(3.0)).alias("rate"))
+    return r.select("cloud", F.round(F.pow(F.sqrt(F.col("lo") / F.nullif(F.col("hi"), F.lit(0))), F.lit(3.0)), 9).alias("rate"))
 
 
 @query("canonical_id", f"WITH {SUP_SQL} SELECT cloud, id, sha256('lodestrata/v1/point/' || concat_ws('|', x, y, z)) AS content_id FROM sup")
