@@ -87,8 +87,8 @@ class Bound:
             if not judge.trees.languages:
                 continue
             for text in (t for lang in sorted(own) for t in own[lang]):
-                _, least, n, telling = judge.words([encoded(text)])
-                least, n = least[telling], n[telling]
+                _, own_bits, n, telling = judge.words([encoded(text)])
+                least, n = own_bits[telling].min(axis=1), n[telling]
                 if len(n):
                     bits.append(least.sum())
                     sizes.append(n.sum())
@@ -182,11 +182,11 @@ class Scorer:
         return out
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(text, least bits of any language, bytes, whether it says something of a language)`` of each word,
-        with the white space after it, and of the white space that a text begins with."""
+        """``(text, bits in each language, bytes, whether it says something of a language)`` of each word, with the white
+        space after it, and of the white space that a text begins with."""
         raw, window, ends = windows(texts, self.trees.order)
         if not len(raw):
-            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, bool)
+            return np.empty(0, np.int64), np.empty((0, len(self.trees.languages))), np.empty(0, np.int64), np.empty(0, bool)
         space = _SPACE[raw]
         begins = ~space
         begins[1:] &= space[:-1]
@@ -197,9 +197,9 @@ class Scorer:
         sign = _SIGN[raw]
         kinds[1:] += (sign[1:] & sign[:-1] & ~begins[1:]).astype(np.int64) << 40
         kinds = np.add.reduceat(kinds, at)
-        least = np.add.reduceat(self.bits(window), at, axis=0, dtype=np.float64).min(axis=1, initial=np.inf)
+        bits = np.add.reduceat(self.bits(window), at, axis=0, dtype=np.float64)
         telling = (kinds & 0xFFFFF == 0) & (kinds >> 40 == 0) & (kinds >> 20 > 0)
-        return np.searchsorted(ends, at, side="right"), least, np.diff(np.append(at, len(raw))), telling
+        return np.searchsorted(ends, at, side="right"), bits, np.diff(np.append(at, len(raw))), telling
 
     def texts(self, texts, bounded: bool = False) -> Iterator[tuple[str, float, bool]]:
         """``(language, score, whether its code is as short as the learned languages')`` of each text; the last
@@ -215,9 +215,13 @@ class Scorer:
 
     def _judge(self, texts: list[str | None], bounded: bool) -> Iterator[tuple[str, float, bool]]:
         raw = [encoded(t) if t and any(map(str.isalpha, t)) else b"" for t in texts]
-        lengths, known = self.lengths(raw), np.ones(len(raw), bool)
-        if bounded and any(raw):
-            of, least, n, telling = self.words(raw)
+        known = np.ones(len(raw), bool)
+        if not bounded:
+            lengths = self.lengths(raw)
+        else:  # a text's bits are those of its words
+            of, bits, n, telling = self.words(raw)
+            lengths = np.stack([np.bincount(of, b, len(raw)) for b in bits.T], axis=1) if bits.size else np.zeros((len(raw), bits.shape[1]))
+            least = bits.min(axis=1, initial=np.inf)
             total, told = (np.stack([np.bincount(of, w * x, len(raw)) for x in (least, n)]) for w in (1, telling))
             total = np.where(told[1] >= TELLING_SHARE * total[1], told, total)
             known = [bool(t) and self.trees.bound.holds(b, k) for t, b, k in zip(raw, *total, strict=True)]

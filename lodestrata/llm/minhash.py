@@ -167,7 +167,7 @@ def _by_block(rows: DataFrame, run, schema: str) -> DataFrame:
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` its doc_id, two hashes of its text, n_shingles and, unless doc_id is null or the set empty,
-    the number ``part`` of its component, and ``least``, the smallest doc_id in it."""
+    the least (doc_id, hash, hash) in its component, ``first``."""
     spark = docs.sparkSession
     mine: list[DataFrame] = []
 
@@ -185,10 +185,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
         marked = keep(rows.mapInPandas(_signatures, "doc_id long, h1 long, h2 long, n_shingles long, set_key binary, signature binary"), "signatures")
     usable = marked.where("doc_id is not null and set_key is not null")
     # The numbers of classes are fixed by the table that is written.
-    classes = keep(usable.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = keep(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("first"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    buckets = classes.select("node", "least", "set_key", F.posexplode(bands).alias("band", "bucket"))
+    buckets = classes.select("node", F.col("first.doc_id").alias("least"), "set_key", F.posexplode(bands).alias("band", "bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct("node", "set_key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared_buckets = keep(buckets.join(hubs, "bucket").select("bucket", "band", "n", "node", "least", "set_key", F.col("hub.node").alias("hub_node"), F.col("hub.set_key").alias("hub_key")), "buckets")
 
@@ -212,13 +212,12 @@ def _grouped(docs: DataFrame) -> DataFrame:
     if extra.limit(1).count():
         first = grouped(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(extra))
 
-    parts = classes.select("set_key", "least", "node").join(first, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("part"))
+    parts = classes.select("set_key", "first", "node").join(first, "node", "left").select("set_key", "first", F.coalesce("component", "node").alias("part"))
     parts = keep(parts, "parts")
-    several = parts.groupBy("part").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("part", "first")
-    parts = parts.join(several, "part", "left").select("set_key", "part", F.coalesce("first", "least").alias("least"))
-    known = F.col("doc_id").isNotNull()
+    several = parts.groupBy("part").agg(F.min("first").alias("of_all"), F.count("*").alias("n")).where("n > 1").select("part", "of_all")
+    parts = parts.join(several, "part", "left").select("set_key", F.coalesce("of_all", "first").alias("first"))
     found = marked.select("doc_id", "h1", "h2", "n_shingles", "set_key").join(parts, "set_key", "left")
-    found = store.materialize(found.select("doc_id", "h1", "h2", "n_shingles", F.when(known, F.col("part")).alias("part"), F.when(known, F.col("least")).alias("least")), "grouped")
+    found = store.materialize(found.select("doc_id", "h1", "h2", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first")), "grouped")
     for table in mine:
         store.release(table)
     return found
@@ -231,7 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing and are kept, with a null component_id.  Rows that share a doc_id are documents of their own: each gets
     the smallest doc_id that its own text reaches.  Other columns are ignored; an empty table gives no rows.
     """
-    component = F.coalesce("least", "doc_id")
+    component = F.coalesce("first.doc_id", "doc_id")
     return _grouped(docs).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -262,11 +261,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id are told apart by their texts (two 64-bit hashes of them); of rows that share both, one
     stays if it is the group's, else none.  Rows with a null doc_id and rows without a word link with nothing: all stay.
     """
-    found = _grouped(docs).where("part is not null").select("part", F.struct("doc_id", "h1", "h2").alias("key"))
-    groups = found.groupBy("part").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rest = found.join(groups.select("part", "first"), "part").select("key", "first")
-    gone = store.materialize(rest.where("key <> first").distinct().select("key"), "gone")
-    again = store.materialize(rest.where("key = first").groupBy("key").count().where("count > 1").select("key"), "again")
+    found = _grouped(docs).where("first is not null").select(F.struct("doc_id", "h1", "h2").alias("key"), "first")
+    gone = store.materialize(found.where("key <> first").select("key").distinct(), "gone")
+    again = store.materialize(found.where("key = first").groupBy("key").count().where("count > 1").select("key"), "again")
     few = gone.count() <= BROADCAST_IDS // 4 and again.count() <= BROADCAST_IDS // 4
     gone, again = (F.broadcast(gone), F.broadcast(again)) if few else (gone, again)
     key, order = store.free_name(docs.columns, "key"), store.free_name(docs.columns, "order")

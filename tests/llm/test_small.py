@@ -655,9 +655,10 @@ def test_code_lengths_are_those_of_the_trees(order):
     for t, got in zip(asked, judge.texts(asked), strict=True):
         want = [code_length(t, texts[lang], order) for lang in "abc"]
         assert got[0] == ("abc"[int(np.argmin(want))] if t else "und")
-    of, least, n, _ = judge.words([langid.encoded(t) for t in asked])
+    of, bits, n, _ = judge.words([langid.encoded(t) for t in asked])
     for k, t in enumerate(asked):
-        assert n[of == k].sum() == len(langid.encoded(t)) and least[of == k].sum() <= min(code_length(t, texts[lang], order) for lang in "abc") + 1e-3
+        assert n[of == k].sum() == len(langid.encoded(t)) and bits[of == k].sum(axis=0) == pytest.approx([code_length(t, texts[lang], order) for lang in "abc"], rel=1e-5)
+    assert [g[:2] for g in judge.texts(asked, bounded=True)] == [(a, pytest.approx(b)) for a, b, _ in judge.texts(asked)]
 
 
 def test_words_that_say_something_of_a_language():
