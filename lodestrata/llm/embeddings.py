@@ -1,8 +1,9 @@
 """Near-duplicate vectors by PCA-ordered tiles.
 
 Equal vectors of a label are one class with a count.  Classes are ordered within their label by the
-leading principal coordinate of their unit vectors and cut into blocks of at most ``BLOCK``; two blocks
-meet only if their ranges are so close that a cosine of the threshold is possible.  A tile accumulates
+leading principal coordinate of their unit vectors, and where a slab of that order holds too many by the next, and
+cut into blocks of about ``BLOCK``; two blocks meet only if their boxes in the ``LEADS`` leading coordinates are so
+close that a cosine of the threshold is possible.  A tile accumulates
 the products of the leading coordinates first; by Cauchy-Schwarz the rest of a product is at most the
 product of the two suffix norms, so a pair stops where leading product plus bound stays below the
 threshold.  Pairs that reach the end are decided by the cosine of the stored vectors in double precision.
@@ -13,7 +14,6 @@ the block, however many pairs are linked.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +27,20 @@ from .components import connected_components
 THRESHOLD, BLOCK, STEP = 0.98, 1024, 8
 #: Tasks whose moment matrices are summed before they reach the driver, and dimensions with a basis of their own.
 SUM_LOTS, BASES = 32, 16
+#: Leading coordinates that bound a block, and cuts of an order by approximate percentiles.
+LEADS, CUTS = 3, 256
 #: Slack of the pruning bounds against rounding; the last test has none.
 SLACK = 1e-9
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """In double precision, times a power of two so that no square over- or underflows: exact, and no cosine changes."""
     v = vectors.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0, keepdims=True))[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    v = _scaled(vectors)
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
@@ -78,7 +86,7 @@ def _turn(unit: np.ndarray, bases: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, bases: dict[int, np.ndarray], threshold: float, same: bool, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into ``a`` and ``b``, float vectors) whose cosine reaches the threshold; i < j if ``same``."""
+    """Index pairs (into ``a`` and ``b``, vectors as stored) whose cosine reaches the threshold; i < j if ``same``."""
     ua, ub = _unit(a), _unit(b)
     x, y = _turn(ua, bases), _turn(ub, bases)
     dims = x.shape[1]
@@ -98,7 +106,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, bases: dict[int, np.ndarray], thres
         at = more
         live = acc + tails[0][i, at - 1] * tails[1][j, at - 1] >= threshold - SLACK
         i, j, acc = i[live], j[live], acc[live]
-    va, vb = a.astype(np.float64), b.astype(np.float64)
+    va, vb = _scaled(a), _scaled(b)
     na, nb = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (va, vb))
     sure = np.zeros(len(i), bool)
     for lo in range(0, len(i), 1 << 16):
@@ -123,12 +131,12 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _tiles(bases: dict[int, np.ndarray], threshold: float):
+def _tiles(bases: dict[int, np.ndarray], threshold: float, kind: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 dim = int(r.dim)
-                a, b = (np.frombuffer(x, "<f4").reshape(-1, dim) for x in (r.vectors_a, r.vectors_b))
+                a, b = (np.frombuffer(x, kind).reshape(-1, dim) for x in (r.vectors_a, r.vectors_b))
                 ra, rb = np.frombuffer(r.reps_a, "<i8"), np.frombuffer(r.reps_b, "<i8")
                 ca, cb = np.frombuffer(r.counts_a, "<i8"), np.frombuffer(r.counts_b, "<i8")
                 i, j = tile_links(a, b, bases, threshold, r.block_a == r.block_b)
@@ -142,13 +150,14 @@ def _tiles(bases: dict[int, np.ndarray], threshold: float):
     return run
 
 
-def _leading(bases: dict[int, np.ndarray]):
+def _leading(bases: dict[int, np.ndarray], kind: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            lead = np.zeros(len(frame))
+            lead = np.zeros((len(frame), LEADS))
             for dim, at in frame.groupby("dim").indices.items():
-                lead[at] = _turn(_unit(np.stack(frame["embedding"].iloc[at].to_list())), bases)[:, 0]
-            yield frame.assign(lead=lead, vector=[np.asarray(e, "<f4").tobytes() for e in frame["embedding"]])[["label", "dim", "rep", "n", "lead", "vector"]]
+                k = min(int(dim), LEADS)
+                lead[at, :k] = _turn(_unit(np.stack(frame["embedding"].iloc[at].to_list())), bases)[:, :k]
+            yield frame[["label", "dim", "rep", "n"]].assign(**{f"lead{k}": lead[:, k] for k in range(LEADS)}, vector=[np.asarray(e, kind).tobytes() for e in frame["embedding"]])
 
     return run
 
@@ -157,46 +166,60 @@ def _block(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("rep")
     one = frame.iloc[:1]
     return pd.DataFrame({
-        "label": one["label"], "dim": one["dim"], "block": one["block"], "lo": [frame["lead"].min()], "hi": [frame["lead"].max()],
+        "label": one["label"], "dim": one["dim"], "block": one["block"], **{f"{end}{k}": [getattr(frame[f"lead{k}"], f)()] for k in range(LEADS) for end, f in (("lo", "min"), ("hi", "max"))},
         "reps": [frame["rep"].to_numpy().astype("<i8").tobytes()], "counts": [frame["n"].to_numpy().astype("<i8").tobytes()], "vectors": [b"".join(frame["vector"])],
     })
 
 
+def _binned(rows: DataFrame, group: list[str], lead: str, wanted: F.Column, name: str) -> DataFrame:
+    """Add ``name``: the place of each row in its group by ``lead``, in as many ranges of about equal counts as ``wanted``
+    says of the group's ``total`` rows, ``CUTS`` at most."""
+    grid = [k / CUTS for k in range(1, CUTS)]
+    cuts = rows.groupBy(*group).agg(F.count("*").alias("total"), F.percentile_approx(lead, grid, 2000).alias("cuts"))
+    fine = F.size(F.filter("cuts", lambda c: c < F.col(lead)))
+    parts = F.greatest(F.lit(1), F.least(wanted, F.lit(CUTS)))
+    return rows.join(cuts, group).withColumn(name, F.floor(fine * parts / CUTS)).drop("total", "cuts")
+
+
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Per vector ``vec_id, n_links, component_id, kept``; vectors are compared within their label only.
 
     A null label, a null or empty vector, null or non-finite components and the zero vector link with
     nothing, nor do rows without a vec_id (they stay, with a null component_id).  Vectors of different
-    lengths never link.  Repeated rows count as other vectors.  An empty table gives no rows.
+    lengths never link.  Repeated rows count as other vectors.  Vectors are compared as they are stored, floats or
+    doubles.  Other columns are ignored; an empty table gives no rows.
     """
     spark = table.sparkSession
     e = F.col("embedding")
     sound = (
         F.col("label").isNotNull() & F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
     )
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.cast("array<float>").alias("embedding"), F.coalesce(sound, F.lit(False)).alias("sound"))
+    stored, number = ("<f4", "float") if dict(table.dtypes)["embedding"] == "array<float>" else ("<f8", "double")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.cast(f"array<{number}>").alias("embedding"), F.coalesce(sound, F.lit(False)).alias("sound"))
     rows = rows.withColumns({"h1": F.when(F.col("sound"), F.xxhash64("embedding")), "h2": F.when(F.col("sound"), F.xxhash64(F.lit(1), "embedding"))})
     classes = store.materialize(
         rows.where("sound").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding").cast("long")), "vectors"
     )
     bases = principal_bases(classes.select("dim", "embedding"))
 
-    led = store.materialize(classes.select("label", "dim", "rep", "n", "embedding").mapInPandas(_leading(bases), f"label {dict(classes.dtypes)['label']}, dim long, rep long, n long, lead double, vector binary"), "led")
-    grid = [k / 256 for k in range(1, 256)]
-    cuts = led.groupBy("label", "dim").agg(F.count("*").alias("total"), F.percentile_approx("lead", grid, 2000).alias("cuts"))
-    fine = led.join(cuts, ["label", "dim"]).withColumn("fine", F.size(F.filter("cuts", lambda c: c < F.col("lead"))))
-    coarse = F.floor(F.col("fine") * F.least(F.ceil(F.col("total") / block), F.lit(256)) / 256)
-    binned = store.materialize(fine.select("label", "dim", "rep", "n", "lead", "vector", coarse.alias("bin")), "binned")
-    sizes = binned.groupBy("label", "dim", "bin").agg(F.ceil(F.count("*") / block).alias("subs"))
-    laid = binned.join(sizes, ["label", "dim", "bin"]).withColumn("block", F.shiftleft(F.col("bin").cast("long"), 40) + F.pmod(F.xxhash64("rep"), F.col("subs"))).drop("bin", "subs")
     kind = dict(classes.dtypes)["label"]
+    leads = [f"lead{k}" for k in range(LEADS)]
+    led = store.materialize(classes.select("label", "dim", "rep", "n", "embedding").mapInPandas(_leading(bases, stored), f"label {kind}, dim long, rep long, n long, {', '.join(f'{c} double' for c in leads)}, vector binary"), "led")
+    slabs = store.materialize(_binned(led, ["label", "dim"], "lead0", F.ceil(F.sqrt(F.col("total") / block)), "slab"), "slabs")
+    rows_of = ["label", "dim", "slab"]
+    bars = store.materialize(_binned(slabs, rows_of, "lead1", F.ceil(F.col("total") / block), "bar"), "bars")
+    sizes = bars.groupBy(*rows_of, "bar").agg(F.ceil(F.count("*") / block).alias("subs"))
+    place = F.shiftleft(F.col("slab").cast("long") * CUTS + F.col("bar"), 40) + F.pmod(F.xxhash64("rep"), F.col("subs"))
+    laid = bars.join(sizes, [*rows_of, "bar"]).withColumn("block", place).drop("slab", "bar", "subs")
+    ends = [f"{end}{k}" for k in range(LEADS) for end in ("lo", "hi")]
     blocks = store.materialize(
-        laid.groupBy("label", "dim", "block").applyInPandas(_block, f"label {kind}, dim long, block long, lo double, hi double, reps binary, counts binary, vectors binary"), "blocks"
+        laid.groupBy("label", "dim", "block").applyInPandas(_block, f"label {kind}, dim long, block long, {', '.join(f'{c} double' for c in ends)}, reps binary, counts binary, vectors binary"), "blocks"
     )
 
-    gap = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    meta = blocks.select("label", "dim", "block", "lo", "hi")
-    near = meta.alias("a").join(meta.alias("b"), ["label", "dim"]).where(f"a.block <= b.block and a.lo - {gap!r} <= b.hi and b.lo - {gap!r} <= a.hi")
+    gap = 2 - 2 * threshold + 1e-6
+    meta = blocks.select("label", "dim", "block", *ends)
+    apart = " + ".join(f"pow(greatest(0, a.lo{k} - b.hi{k}, b.lo{k} - a.hi{k}), 2)" for k in range(LEADS))
+    near = meta.alias("a").join(meta.alias("b"), ["label", "dim"]).where(f"a.block <= b.block and {apart} <= {gap!r}")
     near = near.select("label", "dim", F.col("a.block").alias("block_a"), F.col("b.block").alias("block_b"))
 
     def side(s: str) -> DataFrame:
@@ -204,7 +227,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, block
 
     tiles = near.join(side("a"), ["label", "dim", "block_a"]).join(side("b"), ["label", "dim", "block_b"])
     with store.batches_of(spark, 16):  # a row is two whole blocks
-        found = store.materialize(tiles.mapInPandas(_tiles(bases, threshold), "u long, v long, links long"), "tiles")
+        found = store.materialize(tiles.mapInPandas(_tiles(bases, threshold, stored), "u long, v long, links long"), "tiles")
 
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     components = store.materialize(connected_components(found.where("v is not null").select("u", "v")), "components")

@@ -356,6 +356,13 @@ def test_vectors_equal_brute_force(spark, block):
     assert sum(links.values()) > 20
 
 
+def test_doubles_are_compared_as_stored(spark):
+    rows = [(1, [1e-60, 0.0], 0), (2, [1e-60, 1e-61], 0), (3, [1e-60, 1e-60], 0), (4, [1e-300, 1e-310], 0), (5, [0.0, 1e300], 0), (6, [1e290, 1e300], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS n", "2 AS dim", "3 AS block")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(table).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 5: (1, 5), 6: (1, 5)}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, n_links string")
     assert embeddings.near_duplicate_vectors(none).count() == 0
