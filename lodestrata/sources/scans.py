@@ -38,9 +38,9 @@ def read_scan_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
-    """A row-major 3x4 matrix a line: ``frame, m`` (12 doubles).  Frames are numbered within the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("frame", "line"))
-    return lines.where("trim(line) <> ''").select("frame", F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("m")).where(F.size("m") == 12)
+    """A row-major 3x4 matrix a line: ``frame, path, m`` (12 doubles).  Frames are numbered within the file."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.trim("value"), "\n")).alias("frame", "line"))
+    return lines.where("trim(line) <> ''").select("frame", "path", F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("m")).where(F.size("m") == 12)
 
 
 def to_world(points: DataFrame, poses: DataFrame) -> DataFrame:

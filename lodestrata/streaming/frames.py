@@ -133,3 +133,21 @@ def track_batch(detections: DataFrame) -> DataFrame:
         return _fold(key[0], [], 0, frame)[2]
 
     return detections.groupBy("key").applyInPandas(run, TRACKED)
+
+
+VERIFIED = "key string, number long, status string"
+
+
+def _verify(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    poisoned = bool(state.get[0]) if state.exists else False
+    got = pd.concat(list(frames)).sort_values("number", kind="stable")
+    bad = got["bad"].fillna(True).to_numpy(bool)
+    before = np.concatenate([[False], np.logical_or.accumulate(bad)[:-1]]) | poisoned
+    state.update((bool(poisoned or bad.any()),))
+    yield pd.DataFrame({"key": key[0], "number": got["number"].to_numpy(), "status": np.where(before, "poisoned", np.where(bad, "failed", "verified"))})
+
+
+def verify_stream(rows: DataFrame) -> DataFrame:
+    """``rows(key, number, bad)`` verified in order of number within a key: ``verified``, then ``failed`` at the first bad row
+    (a null is bad), then ``poisoned`` for good, over all later batches.  A key's batches must arrive in order."""
+    return rows.groupBy("key").applyInPandasWithState(_verify, VERIFIED, "poisoned boolean", "append", GroupStateTimeout.NoTimeout)
