@@ -82,3 +82,31 @@ def spectral_coordinates(weights: np.ndarray, dimensions: int) -> np.ndarray:
     out = (vectors / np.sqrt(d)[:, None])[:, 1 : dimensions + 1]
     top = out[np.abs(out).argmax(axis=0), np.arange(out.shape[1])]
     return out * np.where(top < 0, -1, 1)
+
+
+def convex_hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counter-clockwise; of points on a line its ends."""
+    p = sorted(set(map(tuple, points.tolist())))
+
+    def half(rows: list) -> list:
+        out: list = []
+        for r in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (r[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (r[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(r)
+        return out
+
+    return np.asarray(p if len(p) < 3 else half(p)[:-1] + half(p[::-1])[:-1])
+
+
+def hulls_meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two convex hulls of integer points meet: no axis parts them."""
+    axes = [(1, 0), (0, 1)]
+    for h in (a, b):
+        for u, v in zip(h, np.roll(h, -1, axis=0)):
+            axes += [(v - u).tolist(), (int(u[1] - v[1]), int(v[0] - u[0]))]
+    for n in np.asarray(axes):
+        x, y = a @ n, b @ n
+        if x.max() < y.min() or y.max() < x.min():
+            return False
+    return True

@@ -114,3 +114,47 @@ def level_key(num: str, den: str) -> str:
 def level_order_sql(num: str = "num", den: str = "den") -> str:
     """The same order for engines with 128-bit integers, as two keys: quotient, and 83 binary digits (denominators below 2^41)."""
     return f"{num} // {den}, (CAST({num} % {den} AS HUGEINT) * 9671406556917033397649408) // {den}"
+
+
+def filtered_orientation(a: str, b: str, c: str, d: str) -> dict[str, str]:
+    """The sign of det[b-a, c-a, d-a] in two stages: ``det`` and ``bound`` in floating point (the bound is what rounding can
+    do to the determinant), and ``exact`` in integers for where the first can't tell."""
+    e = [[f"CAST({p}_{k} - {a}_{k} AS DOUBLE)" for k in "xyz"] for p in (b, c, d)]
+    size = " + ".join(f"abs({e[0][i]}) * (abs({e[1][j]} * {e[2][k]}) + abs({e[1][k]} * {e[2][j]}))" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+    return {"det": det3(e), "bound": f"({size}) * CAST(1e-15 AS DOUBLE)", "exact": orient3d(a, b, c, d)}
+
+
+def interval_product(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
+    """Least and largest product of two numbers within intervals."""
+    corners = ", ".join(f"{x} * {y}" for x in a for y in b)
+    return f"least({corners})", f"greatest({corners})"
+
+
+def gram_bounds(boxes: list[str]) -> dict[str, str]:
+    """Bounds of the Gram entries of edges from the first box's point to the others', boxes as ``{name}lo*``/``{name}hi*``: columns
+    ``g{i}{j}lo`` and ``g{i}{j}hi``.  Axes are bounded one by one, so the bounds hold and needn't be met."""
+    edge = lambda n, c: (f"({n}lo{c} - {boxes[0]}hi{c})", f"({n}hi{c} - {boxes[0]}lo{c})")
+    out = {}
+    for i, p in enumerate(boxes[1:], 1):
+        for j, q in enumerate(boxes[1:], 1):
+            if i < j:
+                axes = [interval_product(edge(p, c), edge(q, c)) for c in "xyz"]
+                lo, hi = (" + ".join(a[k] for a in axes) for k in (0, 1))
+            elif i == j:
+                lo = " + ".join(f"CASE WHEN {edge(p, c)[0]} > 0 THEN {edge(p, c)[0]} * {edge(p, c)[0]} WHEN {edge(p, c)[1]} < 0 THEN {edge(p, c)[1]} * {edge(p, c)[1]} ELSE 0 END" for c in "xyz")
+                hi = " + ".join(f"greatest({edge(p, c)[0]} * {edge(p, c)[0]}, {edge(p, c)[1]} * {edge(p, c)[1]})" for c in "xyz")
+            else:
+                continue
+            out |= {f"g{i}{j}lo": lo, f"g{i}{j}hi": hi}
+    return out
+
+
+def determinant_bounds() -> dict[str, str]:
+    """Bounds of the determinant and the two numerators of a support of three boxes, from :func:`gram_bounds`."""
+    g = {k: (f"g{k}lo", f"g{k}hi") for k in ("11", "12", "22")}
+    minus_ = lambda a, b: (f"({a[0]}) - ({b[1]})", f"({a[1]}) - ({b[0]})")
+    whole = interval_product(g["11"], g["22"])
+    square = ("CASE WHEN g12lo > 0 THEN g12lo * g12lo WHEN g12hi < 0 THEN g12hi * g12hi ELSE 0 END", "greatest(g12lo * g12lo, g12hi * g12hi)")
+    d = minus_(whole, square)
+    m1, m2 = minus_(whole, interval_product(g["22"], g["12"])), minus_(whole, interval_product(g["11"], g["12"]))
+    return {"dlo": d[0], "dhi": d[1], "m1lo": m1[0], "m1hi": m1[1], "m2lo": m2[0], "m2hi": m2[1]}

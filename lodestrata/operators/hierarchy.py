@@ -364,3 +364,24 @@ def forest_cut(forest: DataFrame, num: int, den: int = 1, closed: bool = True) -
     last = upto.withColumn("k", F.row_number().over(Window.partitionBy("cloud", "node").orderBy(level().desc(), F.size(F.split("covered", ",")).desc()))).where("k = 1")
     gone = upto.where("children <> ''").select("cloud", F.explode(F.split("children", ",")).alias("child")).select("cloud", F.col("child").cast("long").alias("node")).distinct()
     return last.join(gone, ["cloud", "node"], "left_anti").select("cloud", "node", "covered")
+
+
+def run_oracle(points: DataFrame, k_max: int, at: int) -> DataFrame:
+    """Per cloud one result: ``points, events, status, steps_1, steps_2, maps_sound``.
+
+    ``refused`` where a shell holds more than its support (degenerate), else ``complete``; steps of the reduced forests of orders 1
+    and 2; whether every component of order 2 has one image at order 1 at a level."""
+    c = critical_catalog(points, k_max)
+    event = F.col("kind") == "event"
+    found = c.groupBy("cloud").agg(F.count_if(event).alias("events"), F.when(F.count_if(~event) > 0, "refused").otherwise("complete").alias("status"))
+    out = points.groupBy("cloud").agg(F.count("*").alias("points")).join(found, "cloud", "left")
+    cuts = {}
+    for order in (1, 2):
+        f, cofaces = (cut(t, "filtration") for t in gamma_filtration(points, order))
+        steps = merge_forest(f, cofaces).groupBy("cloud").agg(F.count("*").alias(f"steps_{order}"))
+        out = out.join(steps, "cloud", "left")
+        cuts[order] = gamma_cut(f, cofaces, at)
+    sound = vertical_map(cuts[2], cuts[1]).groupBy("cloud").agg((F.max("targets") == 1).alias("maps_sound"))
+    out = out.join(sound, "cloud", "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("steps_1", "steps_2")]
+    return out.select("cloud", "points", F.coalesce("events", F.lit(0)).cast("long").alias("events"), F.coalesce("status", F.lit("complete")).alias("status"), *counts, F.coalesce("maps_sound", F.lit(True)).alias("maps_sound"))

@@ -75,6 +75,74 @@ def nearest_grid(points: DataFrame, k: int, first_squared: int) -> DataFrame:
         radius *= 4
 
 
+def nearest_budgeted(points: DataFrame, k: int, squared: int) -> DataFrame:
+    """Per point its k nearest others as far as one look within a radius goes: ``cloud, q, found, farthest, status``.
+
+    ``complete``: the k nearest (ties aside) lie within the radius, and ``farthest`` is the exact cutoff; ``exhausted``: the
+    radius shows fewer, all of which are counted."""
+    near = pairs_within(points, squared, other=points).where("u <> v")
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("cloud", "u").orderBy("d2", "v"))).where(F.col("place") <= k)
+    seen = ranked.groupBy("cloud", F.col("u").alias("q")).agg(F.count("*").alias("found"), F.max("d2").alias("farthest"))
+    out = points.select("cloud", F.col("id").alias("q")).join(seen, ["cloud", "q"], "left")
+    return out.select("cloud", "q", F.coalesce("found", F.lit(0)).cast("long").alias("found"), "farthest", F.when(F.col("found") >= k, "complete").otherwise("exhausted").alias("status"))
+
+
+def nearest_by_blocks(points: DataFrame, block: int = 16) -> DataFrame:
+    """Each point's nearest other (ties: least id) by pairs of blocks: ``cloud, q, p, d2``.
+
+    Points along the Morton curve form blocks with boxes.  A block pair is opened only if its boxes are no farther apart than
+    the span of the first block, or the farthest corners of its nearest other block, bound its points' distances."""
+    from .cloud import morton, numbered
+    from .lineage import cut
+
+    placed = numbered(morton(points.select("cloud", "id", *"xyz")).withColumnRenamed("id", "p"), "cloud", "code", "p").select("cloud", F.floor(F.col("id") / block).alias("block"), F.col("p").alias("id"), *"xyz")
+    placed = cut(placed, "blocks")
+    boxes = placed.groupBy("cloud", "block").agg(F.count("*").alias("n"), *(f(c).alias(f"{e}{c}") for c in "xyz" for e, f in (("lo", F.min), ("hi", F.max))))
+    side = lambda s: boxes.select("cloud", F.col("block").alias(f"{s}_block"), F.col("n").alias(f"{s}_n"), *(F.col(f"{e}{c}").alias(f"{s}{e}{c}") for c in "xyz" for e in ("lo", "hi")))
+    apart = " + ".join(f"greatest(alo{c} - bhi{c}, 0, blo{c} - ahi{c}) * greatest(alo{c} - bhi{c}, 0, blo{c} - ahi{c})" for c in "xyz")
+    widest = " + ".join(f"greatest(abs(ahi{c} - blo{c}), abs(bhi{c} - alo{c})) * greatest(abs(ahi{c} - blo{c}), abs(bhi{c} - alo{c}))" for c in "xyz")
+    met = side("a").join(side("b"), "cloud").withColumns({"apart": F.expr(apart), "widest": F.expr(widest)})
+    # Any other point within the bound proves that no block farther off than it can hold a nearest one.
+    bound = F.min(F.when((F.col("a_block") != F.col("b_block")) | (F.col("a_n") > 1), F.col("widest"))).over(Window.partitionBy("cloud", "a_block"))
+    opened = met.withColumn("bound", bound).where("apart <= bound").select("cloud", "a_block", "b_block")
+    q = placed.select("cloud", F.col("block").alias("a_block"), F.col("id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in "xyz"))
+    p = placed.select("cloud", F.col("block").alias("b_block"), F.col("id").alias("p"), *(F.col(c).alias(f"p_{c}") for c in "xyz"))
+    pairs = q.join(opened, ["cloud", "a_block"]).join(p, ["cloud", "b_block"]).where("q <> p").withColumn("d2", F.expr(exact.squared_distance("q", "p")))
+    return pairs.groupBy("cloud", "q").agg(F.min(F.struct("d2", "p")).alias("m")).select("cloud", "q", "m.p", "m.d2")
+
+
+def spanning_tree(points: DataFrame, first_squared: int, complete_up_to: int = 512) -> DataFrame:
+    """The Euclidean minimum spanning tree of every cloud under (d2, u, v): ``cloud, u, v, weight``.
+
+    Clouds of at most ``complete_up_to`` points start from all their pairs.  Larger ones grow a radius: the forest of the pairs within
+    it is part of the tree, and only pairs that join its components are added when the radius doubles."""
+    from .graph import spanning_forest
+    from .lineage import cut
+
+    sizes = points.groupBy("cloud").agg(F.count("*").alias("n"))
+    small = points.join(sizes.where(F.col("n") <= complete_up_to).select("cloud"), "cloud", "left_semi")
+    side = lambda n: small.select("cloud", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in "xyz"))
+    pairs = side("u").join(side("v"), "cloud").where("u < v").select("cloud", "u", "v", F.expr(exact.squared_distance("u", "v")).alias("weight"))
+    done = spanning_forest(small.select("cloud", F.col("id").alias("node")), pairs)
+    large = points.join(sizes.where(F.col("n") > complete_up_to).select("cloud"), "cloud", "left_semi")
+    if not large.limit(1).count():
+        return done
+    large = cut(large, "large")
+    nodes, radius, tree = large.select("cloud", F.col("id").alias("node")), first_squared, None
+    while True:
+        near = pairs_within(large, radius).withColumnRenamed("d2", "weight")
+        if tree is not None:
+            part = cut(components(nodes, tree), "parts")
+            u = part.select("cloud", F.col("node").alias("u"), F.col("component").alias("cu"))
+            v = part.select("cloud", F.col("node").alias("v"), F.col("component").alias("cv"))
+            near = near.join(u, ["cloud", "u"]).join(v, ["cloud", "v"]).where("cu <> cv").select("cloud", "u", "v", "weight").unionByName(tree)
+        tree = cut(spanning_forest(nodes, near), "tree")
+        edges = tree.groupBy("cloud").agg((F.count("*") + 1).alias("joined"))
+        if not large.groupBy("cloud").agg(F.count("*").alias("n")).join(edges, "cloud", "left").where("joined IS NULL OR joined < n").limit(1).count():
+            return done.unionByName(tree)
+        radius *= 4
+
+
 def closed_balls(points: DataFrame, balls: DataFrame) -> DataFrame:
     """Per ball ``cloud, ball, x, y, z, r2`` how many points are inside, on and outside, and which are in the closed ball."""
     b = balls.select("cloud", "ball", *(F.col(c).alias(f"b_{c}") for c in "xyz"), "r2")
@@ -106,3 +174,23 @@ def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     counted = neighbours.join(labels.select("cloud", F.col("id").alias("p"), "label"), ["cloud", "p"]).groupBy("cloud", "q", "label").agg(F.count("*").alias("votes"))
     best = counted.groupBy("cloud", "q").agg(F.max(F.struct("votes", (-F.col("label")).alias("least"))).alias("b"))
     return best.select("cloud", "q", (-F.col("b.least")).alias("label"), F.col("b.votes").alias("votes"))
+
+
+def whitened(rows: DataFrame, columns: list[str], names: list[str], digits: int) -> DataFrame:
+    """``rows`` with ``columns`` turned to their principal axes and scaled to unit variance, rounded, under ``names``.
+
+    One aggregate gives means and covariances, whose few numbers the driver decomposes; the projection is an expression.  An
+    axis's largest part is positive.  Axes without variance give nulls."""
+    import numpy as np
+
+    n = len(columns)
+    sums = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)).first()
+    if sums[0] is None:
+        return rows.select(*(c for c in rows.columns if c not in columns), *(F.lit(None).cast("double").alias(w) for w in names))
+    values, axes = np.linalg.eigh(np.asarray([[sums[f"c{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]))
+    out = []
+    for k, name in zip(range(n - 1, -1, -1), names):
+        axis = axes[:, k] * np.sign(axes[np.abs(axes[:, k]).argmax(), k])
+        turned = sum(((F.col(c) - sums[f"m{i}"]) * float(axis[i]) for i, c in enumerate(columns)), F.lit(0.0))
+        out.append((F.round(turned / float(np.sqrt(values[k])), digits) if values[k] > 0 else F.lit(None).cast("double")).alias(name))
+    return rows.select(*(c for c in rows.columns if c not in columns), *out)

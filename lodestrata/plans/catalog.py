@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import further, hierarchies, journals, labels, neighbours, polytopes, scalars, storage  # noqa: F401
+    from . import bounds, further, hierarchies, journals, labels, neighbours, polytopes, scalars, storage  # noqa: F401
 
 
 _load()

@@ -167,8 +167,7 @@ def _complete(p):
 
 
 def _mst(spark, sf_dir):
-    p = sup(spark, sf_dir)
-    return graph.spanning_forest(p.select("cloud", F.col("id").alias("node")), _complete(p))
+    return spatial.spanning_tree(sup(spark, sf_dir), 16)
 
 
 @query("emst_boruvka", _MST_SQL + "SELECT cloud, u, v, CAST(d2 AS BIGINT) AS weight FROM mst")
