@@ -14,7 +14,7 @@ from ..sources import scans
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup, table
 from .hierarchies import _STEP, CATALOG_SQL, CLASSIFIED_SQL, K_MAX, LEVEL, ORDER, _cut_sql, _gamma, _gamma_sql, _history_sql, _steps, _text, _texts, _with
-from .labels import _tree
+from .labels import _TREE_SQL, _tree
 from .neighbours import _complete, _pairs, mst_sql
 
 
@@ -154,7 +154,7 @@ def subsample_propagate(spark, sf_dir):
     return spatial.vote(near, p.select("cloud", "id", (F.col("id") % 3).alias("label")))
 
 
-@query("dfs_intervals")
+@query("dfs_intervals", _TREE_SQL + ", f(cloud, node, path, depth) AS (SELECT cloud, node, [node], 0 FROM tree WHERE parent = -1 UNION ALL SELECT t.cloud, t.node, list_append(f.path, t.node), f.depth + 1 FROM f JOIN tree t ON t.cloud = f.cloud AND t.parent = f.node), o AS (SELECT *, row_number() OVER (PARTITION BY cloud ORDER BY path) - 1 AS first FROM f) SELECT a.cloud, a.node, CAST(a.depth AS INT) AS depth, CAST(a.first AS INT) AS first, CAST(a.first + count(*) - 1 AS INT) AS last FROM o a JOIN o b ON b.cloud = a.cloud AND list_contains(b.path, a.node) GROUP BY a.cloud, a.node, a.depth, a.first")
 def dfs_intervals(spark, sf_dir):
     return condense.subtree_intervals(_tree(spark, sf_dir))
 
@@ -189,7 +189,7 @@ def sparse_rips(spark, sf_dir):
     return facegraph.rips(spatial.pairs_within(emb(spark, sf_dir), 20_000)).select("cloud", F.array_join("simplex", ",").alias("simplex"), "w2")
 
 
-@query("whole_tree")
+@query("whole_tree", _TREE_SQL + "SELECT cloud, CAST(id AS BIGINT) AS id, arg_min(node, mass * 1000 + node) AS node FROM (SELECT t.cloud, t.node, t.mass, unnest(string_split(t.members, ',')) AS id FROM tree t) GROUP BY 1, 2")
 def whole_tree(spark, sf_dir):
     """Every point with the smallest cluster that holds it: the nodes' exclusive members."""
     t = _tree(spark, sf_dir).select("cloud", "node", "mass", F.explode(F.split("members", ",")).alias("m"))

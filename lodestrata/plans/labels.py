@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import condense, facegraph, graph, metrics, spatial
+from ..operators.clusterer import HypergraphClusterer
 from ..operators.lineage import cut
 from ..streaming import frames
 from .catalog import query
@@ -152,30 +153,70 @@ def kruskal_forest(spark, sf_dir):
     return _mst(spark, sf_dir).groupBy("cloud").agg(F.sum("weight").alias("total"), F.count("*").alias("edges"))
 
 
-@query("condense_tree")
+_LAM = "1 / (sqrt(CAST({0} AS DOUBLE)) + 1e-12)"
+#: Condensed trees of unit masses from 2, from nothing but all pairs: components at every length, and which of them are new clusters.
+_TREE_SQL = (
+    f"WITH RECURSIVE {SUP_SQL}, {_pairs('sup')}, lv AS (SELECT DISTINCT cloud, d2 FROM d), e AS (SELECT l.cloud, l.d2, d.u, d.v, d.d2 = l.d2 AS latest FROM lv l JOIN d ON d.cloud = l.cloud AND d.d2 <= l.d2), b AS (SELECT * FROM e UNION ALL SELECT cloud, d2, v, u, latest FROM e), "
+    "r(cloud, d2, closed, u, v) AS (SELECT l.cloud, l.d2, q.shut, s.id, s.id FROM lv l JOIN sup s ON s.cloud = l.cloud, (SELECT unnest([true, false]) AS shut) q UNION SELECT r.cloud, r.d2, r.closed, r.u, b.v FROM r JOIN b ON b.cloud = r.cloud AND b.d2 = r.d2 AND b.u = r.v AND (r.closed OR NOT b.latest)), "
+    "k AS (SELECT cloud, d2, closed, u AS id, min(v) AS comp, count(*) AS n FROM r GROUP BY 1, 2, 3, 4), "
+    "t AS (SELECT c.cloud, c.d2, c.comp, min(CAST(c.id AS VARCHAR)) AS top, count(*) AS n, count(DISTINCT o.comp) AS parts, count(DISTINCT o.comp) FILTER (o.n >= 2) AS kids FROM k c JOIN k o ON o.cloud = c.cloud AND o.d2 = c.d2 AND o.id = c.id AND NOT o.closed WHERE c.closed GROUP BY 1, 2, 3), "
+    "born AS (SELECT cloud, d2, comp, CAST(row_number() OVER (PARTITION BY cloud ORDER BY d2, top) - 1 AS BIGINT) AS node FROM t WHERE parts >= 2 AND n >= 2 AND kids <> 1), "
+    "up AS (SELECT c.cloud, c.node, arg_min(p.node, p.d2) AS parent, min(p.d2) AS ends FROM born c JOIN k x ON x.cloud = c.cloud AND x.closed AND x.id = c.comp AND x.d2 > c.d2 JOIN born p ON p.cloud = c.cloud AND p.d2 = x.d2 AND p.comp = x.comp GROUP BY 1, 2), "
+    "own AS (SELECT c.cloud, c.node, c.d2, coalesce(u.parent, -1) AS parent, u.ends, m.id FROM born c LEFT JOIN up u ON u.cloud = c.cloud AND u.node = c.node JOIN k x ON x.cloud = c.cloud AND x.id = c.comp AND CASE WHEN u.ends IS NULL THEN x.closed AND x.d2 = (SELECT max(d2) FROM lv WHERE lv.cloud = c.cloud) ELSE NOT x.closed AND x.d2 = u.ends END JOIN k m ON m.cloud = x.cloud AND m.d2 = x.d2 AND m.closed = x.closed AND m.comp = x.comp), "
+    "near AS (SELECT cloud, id, min(d2) AS d2 FROM (SELECT cloud, u AS id, d2 FROM d UNION ALL SELECT cloud, v, d2 FROM d) GROUP BY 1, 2), "
+    f"held AS (SELECT o.*, n.d2 AS first, (SELECT min(c.d2) FROM k c JOIN k y ON y.cloud = c.cloud AND y.d2 = c.d2 AND y.closed AND y.comp = c.comp WHERE c.cloud = o.cloud AND c.closed AND c.id = o.id AND c.d2 >= o.d2 AND y.id = (SELECT comp FROM born q WHERE q.cloud = o.cloud AND q.node = o.node)) AS since FROM own o JOIN near n ON n.cloud = o.cloud AND n.id = o.id), "
+    f"tree AS (SELECT cloud, node, CAST(parent AS BIGINT) AS parent, any_value(d2) AS starts, any_value(ends) AS ends, {_LAM.format('any_value(d2)')} AS birth, CASE WHEN any_value(ends) IS NULL THEN 0.0 ELSE {_LAM.format('any_value(ends)')} END AS death, CAST(count(*) AS DOUBLE) AS mass, sum({_LAM.format('since')}) AS total, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS members, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) FILTER (first <= 225) AS early FROM held GROUP BY cloud, node, parent) "
+)
+_ROW = "cloud, node, parent, round(birth, 6) AS birth, round(death, 6) AS death, mass, round(total - mass * death, 6) AS stability"
+
+
+def _shown(tree):
+    return tree.select("cloud", "node", "parent", *(F.round(c, 6).alias(c) for c in ("birth", "death")), "mass", F.round("stability", 6).alias("stability"), "members")
+
+
+@query("condense_tree", _TREE_SQL + f"SELECT {_ROW}, members FROM tree")
 def condense_tree(spark, sf_dir):
-    return _tree(spark, sf_dir)
+    return _shown(_tree(spark, sf_dir))
 
 
 @query("eom_select")
 def eom_select(spark, sf_dir):
-    return condense.select_stable(_tree(spark, sf_dir))
+    return _shown(condense.select_stable(_tree(spark, sf_dir)))
 
 
-@query("leaf_select")
+@query("leaf_select", _TREE_SQL + f"SELECT {_ROW}, members FROM tree WHERE NOT EXISTS (SELECT 1 FROM tree c WHERE c.cloud = tree.cloud AND c.parent = tree.node)")
 def leaf_select(spark, sf_dir):
-    return condense.select_leaves(cut(_tree(spark, sf_dir), "tree"))
+    return _shown(condense.select_leaves(cut(_tree(spark, sf_dir), "tree")))
 
 
-@query("cut_select")
+@query("cut_select", _TREE_SQL + f"SELECT {_ROW}, early AS members FROM tree WHERE starts <= 225 AND (ends IS NULL OR ends > 225)")
 def cut_select(spark, sf_dir):
-    return condense.select_cut(_tree(spark, sf_dir), 15.0)
+    """The clusters of a cut at length 15, with the members that have joined by then."""
+    return _shown(condense.select_cut(_tree(spark, sf_dir), 15.0))
 
 
 @query("split_select")
 def split_select(spark, sf_dir):
-    """A parent splits only where every child holds a third of its mass."""
-    return condense.select_stable(_tree(spark, sf_dir), lambda node, kids, own, below: min(k["mass"] for k in kids) * 3 < node["mass"])
+    """The stable clusters, each split as long as every child has a third of the points of its own."""
+    return _shown(condense.select_split(_tree(spark, sf_dir), lambda points, parts: min(map(len, parts)) * 3 >= len(points)))
+
+
+@query("tree_layout")
+def tree_layout(spark, sf_dir):
+    """Every cloud's points in one line, a node's and its descendants' side by side."""
+    return condense.tree_layout(_tree(spark, sf_dir)).withColumn("points", F.array_join("points", ","))
+
+
+@query("flat_volume_dp")
+def flat_volume_dp(spark, sf_dir):
+    """The flat choice with the least penalty for boxes far from a prior volume (fixed weights: 10 above it, 0.1 below)."""
+    return _shown(condense.select_boxes(_tree(spark, sf_dir), sup(spark, sf_dir), 200.0))
+
+
+@query("flat_score_dp")
+def flat_score_dp(spark, sf_dir):
+    """The flat choice with the best sum of scores; a node's is its mass over the length at which it was born."""
+    return _shown(condense.select_flat(_tree(spark, sf_dir), lambda node: node["mass"] * node["birth"]))
 
 
 @query("clusterer")
@@ -186,6 +227,12 @@ def clusterer(spark, sf_dir):
     return p.select("cloud", "id").join(s, ["cloud", "id"], "left").select("cloud", "id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
+@query("clusterer_faces")
+def clusterer_faces(spark, sf_dir):
+    """Labels of every supplier by the votes of the faces of its nation's triangles, noise by the nearest label."""
+    return HypergraphClusterer(complex="rips", most_squared=CAP, label_all=True).fit_predict(sup(spark, sf_dir))
+
+
 @query("miniball_float")
 def miniball_float(spark, sf_dir):
     """Smallest enclosing ball of every user's (value, hour) points."""
