@@ -75,6 +75,17 @@ def unbalanced_transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray, blur: f
     return u[:, None] * kernel * v[None, :]
 
 
+def transport_cost(plan: np.ndarray, cost: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float) -> float:
+    """What a plan costs: mass times cost, and ``reach`` times the divergence of its marginals from ``a`` and ``b``."""
+
+    def divergence(x: np.ndarray, y: np.ndarray) -> float:
+        there = (x > 1e-12) & (y > 1e-12)
+        return float((x[there] * np.log(x[there] / y[there]) - x[there] + y[there]).sum() + y[~there].sum())
+
+    moved = plan > 1e-12
+    return float((plan[moved] * cost[moved]).sum()) + reach * (divergence(plan.sum(axis=1), a) + divergence(plan.sum(axis=0), b))
+
+
 def spectral_coordinates(weights: np.ndarray, dimensions: int) -> np.ndarray:
     """Leading non-trivial eigenvectors of the symmetrically normalised graph, signs fixed by the largest entry."""
     d = np.maximum(weights.sum(1), 1e-12)

@@ -10,7 +10,7 @@ from ..functions import arrays
 from ..operators import condense, facegraph, graph, metrics, spatial
 from ..operators.clusterer import HypergraphClusterer
 from ..operators.lineage import cut
-from ..streaming import frames
+from ..streaming import frames, tracking
 from .catalog import query
 from .clouds import SUP_SQL, emb, sup, table
 from .neighbours import _MST_SQL, _complete, _mst, _pairs
@@ -312,3 +312,27 @@ def frame_stream_tracking(spark, sf_dir):
     """Tracks of every user's daily mean value, day by day: an ordered fold per user."""
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("key"), F.expr("unix_seconds(CAST(ts AS TIMESTAMP)) div 86400").alias("frame")).agg(F.round(F.avg("value"), 3).alias("x"))
     return frames.track_batch(e)
+
+
+@query("frame_stream_tracking_3d")
+def frame_stream_tracking_3d(spark, sf_dir):
+    """Every hour's events of a type as detections, tracked as a stated stream: six-state filters, transport gate, assignment."""
+    e = frames.read_stream(spark, sf_dir, "events")
+    d = e.select(F.col("event_type").alias("key"), F.expr("unix_seconds(CAST(ts AS TIMESTAMP)) div 3600").alias("frame"), F.col("event_id").cast("long").alias("detection"), F.col("value").alias("x"), (F.col("user_id") % 100).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return frames.run_to_table(tracking.track_stream(d, 6.0, 1.0), "tracks").select("key", "frame", "detection", "track", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@query("uot_cost")
+def uot_cost(spark, sf_dir):
+    """Cost of the unbalanced transport between the halves of every label's cloud: moved mass and both penalties."""
+    p = emb(spark, sf_dir)
+    cost = spatial.pairs_within(p.where("id % 2 = 0"), 40_000, other=p.where("id % 2 = 1"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        m = frame.pivot(index="u", columns="v", values="d2").sort_index().sort_index(axis=1)
+        c = m.fillna(np.inf).to_numpy() / 10_000
+        a, b = np.ones(c.shape[0]), np.ones(c.shape[1])
+        plan = arrays.unbalanced_transport(a, b, c, 0.5, 1.0)
+        return pd.DataFrame({"cloud": frame["cloud"][:1], "mass": [plan.sum()], "cost": [arrays.transport_cost(plan, c, a, b, 1.0)]})
+
+    return cost.groupBy("cloud").applyInPandas(run, "cloud long, mass double, cost double")
