@@ -139,6 +139,7 @@ class Scorer:
                 costs[at, lang] = np.log2((total + kinds)[own[at]] / n)
             for held, new in ((self.grams, grams), (self.costs, costs), (self.contexts, contexts), (self.escapes, escapes)):
                 held.append(new)
+        self.costs, self.escapes = ([v.astype(np.float32) for v in t] for t in (self.costs, self.escapes))
         slots = 1 << max(10, (CACHE_BYTES // (8 + 4 * langs)).bit_length() - 1)
         self.shift, self.keys, self.rows = np.uint64(64 - slots.bit_length() + 1), np.full(slots, _NO_WINDOW), np.zeros((slots, langs), np.float32)
 
