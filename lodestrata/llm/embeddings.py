@@ -186,7 +186,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, block
 
     A null label, a null or empty vector, null or non-finite components and the zero vector link with
     nothing, nor do rows without a vec_id (they stay, with a null component_id).  Vectors of different
-    lengths never link.  Repeated rows count as other vectors.  Vectors are compared as they are stored, floats or
+    lengths never link.  Repeated rows count as other vectors, and so do rows that share a vec_id with different vectors.  Vectors are compared as they are stored, floats or
     doubles.  Other columns are ignored; an empty table gives no rows.
     """
     spark = table.sparkSession
@@ -197,22 +197,28 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, block
     stored, number = ("<f4", "float") if dict(table.dtypes)["embedding"] == "array<float>" else ("<f8", "double")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.cast(f"array<{number}>").alias("embedding"), F.coalesce(sound, F.lit(False)).alias("sound"))
     rows = rows.withColumns({"h1": F.when(F.col("sound"), F.xxhash64("embedding")), "h2": F.when(F.col("sound"), F.xxhash64(F.lit(1), "embedding"))})
-    classes = store.materialize(
-        rows.where("sound").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding").cast("long")), "vectors"
-    )
+    mine: list[DataFrame] = []
+
+    def keep(frame: DataFrame, what: str) -> DataFrame:
+        mine.append(store.materialize(frame, what))
+        return mine[-1]
+
+    # A class has a number of its own, fixed by the table that is written, whatever ids its vectors have.
+    classes = rows.where("sound").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    classes = keep(classes.withColumns({"dim": F.size("embedding").cast("long"), "rep": F.monotonically_increasing_id()}), "vectors")
     bases = principal_bases(classes.select("dim", "embedding"))
 
     kind = dict(classes.dtypes)["label"]
     leads = [f"lead{k}" for k in range(LEADS)]
-    led = store.materialize(classes.select("label", "dim", "rep", "n", "embedding").mapInPandas(_leading(bases, stored), f"label {kind}, dim long, rep long, n long, {', '.join(f'{c} double' for c in leads)}, vector binary"), "led")
-    slabs = store.materialize(_binned(led, ["label", "dim"], "lead0", F.ceil(F.sqrt(F.col("total") / block)), "slab"), "slabs")
+    led = keep(classes.select("label", "dim", "rep", "n", "embedding").mapInPandas(_leading(bases, stored), f"label {kind}, dim long, rep long, n long, {', '.join(f'{c} double' for c in leads)}, vector binary"), "led")
+    slabs = keep(_binned(led, ["label", "dim"], "lead0", F.ceil(F.sqrt(F.col("total") / block)), "slab"), "slabs")
     rows_of = ["label", "dim", "slab"]
-    bars = store.materialize(_binned(slabs, rows_of, "lead1", F.ceil(F.col("total") / block), "bar"), "bars")
+    bars = keep(_binned(slabs, rows_of, "lead1", F.ceil(F.col("total") / block), "bar"), "bars")
     sizes = bars.groupBy(*rows_of, "bar").agg(F.ceil(F.count("*") / block).alias("subs"))
     place = F.shiftleft(F.col("slab").cast("long") * CUTS + F.col("bar"), 40) + F.pmod(F.xxhash64("rep"), F.col("subs"))
     laid = bars.join(sizes, [*rows_of, "bar"]).withColumn("block", place).drop("slab", "bar", "subs")
     ends = [f"{end}{k}" for k in range(LEADS) for end in ("lo", "hi")]
-    blocks = store.materialize(
+    blocks = keep(
         laid.groupBy("label", "dim", "block").applyInPandas(_block, f"label {kind}, dim long, block long, {', '.join(f'{c} double' for c in ends)}, reps binary, counts binary, vectors binary"), "blocks"
     )
 
@@ -227,22 +233,26 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, block
 
     tiles = near.join(side("a"), ["label", "dim", "block_a"]).join(side("b"), ["label", "dim", "block_b"])
     with store.batches_of(spark, 16):  # a row is two whole blocks
-        found = store.materialize(tiles.mapInPandas(_tiles(bases, threshold, stored), "u long, v long, links long"), "tiles")
+        found = keep(tiles.mapInPandas(_tiles(bases, threshold, stored), "u long, v long, links long"), "tiles")
 
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
-    components = store.materialize(connected_components(found.where("v is not null").select("u", "v")), "components")
-    named = (
-        classes.select("label", "h1", "h2", "rep", "n")
-        .join(counts, F.col("rep") == F.col("u"), "left")
-        .join(components, F.col("rep") == F.col("node"), "left")
-        .select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    )
-    return (
+    stars = connected_components(found.where("v is not null").select("u", "v"))
+    mine.append(stars)
+    components = keep(stars, "components")
+    named = classes.select("label", "h1", "h2", "rep", "least", "n").join(counts, F.col("rep") == F.col("u"), "left").join(components, F.col("rep") == F.col("node"), "left")
+    named = keep(named.select("label", "h1", "h2", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component"), "named")
+    first = named.where("component is not null").groupBy("component").agg(F.min("least").alias("of_all"))
+    named = named.join(first, "component", "left").select("label", "h1", "h2", "n_links", F.coalesce("of_all", "least").alias("first"))
+    out = (
         rows.select("vec_id", "label", "h1", "h2")
         .join(named, ["label", "h1", "h2"], "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
+    out = store.materialize(out, "near-vectors")
+    for frame in mine:
+        store.release(frame)
+    return out
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

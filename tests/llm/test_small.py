@@ -363,6 +363,12 @@ def test_doubles_are_compared_as_stored(spark):
     assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 5: (1, 5), 6: (1, 5)}
 
 
+def test_vectors_that_share_an_id_are_told_apart(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (3, [0.0, 1.0], 1), (4, [0.0, 1.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 0, 3), (3, 2, 1), (4, 2, 1)]
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, n_links string")
     assert embeddings.near_duplicate_vectors(none).count() == 0
