@@ -7,6 +7,8 @@ sorted array of point ids, and its text (ids with commas between) names a node o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,17 +199,19 @@ def miniballs(labels: DataFrame, balls: DataFrame) -> DataFrame:
     return best.select("cloud", "label", "b.num", "b.den", "b.support")
 
 
-def gamma_filtration(points: DataFrame, order: int, until: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def gamma_filtration(points: DataFrame, order: int, until: tuple[int, int] | None = None, ball: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(facets, cofaces)`` of one order with exact levels; a coface is ``gabriel`` if no other point is strictly
-    inside its ball.  ``until`` asks for those up to a level only, which are cliques of near pairs (see :func:`classified`)."""
+    inside its ball.  ``until`` asks for those up to a level only, which are cliques of near pairs (see :func:`classified`).
+    ``ball`` replaces :func:`miniballs`: a function of labels and supports."""
+    ball = ball or miniballs
     pairs = None if until is None else cut(near_pairs(points, until), "near")
     found = cut(supports(points, pairs=pairs), "supports")
 
     def upto(t: DataFrame) -> DataFrame:
         return t if until is None else t.where(_until(*until, True))
 
-    found_facets = upto(miniballs(k_subsets(points, order, pairs), found))
-    cofaces = cut(upto(miniballs(k_subsets(points, order + 1, pairs), found)), "cofaces")
+    found_facets = upto(ball(k_subsets(points, order, pairs), found))
+    cofaces = cut(upto(ball(k_subsets(points, order + 1, pairs), found)), "cofaces")
     used = found.join(cofaces.select("cloud", F.col("support").alias("label")).distinct(), ["cloud", "label"], "left_semi")
     inside = _classify(used, points, None if pairs is None else _neighbours(points, pairs)).select("cloud", F.col("label").alias("support"), "interior")
     cofaces = cofaces.join(inside, ["cloud", "support"])
@@ -366,22 +370,37 @@ def forest_cut(forest: DataFrame, num: int, den: int = 1, closed: bool = True) -
     return last.join(gone, ["cloud", "node"], "left_anti").select("cloud", "node", "covered")
 
 
-def run_oracle(points: DataFrame, k_max: int, at: int) -> DataFrame:
+class Engine:
+    """What :func:`run_oracle` asks for; another engine may give any of the three in another way."""
+
+    def catalog(self, points: DataFrame, k_max: int) -> DataFrame:
+        return critical_catalog(points, k_max)
+
+    def order(self, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Facets and cofaces of an order."""
+        return gamma_filtration(points, k)
+
+    def vertical(self, upper: DataFrame, lower: DataFrame) -> DataFrame:
+        return vertical_map(upper, lower)
+
+
+def run_oracle(points: DataFrame, k_max: int, at: int, engine: Engine | None = None) -> DataFrame:
     """Per cloud one result: ``points, events, status, steps_1, steps_2, maps_sound``.
 
     ``refused`` where a shell holds more than its support (degenerate), else ``complete``; steps of the reduced forests of orders 1
     and 2; whether every component of order 2 has one image at order 1 at a level."""
-    c = critical_catalog(points, k_max)
+    engine = engine or Engine()
+    c = engine.catalog(points, k_max)
     event = F.col("kind") == "event"
     found = c.groupBy("cloud").agg(F.count_if(event).alias("events"), F.when(F.count_if(~event) > 0, "refused").otherwise("complete").alias("status"))
     out = points.groupBy("cloud").agg(F.count("*").alias("points")).join(found, "cloud", "left")
     cuts = {}
     for order in (1, 2):
-        f, cofaces = (cut(t, "filtration") for t in gamma_filtration(points, order))
+        f, cofaces = (cut(t, "filtration") for t in engine.order(points, order))
         steps = merge_forest(f, cofaces).groupBy("cloud").agg(F.count("*").alias(f"steps_{order}"))
         out = out.join(steps, "cloud", "left")
         cuts[order] = gamma_cut(f, cofaces, at)
-    sound = vertical_map(cuts[2], cuts[1]).groupBy("cloud").agg((F.max("targets") == 1).alias("maps_sound"))
+    sound = engine.vertical(cuts[2], cuts[1]).groupBy("cloud").agg((F.max("targets") == 1).alias("maps_sound"))
     out = out.join(sound, "cloud", "left")
     counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("steps_1", "steps_2")]
     return out.select("cloud", "points", F.coalesce("events", F.lit(0)).cast("long").alias("events"), F.coalesce("status", F.lit("complete")).alias("status"), *counts, F.coalesce("maps_sound", F.lit(True)).alias("maps_sound"))

@@ -14,7 +14,7 @@ from ..sources import scans
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup, table
 from .hierarchies import _STEP, CATALOG_SQL, CLASSIFIED_SQL, K_MAX, LEVEL, ORDER, _cut_sql, _gamma, _gamma_sql, _history_sql, _steps, _text, _texts, _with
-from .labels import _TREE_SQL, _tree
+from .labels import _STABLE, _TREE_SQL, _tree
 from .neighbours import _complete, _pairs, mst_sql
 
 
@@ -159,7 +159,7 @@ def dfs_intervals(spark, sf_dir):
     return condense.subtree_intervals(_tree(spark, sf_dir))
 
 
-@query("label_all")
+@query("label_all", _TREE_SQL + _STABLE + ", n AS (SELECT q.cloud, q.id, arg_min(p.label, ((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) * 1000000 + p.id) AS label FROM labelled q JOIN labelled p ON p.cloud = q.cloud AND p.label IS NOT NULL WHERE q.label IS NULL GROUP BY 1, 2) SELECT l.cloud, l.id, CAST(coalesce(l.label, n.label, -1) AS BIGINT) AS label FROM labelled l LEFT JOIN n ON n.cloud = l.cloud AND n.id = l.id")
 def label_all(spark, sf_dir):
     """Cluster labels with noise filled from the nearest labelled point."""
     p = sup(spark, sf_dir)

@@ -170,6 +170,22 @@ _TREE_SQL = (
 _ROW = "cloud, node, parent, round(birth, 6) AS birth, round(death, 6) AS death, mass, round(total - mass * death, 6) AS stability"
 
 
+def _chosen_sql(score: str, slack: str = "0") -> str:
+    """The flat choice with the best sum of scores: values from the lowest node up, as lists, then from the roots down."""
+    return (
+        f", s AS (SELECT t.*, {score} AS score, coalesce((SELECT list(c.node ORDER BY c.node) FROM tree c WHERE c.cloud = t.cloud AND c.parent = t.node), []) AS kids FROM tree t), "
+        "f(cloud, i, best, stays) AS (SELECT DISTINCT cloud, CAST(-1 AS BIGINT), CAST([] AS DOUBLE[]), CAST([] AS BOOLEAN[]) FROM s UNION ALL SELECT f.cloud, s.node, "
+        f"list_append(best, CASE WHEN len(kids) = 0 OR score >= list_sum(list_transform(kids, lambda k: best[k + 1])) - {slack} THEN score ELSE list_sum(list_transform(kids, lambda k: best[k + 1])) END), "
+        f"list_append(stays, len(kids) = 0 OR score >= list_sum(list_transform(kids, lambda k: best[k + 1])) - {slack}) FROM f JOIN s ON s.cloud = f.cloud AND s.node = f.i + 1), "
+        "z AS (SELECT cloud, arg_max(stays, i) AS stays FROM f GROUP BY 1), g(cloud, node) AS (SELECT cloud, node FROM tree WHERE parent = -1 UNION ALL SELECT g.cloud, t.node FROM g JOIN z ON z.cloud = g.cloud JOIN tree t ON t.cloud = g.cloud AND t.parent = g.node WHERE NOT z.stays[g.node + 1]), "
+        "chosen AS (SELECT t.* FROM g JOIN z ON z.cloud = g.cloud JOIN tree t ON t.cloud = g.cloud AND t.node = g.node WHERE z.stays[g.node + 1]), "
+        "labelled AS (SELECT p.cloud, p.id, p.x, p.y, p.z, c.node AS label FROM sup p LEFT JOIN (SELECT cloud, node, CAST(unnest(string_split(members, ',')) AS BIGINT) AS id FROM chosen) c ON c.cloud = p.cloud AND c.id = p.id) "
+    )
+
+
+_STABLE = _chosen_sql("total - mass * death", "1e-12")
+
+
 def _shown(tree):
     return tree.select("cloud", "node", "parent", *(F.round(c, 6).alias(c) for c in ("birth", "death")), "mass", F.round("stability", 6).alias("stability"), "members")
 
@@ -179,7 +195,7 @@ def condense_tree(spark, sf_dir):
     return _shown(_tree(spark, sf_dir))
 
 
-@query("eom_select")
+@query("eom_select", _TREE_SQL + _STABLE + f"SELECT {_ROW}, members FROM chosen")
 def eom_select(spark, sf_dir):
     return _shown(condense.select_stable(_tree(spark, sf_dir)))
 
@@ -213,13 +229,13 @@ def flat_volume_dp(spark, sf_dir):
     return _shown(condense.select_boxes(_tree(spark, sf_dir), sup(spark, sf_dir), 200.0))
 
 
-@query("flat_score_dp")
+@query("flat_score_dp", _TREE_SQL + _chosen_sql("mass * birth", "1e-6") + f"SELECT {_ROW}, members FROM chosen")
 def flat_score_dp(spark, sf_dir):
     """The flat choice with the best sum of scores; a node's is its mass over the length at which it was born."""
     return _shown(condense.select_flat(_tree(spark, sf_dir), lambda node: node["mass"] * node["birth"]))
 
 
-@query("clusterer")
+@query("clusterer", _TREE_SQL + _STABLE + "SELECT cloud, id, CAST(coalesce(label, -1) AS BIGINT) AS label FROM labelled")
 def clusterer(spark, sf_dir):
     """Labels of every supplier by the most stable clusters of its nation; -1 is noise."""
     p = sup(spark, sf_dir)

@@ -410,3 +410,17 @@ def test_tracks_in_space(spark, tmp_path):
     got = frames.run_to_table(tracking.track_stream(stream, 6.0, 1.0), "tracks").collect()
     assert {r.detection: r.track for r in got} == of
     assert tracking.track_batch(table_.where("false"), 6.0, 1.0).count() == 0
+
+
+def test_engines_and_balls_can_be_replaced(spark):
+    draw = random.Random(6)
+    t = table(spark, list(dict.fromkeys(tuple(draw.randint(-9, 9) for _ in range(3)) for _ in range(6))))
+    asked = []
+
+    class Counting(hierarchy.Engine):
+        def order(self, points, k):
+            asked.append(k)
+            return hierarchy.gamma_filtration(points, k, ball=lambda labels, balls: asked.append("ball") or hierarchy.miniballs(labels, balls))
+
+    own, other = (hierarchy.run_oracle(t, 3, 30, e).collect() for e in (None, Counting()))
+    assert own == other and asked.count(1) == asked.count(2) == 1 and asked.count("ball") == 4 and own[0].points == 6 and own[0].maps_sound
