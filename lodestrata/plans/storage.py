@@ -63,7 +63,8 @@ def src_ply(spark, sf_dir):
     return stores.read_files(spark, base, "*.ply", stores.from_ply, "row long, x double, y double, z double").select(F.col("file").cast("long").alias("cloud"), "row", *"xyz")
 
 
-_FILE = F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1).cast("long").alias("cloud")
+def _file():
+    return F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1).cast("long").alias("cloud")
 
 
 @query("src_kitti_scan", f"SELECT cloud, row AS point, x, y, z, w AS remission FROM ({_rows_sql(4)})")
@@ -71,7 +72,7 @@ def src_kitti_scan(spark, sf_dir):
     """Float quadruples through a binary scan per label."""
     base = _base(spark, "scans")
     cut(stores.write_files(_vectors(spark, sf_dir, 4), "cloud", base, ".bin", _in_order(lambda f: np.ascontiguousarray(f.to_numpy(), "<f4").tobytes())), "files")
-    return scans.read_scans(spark, base).select(_FILE, "point", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "remission")))
+    return scans.read_scans(spark, base).select(_file(), "point", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "remission")))
 
 
 @query("src_kitti_labels", "SELECT CAST(label AS BIGINT) AS cloud, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS point, CAST(label AS INT) AS semantic, CAST(vec_id % 65536 AS INT) AS instance FROM embeddings")
@@ -80,7 +81,7 @@ def src_kitti_labels(spark, sf_dir):
     base = _base(spark, "labels")
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("cloud"), F.col("vec_id").cast("long").alias("vec_id"), (F.col("label") + F.shiftleft(F.col("vec_id") % 65536, 16)).cast("long").alias("word"))
     cut(stores.write_files(rows, "cloud", base, ".label", _in_order(lambda f: f["word"].to_numpy().astype("<u4").tobytes())), "files")
-    return scans.read_scan_labels(spark, base).select(_FILE, "point", "semantic", "instance")
+    return scans.read_scan_labels(spark, base).select(_file(), "point", "semantic", "instance")
 
 
 @query("src_kitti_poses", "SELECT vec_id, round(e[1] + 2 * e[2] + 3 * e[3] + e[4], 9) AS x, round(e[5] + 2 * e[6] + 3 * e[7] + e[8], 9) AS y, round(e[9] + 2 * e[10] + 3 * e[11] + e[12], 9) AS z FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
@@ -91,7 +92,7 @@ def src_kitti_poses(spark, sf_dir):
     text = lambda f: "".join(" ".join(map(repr, map(float, r))) + "\n" for r in f.itertuples(index=False)).encode()
     cut(stores.write_files(e, "cloud", base, ".txt", _in_order(text)), "files")
     frame = lambda cloud, k: F.struct(cloud.alias("cloud"), k.cast("long").alias("k")).alias("frame")
-    poses = scans.read_poses(spark, base).select(_FILE, F.col("frame").alias("k"), "m").select(frame(F.col("cloud"), F.col("k")), "m")
+    poses = scans.read_poses(spark, base).select(_file(), F.col("frame").alias("k"), "m").select(frame(F.col("cloud"), F.col("k")), "m")
     points = cloud.numbered(e.select("cloud", "vec_id"), "cloud", "vec_id").select(frame(F.col("cloud"), F.col("id")), "vec_id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
     return scans.to_world(points, poses).select("vec_id", *(F.round(c, 9).alias(c) for c in "xyz"))
 
@@ -103,7 +104,7 @@ def src_off_bbox(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("cloud"), F.col("s_suppkey").cast("double").alias("x"), F.col("s_acctbal").cast("double").alias("y"), (F.col("s_suppkey") % 7).cast("double").alias("z"))
     mesh = lambda f: (f"OFF\n{len(f)} 0 0\n" + "".join(f"{x!r} {y!r} {z!r}\n" for x, y, z in f.astype(float).itertuples(index=False))).encode()
     cut(stores.write_files(s, "cloud", base, ".off", mesh), "files")
-    return scans.read_off_boxes(spark, f"{base}/*.off").select(_FILE, *(f"{e}{c}" for c in "xyz" for e in ("lo", "hi")))
+    return scans.read_off_boxes(spark, f"{base}/*.off").select(_file(), *(f"{e}{c}" for c in "xyz" for e in ("lo", "hi")))
 
 
 @query("chunk_codec", "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem")
