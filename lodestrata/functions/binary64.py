@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import struct
 
+import numpy as np
+
 _DIGITS = re.compile(r"[0-9a-f]{16}")
 _SIGN = 1 << 63
 
@@ -27,3 +29,12 @@ def order_key(v: float | None) -> str | None:
         return None
     bits = int.from_bytes(struct.pack(">d", v or 0.0))
     return f"{bits ^ (2 * _SIGN - 1 if bits & _SIGN else _SIGN):016x}"
+
+
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """The bits of many doubles as 64-bit integers."""
+    return np.ascontiguousarray(values, "<f8").view("<i8")
+
+
+def of_bits(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(bits, "<i8").view("<f8")

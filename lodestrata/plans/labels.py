@@ -217,7 +217,7 @@ def split_select(spark, sf_dir):
     return _shown(condense.select_split(_tree(spark, sf_dir), lambda points, parts: min(map(len, parts)) * 3 >= len(points)))
 
 
-@query("tree_layout")
+@query("tree_layout", _TREE_SQL + ", f(cloud, node, path) AS (SELECT cloud, node, [node] FROM tree WHERE parent = -1 UNION ALL SELECT t.cloud, t.node, list_append(f.path, t.node) FROM f JOIN tree t ON t.cloud = f.cloud AND t.parent = f.node), m AS (SELECT cloud, CAST(id AS BIGINT) AS id, arg_min(node, mass * 1000 + node) AS node FROM (SELECT t.cloud, t.node, t.mass, unnest(string_split(t.members, ',')) AS id FROM tree t) GROUP BY 1, 2), w AS (SELECT cloud, node, list(id ORDER BY id) AS points FROM m GROUP BY 1, 2), o AS (SELECT f.cloud, f.node, f.path, coalesce(len(w.points), 0) AS n, coalesce(array_to_string(w.points, ','), '') AS points FROM f LEFT JOIN w ON w.cloud = f.cloud AND w.node = f.node), s AS (SELECT *, sum(n) OVER (PARTITION BY cloud ORDER BY path) - n AS start FROM o) SELECT a.cloud, a.node, (SELECT t.parent FROM tree t WHERE t.cloud = a.cloud AND t.node = a.node) AS parent, CAST(a.start AS BIGINT) AS start, CAST(a.start + sum(b.n) AS BIGINT) AS end, CAST(a.start + a.n AS BIGINT) AS own_end, a.points FROM s a JOIN s b ON b.cloud = a.cloud AND list_contains(b.path, a.node) GROUP BY a.cloud, a.node, a.start, a.n, a.points")
 def tree_layout(spark, sf_dir):
     """Every cloud's points in one line, a node's and its descendants' side by side."""
     return condense.tree_layout(_tree(spark, sf_dir)).withColumn("points", F.array_join("points", ","))

@@ -98,12 +98,26 @@ def src_binary64(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr("p_partkey", "lower(lpad(hex(CAST(floor(p_retailprice * 100) AS BIGINT)), 16, '0')) AS bits", "p_retailprice < 1000 AS below")
 
 
-@query("src_binary64_bits")
+_EXPONENT = "CASE WHEN pow(2, floor(log2(v))) > v THEN floor(log2(v)) - 1 WHEN pow(2, floor(log2(v)) + 1) <= v THEN floor(log2(v)) + 1 ELSE floor(log2(v)) END"
+
+
+@query("src_binary64_bits", f"WITH p AS (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS v FROM part), e AS (SELECT *, CAST({_EXPONENT} AS BIGINT) AS e FROM p), h AS (SELECT *, format('{{:016x}}', (e + 1023) * 4503599627370496 + CAST((v / pow(2, e) - 1) * 4503599627370496 AS BIGINT)) AS bits FROM e) SELECT p_partkey, bits, v AS back, translate(substr(bits, 1, 1), '01234567', '89abcdef') || substr(bits, 2) AS order_key FROM h")
 def src_binary64_bits(spark, sf_dir):
-    """The bits of every price as a double, the double read back from them, and the total order key."""
-    v = F.col("p_retailprice").cast("double")
-    bits = F.udf(binary64.to_hex, "string")(v)
-    return table(spark, sf_dir, "part").select("p_partkey", bits.alias("bits"), F.udf(binary64.from_hex, "double")(bits).alias("back"), F.udf(binary64.order_key, "string")(v).alias("order_key"))
+    """The bits of every price as a double, the double read back from them, and the total order key: bits in batches, digits in
+    expressions.  The SQL twin rebuilds the bits of positive numbers from exponent and fraction."""
+
+    @F.pandas_udf("long")
+    def bits(v: pd.Series) -> pd.Series:
+        return pd.Series(binary64.bits_of(v.fillna(0.0).to_numpy())).where(v.notna())
+
+    @F.pandas_udf("double")
+    def back(b: pd.Series) -> pd.Series:
+        return pd.Series(binary64.of_bits(b.fillna(0).to_numpy())).where(b.notna())
+
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    t = table(spark, sf_dir, "part").select("p_partkey", bits(F.col("p_retailprice").cast("double") + 0.0).alias("b"))
+    turned = F.when(F.col("b") < 0, F.bitwise_not("b")).otherwise(F.col("b").bitwiseXOR(F.lit(-(1 << 63))))
+    return t.select("p_partkey", digits(F.col("b")).alias("bits"), back("b").alias("back"), digits(turned).alias("order_key"))
 
 
 @query("src_neighbors_ulp", "SELECT p_partkey, nextafter(p_retailprice, CAST('infinity' AS DOUBLE)) AS above, nextafter(p_retailprice, CAST('-infinity' AS DOUBLE)) AS below FROM part")
