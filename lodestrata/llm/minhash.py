@@ -39,6 +39,8 @@ SURE_SHARE = 0.53
 BLOCK, PAIR_ROWS = 512, 128
 #: Ids of candidate classes are broadcast up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
+#: Components of more classes than this are hot, and of more than the table's share of this many, so there are never more of them.
+HOT_CLASSES, MOST_HOT = 1000, 500_000
 
 
 def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,8 +216,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     parts = classes.select("set_key", "first", "node").join(first, "node", "left").select("set_key", "first", F.coalesce("component", "node").alias("part"))
     parts = keep(parts, "parts")
-    several = parts.groupBy("part").agg(F.min("first").alias("of_all"), F.count("*").alias("n")).where("n > 1").select("part", "of_all")
-    parts = parts.join(several, "part", "left").select("set_key", F.coalesce("of_all", "first").alias("first"))
+    several = keep(parts.groupBy("part").agg(F.min("first").alias("of_all"), F.count("*").alias("n")).where("n > 1"), "several")
+    # The classes of a hot component get its first document by broadcast and then go by a number of their own.
+    most = max(HOT_CLASSES, parts.count() // MOST_HOT)
+    hot = several.where(F.col("n") > most).select("part", F.col("of_all").alias("of_hot"))
+    own = F.lit(-1) - F.pmod(F.xxhash64("set_key"), F.lit(1 << 62))
+    parts = parts.join(F.broadcast(hot), "part", "left").withColumn("part", F.when(F.col("of_hot").isNull(), F.col("part")).otherwise(own))
+    parts = parts.join(several.where(F.col("n") <= most).select("part", "of_all"), "part", "left").select("set_key", F.coalesce("of_hot", "of_all", "first").alias("first"))
     found = marked.select("doc_id", "h1", "h2", "n_shingles", "set_key").join(parts, "set_key", "left")
     found = store.materialize(found.select("doc_id", "h1", "h2", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first")), "grouped")
     for table in mine:

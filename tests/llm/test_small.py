@@ -234,7 +234,9 @@ def copies(draw, base, n, edits):
     return out
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT_CLASSES", hot)
     draw = random.Random(11)
     texts = []
     common = sentence(draw, 60)
