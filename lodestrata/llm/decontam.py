@@ -251,9 +251,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, index_chars: int = IND
         def run(frames: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 out = [(doc, *hit) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) for index in model.value for hit in index.hits(text)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "start"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "start"], dtype=object)
 
-        part = rows.mapInPandas(run, f"doc_id long, {HITS}")
+        part = store.map_frames(rows, run, f"doc_id long, {HITS}")
         found = part if found is None else found.unionAll(part)
     return found
 

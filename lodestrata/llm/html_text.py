@@ -326,7 +326,7 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     rows = results()
     while lot := list(islice(rows, RESULT_ROWS)):
-        yield pd.DataFrame(lot, columns=["page_id", "url", "text", "n_chars", "n_shared"]).astype({"page_id": "Int64"})
+        yield pd.DataFrame(lot, columns=["page_id", "url", "text", "n_chars", "n_shared"], dtype=object)
 
 
 def extract_main_text(pages: DataFrame, task_pages: int = TASK_PAGES) -> DataFrame:
@@ -345,7 +345,7 @@ def extract_main_text(pages: DataFrame, task_pages: int = TASK_PAGES) -> DataFra
     )
     n = max(1, -(-pages.count() // task_pages))
     ordered = keyed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInPandas(_extract, "page_id long, url string, text string, n_chars long, n_shared long")
+    return store.map_frames(ordered, _extract, "page_id long, url string, text string, n_chars long, n_shared long")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

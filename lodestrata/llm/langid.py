@@ -277,7 +277,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
             yield frame[["doc_id", "held_out"]].astype({"doc_id": "Int64"}).assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return store.map_frames(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, trees: Trees, least_score: float = KEEP_SCORE) -> DataFrame:

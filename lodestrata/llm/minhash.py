@@ -184,7 +184,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     with store.batches_of(spark, store.TEXT_ROWS):
-        marked = keep(rows.mapInPandas(_signatures, "doc_id long, h1 long, h2 long, n_shingles long, set_key binary, signature binary"), "signatures")
+        marked = keep(store.map_frames(rows, _signatures, "doc_id long, h1 long, h2 long, n_shingles long, set_key binary, signature binary"), "signatures")
     usable = marked.where("doc_id is not null and set_key is not null")
     # The numbers of classes are fixed by the table that is written.
     classes = keep(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("first"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")

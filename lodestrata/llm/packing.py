@@ -93,7 +93,7 @@ def pack_pieces(pieces: DataFrame, groups: int, window: int = WINDOW, group: str
         bins, offsets, _ = best_fit_decreasing(frame["length"].to_numpy().astype("i8"), window)
         return frame.drop(columns=group).assign(sequence_id=bins * groups + int(key[0]), offset=offsets)
 
-    return pieces.groupBy(group).applyInPandas(pack, schema)
+    return store.map_groups(pieces, group, pack, schema)
 
 
 def _pieces(tokenizer: str, end_id: int, window: int, groups: int, with_ids: bool):
@@ -112,7 +112,7 @@ def _pieces(tokenizer: str, end_id: int, window: int, groups: int, with_ids: boo
                 for a, k in cut(n, window):
                     own = ids[4 * a : 4 * (a + k)]
                     rows.append((doc, a, k, zlib.crc32(own), n, lot, *([own] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group", *(["ids"] if with_ids else [])]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group", *(["ids"] if with_ids else [])], dtype=object)
 
     return run
 
@@ -127,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long" + ", ids binary" * with_ids
-    return pack_pieces(rows.mapInPandas(_pieces(tokenizer, end_id, window, groups, with_ids), schema), groups, window)
+    return pack_pieces(store.map_frames(rows, _pieces(tokenizer, end_id, window, groups, with_ids), schema), groups, window)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

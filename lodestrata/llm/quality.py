@@ -228,7 +228,7 @@ def features(docs: DataFrame) -> DataFrame:
     """``doc_id, pattern, blank, buckets, weights``: what labellers and scorer need of each text, a few dozen numbers."""
     store.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return store.materialize(rows.mapInPandas(_features, "doc_id long, pattern long, blank boolean, buckets array<int>, weights array<float>"), "features")
+    return store.materialize(store.map_frames(rows, _features, "doc_id long, pattern long, blank boolean, buckets array<int>, weights array<float>"), "features")
 
 
 class Model:
@@ -279,7 +279,7 @@ def score(rows: DataFrame, model: Model, keep_score: float = KEEP_SCORE) -> Data
             posterior = sent.value.labels.posterior(votes_of(frame["pattern"].to_numpy(np.int64)))
             yield frame[["doc_id"]].astype("Int64").assign(posterior=posterior, score=got, kept=[s >= keep_score for s in got])
 
-    return rows.mapInPandas(run, "doc_id long, posterior double, score double, kept boolean")
+    return store.map_frames(rows, run, "doc_id long, posterior double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, keep_score: float = KEEP_SCORE) -> DataFrame:

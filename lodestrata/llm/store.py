@@ -12,8 +12,11 @@ import uuid
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own: list[str] = []
 #: Rows of texts that a Python worker receives at once.
@@ -132,3 +135,45 @@ def filter_texts(docs: DataFrame, make_judge) -> DataFrame:
             yield batch.filter(pa.array(judge(batch.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _frame(columns: dict[str, pa.Array]) -> pd.DataFrame:
+    """Arrow columns as a frame in which every integer stays one: beside nulls it is ``Int64``, not a double."""
+
+    def series(column):
+        if pa.types.is_integer(column.type) and column.null_count:
+            return column.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or (pa.types.is_boolean(column.type) and column.null_count):
+            return pd.Series(column.to_pylist(), dtype=object)
+        return column.to_pandas()
+
+    return pd.DataFrame({k: series(c) for k, c in columns.items()})
+
+
+def _table(frame: pd.DataFrame, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pandas(frame, schema=schema, preserve_index=False)
+
+
+def map_frames(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` in which ids keep all their digits.
+
+    There a batch of longs with one null becomes doubles, which hold 53 bits: hashed ids would change.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def over(batches):
+        for frame in run(_frame(dict(zip(b.schema.names, b.columns, strict=True))) for b in batches):
+            yield from _table(frame, arrow).to_batches()
+
+    return df.mapInArrow(over, schema)
+
+
+def map_groups(df: DataFrame, group: str, run, schema: str) -> DataFrame:
+    """``df.groupBy(group).applyInPandas(run, schema)`` with a ``run(key, frame)``, likewise."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def over(key, table):
+        frame = _frame(dict(zip(table.column_names, (c.combine_chunks() for c in table.columns), strict=True)))
+        return _table(run(tuple(k.as_py() for k in key), frame), arrow)
+
+    return df.groupBy(group).applyInArrow(over, schema)

@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, base: str, tokenizer: str, end_id: int =
     n = partitions or max(LEAST_SHARDS, -(-docs_in // shard_docs), -(-bytes_in // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    shards = sorted(ordered.mapInPandas(_writer(base, tokenizer, end_id, width), _SHARD).collect())
+    shards = sorted(store.map_frames(ordered, _writer(base, tokenizer, end_id, width), _SHARD).collect())
     ids = np.concatenate([[0], np.cumsum([s.ids for s in shards])]).astype(int).tolist()
     rows_before = np.concatenate([[0], np.cumsum([s.docs for s in shards])]).astype(int).tolist()
     manifest = {"width": width, "end_id": end_id, "ids": ids[-1], "docs": rows_before[-1], "shards": [{"stem": f"part-{s.shard:05d}", "docs": s.docs, "ids": s.ids, "ids_before": a, "docs_before": b, "crc32": s.digest} for s, a, b in zip(shards, ids, rows_before, strict=False)]}

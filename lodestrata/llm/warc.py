@@ -233,7 +233,7 @@ def write_warc(pages: DataFrame, base: str, least_bytes: int = 0, level: int = 3
     after every ``archive_bytes``; ``path, records, bytes`` per archive."""
     planned = plan_revisits(pages, least_bytes)
     with store.batches_of(pages.sparkSession, store.TEXT_ROWS):
-        return store.materialize(planned.mapInPandas(_writer(base, level, archive_bytes), "path string, records long, bytes long"), "warc-list")
+        return store.materialize(store.map_frames(planned, _writer(base, level, archive_bytes), "path string, records long, bytes long"), "warc-list")
 
 
 def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,8 +261,7 @@ def _reader(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    return pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"], dtype=object)
 
 
 def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -273,7 +272,7 @@ def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     n = archives.agg(F.sum(F.ceil(size / wide))).first()[0] or 1
     starts = F.explode(F.sequence(F.lit(0).cast("long"), size - 1, wide))
     ranges = archives.where("bytes > 0").select("path", size.alias("size"), starts.alias("start")).withColumn("end", F.least(F.col("start") + range_bytes, "size"))
-    return ranges.repartitionByRange(int(n), "path", "start").mapInPandas(_reader, RECORDS)
+    return store.map_frames(ranges.repartitionByRange(int(n), "path", "start"), _reader, RECORDS)
 
 
 def all_of(records: DataFrame, archives: DataFrame) -> DataFrame:
