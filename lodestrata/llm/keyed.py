@@ -23,5 +23,5 @@ def attach(rows: DataFrame, totals: DataFrame, key: str, most: int = BROADCAST_K
         return rows.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     lane = store.free_name([*rows.columns, *totals.columns], "lane")
     dealt = rows.withColumn(lane, F.pmod(F.monotonically_increasing_id(), F.lit(lanes)))
-    copies = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("long").alias("_lane")).withColumnRenamed(key, "_key")
+    copies = totals.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("_lane")).withColumnRenamed(key, "_key")
     return dealt.join(copies, F.col(key).eqNullSafe(F.col("_key")) & (F.col(lane) == F.col("_lane"))).drop(lane, "_lane", "_key")

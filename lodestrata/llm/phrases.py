@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,93 +55,104 @@ def words_of(buffer: bytes) -> tuple[list[bytes], np.ndarray]:
     return buffer.translate(_BLANKED).split(), np.cumsum(kind == 2)[start]
 
 
-def _hash(lang: bytes, phrase: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(lang + b"\x00" + phrase)
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def _start(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+
+
+def _hashes(start, columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from those of the language and of each word, word by word."""
+    at = np.atleast_1d(start)
+    for c in columns:
+        at = at * _M1 + c
+    at = (at ^ (at >> np.uint64(30))) * _M2
+    at = (at ^ (at >> np.uint64(27))) * _M3
+    return at ^ (at >> np.uint64(31))
+
+
+class Bits:
+    """A table of bits, looked up by hashes."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.mask = np.frombuffer(raw, np.uint8), np.uint64(len(raw) * 8 - 1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.raw[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+class _Ids(dict):
+    """Words numbered as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class _Tally:
     """Counts of one language's phrases of ``k`` words within a task."""
 
     def __init__(self, lang: str, k: int, frequent):
-        self.lang, self.raw, self.k, self.frequent = lang, lang.encode("utf-8", "surrogatepass"), k, frequent
+        self.start, self.k, self.frequent = _start(lang), k, frequent
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.names: list[bytes] = []
-        self.known: list[bool] = []
+        self.ids, self.word_hashes = _Ids(), np.empty(0, np.uint64)
         self.held: list[np.ndarray] = []
         self.n_held = 0
 
     def _number(self, words: list[bytes]) -> np.ndarray:
-        ids = self.ids
-        for w in set(words).difference(ids):
-            ids[w] = len(self.names)
-            self.names.append(w)
-            self.known.append(self.k == 1 or self.k > 2 or self.frequent(_hash(self.raw, w)))
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-
-    def add(self, buffer: bytes) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        before = len(self.ids)
+        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        if self.k > 1 and len(self.ids) > before:
+            new = islice(self.ids, before, None)
+            self.word_hashes = np.append(self.word_hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(self.ids) - before))
+        return at
+
+    def add(self, buffer: bytes) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Take in a buffer of whole texts; counts come out when too much is held."""
         words, piece = words_of(buffer)
         at = self._number(words)
-        if self.k == 1:
-            grams = at[:, None]
-        else:
-            last = len(at) - self.k + 1
-            if last <= 0:
+        if self.k > 1:
+            m = self.k - 1  # phrases of m words that are frequent, by where they begin
+            last = len(at) - m + 1
+            if last < 2:
                 return
-            good = piece[:last] == piece[self.k - 1 :]
-            if self.k == 2:
-                known = np.asarray(self.known)[at]
-                good &= known[:-1] & known[1:]
-            else:
-                pairs = self._frequent_runs(at, piece)
-                good &= pairs[: len(pairs) - 1] & pairs[1:]
-            first = np.flatnonzero(good)
-            grams = np.stack([at[first + j] for j in range(self.k)], axis=1)
-        self.held.append(grams.astype(np.int32))
-        self.n_held += len(grams)
-        if self.n_held > HELD_PHRASES or len(self.names) > HELD_WORDS:
+            own = self.word_hashes[at]
+            good = self.frequent(_hashes(self.start, [own[j : last + j] for j in range(m)]))
+            first = np.flatnonzero(good[:-1] & good[1:] & (piece[: last - 1] == piece[m:]))
+            at = np.stack([at[first + j] for j in range(self.k)], axis=1).astype(np.int32)
+        self.held.append(at)
+        self.n_held += len(at)
+        if self.n_held > HELD_PHRASES or len(self.ids) > HELD_WORDS:
             yield from self.flush()
 
-    def _frequent_runs(self, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether the ``k - 1`` words from each place are a frequent phrase within one piece."""
-        m = self.k - 1
-        last = len(at) - m + 1
-        good = piece[:last] == piece[m - 1 :]
-        first = np.flatnonzero(good)
-        runs, back = np.unique(np.stack([at[first + j] for j in range(m)], axis=1), axis=0, return_inverse=True) if m > 2 else _unique_pairs(at[first], at[first + 1])
-        yes = np.fromiter((self.frequent(_hash(self.raw, b" ".join([self.names[i] for i in r]))) for r in runs.tolist()), bool, len(runs))
-        good[first] = yes[back.ravel()]
-        return good
-
-    def flush(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    def flush(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """``(phrases, counts)`` of all that is held."""
         if self.n_held:
-            grams = np.concatenate(self.held)
+            names, grams = pa.array(list(self.ids), pa.binary()), np.concatenate(self.held)
             if self.k == 1:
-                n = np.bincount(grams[:, 0], minlength=len(self.names))
+                n = np.bincount(grams, minlength=len(names))
                 some = np.flatnonzero(n)
-                yield [self.names[i] for i in some.tolist()], n[some]
+                yield names.take(pa.array(some)), n[some]
             else:
-                order = np.lexsort(grams.T[::-1])
-                grams = grams[order]
-                new = np.ones(len(grams), bool)
-                new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
-                begin = np.flatnonzero(new)
-                count = np.diff(np.append(begin, len(grams)))
-                names = self.names
-                for i in range(0, len(begin), 200_000):
-                    columns = [[names[x] for x in grams[begin[i : i + 200_000], j].tolist()] for j in range(self.k)]
-                    yield list(map(b" ".join, zip(*columns, strict=True))), count[i : i + 200_000]
+                wide = max(1, len(names) - 1).bit_length()
+                if wide * self.k <= 63:  # a phrase in one number
+                    keys = grams[:, 0].astype(np.int64)
+                    for j in range(1, self.k):
+                        keys = keys << wide | grams[:, j]
+                    keys, count = np.unique(keys, return_counts=True)
+                    columns = [keys >> wide * (self.k - 1 - j) & (1 << wide) - 1 for j in range(self.k)]
+                else:
+                    rows, count = np.unique(grams, axis=0, return_counts=True)
+                    columns = list(rows.T)
+                for i in range(0, len(count), 200_000):
+                    yield pc.binary_join_element_wise(*(names.take(pa.array(c[i : i + 200_000])) for c in columns), b" "), count[i : i + 200_000]
         self._clear()
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(a << 32 | b, return_inverse=True)
-    return np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1), back
-
-
 def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """Lower-cased texts of one language, a separator between them; a long text alone, and always whole."""
     for batch in batches:
@@ -158,12 +171,12 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 
 def _counter(k: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = _lookup(sent.value) if sent is not None else None
+        frequent = Bits(sent.value) if sent is not None else None
         tallies: dict[str, _Tally] = {}
 
         def out(lang: str, counts) -> Iterator[pa.RecordBatch]:
             for names, n in counts:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(n.astype(np.int64))], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(names)), names, pa.array(n.astype(np.int64))], schema=_SCHEMA)
 
         for lang, buffer in _buffers(batches):
             if lang not in tallies:
@@ -178,16 +191,6 @@ def _counter(k: int, sent):
     return run
 
 
-def _lookup(bits: bytes):
-    mask = len(bits) * 8 - 1
-
-    def frequent(h: int) -> bool:
-        h &= mask
-        return bool(bits[h >> 3] >> (h & 7) & 1)
-
-    return frequent
-
-
 def frequent_bits(level: DataFrame) -> bytes:
     """The table of bits of a level's phrases: its size is a power of two, 16 segments at least and at most :data:`MOST_BITS`."""
     n = level.count()
@@ -195,8 +198,17 @@ def frequent_bits(level: DataFrame) -> bytes:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [_hash(lang.encode("utf-8", "surrogatepass"), p) & (size - 1) for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([h // SEGMENT for h in hashes], pa.int64()), pa.array([h % SEGMENT for h in hashes], pa.int32())], ["segment", "place"])
+            phrases, at = batch.column("phrase").to_pylist(), np.empty(batch.num_rows, np.uint64)
+            langs = batch.column("lang").to_pylist()
+            start_of = {lang: _start(lang) for lang in set(langs)}
+            starts = np.fromiter(map(start_of.__getitem__, langs), np.uint64, batch.num_rows)
+            words = [p.split(b" ") for p in phrases]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            for k in np.unique(sizes).tolist():
+                some = np.flatnonzero(sizes == k)
+                at[some] = _hashes(starts[some], [np.fromiter((xxhash.xxh3_64_intdigest(words[i][j]) for i in some.tolist()), np.uint64, len(some)) for j in range(k)])
+            at &= np.uint64(size - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(SEGMENT)).astype(np.int64)), pa.array((at % np.uint64(SEGMENT)).astype(np.int32))], ["segment", "place"])
 
     def segment(table: pa.Table) -> pa.Table:
         bits = np.zeros(SEGMENT, np.uint8)

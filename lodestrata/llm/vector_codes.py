@@ -66,7 +66,7 @@ def _codes(column: pa.Array, parts: int) -> np.ndarray | None:
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def _assign(dim: int, books: np.ndarray, fresh: bool):

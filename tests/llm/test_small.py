@@ -836,7 +836,7 @@ def test_pipeline_on_hard_rows(spark, hard, empty):
         assert step.count() >= 0
 
 
-@pytest.mark.parametrize("name", ["op5_warc", "op8_embedding_dedup", "op9_minhash"])
+@pytest.mark.parametrize("name", ["op5_warc", "op8_embedding_dedup", "op9_minhash", "op11_mixing", "op12_phrases", "op13_vector_codes"])
 def test_queries_equal_their_sql(spark, name):
     from lodestrata.llm import entries
 
