@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact
+from .bounded import classify_within, supports_within
 from .cloud import facets, gcd
 from .graph import components
 from .lineage import cut, let, spread
-from .spatial import nearest, pairs_within
-
-#: Points near a support's first point that are tried before the whole cloud.
-PROBES = 16
+from .spatial import pairs_within
 
 NAMES = ("a", "b", "c", "d")
 
@@ -136,12 +134,12 @@ def critical_catalog(points: DataFrame, k_max: int, largest: int = 4) -> DataFra
     """Critical events and degeneracies of rank at most s_max = min(k_eff + 1, n), k_eff = min(k_max, n).
 
     ``kind`` is ``event`` (the shell is the support) or ``extra_shell``; ``birth_order`` and ``saddle_order``
-    are null where the event has no such role.  Supports go as soon as the ``PROBES`` points nearest to their first point
-    show that too many lie inside; only the others meet the whole cloud.
+    are null where the event has no such role.  Supports are grown from edges whose spindle holds few points (see
+    :mod:`.bounded`), and their balls meet only the points of the boxes around them: tuples of a cloud are never listed.
     """
     n = points.groupBy("cloud").agg(F.count("*").alias("n")).withColumn("k_eff", F.least(F.lit(k_max), "n"))
-    found = cut(_within_rank(supports(points, largest), points, k_max + 1), "supports")
-    c = _classify(found, points, None).join(n, "cloud").withColumn("rank", F.size("interior") + F.size("shell"))
+    found = cut(supports_within(points, k_max + 1, largest), "supports")
+    c = classify_within(found, points).join(n, "cloud").withColumn("rank", F.size("interior") + F.size("shell"))
     s_max = F.least(F.col("k_eff") + 1, F.col("n"))
     extra = F.size("shell") > F.size("label")
     c = c.where(F.when(extra, F.size("interior") + F.size("label")).otherwise(F.col("rank")) <= s_max)
@@ -152,20 +150,6 @@ def critical_catalog(points: DataFrame, k_max: int, largest: int = 4) -> DataFra
     )
 
 
-def _within_rank(found: DataFrame, points: DataFrame, most: int) -> DataFrame:
-    """Supports without those that have more than ``most`` less their own points inside among the points nearest to
-    their first point: an array of at most ``PROBES`` points, and one expression."""
-    near = cut(nearest(points, PROBES).where(F.col("choice") <= PROBES), "probes").select("cloud", "q", F.col("p").alias("id"))
-    at = near.join(points.select("cloud", "id", "x", "y", "z"), ["cloud", "id"])
-    probes = at.groupBy("cloud", F.col("q").alias("first")).agg(F.collect_list(F.struct("x", "y", "z")).alias("probes"))
-    inside = exact.power_sign(list(NAMES), "p")
-    for c in "xyz":
-        inside = inside.replace(f"p_{c}", f"p.{c}")
-    met = found.withColumn("first", F.col("label")[0]).join(probes, ["cloud", "first"], "left")
-    crowded = F.expr(f"size(filter(coalesce(probes, array()), p -> {inside} < 0)) + size(label) > {int(most)}")
-    return met.where(~crowded).select(*found.columns)
-
-
 def saddle_arms(catalog: DataFrame) -> DataFrame:
     """Per saddle the facets (interior + shell) without one shell point."""
     s = catalog.where("saddle_order IS NOT NULL").withColumn("all", F.array_sort(F.concat("interior", "shell")))

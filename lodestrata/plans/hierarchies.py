@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import exact
-from ..operators import cloud, graph, hierarchy, metrics
+from ..operators import cloud, graph, hierarchy, metrics, tower
 from ..operators.lineage import cut
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup
@@ -281,6 +281,25 @@ def saturated_tower(spark, sf_dir):
     return hierarchy.saturated_cut(sup(spark, sf_dir), ORDER, LEVEL)
 
 
+_COVERED = "(SELECT string_agg(p, ',' ORDER BY CAST(p AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(facet, ','), ',')) AS p)) AS covered"
+_ORDERS = range(1, K_MAX + 1)
+
+
+@query("saturated_orders", _with(CLASSIFIED_SQL, *(_gamma_sql(o) for o in _ORDERS), *(_cut_sql(o, LEVEL, prefix=f"cut{o}") for o in _ORDERS)) + " UNION ALL ".join(f"SELECT CAST({o} AS INT) AS order_, cloud, {_COVERED} FROM cut{o} GROUP BY cloud, component" for o in _ORDERS))
+def saturated_orders(spark, sf_dir):
+    """The cuts of all orders at a level from one maximum-weight forest of overlaps; the twin enumerates every order's subsets."""
+    return tower.orders_at(sup(spark, sf_dir), K_MAX, LEVEL).withColumnRenamed("order", "order_")
+
+
+_TOWER_CUTS = [(o, l, 1) for o in _ORDERS for l in (LEVEL // 4, LEVEL)]
+
+
+@query("saturated_levels", _with(CLASSIFIED_SQL, *(_gamma_sql(o) for o in _ORDERS), *(_cut_sql(o, l, prefix=f"cut{o}_{l}") for o, l, _ in _TOWER_CUTS)) + " UNION ALL ".join(f"SELECT CAST({o} AS INT) AS order_, CAST({l} AS BIGINT) AS num, cloud, {_COVERED} FROM cut{o}_{l} GROUP BY cloud, component" for o, l, _ in _TOWER_CUTS))
+def saturated_levels(spark, sf_dir):
+    """Cuts of every order at two levels, replayed from the orders' forests by level."""
+    return tower.tower_cuts(*tower.tower(sup(spark, sf_dir), K_MAX, (LEVEL, 1)), _TOWER_CUTS).select(F.col("order").alias("order_"), "num", "cloud", "covered")
+
+
 @query("merge_forest", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _history_sql(ORDER, "h")) + f"SELECT {_STEP} FROM h")
 def merge_forest(spark, sf_dir):
     return _steps(hierarchy.merge_forest(*_gamma(spark, sf_dir)))
