@@ -95,10 +95,12 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
-    """``(text, in the article, left out by the markup)`` of each non-empty block, in page order."""
+    """``(text, in the article, left out by the markup)`` of each non-empty block, in page order.
+
+    Text of inline elements that the markup leaves out is a line of its own, after the rest of its block."""
     page = page or ""
     lines: list[tuple[str, bool, bool]] = []
-    parts: list[str] = []
+    parts: tuple[list[str], list[str]] = [], []  # of this block, and what is left out of it
     stack: list[tuple[str, bool, bool]] = []
     blocks: list[int] = []  # places of block elements in the stack
     open_tags: Counter = Counter()
@@ -107,11 +109,12 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     last = page.rfind(">") + 1
 
     def close_block() -> None:
-        if parts:
-            text = " ".join("".join(parts).split())
-            parts.clear()
-            if text:
-                lines.append((text, inside, out))
+        for part, gone in zip(parts, (False, True), strict=True):
+            if part:
+                text = " ".join("".join(part).split())
+                part.clear()
+                if text:
+                    lines.append((text, inside, gone))
 
     def close_from(k: int) -> None:
         nonlocal inside, out
@@ -130,7 +133,7 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
             continue
         raw = page[at : start.start()] if start else page[at:]
         if raw:
-            parts.append(html.unescape(raw) if "&" in raw else raw)
+            parts[out].append(html.unescape(raw) if "&" in raw else raw)
         if not m:  # the page ends here, or within a tag
             break
         at = m.end()
@@ -140,7 +143,7 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
         if tag in _BLOCK:
             close_block()
         elif tag == "br":
-            parts.append(" ")
+            parts[out].append(" ")
         if slash:
             if open_tags[tag] > 0:
                 k = len(stack) - 1
