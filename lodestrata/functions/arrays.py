@@ -75,15 +75,19 @@ def unbalanced_transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray, blur: f
     return u[:, None] * kernel * v[None, :]
 
 
-def transport_cost(plan: np.ndarray, cost: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float) -> float:
-    """What a plan costs: mass times cost, and ``reach`` times the divergence of its marginals from ``a`` and ``b``."""
+def divergence(x: np.ndarray, y: np.ndarray) -> float:
+    """Generalised Kullback-Leibler divergence of two measures: the sum of x log(x / y) - x + y, with its limits: y where x
+    is 0, infinite where y is 0 and x is not."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.where(x > 0, x * np.log(x / y), 0.0)
+    return float((logs + (y - x)).sum())
 
-    def divergence(x: np.ndarray, y: np.ndarray) -> float:
-        there = (x > 1e-12) & (y > 1e-12)
-        return float((x[there] * np.log(x[there] / y[there]) - x[there] + y[there]).sum() + y[~there].sum())
 
-    moved = plan > 1e-12
-    return float((plan[moved] * cost[moved]).sum()) + reach * (divergence(plan.sum(axis=1), a) + divergence(plan.sum(axis=0), b))
+def transport_cost(plan: np.ndarray, cost: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float) -> float:
+    """What a plan costs: mass times cost, and ``reach`` times the divergences of its marginals from ``a`` and ``b``.
+    A forbidden way (of infinite cost) costs nothing if nothing goes there."""
+    carried = float(np.multiply(plan, cost, where=plan > 0, out=np.zeros(plan.shape)).sum())
+    return carried + reach * sum(divergence(plan.sum(axis=k), y) for k, y in ((1, a), (0, b)))
 
 
 def spectral_coordinates(weights: np.ndarray, dimensions: int) -> np.ndarray:

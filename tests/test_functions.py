@@ -105,3 +105,15 @@ def test_streamed_tracks_equal_the_batch(spark, tmp_path):
     got = frames.run_to_table(frames.track_stream(stream), "tracks")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     assert len({(r.key, r.track) for r in batch.collect()}) == 4
+
+
+def test_transport_cost_is_the_sum_written_out():
+    import math
+
+    plan, cost = np.asarray([[0.2, 0.0], [0.1, 0.3]]), np.asarray([[1.0, np.inf], [2.0, 0.5]])
+    a, b = np.asarray([0.5, 0.5]), np.asarray([0.25, 0.75])
+    kl = lambda x, y: x * math.log(x / y) - x + y
+    want = 0.2 * 1 + 0.1 * 2 + 0.3 * 0.5 + 3 * (kl(0.2, 0.5) + kl(0.4, 0.5) + kl(0.3, 0.25) + kl(0.3, 0.75))
+    assert math.isclose(arrays.transport_cost(plan, cost, a, b, 3.0), want)
+    assert arrays.divergence(np.zeros(2), b) == 1.0 and arrays.divergence(a, np.asarray([0.0, 1.0])) == math.inf
+    assert arrays.divergence(np.zeros(1), np.zeros(1)) == 0.0
