@@ -1,4 +1,4 @@
-"""Critical supports, exact miniballs, Gamma filtrations and cuts, saturated balls, merge forests.
+"""Critical supports, exact miniballs, Gamma filtrations and cuts, saturated balls (merge forests: :mod:`.forest`).
 
 All clouds of a table are worked on at once, grouped by ``cloud``.  Coordinates are integers of at most 6
 bits where supports of four points are asked for (see :mod:`lodestrata.functions.exact`).  A label is a
@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact
 from .bounded import classify_within, supports_within
 from .cloud import facets, gcd
+from .forest import forest_cut, merge_forest
 from .graph import components
 from .lineage import cut, let, spread
 from .spatial import pairs_within
@@ -269,91 +269,6 @@ def saturated_cut(points: DataFrame, order: int, num: int, den: int = 1) -> Data
     return p.groupBy("cloud", "component").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("covered")).select("cloud", "covered")
 
 
-FOREST = "cloud long, node long, num long, den long, kind string, q int, children string, covered string"
-
-
-def _reduce_levels(frame: pd.DataFrame, reduced: bool) -> pd.DataFrame:
-    """One cloud: all births and relations of a level together, against the components frozen before it."""
-    from fractions import Fraction
-
-    cloud = frame["cloud"].iloc[0]
-    rows = sorted((Fraction(int(n), int(d)), kind, tuple(map(int, text.split(",")))) for n, d, kind, text in zip(frame["num"], frame["den"], frame["kind"], frame["label"], strict=True))
-    parent: dict[tuple, tuple] = {}
-    covered: dict[tuple, set] = {}
-    tree: dict[tuple, int] = {}
-    out, k, made = [], 0, 0
-
-    def find(x: tuple) -> tuple:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    while k < len(rows):
-        level, touched = rows[k][0], {}
-        before: dict[tuple, set[int]] = {}
-        batch = []
-        while k < len(rows) and rows[k][0] == level:
-            batch.append(rows[k])
-            k += 1
-        for _, kind, label in batch:
-            if kind == "facet":
-                parent[label], covered[label] = label, set(label)
-                before[label] = set()
-                touched[label] = None
-        for _, kind, label in batch:
-            if kind == "coface":
-                parts = [label[:i] + label[i + 1 :] for i in range(len(label))]
-                for p in parts:
-                    r = find(p)
-                    before.setdefault(r, {tree[r]} if r in tree else set())
-                    touched[r] = None
-                first = find(parts[0])
-                for p in parts[1:]:
-                    r = find(p)
-                    if r != first:
-                        parent[r] = first
-                        before[first] = before[first] | before.pop(r)
-                        covered[first] |= covered.pop(r)
-        joined = {find(p[i]) for _, kind, label in batch if kind == "coface" for p in [[label[:i] + label[i + 1 :] for i in range(len(label))]] for i in range(1)}
-        for root in sorted({find(t) for t in touched}):
-            prior = sorted(before.get(root, set()))
-            public = not reduced or len(root) == 1 or root in joined
-            if not public:
-                continue
-            q = len(prior)
-            kind = "birth" if q == 0 else "growth" if q == 1 else "merge"
-            node = prior[0] if q == 1 else made
-            made += q != 1
-            tree[root] = node
-            out.append((cloud, node, level.numerator, level.denominator, kind, q, ",".join(map(str, prior)) if q > 1 else "", ",".join(map(str, sorted(covered[root])))))
-    return pd.DataFrame(out, columns=["cloud", "node", "num", "den", "kind", "q", "children", "covered"])
-
-
-def merge_forest(found_facets: DataFrame, cofaces: DataFrame, reduced: bool = True) -> DataFrame:
-    """The merge forest of one order, every cloud on its own: births, growths (q = 1, no new node) and merges.
-
-    All relations of one exact level act at once.  ``reduced`` leaves out components of a single facet (for
-    order 1 singletons are all there are, and stay).  A group is one cloud, whose facets bound its memory.
-    """
-    both = found_facets.select("cloud", "num", "den", F.lit("facet").alias("kind"), label_text("label").alias("label")).unionAll(cofaces.select("cloud", "num", "den", F.lit("coface").alias("kind"), label_text("label").alias("label")))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _reduce_levels(frame, reduced)
-
-    return both.groupBy("cloud").applyInPandas(run, FOREST)
-
-
-def forest_cut(forest: DataFrame, num: int, den: int = 1, closed: bool = True) -> DataFrame:
-    """Nodes alive at a level with what they cover then: the last row of each node up to it, without merged children."""
-    from pyspark.sql.window import Window
-
-    upto = forest.where(_until(num, den, closed))
-    last = upto.withColumn("k", F.row_number().over(Window.partitionBy("cloud", "node").orderBy(level().desc(), F.size(F.split("covered", ",")).desc()))).where("k = 1")
-    gone = upto.where("children <> ''").select("cloud", F.explode(F.split("children", ",")).alias("child")).select("cloud", F.col("child").cast("long").alias("node")).distinct()
-    return last.join(gone, ["cloud", "node"], "left_anti").select("cloud", "node", "covered")
-
-
 class Engine:
     """What :func:`run_oracle` asks for; another engine may give any of the three in another way."""
 

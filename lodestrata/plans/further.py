@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import exact
 from ..operators import condense, facegraph, graph, hierarchy, spatial
+from ..operators import forest as forest_of
 from ..operators.lineage import cut, shared_dir
 from ..sources import scans
 from .catalog import query
@@ -175,7 +176,7 @@ def join_attach(spark, sf_dir):
     """Arms of order-1 saddles with what the forest node that holds them strictly below the saddle's level covers then:
     an as-of join."""
     p = sup(spark, sf_dir)
-    forest = cut(hierarchy.merge_forest(*_gamma(spark, sf_dir, 1), reduced=False), "forest")
+    forest = cut(forest_of.covered(hierarchy.merge_forest(*_gamma(spark, sf_dir, 1), reduced=False)), "forest")
     held = forest.select("cloud", "covered", F.col("num").alias("fn"), F.col("den").alias("fd"), F.explode(F.split("covered", ",")).alias("facet"))
     c = hierarchy.critical_catalog(p, K_MAX).where("saddle_order = 1")
     arms = hierarchy.saddle_arms(c).join(c.select("cloud", "label", "num", "den"), ["cloud", "label"]).withColumns({"facet": F.array_join("facet", ","), "label": F.array_join("label", ",")})

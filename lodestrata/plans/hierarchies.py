@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..operators import cloud, graph, hierarchy, metrics, tower
+from ..operators import forest as forest_of
 from ..operators.lineage import cut
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup
@@ -104,7 +105,7 @@ _STEP = "cloud, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CASE q W
 
 def _steps(forest):
     """What happens at each level, without the numbers that the forest gives its nodes."""
-    return forest.select("cloud", "num", "den", "kind", "q", "covered")
+    return forest_of.covered(forest).select("cloud", "num", "den", "kind", "q", "covered")
 
 
 def _with(*ctes: str) -> str:
@@ -343,7 +344,7 @@ _CURVE = _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _history_sql(ORDER, "h", reduc
 
 @query("agg_percolation_curve", _CURVE)
 def agg_percolation_curve(spark, sf_dir):
-    return metrics.percolation_curve(hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False))
+    return metrics.percolation_curve(forest_of.covered(hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False)))
 
 
 @query("agg_percolation_rate", f"WITH c AS ({_CURVE}), {SUP_SQL}, n AS (SELECT cloud, count(*) AS n FROM sup GROUP BY 1), r AS (SELECT cloud, min(CAST(num AS DOUBLE) / den) FILTER (largest >= 0.03 * n) AS lo, min(CAST(num AS DOUBLE) / den) FILTER (largest >= 0.97 * n) AS hi FROM c JOIN n USING (cloud) GROUP BY cloud) SELECT cloud, round(CASE WHEN hi > 0 THEN pow(sqrt(lo / hi), 3) END, 9) AS rate FROM r")
@@ -351,7 +352,7 @@ def agg_percolation_rate(spark, sf_dir):
     """``(r_min / r_max) ** 3`` between the levels at which the largest component covers 3 % and 97 % of the points."""
     p = sup(spark, sf_dir)
     n = p.groupBy("cloud").agg(F.count("*").alias("n"))
-    c = metrics.percolation_curve(hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False)).join(n, "cloud").withColumn("level", F.col("num") / F.col("den"))
+    c = metrics.percolation_curve(forest_of.covered(hierarchy.merge_forest(*_gamma(spark, sf_dir), reduced=False))).join(n, "cloud").withColumn("level", F.col("num") / F.col("den"))
     r = c.groupBy("cloud").agg(F.min(F.when(F.col("largest") >= 0.03 * F.col("n"), F.col("level"))).alias("lo"), F.min(F.when(F.col("largest") >= 0.97 * F.col("n"), F.col("level"))).alias("hi"))
     return r.select("cloud", F.round(F.pow(F.sqrt(F.col("lo") / F.nullif(F.col("hi"), F.lit(0))), F.lit(3.0)), 9).alias("rate"))
 

@@ -94,9 +94,11 @@ def agg_purity_gain(spark, sf_dir):
 _IOU = f"WITH {_LABELS}, c AS (SELECT truth, cluster, count(*) AS n FROM l GROUP BY 1, 2), j AS (SELECT *, n / (sum(n) OVER (PARTITION BY truth) + sum(n) OVER (PARTITION BY cluster) - n) AS iou FROM c)"
 
 
-@query("agg_iou_map", _IOU + " SELECT truth, cluster, CAST(n AS BIGINT) AS n, iou FROM j WHERE iou > 0.05")
+@query("agg_iou_map", "WITH c AS (SELECT CAST(quality AS BIGINT) AS truth, CAST(toxic AS BIGINT) AS cluster, count(*) AS n FROM labels GROUP BY 1, 2), j AS (SELECT *, n / (sum(n) OVER (PARTITION BY truth) + sum(n) OVER (PARTITION BY cluster) - n) AS iou FROM c) SELECT truth, cluster, CAST(n AS BIGINT) AS n, iou FROM j WHERE iou > 0.5")
 def agg_iou_map(spark, sf_dir):
-    return metrics.overlaps(_labels(spark, sf_dir), 0.05)
+    """Which of two labelings' classes match: more than half of what either holds is in both."""
+    marks = table(spark, sf_dir, "labels").select(F.col("quality").cast("long").alias("truth"), F.col("toxic").cast("long").alias("cluster"))
+    return metrics.overlaps(marks)
 
 
 @query("agg_lstq", _IOU + " SELECT truth, sum(n * iou) / sum(n) AS aq, max(iou) AS best, sqrt(sum(n * iou) / sum(n) * max(iou)) AS score FROM j GROUP BY 1")

@@ -134,7 +134,7 @@ def test_equal_levels_merge_at_once(spark):
     square = table(spark, [(0, 0, 0), (2, 0, 0), (0, 2, 0), (2, 2, 0)])
     forest = hierarchy.merge_forest(*hierarchy.gamma_filtration(square, 1)).collect()
     merges = [r for r in forest if r.kind == "merge"]
-    assert len(merges) == 1 and merges[0].q == 4 and merges[0].covered == "0,1,2,3"
+    assert len(merges) == 1 and merges[0].q == 4 and merges[0].entered == "" and len(forest) == 5
 
 
 def test_spanning_forest_and_components(spark):
