@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exact
-from ..operators import cloud, graph, spatial
+from ..operators import cloud, compact, graph, spatial
 from ..operators.lineage import cut
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup, table
@@ -228,8 +228,8 @@ def k1_anchor(spark, sf_dir):
     return p.select("cloud").distinct().join(off, "cloud", "left").select("cloud", F.coalesce("n", F.lit(0)).cast("long").alias("differences"))
 
 
-@query("k1_compact_forest", _MST_SQL + f", l AS (SELECT DISTINCT cloud, d2 FROM mst) SELECT cloud, CAST(d2 AS BIGINT) AS weight, CAST((SELECT count(*) FROM sup s WHERE s.cloud = l.cloud) - (SELECT count(*) FROM mst m WHERE m.cloud = l.cloud AND m.d2 <= l.d2) AS BIGINT) AS components_left FROM l")
-def k1_compact_forest(spark, sf_dir):
+@query("k1_components_left", _MST_SQL + f", l AS (SELECT DISTINCT cloud, d2 FROM mst) SELECT cloud, CAST(d2 AS BIGINT) AS weight, CAST((SELECT count(*) FROM sup s WHERE s.cloud = l.cloud) - (SELECT count(*) FROM mst m WHERE m.cloud = l.cloud AND m.d2 <= l.d2) AS BIGINT) AS components_left FROM l")
+def k1_components_left(spark, sf_dir):
     """Multifusion levels with the components that are left after each."""
     p = sup(spark, sf_dir)
     n = p.groupBy("cloud").agg(F.count("*").alias("n"))
@@ -237,6 +237,30 @@ def k1_compact_forest(spark, sf_dir):
     return m.select("cloud", "weight", (F.col("n") - F.sum("edges").over(Window.partitionBy("cloud").orderBy("weight"))).alias("components_left"))
 
 
+_FUSIONS_SQL = _MST_SQL + (
+    ", l AS (SELECT DISTINCT cloud, d2 AS w FROM mst), e AS (SELECT cloud, u, v, d2 FROM mst UNION ALL SELECT cloud, v, u, d2 FROM mst), "
+    "reach(cloud, w, closed, u, v) AS (SELECT l.cloud, l.w, k.at_close, s.id, s.id FROM l JOIN sup s ON s.cloud = l.cloud, (SELECT unnest([true, false]) AS at_close) k UNION SELECT r.cloud, r.w, r.closed, r.u, e.v FROM reach r JOIN e ON e.cloud = r.cloud AND e.u = r.v AND (e.d2 < r.w OR r.closed AND e.d2 = r.w)), "
+    "part AS (SELECT cloud, w, closed, u, min(v) AS c FROM reach GROUP BY ALL), "
+    "fused AS (SELECT z.cloud, z.w AS weight, z.c AS least, count(*) AS size, count(DISTINCT o.c) AS arity, string_agg(z.u, ',' ORDER BY z.u) AS members FROM part z JOIN part o ON o.cloud = z.cloud AND o.w = z.w AND o.u = z.u AND NOT o.closed WHERE z.closed GROUP BY z.cloud, z.w, z.c HAVING count(DISTINCT o.c) > 1) "
+)
+
+
+@query("k1_compact_forest", _FUSIONS_SQL + "SELECT cloud, CAST(weight AS BIGINT) AS weight, CAST(least AS BIGINT) AS least, CAST(size AS BIGINT) AS size, CAST(arity AS BIGINT) AS arity, members FROM fused")
+def k1_compact_forest(spark, sf_dir):
+    """Every multifusion of the spanning trees with its size, arity and members, these by intervals of leaves."""
+    nodes, _, leaves = compact.compact_forest(sup(spark, sf_dir), _mst(spark, sf_dir))
+    fused = cut(nodes.where("child_count > 0"), "fused")
+    held = compact.members(fused, leaves).groupBy("cloud", "node").agg(F.array_join(F.array_sort(F.collect_list("point")), ",").alias("members"))
+    return fused.join(held, ["cloud", "node"]).select("cloud", "weight", "least", "size", F.col("child_count").alias("arity"), "members")
+
+
+@query("k1_compact_cut", _FUSIONS_SQL + " SELECT s.cloud, CAST(s.c AS BIGINT) AS least, CAST(count(*) AS BIGINT) AS size FROM (SELECT a.cloud, a.id, min(b.id) AS c FROM sup a JOIN sup b ON b.cloud = a.cloud WHERE b.id = a.id OR EXISTS (SELECT 1 FROM reach r JOIN (SELECT cloud, max(w) AS w FROM l WHERE w <= 400 GROUP BY 1) t ON t.cloud = r.cloud AND t.w = r.w WHERE r.closed AND r.cloud = a.cloud AND r.u = a.id AND r.v = b.id) GROUP BY 1, 2) s GROUP BY 1, 2")
+def k1_compact_cut(spark, sf_dir):
+    """The components of a cut, read off the compact forest: least points and sizes."""
+    nodes, _, _ = compact.compact_forest(sup(spark, sf_dir), _mst(spark, sf_dir))
+    return compact.alive(cut(nodes, "nodes"), 400).select("cloud", "least", "size")
+
+
 @query("union_find", "WITH RECURSIVE n AS (SELECT DISTINCT CAST(0 AS BIGINT) AS cloud, CAST(user_id AS BIGINT) AS id FROM events), e AS (SELECT DISTINCT CAST(0 AS BIGINT) AS cloud, CAST(user_id AS BIGINT) AS u, CAST(user_id AS BIGINT) + 7 AS v FROM events), f AS (SELECT e.* FROM e JOIN n ON n.id = e.v), " + _components("f", "n") + " SELECT node, component FROM cc")
 def union_find(spark, sf_dir):
     """Components of a chain graph over the users of the event log."""
