@@ -32,7 +32,8 @@ LANES, LEAF, KNOWN = 16, 4, 48
 NAMES = ("a", "b", "c", "d")
 #: Relative slack of the pruning tests.
 SLACK = 1e-9
-_MARGIN = math.sqrt(1.5)
+#: How far centres of higher supports lean off the middle of their longest edge, by its half: Jung's bound.
+LEAN = 1 / math.sqrt(2)
 
 
 def _extent(points: DataFrame) -> tuple[dict[str, int], int]:
@@ -65,19 +66,19 @@ def _known(points: DataFrame, lo: dict[str, int], bits: int) -> DataFrame:
     return met.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= KNOWN).select("cloud", "u", "wx", "wy", "wz")
 
 
-def certain_in_spindle(edges: np.ndarray, radius: float, known: np.ndarray) -> np.ndarray:
+def certain_in_spindle(edges: np.ndarray, radius: float, known: np.ndarray, lean: float = LEAN) -> np.ndarray:
     """Per edge (from the origin to the middle of a box of half diagonal ``radius``) how many of ``known`` lie strictly in
-    the spindle of every edge that ends in the box."""
+    the spindle of every edge that ends in the box; with ``lean`` 0 in the ball whose diameter the edge is."""
     dot = edges @ known.T
     z2 = (known * known).sum(axis=1)
     e2 = (edges * edges).sum(axis=1)
     cross = np.sqrt(np.maximum(e2[:, None] * z2[None] - dot * dot, 0))
-    left = dot - cross / math.sqrt(2) - z2[None]
-    right = _MARGIN * radius * np.sqrt(z2)[None] + SLACK * (e2[:, None] + z2[None])
+    left = dot - lean * cross - z2[None]
+    right = math.sqrt(1 + lean * lean) * radius * np.sqrt(z2)[None] + SLACK * (e2[:, None] + z2[None])
     return (left > right).sum(axis=1)
 
 
-def _test(lo: dict[str, int], shift: int, most: int):
+def _test(lo: dict[str, int], shift: int, most: int, lean: float):
     """Children of the frontier of one point that its known points leave open."""
     side = (1 << shift) - 1
     low = np.asarray([lo[c] for c in "xyz"], float)
@@ -88,7 +89,7 @@ def _test(lo: dict[str, int], shift: int, most: int):
         column = lambda t, *names: np.stack([t.column(n).to_numpy() for n in names], axis=1).astype(float)
         u = column(frontier, "ux", "uy", "uz")[0]
         middle = column(frontier, "cx", "cy", "cz") * (1 << shift) + low + side / 2
-        inside = certain_in_spindle(middle - u, side * math.sqrt(3) / 2, column(known, "wx", "wy", "wz") - u)
+        inside = certain_in_spindle(middle - u, side * math.sqrt(3) / 2, column(known, "wx", "wy", "wz") - u, lean)
         return frontier.filter(pa.array(inside <= most))
 
     return run
@@ -117,10 +118,10 @@ def _next(points: DataFrame, bits: int, shift: int) -> int:
     return shift - 1 if shift > 1 and 8 ** (bits - shift + 1) * LEAF <= n else 0
 
 
-def descend(points: DataFrame, most: int, frontier: Frontier | None = None, budget: int | None = None) -> tuple[DataFrame | None, Frontier]:
+def descend(points: DataFrame, most: int, frontier: Frontier | None = None, budget: int | None = None, lean: float = LEAN) -> tuple[DataFrame | None, Frontier]:
     """``(pairs, frontier)``: the descent from ``frontier`` on; pairs are None if the budget stopped it.
 
-    ``most``: points strictly inside that rule nothing out.  ``budget`` counts products of a point and a box; a
+    ``most``: points strictly inside the spindle (``lean`` 0: the ball over the edge) that rule nothing out.  ``budget`` counts products of a point and a box; a
     round that would pass it is not begun, and the frontier before it is returned to go on from.
     """
     lo, bits = _extent(points)
@@ -138,13 +139,37 @@ def descend(points: DataFrame, most: int, frontier: Frontier | None = None, budg
         if budget is not None and examined + n > budget:
             return None, Frontier(rows, shift, examined)
         examined, shift = examined + n, below
-        rows = cut(opened.groupBy("cloud", "u").cogroup(known.groupBy("cloud", "u")).applyInArrow(_test(lo, shift, most), _FRONTIER), "frontier")
+        rows = cut(opened.groupBy("cloud", "u").cogroup(known.groupBy("cloud", "u")).applyInArrow(_test(lo, shift, most, lean), _FRONTIER), "frontier")
     ends = rows.join(points.select("cloud", F.col("id").alias("v"), *_cells("{}", lo, 0)), ["cloud", "cx", "cy", "cz"]).where("u <> v")
     # Kept from both ends.
     both = ends.groupBy("cloud", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("n")).where("n = 2")
     return cut(both.select("cloud", "u", "v"), "edges"), Frontier(rows, shift, examined)
 
 
+def nearest_by_tree(points: DataFrame, part: str | None = None) -> DataFrame:
+    """Each point's nearest other: ``cloud, q, p, d2`` (ties: least id); with ``part``, a column, the nearest of another part.
+
+    Boxes carry their extents and the least and largest part in them.  Going down, a point keeps the boxes that hold
+    another part and begin no farther off than the nearest of them ends; a round is an equi-join and a minimum per point."""
+    lo, bits = _extent(points)
+    own = points.select("cloud", "id", "x", "y", "z", (F.col(part) if part else F.col("id")).alias("part"))
+    zero = [F.lit(0).cast("long").alias(f"c{c}") for c in "xyz"]
+    rows, shift = own.select("cloud", F.col("id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in "xyz"), "part", *zero), bits
+    lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))
+    reach = Window.partitionBy("cloud", "q")
+    while shift > 0:
+        below = _next(points, bits, shift)
+        ends = [f(c).alias(f"{e}{c}") for c in "xyz" for e, f in (("lo", F.min), ("hi", F.max))]
+        boxes = own.select("*", *_cells("{}", lo, below)).groupBy("cloud", "cx", "cy", "cz").agg(*ends, F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("p"))
+        child = boxes.withColumns({f"p{c}": F.shiftright(f"c{c}", shift - below) for c in "xyz"}).select("*", lanes.alias("lane"))
+        up = rows.select("cloud", "q", *(f"q_{c}" for c in "xyz"), "part", *(F.col(f"c{c}").alias(f"p{c}") for c in "xyz"), F.pmod("q", F.lit(LANES)).alias("lane"))
+        met = up.join(child, ["cloud", "px", "py", "pz", "lane"]).where("low <> part or high <> part")
+        met = met.withColumns({"near": F.expr(exact.box_distance("q", "lo", "hi")), "far": F.expr(exact.box_distance("q", "lo", "hi", True))})
+        rows = met.withColumn("bound", F.min("far").over(reach)).where("near <= bound").select("cloud", "q", *(f"q_{c}" for c in "xyz"), "part", "cx", "cy", "cz", "p", F.col("near").alias("d2"))
+        rows, shift = cut(rows, "near"), below
+    return rows.groupBy("cloud", "q").agg(F.min(F.struct("d2", "p")).alias("m")).select("cloud", "q", "m.p", "m.d2")
+
+
 def _by_size(points: DataFrame, lo: dict[str, int], bits: int) -> DataFrame:
     """Every point at every box size: ``cloud, shift, cx, cy, cz, id, x, y, z``."""
     p = points.select("cloud", "id", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("shift"))
@@ -248,7 +273,7 @@ def supports_within(points: DataFrame, most: int, largest: int = 4, pairs: DataF
     if largest < 2:
         return out
     if pairs is None:
-        pairs, _ = descend(points, max(0, most - 2))
+        pairs, _ = descend(points, max(0, most - 2), lean=LEAN if largest > 2 else 0.0)
     at = points.select("cloud", "id", F.struct("id", "x", "y", "z").alias("p"))
     ends = pairs.join(at.select("cloud", F.col("id").alias("u"), F.col("p").alias("pu")), ["cloud", "u"]).join(at.select("cloud", F.col("id").alias("v"), F.col("p").alias("pv")), ["cloud", "v"])
     out = out.unionByName(_level(_ball(_tuple(ends, ["pu", "pv"]), 2), 2))

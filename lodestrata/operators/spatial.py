@@ -87,86 +87,66 @@ def nearest_budgeted(points: DataFrame, k: int, squared: int) -> DataFrame:
     return out.select("cloud", "q", F.coalesce("found", F.lit(0)).cast("long").alias("found"), "farthest", F.when(F.col("found") >= k, "complete").otherwise("exhausted").alias("status"))
 
 
-def nearest_by_blocks(points: DataFrame, block: int = 16) -> DataFrame:
-    """Each point's nearest other (ties: least id) by pairs of blocks: ``cloud, q, p, d2``.
-
-    Points along the Morton curve form blocks with boxes.  A block pair is opened only if its boxes are no farther apart than
-    the span of the first block, or the farthest corners of its nearest other block, bound its points' distances."""
-    from .cloud import morton, numbered
-    from .lineage import cut
-
-    placed = numbered(morton(points.select("cloud", "id", *"xyz")).withColumnRenamed("id", "p"), "cloud", "code", "p").select("cloud", F.floor(F.col("id") / block).alias("block"), F.col("p").alias("id"), *"xyz")
-    placed = cut(placed, "blocks")
-    boxes = placed.groupBy("cloud", "block").agg(F.count("*").alias("n"), *(f(c).alias(f"{e}{c}") for c in "xyz" for e, f in (("lo", F.min), ("hi", F.max))))
-    side = lambda s: boxes.select("cloud", F.col("block").alias(f"{s}_block"), F.col("n").alias(f"{s}_n"), *(F.col(f"{e}{c}").alias(f"{s}{e}{c}") for c in "xyz" for e in ("lo", "hi")))
-    apart = " + ".join(f"greatest(alo{c} - bhi{c}, 0, blo{c} - ahi{c}) * greatest(alo{c} - bhi{c}, 0, blo{c} - ahi{c})" for c in "xyz")
-    widest = " + ".join(f"greatest(abs(ahi{c} - blo{c}), abs(bhi{c} - alo{c})) * greatest(abs(ahi{c} - blo{c}), abs(bhi{c} - alo{c}))" for c in "xyz")
-    met = side("a").join(side("b"), "cloud").withColumns({"apart": F.expr(apart), "widest": F.expr(widest)})
-    # Any other point within the bound proves that no block farther off than it can hold a nearest one.
-    bound = F.min(F.when((F.col("a_block") != F.col("b_block")) | (F.col("a_n") > 1), F.col("widest"))).over(Window.partitionBy("cloud", "a_block"))
-    opened = met.withColumn("bound", bound).where("apart <= bound").select("cloud", "a_block", "b_block")
-    q = placed.select("cloud", F.col("block").alias("a_block"), F.col("id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in "xyz"))
-    p = placed.select("cloud", F.col("block").alias("b_block"), F.col("id").alias("p"), *(F.col(c).alias(f"p_{c}") for c in "xyz"))
-    pairs = q.join(opened, ["cloud", "a_block"]).join(p, ["cloud", "b_block"]).where("q <> p").withColumn("d2", F.expr(exact.squared_distance("q", "p")))
-    return pairs.groupBy("cloud", "q").agg(F.min(F.struct("d2", "p")).alias("m")).select("cloud", "q", "m.p", "m.d2")
-
-
-def spanning_tree(points: DataFrame, first_squared: int, complete_up_to: int = 512) -> DataFrame:
+def spanning_tree(points: DataFrame) -> DataFrame:
     """The Euclidean minimum spanning tree of every cloud under (d2, u, v): ``cloud, u, v, weight``.
 
-    Clouds of at most ``complete_up_to`` points start from all their pairs.  Larger ones grow a radius: the forest of the pairs within
-    it is part of the tree, and only pairs that join its components are added when the radius doubles."""
+    No edge of it has a point strictly inside the ball over it, as two shorter edges would go around; so the pairs are
+    those that a descent with empty balls leaves, about as many as points, and the tree is their minimum forest."""
+    from .bounded import descend
     from .graph import spanning_forest
-    from .lineage import cut
-
-    sizes = points.groupBy("cloud").agg(F.count("*").alias("n"))
-    small = points.join(sizes.where(F.col("n") <= complete_up_to).select("cloud"), "cloud", "left_semi")
-    side = lambda n: small.select("cloud", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in "xyz"))
-    pairs = side("u").join(side("v"), "cloud").where("u < v").select("cloud", "u", "v", F.expr(exact.squared_distance("u", "v")).alias("weight"))
-    done = spanning_forest(small.select("cloud", F.col("id").alias("node")), pairs)
-    large = points.join(sizes.where(F.col("n") > complete_up_to).select("cloud"), "cloud", "left_semi")
-    if not large.limit(1).count():
-        return done
-    large = cut(large, "large")
-    nodes, radius, tree = large.select("cloud", F.col("id").alias("node")), first_squared, None
-    while True:
-        near = pairs_within(large, radius).withColumnRenamed("d2", "weight")
-        if tree is not None:
-            part = cut(components(nodes, tree), "parts")
-            u = part.select("cloud", F.col("node").alias("u"), F.col("component").alias("cu"))
-            v = part.select("cloud", F.col("node").alias("v"), F.col("component").alias("cv"))
-            near = near.join(u, ["cloud", "u"]).join(v, ["cloud", "v"]).where("cu <> cv").select("cloud", "u", "v", "weight").unionByName(tree)
-        tree = cut(spanning_forest(nodes, near), "tree")
-        edges = tree.groupBy("cloud").agg((F.count("*") + 1).alias("joined"))
-        if not large.groupBy("cloud").agg(F.count("*").alias("n")).join(edges, "cloud", "left").where("joined IS NULL OR joined < n").limit(1).count():
-            return done.unionByName(tree)
-        radius *= 4
+
+    pairs, _ = descend(points, 0, lean=0.0)
+    side = lambda n: points.select("cloud", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in "xyz"))
+    edges = pairs.join(side("u"), ["cloud", "u"]).join(side("v"), ["cloud", "v"]).select("cloud", "u", "v", F.expr(exact.squared_distance("u", "v")).alias("weight"))
+    return spanning_forest(points.select("cloud", F.col("id").alias("node")), edges)
 
 
 def closed_balls(points: DataFrame, balls: DataFrame) -> DataFrame:
-    """Per ball ``cloud, ball, x, y, z, r2`` how many points are inside, on and outside, and which are in the closed ball."""
-    b = balls.select("cloud", "ball", *(F.col(c).alias(f"b_{c}") for c in "xyz"), "r2")
-    p = points.select("cloud", "id", *(F.col(c).alias(f"p_{c}") for c in "xyz"))
-    side = F.expr(f"{exact.squared_distance('b', 'p')} - r2")
-    met = b.join(p, "cloud").withColumn("side", side)
-    return met.groupBy("cloud", "ball").agg(
-        F.count_if(F.col("side") < 0).alias("interior"), F.count_if(F.col("side") == 0).alias("shell"), F.count_if(F.col("side") > 0).alias("exterior"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") <= 0, F.col("id")))), ",").alias("closed"),
+    """Per ball ``cloud, ball, x, y, z, r2`` how many points are inside, on and outside, and which are in the closed ball.
+
+    A ball meets the points of the boxes around it that are about as wide as it is; those outside are counted from the rest."""
+    from .bounded import within
+
+    b = balls.select("cloud", "ball", *(F.col(c).alias(f"b_{c}") for c in "xyz"), F.col("r2").cast("long").alias("r2"))
+    n = points.groupBy("cloud").agg(F.count("*").alias("n"))
+    met = within(b, points, "b", "cast(ceil(sqrt(r2)) as bigint)").select("cloud", "ball", *(f"b_{c}" for c in "xyz"), "r2", F.col("p.id").alias("id"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in "xyz"))
+    held = met.withColumn("side", F.expr(f"{exact.squared_distance('b', 'p')} - r2")).where("side <= 0").groupBy("cloud", "ball").agg(
+        F.count_if(F.col("side") < 0).alias("interior"), F.count_if(F.col("side") == 0).alias("shell"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("closed")
     )
+    inner, shell = (F.coalesce(c, F.lit(0).cast("long")) for c in ("interior", "shell"))
+    return b.select("cloud", "ball").join(n, "cloud").join(held, ["cloud", "ball"], "left").select("cloud", "ball", inner.alias("interior"), shell.alias("shell"), (F.col("n") - inner - shell).alias("exterior"), F.coalesce("closed", F.lit("")).alias("closed"))
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Per point the last box (largest number) that holds it, else -1."""
-    inside = " AND ".join(f"{c} BETWEEN lo{c} AND hi{c}" for c in "xyz")
-    held = points.join(boxes, "cloud").where(inside).groupBy("cloud", "id").agg(F.max("box").alias("box"))
+    """Per point the last box (largest number) that holds it, else -1; boxes meet the points of the grid around them."""
+    from .bounded import within
+
+    middle = boxes.select("*", *(F.expr(f"lo{c} + (hi{c} - lo{c}) div 2").alias(f"m_{c}") for c in "xyz"))
+    reach = f"greatest({', '.join(f'hi{c} - lo{c}' for c in 'xyz')}) div 2 + 1"
+    inside = " AND ".join(f"p.{c} BETWEEN lo{c} AND hi{c}" for c in "xyz")
+    held = within(middle, points, "m", reach).where(inside).groupBy("cloud", F.col("p.id").alias("id")).agg(F.max("box").alias("box"))
     return points.select("cloud", "id").join(held, ["cloud", "id"], "left").select("cloud", "id", F.coalesce("box", F.lit(-1)).cast("long").alias("box"))
 
 
 def overlapping_boxes(boxes: DataFrame) -> DataFrame:
-    """Pairs u < v of boxes of a cloud that meet (closed), by the three-axis test."""
-    a = boxes.select("cloud", F.col("box").alias("u"), *(F.col(f"{e}{c}").alias(f"u{e}{c}") for e in ("lo", "hi") for c in "xyz"))
-    b = boxes.select("cloud", F.col("box").alias("v"), *(F.col(f"{e}{c}").alias(f"v{e}{c}") for e in ("lo", "hi") for c in "xyz"))
-    return a.join(b, "cloud").where("u < v AND " + " AND ".join(f"ulo{c} <= vhi{c} AND vlo{c} <= uhi{c}" for c in "xyz")).select("cloud", "u", "v")
+    """Pairs u < v of boxes of a cloud that meet (closed), by the three-axis test.
+
+    A box lies in at most eight cells of a grid at least as wide as it is.  Two boxes meet in the grid of the wider one, where the
+    narrower one is entered too: an equi-join on grid and cell, whatever the sizes."""
+    wide = F.greatest(*(F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"))
+    b = boxes.select("cloud", "box", *(f"{e}{c}" for e in ("lo", "hi") for c in "xyz"), F.ceil(F.log2(F.greatest(wide, F.lit(1)).cast("double"))).cast("int").alias("grid"))
+    top = b.agg(F.max("grid")).first()[0] or 0
+
+    def entered(t: DataFrame, s: str) -> DataFrame:
+        for c in "xyz":
+            ends = [F.call_function("shiftright", F.col(f"{e}{c}"), F.col("grid")) for e in ("lo", "hi")]
+            t = t.withColumn(f"c{c}", F.explode(F.sequence(*ends)))
+        return t.select("cloud", "grid", "cx", "cy", "cz", F.col("box").alias(s), *(F.col(f"{e}{c}").alias(f"{s}{e}{c}") for e in ("lo", "hi") for c in "xyz"))
+
+    a = entered(b, "a")
+    all_ = entered(b.withColumn("grid", F.explode(F.sequence(F.col("grid"), F.lit(int(top))))), "b")
+    met = a.join(all_, ["cloud", "grid", "cx", "cy", "cz"]).where("a <> b AND " + " AND ".join(f"alo{c} <= bhi{c} AND blo{c} <= ahi{c}" for c in "xyz"))
+    return met.select("cloud", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import arrays, exact
-from ..operators import hierarchy, spatial
+from ..operators import bounded, hierarchy, spatial
 from ..operators.lineage import cut, let
 from .catalog import query
 from .clouds import QUADS_SQL, SUP_SQL, emb, emb_sql, quads, sup, table
@@ -69,8 +69,8 @@ def join_topk_budgeted(spark, sf_dir):
 
 @query("join_dual_tree", f"WITH {emb_sql()}, {_pairs('emb', False)} SELECT cloud, u AS q, CAST(arg_min(v, d2 * 1000000 + v) AS BIGINT) AS p, CAST(min(d2) AS BIGINT) AS d2 FROM d GROUP BY 1, 2")
 def join_dual_tree(spark, sf_dir):
-    """Each point's nearest other by pairs of blocks whose boxes are near enough."""
-    return spatial.nearest_by_blocks(emb(spark, sf_dir))
+    """Each point's nearest other, down a tree of boxes."""
+    return bounded.nearest_by_tree(emb(spark, sf_dir))
 
 
 _AXES = "x AS (SELECT DISTINCT p.cloud, q.x - p.x AS nx, q.y - p.y AS ny FROM sup p JOIN sup q ON p.cloud = q.cloud AND p.id < q.id), n AS (SELECT * FROM x UNION SELECT cloud, -ny, nx FROM x), u AS (SELECT a.cloud AS u, b.cloud AS v FROM (SELECT DISTINCT cloud FROM sup) a JOIN (SELECT DISTINCT cloud FROM sup) b ON a.cloud < b.cloud), z AS (SELECT u.u, u.v, n.nx, n.ny FROM u JOIN n ON n.cloud = u.u OR n.cloud = u.v UNION SELECT u, v, 1, 0 FROM u UNION SELECT u, v, 0, 1 FROM u)"

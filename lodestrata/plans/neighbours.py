@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exact
-from ..operators import cloud, compact, graph, spatial
+from ..operators import bounded, cloud, compact, graph, spatial
 from ..operators.lineage import cut
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup, table
@@ -130,10 +130,13 @@ def join_box_box(spark, sf_dir):
 @query("join_outgoing_min", f"WITH {EMB}, {_pairs('emb', False)} SELECT cloud, u % 4 AS part, CAST(arg_min(u, d2 * 100000000 + least(u, v) * 10000 + greatest(u, v)) AS BIGINT) AS u, CAST(arg_min(v, d2 * 100000000 + least(u, v) * 10000 + greatest(u, v)) AS BIGINT) AS v, CAST(min(d2) AS BIGINT) AS d2 FROM d WHERE u % 4 <> v % 4 GROUP BY 1, 2")
 def join_outgoing_min(spark, sf_dir):
     """Of each part of a cloud (ids by their residue) the shortest edge that leaves it."""
-    p = emb(spark, sf_dir)
-    side = lambda n: p.select("cloud", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in "xyz"))
-    met = side("u").join(side("v"), "cloud").where("u % 4 <> v % 4").select("cloud", (F.col("u") % 4).alias("part"), F.struct(F.expr(_D2).alias("d2"), F.least("u", "v"), F.greatest("u", "v"), "u", "v").alias("e"))
-    return met.groupBy("cloud", "part").agg(F.min("e").alias("e")).select("cloud", "part", "e.u", "e.v", "e.d2")
+    p = emb(spark, sf_dir).withColumn("part", F.col("id") % 4)
+    # Ties go to the least pair: every point that is as near as the nearest of another part takes part.
+    near = bounded.nearest_by_tree(p, "part").groupBy("cloud", (F.col("q") % 4).alias("part")).agg(F.min("d2").alias("d2"))
+    radius = near.agg(F.max("d2")).first()[0] or 0
+    met = spatial.pairs_within(p, radius, other=p).where("u % 4 <> v % 4").withColumn("part", F.col("u") % 4).join(near, ["cloud", "part", "d2"])
+    least = met.groupBy("cloud", "part", "d2").agg(F.min(F.struct(F.least("u", "v"), F.greatest("u", "v"), "u", "v")).alias("e"))
+    return least.select("cloud", "part", "e.u", "e.v", "d2")
 
 
 @query("join_knn_propagate", f"WITH {emb_sql()}, {_pairs('emb', False)}, r AS (SELECT *, row_number() OVER (PARTITION BY cloud, u ORDER BY d2, v) AS k FROM d), n AS (SELECT cloud, u AS q, v % 3 AS label, count(*) AS votes FROM r WHERE k <= {K} GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY cloud, q ORDER BY votes DESC, label) AS k FROM n) SELECT cloud, q, label, CAST(votes AS BIGINT) AS votes FROM b WHERE k = 1")
@@ -167,7 +170,7 @@ def _complete(p):
 
 
 def _mst(spark, sf_dir):
-    return spatial.spanning_tree(sup(spark, sf_dir), 16)
+    return spatial.spanning_tree(sup(spark, sf_dir))
 
 
 @query("emst_boruvka", _MST_SQL + "SELECT cloud, u, v, CAST(d2 AS BIGINT) AS weight FROM mst")

@@ -281,17 +281,41 @@ def test_levels_that_share_a_double_are_told_apart(spark):
     assert [k for (k,) in duckdb.sql(sql).fetchall()] == got
 
 
-def test_trees_of_large_clouds_grow_by_grid(spark):
+def test_trees_and_nearest_others_down_a_tree_of_boxes(spark):
+    from lodestrata.operators import bounded, graph
+
     draw = random.Random(2)
-    points = list(dict.fromkeys(tuple(draw.randint(0, 60) + 200 * (i % 2) for _ in range(3)) for i in range(60)))
-    rows = [(c, i, *p) for c in (0, 1) for i, p in enumerate(points[: 60 if c else 20])]
-    t = spark.createDataFrame(rows, "cloud long, id long, x long, y long, z long")
-    a = {tuple(r) for r in spatial.spanning_tree(t, 9).select("cloud", "u", "v", "weight").collect()}
-    b = {tuple(r) for r in spatial.spanning_tree(t, 9, complete_up_to=30).select("cloud", "u", "v", "weight").collect()}
-    assert a == b and len(a) == len(rows) - 2
-    near = {(r.cloud, r.q): (r.p, r.d2) for r in spatial.nearest_by_blocks(t, 4).collect()}
-    for c, i, *p in rows:
-        assert near[c, i] == min(((d2(p, q), j) for d, j, *q in rows if d == c and j != i), key=lambda x: x)[::-1]
+    points = list(dict.fromkeys(tuple(draw.randint(0, 60) + 200 * (i % 2) for _ in range(3)) for i in range(300)))
+    rows = [(c, i, *p) for c in (0, 1, 2) for i, p in enumerate(points[: (20, 300, 1)[c]])]
+    t = spark.createDataFrame(rows, "cloud long, id long, x long, y long, z long").cache()
+    pairs = [(c, i, j, d2(p, q)) for c, i, *p in rows for k, j, *q in rows if k == c and i < j]
+    all_ = spark.createDataFrame(pairs, "cloud long, u long, v long, weight long")
+    want = {tuple(r) for r in graph.spanning_forest(t.select("cloud", F.col("id").alias("node")), all_).select("cloud", "u", "v", "weight").collect()}
+    assert {tuple(r) for r in spatial.spanning_tree(t).select("cloud", "u", "v", "weight").collect()} == want and len(want) == len(rows) - 3
+    for part in (None, lambda i: i % 3, lambda i: 0):
+        given = t if part is None else t.withColumn("part", F.col("id") % 3 if part(1) else F.lit(0))
+        near = {(r.cloud, r.q): (r.d2, r.p) for r in bounded.nearest_by_tree(given, part and "part").collect()}
+        for c, i, *p in rows:
+            others = [(d2(p, q), j) for d, j, *q in rows if d == c and (j != i if part is None else part(j) != part(i))]
+            assert near.get((c, i)) == min(others, default=None)
+
+
+def test_balls_and_boxes_of_all_sizes(spark):
+    draw = random.Random(8)
+    points = [(c, i, *(draw.randint(-40, 40) for _ in range(3))) for c in (0, 1) for i in range(60)]
+    p = spark.createDataFrame(points, "cloud long, id long, x long, y long, z long")
+    balls = [(c, b, *(draw.randint(-60, 60) for _ in range(3)), draw.choice([0, 1, 9, 400, 10_000])) for c in (0, 1) for b in range(40)]
+    got = {(r.cloud, r.ball): (r.interior, r.shell, r.exterior, r.closed) for r in spatial.closed_balls(p, spark.createDataFrame(balls, "cloud long, ball long, x long, y long, z long, r2 long")).collect()}
+    for c, b, *m, r2 in balls:
+        far = {i: d2(m, q) for k, i, *q in points if k == c}
+        assert got[c, b] == (sum(d < r2 for d in far.values()), sum(d == r2 for d in far.values()), sum(d > r2 for d in far.values()), ",".join(str(i) for i in sorted(far) if far[i] <= r2))
+    boxes = [(c, b, *(x for lo in (draw.randint(-50, 50) for _ in range(3)) for x in (lo, lo + draw.choice([0, 1, 3, 20, 70])))) for c in (0, 1) for b in range(40)]
+    t = spark.createDataFrame(boxes, "cloud long, box long, lox long, hix long, loy long, hiy long, loz long, hiz long")
+    meet = lambda a, b: all(a[2 + 2 * k] <= b[3 + 2 * k] and b[2 + 2 * k] <= a[3 + 2 * k] for k in range(3))
+    assert sorted(map(tuple, spatial.overlapping_boxes(t).collect())) == sorted((a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and meet(a, b))
+    held = {(r.cloud, r.id): r.box for r in spatial.in_boxes(p, t).collect()}
+    for c, i, *q in points:
+        assert held[c, i] == max((b[1] for b in boxes if b[0] == c and all(b[2 + 2 * k] <= q[k] <= b[3 + 2 * k] for k in range(3))), default=-1)
 
 
 def test_hulls():
