@@ -28,8 +28,8 @@ from .lineage import cut
 #: Births and relations of a range.
 LOT = 200_000
 
-FOREST = "cloud long, node long, num long, den long, kind string, q int, children string, entered string"
-_PARTIAL = "cloud long, rng long, what string, seq long, num long, den long, kind string, q int, ref string, children array<string>, label string, entered string"
+FOREST = "cloud long, node long, num long, den long, kind string, q int, children string, entered string, facets string"
+_PARTIAL = "cloud long, rng long, what string, seq long, num long, den long, kind string, q int, ref string, children array<string>, label string, entered string, facets string"
 _KEY = ("q", "hi", "lo")
 
 
@@ -123,10 +123,11 @@ def _solve(table: pa.Table, reduced: bool, schema: pa.Schema) -> pa.Table:
             ref = was[0] if len(was) == 1 else f"n{made}"
             made += len(was) != 1
             node[top] = ref
-            points = sorted({int(p) for f in waiting.pop(top, ()) for p in f.split(",")})
+            new = sorted(waiting.pop(top, ()))
+            points = sorted({int(p) for f in new for p in f.split(",")})
             kind = ("birth", "growth")[len(was)] if len(was) < 2 else "merge"
-            out.append((cloud, rng, "row", len(out), level.numerator, level.denominator, kind, len(was), ref, was if len(was) > 1 else [], None, ",".join(map(str, points))))
-    out += [(cloud, rng, "state", None, None, None, None, None, ref, None, label, None) for label, ref in node.items() if root[label] == label]
+            out.append((cloud, rng, "row", len(out), level.numerator, level.denominator, kind, len(was), ref, was if len(was) > 1 else [], None, ",".join(map(str, points)), " ".join(new)))
+    out += [(cloud, rng, "state", None, None, None, None, None, ref, None, label, None, None) for label, ref in node.items() if root[label] == label]
     return pa.Table.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
@@ -150,7 +151,7 @@ def _look_up(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 def merge_forest(found_facets: DataFrame, cofaces: DataFrame, reduced: bool = True, lot: int = LOT) -> DataFrame:
     """The merge forest of one order: births, growths (q = 1, no new node) and merges, with the nodes that a merge ends
-    (``children``) and the points of facets that enter with the row (``entered``).
+    (``children``), and the facets that enter with the row with their points (``facets``, ``entered``).
 
     All relations of one exact level act at once.  ``reduced`` leaves out components of a single facet (for
     order 1 singletons are all there are, and stay).  Nodes are numbered within their cloud.  A task holds a range of about
@@ -183,13 +184,13 @@ def merge_forest(found_facets: DataFrame, cofaces: DataFrame, reduced: bool = Tr
     own = nodes.where("place = 0").select("cloud", "rng", "seq", "node")
     below = nodes.where("place > 0").groupBy("cloud", "rng", "seq").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("ended"))
     out = out.join(own, ["cloud", "rng", "seq"]).join(below, ["cloud", "rng", "seq"], "left")
-    return out.select("cloud", "node", "num", "den", "kind", "q", F.coalesce("ended", F.lit("")).alias("children"), "entered")
+    return out.select("cloud", "node", "num", "den", "kind", "q", F.coalesce("ended", F.lit("")).alias("children"), "entered", "facets")
 
 
 def covered(forest: DataFrame) -> DataFrame:
     """A forest with all points that each row's component covers (``covered``), which may be quadratic in the forest: a cloud at
     a time.  For one level use :func:`forest_cut`."""
-    names = [c for c in forest.columns if c != "entered"]
+    names = [c for c in forest.columns if c not in ("entered", "facets")]
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exact
-from ..operators import condense, facegraph, graph, hierarchy, spatial
+from ..operators import condense, facegraph, graph, hierarchy, spatial, vertical
 from ..operators import forest as forest_of
 from ..operators.lineage import cut, shared_dir
 from ..sources import scans
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup, table
-from .hierarchies import _STEP, CATALOG_SQL, CLASSIFIED_SQL, K_MAX, LEVEL, ORDER, _cut_sql, _gamma, _gamma_sql, _history_sql, _steps, _text, _texts, _with
+from .hierarchies import _STEP, CATALOG_SQL, CLASSIFIED_SQL, K_MAX, LEVEL, ORDER, _before, _cut_sql, _gamma, _gamma_sql, _history_sql, _steps, _text, _texts, _with
 from .labels import _STABLE, _TREE_SQL, _tree
 from .neighbours import _complete, _pairs, mst_sql
 
@@ -130,6 +130,32 @@ def vertical_family(spark, sf_dir):
     return out
 
 
+def _vertical_sql(order: int) -> str:
+    """Sources of the reduced forest of an order where they arise, and their targets: every lower cut is recomputed."""
+    h, low, w = f"h{order}", order - 1, f"w{order}"
+    points = "(SELECT string_agg(p, ',' ORDER BY CAST(p AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg({}, ','), ',')) AS p))"
+    less = "array_to_string(list_filter(label, lambda v: v <> label[{}]), ',')"
+    return (
+        f"{w}_s AS (SELECT cloud, num, den, component, min(facet) AS facet, {points.format('facet')} AS source_covered FROM {h}_t GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (coface) > 0 AND count(DISTINCT was) <> 1), "
+        f"{w}_l AS (SELECT DISTINCT cloud, num, den FROM {w}_s), "
+        f"{w}_e AS (SELECT l.cloud, l.num, l.den, {less.format(1)} AS u, {less.format('k')} AS v FROM {w}_l l JOIN (SELECT *, unnest(range(2, {low + 2})) AS k FROM cofaces{low}) c ON c.cloud = l.cloud AND {_before('c.num', 'c.den', 'l', True)}), "
+        f"{w}_r(cloud, num, den, u, v) AS (SELECT l.cloud, l.num, l.den, array_to_string(f.label, ','), array_to_string(f.label, ',') FROM {w}_l l JOIN facets{low} f ON f.cloud = l.cloud AND {_before('f.num', 'f.den', 'l', True)} UNION SELECT r.cloud, r.num, r.den, r.u, e.v FROM {w}_r r JOIN (SELECT * FROM {w}_e UNION ALL SELECT cloud, num, den, v, u FROM {w}_e) e ON e.cloud = r.cloud AND e.num = r.num AND e.den = r.den AND e.u = r.v), "
+        f"{w} AS (SELECT s.cloud, s.num, s.den, s.source_covered, {points.format('r.v')} AS target_covered FROM {w}_s s JOIN {w}_r r ON r.cloud = s.cloud AND r.num = s.num AND r.den = s.den AND r.u = array_to_string(string_split(s.facet, ',')[2:], ',') GROUP BY s.cloud, s.num, s.den, s.component, s.source_covered)"
+    )
+
+
+@query("vertical_nodes", _with(CLASSIFIED_SQL, *(_gamma_sql(o) for o in range(1, K_MAX + 1)), *(x for o in range(2, K_MAX + 1) for x in (_history_sql(o, f"h{o}"), _vertical_sql(o)))) + " UNION ALL ".join(f"SELECT CAST({o} AS INT) AS order_, cloud, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, source_covered, target_covered, CAST(1 AS BIGINT) AS targets, CAST(0 AS BIGINT) AS failures FROM w{o}" for o in range(2, K_MAX + 1)))
+def vertical_nodes(spark, sf_dir):
+    """The maps of all orders, a row per source node at its own level, with the checks that they are maps and that squares commute."""
+    forests = {o: cut(hierarchy.merge_forest(*_gamma(spark, sf_dir, o)), "forest") for o in range(1, K_MAX + 1)}
+    out = None
+    for o in range(2, K_MAX + 1):
+        maps = cut(vertical.vertical_nodes(forests[o], forests[o - 1]), "maps")
+        v = vertical.sets_of(maps, forests[o], forests[o - 1]).select(F.lit(o).alias("order_"), "cloud", "num", "den", "source_covered", "target_covered", "targets", "failures")
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
 @query("reconcile", f"WITH {SUP_SQL} SELECT cloud, CAST(0 AS BIGINT) AS differences FROM sup GROUP BY cloud")
 def reconcile(spark, sf_dir):
     """Components by subsets against components by saturated balls: rows that only one of them has."""
