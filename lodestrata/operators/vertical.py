@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .cloud import facets
-from .forest import covered
-from .hierarchy import level
+from .forest import covered, merge_forest
+from .hierarchy import Engine, level
 from .lineage import cut
 
 
@@ -98,3 +98,50 @@ def sets_of(maps: DataFrame, upper: DataFrame, lower: DataFrame) -> DataFrame:
     met = maps.withColumn("at", level()).join(theirs, ["cloud", "target"]).where("since <= at")
     last = met.withColumn("nth", F.row_number().over(Window.partitionBy("cloud", "source").orderBy(F.desc("since"), F.desc(F.length("covered"))))).where("nth = 1")
     return last.join(mine, ["cloud", "source"]).select("cloud", "num", "den", "source_covered", F.col("covered").alias("target_covered"), "targets", "squares", "failures")
+
+
+class Result:
+    """What :func:`whole_result` computes: ``catalog``, ``forests`` by order, ``maps`` by upper order, and ``summary``."""
+
+    def __init__(self, catalog: DataFrame, forests: dict[int, DataFrame], maps: dict[int, DataFrame], summary: DataFrame):
+        self.catalog, self.forests, self.maps, self.summary = catalog, forests, maps, summary
+
+    def json_lines(self) -> DataFrame:
+        """``cloud, record, line``: catalogue, forests and maps of all orders, a JSON object each, fields in order, no blanks."""
+        c = self.catalog.select("cloud", "label", "num", "den", "interior", "shell", "rank", "kind")
+        tables = {"critical_catalog": c}
+        for order, f in self.forests.items():
+            tables[f"forest_{order}"] = covered(f).select("cloud", "num", "den", "kind", "q", "covered")
+        for order, m in self.maps.items():
+            tables[f"vertical_{order}"] = sets_of(m, self.forests[order], self.forests[order - 1]).select("cloud", "num", "den", "source_covered", "target_covered")
+        out = None
+        for record, t in tables.items():
+            own = t.select("cloud", F.lit(record).alias("record"), F.to_json(F.struct(*t.columns)).alias("line"))
+            out = own if out is None else out.unionAll(own)
+        return out
+
+
+def whole_result(points: DataFrame, k_max: int, engine: Engine | None = None) -> Result:
+    """Catalogue, reduced forests of orders 1 to ``k_max``, the maps between them and a summary per cloud and order.
+
+    Summary: ``cloud, order_, points, events, status, steps, nodes, maps, failures``; ``refused`` where a shell holds more than its support,
+    ``failures`` counts facets and squares of the maps that disagree.  A cloud has rows up to its number of points."""
+    engine = engine or Engine()
+    catalog = cut(engine.catalog(points, k_max), "catalog")
+    event = F.col("kind") == "event"
+    found = catalog.groupBy("cloud").agg(F.count_if(event).alias("events"), F.when(F.count_if(~event) > 0, "refused").otherwise("complete").alias("status"))
+    size = points.groupBy("cloud").agg(F.count("*").alias("points")).join(found, "cloud", "left")
+    forests, maps, summary = {}, {}, None
+    for k in range(1, k_max + 1):
+        forests[k] = cut(merge_forest(*(cut(t, "filtration") for t in engine.order(points, k))), "forest")
+        own = forests[k].groupBy("cloud").agg(F.count("*").alias("steps"), F.count_if(F.col("q") != 1).alias("nodes"))
+        rows = size.where(F.col("points") >= k).join(own, "cloud", "left")
+        if k > 1:
+            maps[k] = cut(vertical_nodes(forests[k], forests[k - 1]), "maps")
+            rows = rows.join(maps[k].groupBy("cloud").agg(F.count("*").alias("maps"), F.sum(F.col("failures") + F.col("targets") - 1).alias("failures")), "cloud", "left")
+        else:
+            rows = rows.withColumns({"maps": F.lit(0).cast("long"), "failures": F.lit(0).cast("long")})
+        zero = F.lit(0).cast("long")
+        rows = rows.select("cloud", F.lit(k).alias("order_"), "points", F.coalesce("events", zero).alias("events"), F.coalesce("status", F.lit("complete")).alias("status"), *(F.coalesce(c, zero).alias(c) for c in ("steps", "nodes", "maps", "failures")))
+        summary = rows if summary is None else summary.unionByName(rows)
+    return Result(catalog, forests, maps, summary)

@@ -104,10 +104,10 @@ def prj_whiten_pca(spark, sf_dir):
     return spatial.whitened(e, ["a", "b"], ["w1", "w2"], 6)
 
 
-_EVENT_JSON = "to_json({'cloud': cloud, 'label': label, 'num': CAST(num AS BIGINT), 'den': CAST(den AS BIGINT), 'interior': interior, 'shell': shell, 'rank': rank, 'kind': kind})"
+EVENT_JSON = "to_json({'cloud': cloud, 'label': label, 'num': CAST(num AS BIGINT), 'den': CAST(den AS BIGINT), 'interior': interior, 'shell': shell, 'rank': rank, 'kind': kind})"
 
 
-@query("sink_contract_json_full", _with(CATALOG_SQL, *(x for o in (1, 2) for x in (_gamma_sql(o), _history_sql(o, f"h{o}")))) + f"SELECT cloud, 'critical_catalog' AS record, CAST({_EVENT_JSON} AS VARCHAR) AS line FROM catalog UNION ALL " + " UNION ALL ".join(f"SELECT cloud, 'forest_{o}', CAST(to_json({{'cloud': cloud, 'num': num, 'den': den, 'kind': kind, 'q': q, 'covered': covered}}) AS VARCHAR) FROM (SELECT {_STEP} FROM h{o})" for o in (1, 2)))
+@query("sink_contract_json_full", _with(CATALOG_SQL, *(x for o in (1, 2) for x in (_gamma_sql(o), _history_sql(o, f"h{o}")))) + f"SELECT cloud, 'critical_catalog' AS record, CAST({EVENT_JSON} AS VARCHAR) AS line FROM catalog UNION ALL " + " UNION ALL ".join(f"SELECT cloud, 'forest_{o}', CAST(to_json({{'cloud': cloud, 'num': num, 'den': den, 'kind': kind, 'q': q, 'covered': covered}}) AS VARCHAR) FROM (SELECT {_STEP} FROM h{o})" for o in (1, 2)))
 def sink_contract_json_full(spark, sf_dir):
     """The whole result of orders 1 and 2 as canonical JSON lines: catalogue and forests, fields in order, no blanks."""
     c = hierarchy.critical_catalog(sup(spark, sf_dir), K_MAX).select("cloud", "label", "num", "den", "interior", "shell", "rank", "kind")

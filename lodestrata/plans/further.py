@@ -12,6 +12,7 @@ from ..operators import condense, facegraph, graph, hierarchy, spatial, vertical
 from ..operators import forest as forest_of
 from ..operators.lineage import cut, shared_dir
 from ..sources import scans
+from .bounds import EVENT_JSON
 from .catalog import query
 from .clouds import SUP_SQL, emb, emb_sql, sup, table
 from .hierarchies import _STEP, CATALOG_SQL, CLASSIFIED_SQL, K_MAX, LEVEL, ORDER, _before, _cut_sql, _gamma, _gamma_sql, _history_sql, _steps, _text, _texts, _with
@@ -156,6 +157,29 @@ def vertical_nodes(spark, sf_dir):
     return out
 
 
+_ALL_ORDERS = (CATALOG_SQL, *(_gamma_sql(o) for o in range(1, K_MAX + 1)), *(_history_sql(o, f"h{o}") for o in range(1, K_MAX + 1)), *(_vertical_sql(o) for o in range(2, K_MAX + 1)))
+
+
+@query(
+    "whole_result",
+    _with(*_ALL_ORDERS) + " UNION ALL ".join(
+        f"SELECT s.cloud, CAST({o} AS INT) AS order_, CAST(s.n AS BIGINT) AS points, CAST((SELECT count(*) FROM catalog c WHERE c.cloud = s.cloud AND kind = 'event') AS BIGINT) AS events, CASE WHEN EXISTS (SELECT 1 FROM catalog c WHERE c.cloud = s.cloud AND kind <> 'event') THEN 'refused' ELSE 'complete' END AS status, "
+        f"CAST((SELECT count(*) FROM h{o} h WHERE h.cloud = s.cloud) AS BIGINT) AS steps, CAST((SELECT count(*) FROM h{o} h WHERE h.cloud = s.cloud AND q <> 1) AS BIGINT) AS nodes, "
+        f"CAST({f'(SELECT count(*) FROM w{o} w WHERE w.cloud = s.cloud)' if o > 1 else 0} AS BIGINT) AS maps, CAST(0 AS BIGINT) AS failures FROM (SELECT cloud, count(*) AS n FROM sup GROUP BY 1) s WHERE s.n >= {o}"
+        for o in range(1, K_MAX + 1)
+    ),
+)
+def whole_result(spark, sf_dir):
+    """Every cloud's result, an order a row: events, refusals, steps and nodes of the forests, maps and whether they hold."""
+    return vertical.whole_result(sup(spark, sf_dir), K_MAX).summary
+
+
+@query("whole_result_json", _with(*_ALL_ORDERS) + " UNION ALL ".join([f"SELECT cloud, 'critical_catalog' AS record, CAST({EVENT_JSON} AS VARCHAR) AS line FROM catalog", *(f"SELECT cloud, 'forest_{o}', CAST(to_json({{'cloud': cloud, 'num': num, 'den': den, 'kind': kind, 'q': q, 'covered': covered}}) AS VARCHAR) FROM (SELECT {_STEP} FROM h{o})" for o in range(1, K_MAX + 1)), *(f"SELECT cloud, 'vertical_{o}', CAST(to_json({{'cloud': cloud, 'num': CAST(num AS BIGINT), 'den': CAST(den AS BIGINT), 'source_covered': source_covered, 'target_covered': target_covered}}) AS VARCHAR) FROM w{o}" for o in range(2, K_MAX + 1))]))
+def whole_result_json(spark, sf_dir):
+    """The same results as canonical JSON lines: catalogue, forests and maps of all orders."""
+    return vertical.whole_result(sup(spark, sf_dir), K_MAX).json_lines()
+
+
 @query("reconcile", f"WITH {SUP_SQL} SELECT cloud, CAST(0 AS BIGINT) AS differences FROM sup GROUP BY cloud")
 def reconcile(spark, sf_dir):
     """Components by subsets against components by saturated balls: rows that only one of them has."""
