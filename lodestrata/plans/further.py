@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exact
-from ..operators import condense, facegraph, graph, hierarchy, spatial, vertical
+from ..operators import condense, facegraph, graph, hierarchy, percolation, spatial, vertical
 from ..operators import forest as forest_of
 from ..operators.lineage import cut, shared_dir
 from ..sources import scans
@@ -83,6 +83,28 @@ def mutual_reachability_forest(spark, sf_dir):
     return f.groupBy("cloud", "weight").agg(F.count("*").alias("edges"))
 
 
+_SWEEP = _with(
+    SUP_SQL, _pairs("sup"),
+    "ends AS (SELECT cloud, u AS id, v, d2 FROM d UNION ALL SELECT cloud, v, u, d2 FROM d), core AS (SELECT cloud, id, d2 AS c FROM (SELECT *, row_number() OVER (PARTITION BY cloud, id ORDER BY d2) AS k FROM ends) WHERE k = 2)",
+    "m AS (SELECT e.cloud, e.id AS u, e.v, greatest(e.d2, a.c, b.c) AS w FROM ends e JOIN core a ON a.cloud = e.cloud AND a.id = e.id JOIN core b ON b.cloud = e.cloud AND b.id = e.v)",
+    "ways AS (SELECT e.cloud, e.id, e.v AS target, greatest(e.d2, b.c) AS since, 1 AS other FROM ends e JOIN core b ON b.cloud = e.cloud AND b.id = e.v UNION ALL SELECT cloud, id, id, c, 0 FROM core)",
+    "border AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY cloud, id ORDER BY since, other, target) = 1)",
+    "l AS (SELECT DISTINCT cloud, t FROM (SELECT cloud, c AS t FROM core UNION ALL SELECT cloud, w FROM m UNION ALL SELECT cloud, since FROM border))",
+    "reach(cloud, t, u, v) AS (SELECT l.cloud, l.t, c.id, c.id FROM l JOIN core c ON c.cloud = l.cloud AND c.c <= l.t UNION SELECT r.cloud, r.t, r.u, m.v FROM reach r JOIN m ON m.cloud = r.cloud AND m.u = r.v AND m.w <= r.t)",
+    "part AS (SELECT cloud, t, u, min(v) AS p FROM reach GROUP BY ALL)",
+    "most AS (SELECT cloud, t, 'robust' AS what, max(n) AS n FROM (SELECT cloud, t, p, count(*) AS n FROM part GROUP BY ALL) GROUP BY ALL UNION ALL SELECT cloud, t, 'dbscan', max(n) FROM (SELECT p.cloud, p.t, p.p, count(*) AS n FROM part p JOIN border b ON b.cloud = p.cloud AND b.target = p.u AND b.since <= p.t GROUP BY ALL) GROUP BY ALL)",
+    "sizes AS (SELECT DISTINCT cloud, what, unnest(range(1, n + 1)) AS size FROM most)",
+)
+
+
+@query("percolation_sweep", _SWEEP + "SELECT s.cloud, s.what, CAST(s.size AS BIGINT) AS size, CAST(min(o.t) AS BIGINT) AS level FROM sizes s JOIN most o ON o.cloud = s.cloud AND o.what = s.what AND o.n >= s.size GROUP BY 1, 2, 3")
+def percolation_sweep(spark, sf_dir):
+    """Least squared scale at which a component of each size appears, among dense points and with border points."""
+    p = sup(spark, sf_dir)
+    pairs = cut(_complete(p).withColumnRenamed("weight", "d2"), "pairs")
+    return percolation.sweep(facegraph.core_distances(pairs, p, 2).withColumnRenamed("core2", "core"), pairs)
+
+
 @query("support_terminal", f"WITH {CATALOG_SQL} SELECT cloud, {_text('label')}, CAST(rank AS INT) AS rank FROM catalog WHERE kind = 'event'")
 def support_terminal(spark, sf_dir):
     """Pairs and larger supports merged into one list of events."""
