@@ -216,6 +216,14 @@ def gamma_cut(found_facets: DataFrame, cofaces: DataFrame, num: int, den: int =
     return components(nodes, edges).select("cloud", F.col("node").alias("facet"), "component")
 
 
+def locate(asked: DataFrame, components_of_facets: DataFrame) -> DataFrame:
+    """``cloud, facet, component, facets`` of asked facets (``cloud, label``) at a cut: whose component each is in and how many
+    facets that has; nulls where a facet is not there at the level."""
+    sizes = components_of_facets.groupBy("cloud", "component").agg(F.count("*").alias("facets"))
+    found = components_of_facets.join(sizes, ["cloud", "component"])
+    return asked.select("cloud", label_text("label").alias("facet")).distinct().join(found, ["cloud", "facet"], "left").select("cloud", "facet", "component", "facets")
+
+
 def coverage(components_of_facets: DataFrame) -> DataFrame:
     """Facets and covered points per component."""
     p = components_of_facets.select("cloud", "component", "facet", F.explode(F.split("facet", ",")).alias("p"))

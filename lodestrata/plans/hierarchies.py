@@ -227,6 +227,13 @@ _cut_query("gamma_cut_open", False, False)
 _cut_query("gabriel_cut", True, True)
 
 
+@query("gamma_cut_lookup", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _cut_sql(ORDER, LEVEL, False)) + f"SELECT f.cloud, array_to_string(f.label, ',') AS facet, c.component, CAST(n.facets AS BIGINT) AS facets FROM f{ORDER} f LEFT JOIN cut c ON c.cloud = f.cloud AND c.facet = array_to_string(f.label, ',') LEFT JOIN (SELECT cloud, component, count(*) AS facets FROM cut GROUP BY 1, 2) n ON n.cloud = c.cloud AND n.component = c.component")
+def gamma_cut_lookup(spark, sf_dir):
+    """Every facet of the order looked up in the open cut: its component, or none where it is not born yet."""
+    f, c = _gamma(spark, sf_dir, until=LEVEL)
+    return hierarchy.locate(hierarchy.k_subsets(sup(spark, sf_dir), ORDER), hierarchy.gamma_cut(f, c, LEVEL, closed=False))
+
+
 @query("agg_coverage", _with(CLASSIFIED_SQL, _gamma_sql(ORDER), _cut_sql(ORDER, LEVEL)) + "SELECT cloud, component, CAST(count(DISTINCT facet) AS BIGINT) AS facets, (SELECT string_agg(p, ',' ORDER BY CAST(p AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(facet, ','), ',')) AS p)) AS covered FROM cut GROUP BY cloud, component")
 def agg_coverage(spark, sf_dir):
     f, c = _gamma(spark, sf_dir, until=LEVEL)

@@ -97,6 +97,29 @@ def src_kitti_poses(spark, sf_dir):
     return scans.to_world(points, poses).select("vec_id", *(F.round(c, 9).alias(c) for c in "xyz"))
 
 
+@query(
+    "src_kitti_calib",
+    "WITH v AS (SELECT CAST(label AS BIGINT) AS cloud, CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), a AS (SELECT cloud, arg_min(e, vec_id) AS a FROM v GROUP BY 1), "
+    "w AS (SELECT v.cloud, vec_id, atan2(-e[3], e[11]) AS yaw, e[1] * a[1] + e[2] * a[2] + e[3] * a[3] + e[4] - a[1] AS w1, e[5] * a[1] + e[6] * a[2] + e[7] * a[3] + e[8] - a[2] AS w2, e[9] * a[1] + e[10] * a[2] + e[11] * a[3] + e[12] - a[3] AS w3 FROM v JOIN a ON a.cloud = v.cloud) "
+    "SELECT vec_id, round(cos(yaw) - 2 * sin(yaw) + w3, 9) AS x, round(sin(yaw) + 2 * cos(yaw) - w1, 9) AS y, round(3 - w2, 9) AS z FROM w",
+)
+def src_kitti_calib(spark, sf_dir):
+    """The same poses seen from a sensor whose axes a label's calibration file turns and shifts, flattened, applied to (1, 2, 3)."""
+    base, e = _base(spark, "calibrated"), table(spark, sf_dir, "embeddings")
+    e = e.select(F.col("label").cast("long").alias("cloud"), F.col("vec_id").cast("long").alias("vec_id"), *(F.col("embedding")[i].cast("double").alias(f"m{i}") for i in range(12)))
+    numbers = lambda values: " ".join(map(repr, map(float, values)))
+    text = lambda f: "".join(numbers(r) + "\n" for r in f.itertuples(index=False)).encode()
+    cut(stores.write_files(e, "cloud", base, ".txt", _in_order(text)), "files")
+    first = e.groupBy("cloud").agg(F.min("vec_id").alias("vec_id")).join(e.select("cloud", "vec_id", "m0", "m1", "m2"), ["cloud", "vec_id"])
+    calib = lambda f: (f"P0: {numbers(range(12))}\nTr: " + numbers([0, -1, 0, f["m0"].iloc[0], 0, 0, -1, f["m1"].iloc[0], 1, 0, 0, f["m2"].iloc[0]]) + "\n").encode()
+    cut(stores.write_files(first, "cloud", base, ".calib", _in_order(calib)), "files")
+    frame = lambda cloud, k: F.struct(cloud.alias("cloud"), k.cast("long").alias("k")).alias("frame")
+    poses = scans.read_poses(spark, f"{base}/*.txt").select(_file(), F.col("frame").alias("k"), "m").join(scans.read_calibrations(spark, base).select(_file(), "c"), "cloud")
+    poses = scans.sensor_poses(poses.select(frame(F.col("cloud"), F.col("k")), "m", "c"))
+    points = cloud.numbered(e.select("cloud", "vec_id"), "cloud", "vec_id").select(frame(F.col("cloud"), F.col("id")), "vec_id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
+    return scans.to_world(points, poses).select("vec_id", *(F.round(c, 9).alias(c) for c in "xyz"))
+
+
 @query("src_off_bbox", "SELECT CAST(s_nationkey AS BIGINT) AS cloud, " + ", ".join(f"min({e}) AS lo{c}, max({e}) AS hi{c}" for c, e in (("x", "CAST(s_suppkey AS DOUBLE)"), ("y", "CAST(s_acctbal AS DOUBLE)"), ("z", "CAST(s_suppkey % 7 AS DOUBLE)"))) + " FROM supplier GROUP BY 1")
 def src_off_bbox(spark, sf_dir):
     """Boxes of a mesh file per nation."""

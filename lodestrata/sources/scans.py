@@ -43,6 +43,45 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("trim(line) <> ''").select("frame", "path", F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("m")).where(F.size("m") == 12)
 
 
+#: Names of the sensor's matrix in a calibration file, the first that is there; else any that has the last in its name.
+CALIBRATION_KEYS = ("Tr", "Tr_velo_to_cam")
+
+
+def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
+    """``path, c``: the matrix from sensor to camera (12 doubles, row-major 3x4) of every ``.calib`` file of ``key: values`` lines.
+
+    A file that names none gives the identity; lines that are no key with twelve values are passed over."""
+    lines = spark.read.option("pathGlobFilter", "*.calib").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("nth", "line"))
+    value = F.transform(F.split(F.trim(F.substring_index("line", ":", -1)), r"\s+"), lambda v: v.try_cast("double"))
+    named = lines.select("path", "nth", F.trim(F.substring_index("line", ":", 1)).alias("key"), F.when(F.col("line").contains(":"), value).alias("c"))
+    whole = F.coalesce(F.size("c") == 12, F.lit(False)) & F.coalesce(F.forall("c", lambda v: v.isNotNull()), F.lit(False))
+    rank = F.when(F.col("key") == CALIBRATION_KEYS[0], 0).when(F.col("key") == CALIBRATION_KEYS[1], 1).when(F.col("key").contains(CALIBRATION_KEYS[0]), 2)
+    best = named.groupBy("path").agg(F.min_by(F.when(whole & rank.isNotNull(), F.col("c")), F.when(whole & rank.isNotNull(), F.struct(rank, "nth"))).alias("c"))
+    return best.select("path", F.coalesce("c", F.array(*(F.lit(float(i % 5 == 0)) for i in range(12)))).alias("c"))
+
+
+def sensor_poses(poses: DataFrame, flatten: bool = True) -> DataFrame:
+    """Camera poses ``m`` with calibrations ``c`` (a column of ``poses``) as poses of the sensor: ``m`` is then the inverse of c,
+    after m, after c.  ``flatten`` keeps of the turn only the one about the vertical axis."""
+    at = lambda name: [[F.col(name)[4 * r + k] for k in range(4)] for r in range(3)]
+    a, b = at("c"), at("m")
+    minor = lambda r, k: a[(r + 1) % 3][(k + 1) % 3] * a[(r + 2) % 3][(k + 2) % 3] - a[(r + 1) % 3][(k + 2) % 3] * a[(r + 2) % 3][(k + 1) % 3]
+    rest = [c for c in poses.columns if c not in ("m", "c")]
+    det = sum((a[0][k] * minor(0, k) for k in range(1, 3)), a[0][0] * minor(0, 0))
+    held = poses.select("*", *((minor(k, r) / det).alias(f"i{r}{k}") for r in range(3) for k in range(3)))
+    # What comes after the inverse: the turn, and the shift.
+    ba = [[sum((b[r][j] * a[j][k] for j in range(1, 3)), b[r][0] * a[0][k]) for k in range(3)] for r in range(3)]
+    shift = [sum((b[r][j] * a[j][3] for j in range(1, 3)), b[r][0] * a[0][3]) + b[r][3] - a[r][3] for r in range(3)]
+    held = held.select(*rest, *(f"i{r}{k}" for r in range(3) for k in range(3)), *(ba[r][k].alias(f"b{r}{k}") for r in range(3) for k in range(3)), *(shift[r].alias(f"s{r}") for r in range(3)))
+    product = lambda r, name: sum((F.col(f"i{r}{j}") * F.col(name.format(j)) for j in range(1, 3)), F.col(f"i{r}0") * F.col(name.format(0)))
+    turn = [[product(r, f"b{{}}{k}") for k in range(3)] for r in range(3)]
+    if flatten:
+        yaw = F.atan2(turn[1][0], turn[0][0])
+        cos, sin, one, zero = F.cos(yaw), F.sin(yaw), F.lit(1.0), F.lit(0.0)
+        turn = [[cos, -sin, zero], [sin, cos, zero], [zero, zero, one]]
+    return held.select(*rest, F.array(*(x for r in range(3) for x in (*turn[r], product(r, "s{}")))).alias("m"))
+
+
 def to_world(points: DataFrame, poses: DataFrame) -> DataFrame:
     """``points(frame, x, y, z, ...)`` moved by the pose of their frame."""
     at = lambda r: sum((F.col("m")[4 * r + i] * F.col(c) for i, c in enumerate("xyz")), F.col("m")[4 * r + 3])
