@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..functions import exact
 from .cloud import gcd
-from .lineage import cut, let, spread
+from .lineage import cut, let, release, spread
 
 #: Lanes over which a box's children are dealt; points of a box, on average, that are looked at one by one; points
 #: known around each point.
@@ -139,7 +139,9 @@ def descend(points: DataFrame, most: int, frontier: Frontier | None = None, budg
         if budget is not None and examined + n > budget:
             return None, Frontier(rows, shift, examined)
         examined, shift = examined + n, below
-        rows = cut(opened.groupBy("cloud", "u").cogroup(known.groupBy("cloud", "u")).applyInArrow(_test(lo, shift, most, lean), _FRONTIER), "frontier")
+        left = cut(opened.groupBy("cloud", "u").cogroup(known.groupBy("cloud", "u")).applyInArrow(_test(lo, shift, most, lean), _FRONTIER), "frontier")
+        release(opened, *([] if rows is frontier.rows else [rows]))  # a caller may go on from its own frontier again
+        rows = left
     ends = rows.join(points.select("cloud", F.col("id").alias("v"), *_cells("{}", lo, 0)), ["cloud", "cx", "cy", "cz"]).where("u <> v")
     # Kept from both ends.
     both = ends.groupBy("cloud", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("n")).where("n = 2")

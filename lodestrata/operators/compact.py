@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .cloud import numbered
 from .forest import merge_forest
-from .lineage import cut
+from .lineage import cut, release
 
 
 def _tree(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,9 @@ def ranked(walk: DataFrame, most_rounds: int = 64) -> DataFrame:
         if not walk.where("next IS NOT NULL").limit(1).count():
             return walk.select("cloud", "step", "leaves")
         ahead = walk.select("cloud", F.col("step").alias("next"), F.col("next").alias("far"), F.col("leaves").alias("more"))
-        walk = cut(walk.join(ahead, ["cloud", "next"], "left").select("cloud", "step", F.col("far").alias("next"), (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves")), "walk")
+        further = cut(walk.join(ahead, ["cloud", "next"], "left").select("cloud", "step", F.col("far").alias("next"), (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves")), "walk")
+        release(walk)
+        walk = further
     raise RuntimeError(f"a walk did not end in 2**{most_rounds} steps")
 
 

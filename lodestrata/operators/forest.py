@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from ..functions import exact
 from .cloud import facets, numbered
 from .graph import components
-from .lineage import cut
+from .lineage import cut, release
 
 #: Births and relations of a range.
 LOT = 200_000
@@ -61,7 +61,9 @@ def _contracted(rel: DataFrame, bits: int) -> DataFrame:
         for e in "uv":
             late = late.join(found.select("cloud", "part", F.col("node").alias(e), F.col("component").alias("to")), ["cloud", "part", e], "left")
             late = late.withColumns({e: F.coalesce("to", e), f"old_{e}": F.col(f"old_{e}") | F.col("to").isNotNull()}).drop("to")
-        rel = cut(rel.where(left).unionByName(late.drop("part")), "contracted")
+        halved = cut(rel.where(left).unionByName(late.drop("part")), "contracted")
+        release(rel, edges)
+        rel = halved
     return rel
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, release
 
 #: Edges of a lot: what one task holds at once.
 LOT = 100_000
@@ -114,15 +114,18 @@ def _spread(nodes: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
     """Components in rounds: minimum labels spread along edges, and each round also jumps to the label's own label, so
     that long paths settle in few rounds."""
     both = cut(edges.select("cloud", "u", "v").unionAll(edges.select("cloud", F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    labels = cut(nodes.select("cloud", "node", F.col("node").alias("component")).distinct(), "labels")
+    labels = held = cut(nodes.select("cloud", "node", F.col("node").alias("component")).distinct(), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), ["cloud", "v"]).groupBy("cloud", F.col("u").alias("node")).agg(F.min("component").alias("near"))
         seen = labels.join(near, ["cloud", "node"], "left").select("cloud", "node", F.least("component", F.coalesce("near", "component")).alias("to"), F.col("component").alias("was"))
         jump = labels.select("cloud", F.col("node").alias("to"), F.col("component").alias("far"))
         moved = Observation()
         after = seen.join(jump, ["cloud", "to"], "left").select("cloud", "node", F.least("to", F.coalesce("far", "to")).alias("component"), "was")
-        labels = cut(after.observe(moved, F.count_if(F.col("component") != F.col("was")).alias("n")), "labels").select("cloud", "node", "component")
+        found = cut(after.observe(moved, F.count_if(F.col("component") != F.col("was")).alias("n")), "labels")
+        release(held)
+        held, labels = found, found.select("cloud", "node", "component")
         if not moved.get["n"]:
+            release(both)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 

@@ -27,7 +27,18 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/lodestrata-{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestrata_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote, once nothing reads them any more: those of a round when the next is written."""
+    for df in tables:
+        path = getattr(df, "_lodestrata_path", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

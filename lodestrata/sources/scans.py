@@ -40,7 +40,7 @@ def read_scan_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
     """A row-major 3x4 matrix a line: ``frame, path, m`` (12 doubles).  Frames are numbered within the file."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.trim("value"), "\n")).alias("frame", "line"))
-    return lines.where("trim(line) <> ''").select("frame", "path", F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("double")).alias("m")).where(F.size("m") == 12)
+    return lines.where("trim(line) <> ''").select("frame", "path", F.transform(F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+"), lambda v: v.cast("double")).alias("m")).where(F.size("m") == 12)
 
 
 #: Names of the sensor's matrix in a calibration file, the first that is there; else any that has the last in its name.
@@ -50,9 +50,9 @@ CALIBRATION_KEYS = ("Tr", "Tr_velo_to_cam")
 def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
     """``path, c``: the matrix from sensor to camera (12 doubles, row-major 3x4) of every ``.calib`` file of ``key: values`` lines.
 
-    A file that names none gives the identity; lines that are no key with twelve values are passed over."""
+    A file that names none gives the identity, an empty file no row; lines that are no key with twelve values are passed over."""
     lines = spark.read.option("pathGlobFilter", "*.calib").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("nth", "line"))
-    value = F.transform(F.split(F.trim(F.substring_index("line", ":", -1)), r"\s+"), lambda v: v.try_cast("double"))
+    value = F.transform(F.split(F.regexp_replace(F.substring_index("line", ":", -1), r"^\s+|\s+$", ""), r"\s+"), lambda v: v.try_cast("double"))
     named = lines.select("path", "nth", F.trim(F.substring_index("line", ":", 1)).alias("key"), F.when(F.col("line").contains(":"), value).alias("c"))
     whole = F.coalesce(F.size("c") == 12, F.lit(False)) & F.coalesce(F.forall("c", lambda v: v.isNotNull()), F.lit(False))
     rank = F.when(F.col("key") == CALIBRATION_KEYS[0], 0).when(F.col("key") == CALIBRATION_KEYS[1], 1).when(F.col("key").contains(CALIBRATION_KEYS[0]), 2)

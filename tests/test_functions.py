@@ -117,3 +117,28 @@ def test_transport_cost_is_the_sum_written_out():
     assert math.isclose(arrays.transport_cost(plan, cost, a, b, 3.0), want)
     assert arrays.divergence(np.zeros(2), b) == 1.0 and arrays.divergence(a, np.asarray([0.0, 1.0])) == math.inf
     assert arrays.divergence(np.zeros(1), np.zeros(1)) == 0.0
+
+
+def test_sensor_poses_are_the_products_of_matrices(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=12).tolist(), draw.normal(size=12).tolist()) for i in range(8)]
+    df = spark.createDataFrame(rows, "frame long, m array<double>, c array<double>")
+    square = lambda v: np.vstack([np.asarray(v).reshape(3, 4), [0, 0, 0, 1]])
+    whole = {r.frame: r.m for r in scans.sensor_poses(df, flatten=False).collect()}
+    flat = {r.frame: r.m for r in scans.sensor_poses(df).collect()}
+    for i, m, c in rows:
+        want = np.linalg.inv(square(c)) @ square(m) @ square(c)
+        assert np.allclose(square(whole[i]), want)
+        yaw = np.arctan2(want[1, 0], want[0, 0])
+        turn = [[np.cos(yaw), -np.sin(yaw), 0], [np.sin(yaw), np.cos(yaw), 0], [0, 0, 1]]
+        assert np.allclose(square(flat[i]), np.vstack([np.hstack([turn, want[:3, 3:]]), [0, 0, 0, 1]]))
+
+
+def test_calibrations_by_name(spark, tmp_path):
+    twelve = lambda k: " ".join(str(float(k + i)) for i in range(12))
+    files = {"a": f"P0: {twelve(0)}\nTr_velo_to_cam: {twelve(1)}\nTr: {twelve(2)}\n", "b": f"Tr_imu: {twelve(3)}\nTr_velo_to_cam: {twelve(4)}\r\n", "c": f"no key\nMyTr: {twelve(5)}\nTr: 1 2 x\n", "d": "\n", "e": "P0: 1\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.calib").write_text(text)
+    got = {r.path.rpartition("/")[2][0]: r.c for r in scans.read_calibrations(spark, str(tmp_path)).collect()}
+    one = [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0]
+    assert {k: v[0] for k, v in got.items() if k in "abc"} == {"a": 2.0, "b": 4.0, "c": 5.0} and got["d"] == got["e"] == one
