@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
-from lodestrata.operators import facegraph, graph, percolation, spatial
+from lodestrata.operators import facegraph, graph, hierarchy, journals, percolation, spatial
 from lodestrata.operators.lineage import cut
 
 
@@ -40,3 +40,17 @@ def test_few_pairs_hold_cores_forests_and_sweeps(spark):
         swept = percolation.sweep(core.withColumnRenamed("core2", "core"), pairs)
         found[name] = c, sorted((r.cloud, r.weight) for r in tree.collect()), sorted(map(tuple, swept.collect()))
     assert found["few"] == found["every"]
+
+
+def test_descents_of_pairs_are_those_of_all_points(spark):
+    clouds = [lattice(2, 40, 7), SQUARE, [(0, 0, 0), (5, 0, 0)], [(1, 1, 1)], [(i, 0, 0) for i in range(9)]]
+    p = table(spark, *clouds)
+    found = cut(hierarchy.supports(p, 2))
+    names = ("cloud", "label", "num", "den", "support", "successor")
+    want = sorted(map(tuple, journals.descents(hierarchy.miniballs(hierarchy.k_subsets(p, 2), found), found, p).select(*names).collect()))
+    for lot in (60, 10_000):
+        steps = cut(journals.pair_descents(p, lot))
+        assert sorted(map(tuple, steps.select(*names).collect())) == want
+        for c in range(len(clouds)):
+            rows = sorted((tuple(r.label), r.place) for r in steps.where(f"cloud = {c}").collect())
+            assert [place for _, place in rows] == list(range(len(rows)))
