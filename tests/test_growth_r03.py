@@ -54,3 +54,16 @@ def test_descents_of_pairs_are_those_of_all_points(spark):
         for c in range(len(clouds)):
             rows = sorted((tuple(r.label), r.place) for r in steps.where(f"cloud = {c}").collect())
             assert [place for _, place in rows] == list(range(len(rows)))
+
+
+def test_saturated_cut_lists_no_balls(spark, monkeypatch):
+    p = table(spark, lattice(4, 24, 7), SQUARE, [(0, 0, 0), (2, 0, 0), (30, 0, 0)])
+    filtration = [cut(t) for t in hierarchy.gamma_filtration(p, 2)]
+
+    def none(*_):
+        raise AssertionError("balls are listed")
+
+    monkeypatch.setattr(hierarchy, "generators", none)
+    for at in (1, 5, 12):
+        want = hierarchy.coverage(hierarchy.gamma_cut(*filtration, at)).select("cloud", "covered")
+        assert sorted(map(tuple, hierarchy.saturated_cut(p, 2, at).collect())) == sorted(map(tuple, want.collect()))
