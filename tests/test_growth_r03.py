@@ -67,3 +67,21 @@ def test_saturated_cut_lists_no_balls(spark, monkeypatch):
     for at in (1, 5, 12):
         want = hierarchy.coverage(hierarchy.gamma_cut(*filtration, at)).select("cloud", "covered")
         assert sorted(map(tuple, hierarchy.saturated_cut(p, 2, at).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_few_links_connect_what_all_near_pairs_do(spark):
+    clouds = [lattice(5, 150, 30), lattice(6, 300, 9), SQUARE, [(-3, -3, -3), (0, 0, 0), (-9, 5, 5)], [(2 * i - 30, 0, 0) for i in range(30)]]
+    p = table(spark, *clouds)
+    nodes = p.selectExpr("cloud", "id AS node")
+    for squared in (0, 1, 2, 5, 12, 75):
+        every, few = spatial.pairs_within(p, squared), cut(spatial.near_links(p, squared))
+        assert sorted(map(tuple, graph.components(nodes, few).collect())) == sorted(map(tuple, graph.components(nodes, every).collect()))
+    assert spatial.near_links(p, 300).where("cloud = 1").count() < 400 < spatial.pairs_within(p, 300).where("cloud = 1").count()
+
+
+def test_sums_over_later_points_by_blocks(spark, monkeypatch):
+    clouds = [lattice(7, 90, 30), SQUARE, [(1, 1, 1)], [(0, 0, 0), (-5, 0, 2)]]
+    want = [(c, u, len(at) - u - 1, sum(d), min(d)) for c, at in enumerate(map(sorted, clouds)) for u in range(len(at) - 1) if (d := [d2(at[u], q) for q in at[u + 1 :]])]
+    for block in (7, 2048):
+        monkeypatch.setattr(spatial, "POINTS", block)
+        assert sorted(map(tuple, spatial.pair_sums(table(spark, *clouds)).collect())) == want
