@@ -99,6 +99,57 @@ def spectral_coordinates(weights: np.ndarray, dimensions: int) -> np.ndarray:
     return out * np.where(top < 0, -1, 1)
 
 
+def inverse_rows(points: np.ndarray, x: np.ndarray, table: int = 1 << 20) -> np.ndarray:
+    """The complete graph of points with weights 1 / (1 + squared distance), times ``x``: a band of rows at a time."""
+    p = np.asarray(points, float)
+    own, out = (p * p).sum(axis=1), np.empty((len(p), x.shape[1]))
+    for lo in range(0, len(p), step := max(1, table // max(1, len(p)))):
+        w = p[lo : lo + step] @ (-2 * p.T)
+        w += own[None]
+        w += 1 + own[lo : lo + step, None]
+        np.reciprocal(w, out=w)
+        w[np.arange(len(w)), lo + np.arange(len(w))] = 0  # no point is its own neighbour
+        out[lo : lo + step] = w @ x
+    return out
+
+
+def inverse_spectral_coordinates(points: np.ndarray, dimensions: int, dense: int = 512, block: int = 8, most: int = 60) -> np.ndarray:
+    """:func:`spectral_coordinates` of the complete graph of points with weights 1 / (1 + squared distance), in memory linear in them.
+
+    More than ``dense`` points are solved by a block Krylov space of the normalised weights, each round a pass over bands of rows; it
+    ends when the residuals of all that is asked for are at rounding, and starts anew from its best vectors where it would grow beyond
+    ``most`` blocks."""
+    p = np.asarray(points, float)
+    n = len(p)
+    if n <= dense:
+        return spectral_coordinates(inverse_rows(p, np.eye(n)), dimensions)
+    d = inverse_rows(p, np.ones((n, 1)))[:, 0]
+    root = np.sqrt(np.maximum(d, 1e-12))[:, None]
+    apply = lambda x: inverse_rows(p, x / root) / root
+    start = np.concatenate([root, (p - p.mean(axis=0)) * root, np.random.default_rng(0).standard_normal((n, block - 1 - p.shape[1]))], axis=1)
+    basis, images = np.empty((n, 0)), np.empty((n, 0))
+    for _ in range(20 * most):
+        for _ in range(2):  # twice is enough
+            start = start - basis @ (basis.T @ start)
+            start, _r = np.linalg.qr(start)
+        image = apply(start)
+        basis, images = np.concatenate([basis, start], axis=1), np.concatenate([images, image], axis=1)
+        small = basis.T @ images
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        top = vectors[:, ::-1][:, : dimensions + 1]
+        off = images @ top - (basis @ top) * values[::-1][: dimensions + 1]
+        if np.linalg.norm(off, axis=0).max() < 1e-12:
+            break
+        start = image
+        if basis.shape[1] >= min(block * most, n - block):
+            keep = vectors[:, ::-1][:, : 2 * block]
+            basis, images = basis @ keep, images @ keep
+            start = images[:, :block] - basis[:, :block] * values[::-1][:block]
+    out = (basis @ top / root)[:, 1:]
+    lead = out[np.abs(out).argmax(axis=0), np.arange(out.shape[1])]
+    return out * np.where(lead < 0, -1, 1)
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise; of points on a line its ends."""
     p = sorted(set(map(tuple, points.tolist())))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
+
+from lodestrata.functions import arrays
 from lodestrata.operators import facegraph, graph, hierarchy, journals, percolation, spatial
 from lodestrata.operators.lineage import cut
 
@@ -85,3 +89,18 @@ def test_sums_over_later_points_by_blocks(spark, monkeypatch):
     for block in (7, 2048):
         monkeypatch.setattr(spatial, "POINTS", block)
         assert sorted(map(tuple, spatial.pair_sums(table(spark, *clouds)).collect())) == want
+
+
+def test_spectral_coordinates_by_bands_are_the_dense_ones():
+    p = np.asarray(lattice(8, 700, 25))
+    w = 1 / (1 + ((p[:, None] - p[None]) ** 2).sum(axis=2).astype(float))
+    np.fill_diagonal(w, 0)
+    want = arrays.spectral_coordinates(w, 2)
+    for n, most in ((2000, 60), (512, 60), (512, 3)):  # dense, at once, starting anew
+        assert np.abs(arrays.inverse_spectral_coordinates(p, 2, dense=n, most=most) - want).max() < 1e-11
+    many = np.asarray(lattice(9, 3000, 40))
+    tracemalloc.start()
+    assert np.isfinite(arrays.inverse_spectral_coordinates(many, 2)).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(many) ** 2
