@@ -35,35 +35,67 @@ def enclosing_ball(points: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost assignment of rows to columns (as many pairs as the shorter side), by shortest augmenting paths."""
+    """Least-cost assignment of rows to columns (as many pairs as the shorter side), by shortest augmenting paths.
+
+    Rows whose cheapest columns differ are assigned at once; only the others look for a path, and what a path says of prices
+    is taken in when it is found."""
     turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
+    c = np.ascontiguousarray(cost.T if turned else cost, float)
     n, m = c.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+    if not n:
+        return []
+    u, v, owner, own = c.min(axis=1), np.zeros(m), np.full(m, -1), np.full(n, -1)
+    columns, rows = np.unique(c.argmin(axis=1), return_index=True)
+    owner[columns], own[rows] = rows, columns
+    for start in np.flatnonzero(own < 0):
+        least, way, open_ = np.full(m, np.inf), np.full(m, -1), np.zeros(m)  # open_: infinite where a column is done
+        i, far, rows, done = start, 0.0, [start], []
+        while True:
+            slack = c[i] - v
+            slack += far - u[i] + open_
+            better = slack < least
+            np.copyto(least, slack, where=better)
+            way[better] = i
+            j = int((least + open_).argmin())
+            far = least[j]
+            if owner[j] < 0:
+                break
+            open_[j] = np.inf
+            done.append(j)
+            i = owner[j]
+            rows.append(i)
+        u[start] += far
+        u[rows[1:]] += far - least[done]
+        v[done] -= far - least[done]
         while True:
-            used[j0] = True
-            i0, free = owner[j0], np.flatnonzero(~used[1:]) + 1
-            slack = c[i0 - 1, free - 1] - u[i0] - v[free]
-            better = slack < least[free]
-            least[free[better]], way[free[better]] = slack[better], j0
-            j1 = free[np.argmin(least[free])]
-            step = least[j1]
-            u[owner[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j0 = j1
-            if owner[j0] == 0:
+            i = way[j]
+            owner[j] = i
+            own[i], j = j, own[i]
+            if i == start:
                 break
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+    pairs = list(enumerate(own.tolist()))
     return sorted((b, a) if turned else (a, b) for a, b in pairs)
 
 
+def parts(met: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(rows, columns)`` of the connected parts of a relation; rows and columns without any are in none."""
+    rows, columns = np.nonzero(met)
+    row_part, column_part = np.arange(met.shape[0]), np.full(met.shape[1], met.shape[0])
+    while True:
+        np.minimum.at(column_part, columns, row_part[rows])
+        after = row_part.copy()
+        np.minimum.at(after, rows, column_part[columns])
+        after = after[after]
+        if (after == row_part).all():
+            break
+        row_part = after
+    by = [np.argsort(part, kind="stable") for part in (row_part, column_part)]
+    out = []
+    for k in np.unique(row_part[rows]):
+        out.append(tuple(o[np.searchsorted(p[o], k) : np.searchsorted(p[o], k, "right")] for o, p in zip(by, (row_part, column_part), strict=True)))
+    return out
+
+
 def unbalanced_transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray, blur: float, reach: float, rounds: int = 15) -> np.ndarray:
     """Entropic transport plan with marginals relaxed by a Kullback-Leibler penalty ``reach``; infinite costs forbid."""
     kernel = np.where(np.isfinite(cost), np.exp(-np.where(np.isfinite(cost), cost, 0) / blur), 0.0)

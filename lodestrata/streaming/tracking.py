@@ -54,11 +54,12 @@ class Tracks:
         self.spread = move @ self.spread @ move.T + PROCESS * np.eye(6)
         self.unseen = self.unseen + 1
 
-    def update(self, k: int, seen: np.ndarray) -> None:
-        """One track meets its detection."""
-        gain = self.spread[k] @ _SEES.T @ np.linalg.inv(_SEES @ self.spread[k] @ _SEES.T + MEASUREMENT * np.eye(3))
-        self.place[k] += gain @ (seen - self.place[k, :3])
-        self.spread[k] = (np.eye(6) - gain @ _SEES) @ self.spread[k]
+    def update(self, k: np.ndarray, seen: np.ndarray) -> None:
+        """Each of some tracks meets its detection."""
+        at = self.spread[k]
+        gain = at[:, :, :3] @ np.linalg.inv(at[:, :3, :3] + MEASUREMENT * np.eye(3))
+        self.place[k] += (gain @ (seen - self.place[k, :3])[:, :, None])[:, :, 0]
+        self.spread[k] = (np.eye(6) - gain @ _SEES) @ at
         self.hits[k] += 1
         self.unseen[k] = 0
 
@@ -69,7 +70,9 @@ class Tracks:
         cost = ((seen[:, None, :] - self.place[None, :, :3]) ** 2).sum(axis=2)
         cost[cost > gate * gate] = np.inf
         plan = arrays.unbalanced_transport(np.ones(len(seen)), np.ones(len(self.number)), cost / (gate * gate), BLUR, REACH)
-        return [(k, i) for i, k in arrays.assignment(-plan) if plan[i, k] > LEAST_MASS]
+        # Nothing is carried outside the gate, so what it parts is assigned part by part.
+        found = ((int(rows[i]), int(columns[k])) for rows, columns in arrays.parts(plan > 0) for i, k in arrays.assignment(-plan[np.ix_(rows, columns)]))
+        return [(k, i) for i, k in sorted(found) if plan[i, k] > LEAST_MASS]
 
     def keep(self, kept: np.ndarray) -> None:
         self.number, self.place, self.spread, self.hits, self.unseen = self.number[kept], self.place[kept], self.spread[kept], self.hits[kept], self.unseen[kept]
@@ -89,7 +92,8 @@ class Tracks:
         """One frame; the track number of each detection."""
         self.predict(dt)
         out = np.full(len(seen), -1, np.int64)
-        for k, i in self.match(seen, gate):
+        if found := self.match(seen, gate):
+            k, i = np.asarray(found).T
             self.update(k, seen[i])
             out[i] = self.number[k]
         self.keep(self.unseen < np.where(self.hits >= CONFIRMED, MOST_UNSEEN, MOST_UNSEEN_NEW))

@@ -11,6 +11,7 @@ import numpy as np
 from lodestrata.functions import arrays
 from lodestrata.operators import facegraph, graph, hierarchy, journals, percolation, spatial
 from lodestrata.operators.lineage import cut
+from lodestrata.streaming import tracking
 
 
 def lattice(seed, n, side=12):
@@ -104,3 +105,22 @@ def test_spectral_coordinates_by_bands_are_the_dense_ones():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 * len(many) ** 2
+
+
+def test_assignments_are_best_and_made_part_by_part(monkeypatch):
+    draw = np.random.default_rng(3)
+    for n, m in ((1, 1), (4, 4), (3, 6), (6, 3), (5, 5)):
+        for _ in range(20):
+            cost = draw.integers(-4, 3, (n, m)).astype(float)  # with ties
+            pairs = arrays.assignment(cost)
+            assert len(pairs) == min(n, m) == len({i for i, _ in pairs}) == len({j for _, j in pairs}) and pairs == sorted(pairs)
+            best = min(sum((cost if n <= m else cost.T)[i, j] for i, j in enumerate(way)) for way in itertools.permutations(range(max(n, m)), min(n, m)))
+            assert sum(cost[i, j] for i, j in pairs) == best
+    sizes = []
+    whole = arrays.assignment
+    monkeypatch.setattr(arrays, "assignment", lambda c: sizes.append(max(c.shape)) or whole(c))
+    tracks = tracking.Tracks()
+    places = np.asarray([(20.0 * i, 0, 0) for i in range(60)])
+    assert tracks.step(places, 6.0, 1.0).tolist() == list(range(60))
+    assert tracks.step(places[::-1] + 0.5, 6.0, 1.0).tolist() == list(range(60))[::-1]
+    assert sizes == [1] * 60
