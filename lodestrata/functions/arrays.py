@@ -77,23 +77,96 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if turned else (a, b) for a, b in pairs)
 
 
-def parts(met: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(rows, columns)`` of the connected parts of a relation; rows and columns without any are in none."""
-    rows, columns = np.nonzero(met)
-    row_part, column_part = np.arange(met.shape[0]), np.full(met.shape[1], met.shape[0])
-    while True:
-        np.minimum.at(column_part, columns, row_part[rows])
-        after = row_part.copy()
-        np.minimum.at(after, rows, column_part[columns])
-        after = after[after]
-        if (after == row_part).all():
-            break
-        row_part = after
-    by = [np.argsort(part, kind="stable") for part in (row_part, column_part)]
-    out = []
-    for k in np.unique(row_part[rows]):
-        out.append(tuple(o[np.searchsorted(p[o], k) : np.searchsorted(p[o], k, "right")] for o, p in zip(by, (row_part, column_part), strict=True)))
-    return out
+def sparse_assignment(n: int, m: int, rows: np.ndarray, columns: np.ndarray, gain: np.ndarray) -> list[tuple[int, int]]:
+    """The matching of most gain among some pairs of ``n`` rows and ``m`` columns (gains are positive, pairs in order of rows): as
+    :func:`assignment` of the whole table with gains turned to costs and 0 for all other pairs, without these.
+
+    A row may stay free at cost 0, so a shortest path ends at a free column or at a row that gives its column up."""
+    ends = np.searchsorted(rows, np.arange(n + 1))
+    u, v, owner, own = np.zeros(n), np.zeros(m), np.full(m, -1), np.full(n, -1)
+    np.minimum.at(u, rows, -gain)
+    for k in np.flatnonzero(-gain == u[rows]):
+        if own[rows[k]] < 0 and owner[columns[k]] < 0:
+            own[rows[k]], owner[columns[k]] = columns[k], rows[k]
+    least, way, open_ = np.full(m, np.inf), np.full(m, -1), np.zeros(m)
+    for start in np.flatnonzero((own < 0) & (ends[1:] > ends[:-1])):
+        i, far, tree, done, seen = start, 0.0, [start], [], []
+        give, giver = np.inf, -1  # the shortest way that ends with a row set free
+        while True:
+            if far - u[i] < give:
+                give, giver = far - u[i], i
+            at = slice(ends[i], ends[i + 1])
+            c = columns[at]
+            slack = (far - u[i]) - gain[at] - v[c] + open_[c]
+            better = slack < least[c]
+            c = c[better]
+            least[c], way[c] = slack[better], i
+            seen.append(c)
+            front = np.concatenate(seen)
+            front = front[open_[front] == 0]
+            seen = [front]
+            j = int(front[least[front].argmin()]) if len(front) else -1
+            if j < 0 or give <= least[j]:
+                far, j = give, -1
+                break
+            far = least[j]
+            if owner[j] < 0:
+                break
+            open_[j] = np.inf
+            done.append(j)
+            i = owner[j]
+            tree.append(i)
+        u[start] += far
+        u[tree[1:]] += far - least[done]
+        v[done] -= far - least[done]
+        i = giver
+        if j < 0:
+            own[i], j = -1, own[i]
+        else:
+            i = -1
+        while i != start:
+            i = way[j]
+            owner[j] = i
+            own[i], j = j, own[i]
+        least[front], open_[done] = np.inf, 0
+        least[done] = np.inf
+    return [(i, int(k)) for i, k in enumerate(own) if k >= 0]
+
+
+def sparse_transport(n: int, m: int, rows: np.ndarray, columns: np.ndarray, cost: np.ndarray, blur: float, reach: float, rounds: int = 15) -> np.ndarray:
+    """:func:`unbalanced_transport` between ``n`` and ``m`` unit masses where only some pairs are allowed: the plan at these."""
+    kernel, power = np.exp(-cost / blur), reach / (reach + blur)
+    u, v = np.ones(n), np.ones(m)
+    for _ in range(rounds):
+        s = np.bincount(rows, kernel * v[columns], n)
+        u = np.where(s > 0, (1 / np.maximum(s, 1e-300)) ** power, 0.0)
+        s = np.bincount(columns, kernel * u[rows], m)
+        v = np.where(s > 0, (1 / np.maximum(s, 1e-300)) ** power, 0.0)
+    return u[rows] * kernel * v[columns]
+
+
+def gated(a: np.ndarray, b: np.ndarray, gate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, columns, squared distances)`` of the points of ``a`` and ``b`` within a distance, by columns of cells as wide."""
+    cells = lambda p: np.floor(p[:, :2] / gate).astype(np.int64)
+    order = np.lexsort((b[:, 1], *cells(b).T[:1]))
+    low, at = cells(b)[order, 0], b[order]
+    found = []
+    for shift in (-1, 0, 1):
+        own = cells(a)[:, 0] + shift
+        begin, end = np.searchsorted(low, own), np.searchsorted(low, own, "right")
+        for x in np.unique(own[end > begin]):
+            mine = np.flatnonzero(own == x)
+            k = slice(begin[mine[0]], end[mine[0]])
+            lo = np.searchsorted(at[k, 1], a[mine, 1] - gate * (1 + 1e-9))
+            n = np.searchsorted(at[k, 1], a[mine, 1] + gate * (1 + 1e-9), "right") - lo
+            r = np.repeat(mine, n)
+            c = k.start + np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            d2 = ((a[r] - at[c]) ** 2).sum(axis=1)
+            on = d2 <= gate * gate
+            found.append((r[on], order[c[on]], d2[on]))
+    rows, columns, d2 = (np.concatenate([f[i] for f in found]) if found else np.empty(0, (np.int64, np.int64, float)[i]) for i in range(3))
+    by = np.lexsort((columns, rows))
+    return rows[by], columns[by], d2[by]
 
 
 def unbalanced_transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray, blur: float, reach: float, rounds: int = 15) -> np.ndarray:

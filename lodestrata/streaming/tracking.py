@@ -67,12 +67,12 @@ class Tracks:
         """``(track, detection)`` of the assignment that carries most mass inside the gate."""
         if not len(self.number) or not len(seen):
             return []
-        cost = ((seen[:, None, :] - self.place[None, :, :3]) ** 2).sum(axis=2)
-        cost[cost > gate * gate] = np.inf
-        plan = arrays.unbalanced_transport(np.ones(len(seen)), np.ones(len(self.number)), cost / (gate * gate), BLUR, REACH)
-        # Nothing is carried outside the gate, so what it parts is assigned part by part.
-        found = ((int(rows[i]), int(columns[k])) for rows, columns in arrays.parts(plan > 0) for i, k in arrays.assignment(-plan[np.ix_(rows, columns)]))
-        return [(k, i) for i, k in sorted(found) if plan[i, k] > LEAST_MASS]
+        n, m = len(seen), len(self.number)
+        rows, columns, d2 = arrays.gated(seen, self.place[:, :3], gate)
+        plan = arrays.sparse_transport(n, m, rows, columns, d2 / (gate * gate), BLUR, REACH)
+        some = plan > 0
+        carried = dict(zip(zip(rows.tolist(), columns.tolist(), strict=True), plan.tolist(), strict=True))
+        return [(k, i) for i, k in arrays.sparse_assignment(n, m, rows[some], columns[some], plan[some]) if carried[i, k] > LEAST_MASS]
 
     def keep(self, kept: np.ndarray) -> None:
         self.number, self.place, self.spread, self.hits, self.unseen = self.number[kept], self.place[kept], self.spread[kept], self.hits[kept], self.unseen[kept]

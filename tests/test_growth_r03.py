@@ -107,7 +107,7 @@ def test_spectral_coordinates_by_bands_are_the_dense_ones():
     assert peak < 8 * len(many) ** 2
 
 
-def test_assignments_are_best_and_made_part_by_part(monkeypatch):
+def test_assignments_are_best_also_of_some_pairs():
     draw = np.random.default_rng(3)
     for n, m in ((1, 1), (4, 4), (3, 6), (6, 3), (5, 5)):
         for _ in range(20):
@@ -116,11 +116,27 @@ def test_assignments_are_best_and_made_part_by_part(monkeypatch):
             assert len(pairs) == min(n, m) == len({i for i, _ in pairs}) == len({j for _, j in pairs}) and pairs == sorted(pairs)
             best = min(sum((cost if n <= m else cost.T)[i, j] for i, j in enumerate(way)) for way in itertools.permutations(range(max(n, m)), min(n, m)))
             assert sum(cost[i, j] for i, j in pairs) == best
-    sizes = []
-    whole = arrays.assignment
-    monkeypatch.setattr(arrays, "assignment", lambda c: sizes.append(max(c.shape)) or whole(c))
+    for n, m in ((1, 1), (6, 6), (8, 5), (5, 9), (30, 30), (40, 25)):
+        for _ in range(30):
+            gain = draw.integers(0, 6, (n, m)) * (draw.random((n, m)) < 0.4) + 0.0
+            rows, columns = np.nonzero(gain)
+            pairs = arrays.sparse_assignment(n, m, rows, columns, gain[rows, columns])
+            assert len(pairs) == len({i for i, _ in pairs}) == len({j for _, j in pairs}) and all(gain[i, j] > 0 for i, j in pairs)
+            assert sum(gain[i, j] for i, j in pairs) == sum(gain[i, j] for i, j in arrays.assignment(-gain))
+
+
+def test_gates_and_transport_of_near_pairs_only():
+    draw = np.random.default_rng(4)
+    a, b = draw.random((80, 3)) * 30 - 9, draw.random((70, 3)) * 30 - 9
+    d2_ = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    rows, columns, near = arrays.gated(a, b, 6.0)
+    assert [rows.tolist(), columns.tolist()] == [x.tolist() for x in np.nonzero(d2_ <= 36)] and np.allclose(near, d2_[rows, columns])
+    want = arrays.unbalanced_transport(np.ones(80), np.ones(70), np.where(d2_ <= 36, d2_, np.inf) / 36, 0.2, 3.0)
+    assert np.abs(arrays.sparse_transport(80, 70, rows, columns, near / 36, 0.2, 3.0) - want[rows, columns]).max() < 1e-12
     tracks = tracking.Tracks()
-    places = np.asarray([(20.0 * i, 0, 0) for i in range(60)])
-    assert tracks.step(places, 6.0, 1.0).tolist() == list(range(60))
-    assert tracks.step(places[::-1] + 0.5, 6.0, 1.0).tolist() == list(range(60))[::-1]
-    assert sizes == [1] * 60
+    many = np.stack([np.arange(6000) * 9.0, np.zeros(6000), np.zeros(6000)], axis=1)
+    tracemalloc.start()
+    assert tracks.step(many, 6.0, 1.0).tolist() == tracks.step(many + 0.5, 6.0, 1.0).tolist() == list(range(6000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 6000**2 / 4
